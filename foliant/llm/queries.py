@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliant.llm import decontaminate, secrets
+from foliant.llm import decontaminate, jaccard, secrets
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,10 +21,15 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(table(spark, sf_dir, "documents"))
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.digest(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_decontaminate": op2_decontaminate,
         "op4_secrets": op4_secrets,
+        "op8_jaccard_join": op8_jaccard_join,
     }
 
 
@@ -32,4 +37,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op2_decontaminate": decontaminate.SQL,
         "op4_secrets": secrets.SQL,
+        "op8_jaccard_join": jaccard.SQL,
     }
