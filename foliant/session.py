@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 
@@ -41,4 +42,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """Materialise df in the shared checkpoint folder: later steps reread files and survive lost executors."""
     checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    kept = df.checkpoint(eager=True)
+    # shuffle files of the lineage that has just been cut go when the driver collects its garbage
+    gc.collect()
+    df.sparkSession._jvm.System.gc()
+    return kept
