@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliant.llm import decontaminate, jaccard, pack, secrets
+from foliant.llm import decontaminate, jaccard, pack, secrets, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,10 +29,15 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack.digest(table(spark, sf_dir, "documents"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_decontaminate": op2_decontaminate,
         "op4_secrets": op4_secrets,
+        "op5_toxicity": op5_toxicity,
         "op8_jaccard_join": op8_jaccard_join,
         "op10_pack": op10_pack,
     }
