@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -75,33 +76,21 @@ def word_bounds(buf: np.ndarray, offs: np.ndarray, is_word: np.ndarray) -> tuple
 
 
 def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word's bytes: a polynomial in an odd base, taken from prefix sums."""
+    """A 64-bit hash of each word's bytes, eight bytes of all words at a time."""
     if not len(starts):
         return np.zeros(0, np.uint64)
+    padded = np.concatenate([buf, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(padded) - 7,), "<u8", padded, 0, (1,))
+    part = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
     with np.errstate(over="ignore"):
         lengths = ends - starts
-        most = int(lengths.max())
-        if most > 4096:  # few and long: one by one, so that powers stay few
-            longest = np.flatnonzero(lengths > 4096)
-        else:
-            longest = np.zeros(0, np.int64)
-        powers = np.cumprod(np.full(min(most, 4096) + 1, _BASE, np.uint64))
-        short = np.flatnonzero(lengths <= 4096)
-        out = np.zeros(len(starts), np.uint64)
-        if len(short):
-            s, n = starts[short], lengths[short]
-            total = int(n.sum())
-            first = np.cumsum(n) - n
-            within = np.arange(total) - np.repeat(first, n)
-            bytes_of = buf[within + np.repeat(s, n)].astype(np.uint64) + np.uint64(1)
-            out[short] = np.add.reduceat(bytes_of * powers[within], first)
-        for i in longest:
-            value = np.uint64(0)
-            for at in range(int(starts[i]), int(ends[i]), 4096):
-                part = buf[at : min(at + 4096, int(ends[i]))].astype(np.uint64) + np.uint64(1)
-                value = mix(np.array([value + np.uint64(1)]))[0] + (part * powers[: len(part)]).sum(dtype=np.uint64)
-            out[i] = value
-        return mix(out + lengths.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        out = mix(lengths.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + (eight[starts] & part[np.minimum(lengths, 8)]))
+        at, rest = 8, np.flatnonzero(lengths > 8)
+        while len(rest):
+            out[rest] = mix(out[rest] * _BASE + (eight[starts[rest] + at] & part[np.minimum(lengths[rest] - at, 8)]))
+            at += 8
+            rest = rest[lengths[rest] > at]
+        return out
 
 
 def window_hashes(words: np.ndarray, size: int) -> np.ndarray:
@@ -127,3 +116,38 @@ def append_column(df: DataFrame, text: str, name: str, kind: T.DataType, make: C
             yield pa.RecordBatch.from_arrays([*batch.columns, make(batch.column(at))], names=[*batch.schema.names, name])
 
     return df.mapInArrow(run, schema)
+
+
+def blank_words(column: pa.Array) -> Iterator[tuple[int, list[str], np.ndarray, np.ndarray]]:
+    """(rows, distinct words, code of each word, first word of each row + total): texts split at blanks, tabs
+    and line ends; empty words are among them. Steps of about STEP_BYTES."""
+    for at, end, raw, offs in text_slices(column):
+        blank = np.array([b in b"\n\r\t" for b in range(256)])
+        buf = np.where(blank[raw], np.uint8(0x20), raw)
+        texts = pa.StringArray.from_buffers(end - at, pa.py_buffer(offs.astype(np.int32)), pa.py_buffer(buf))
+        words = pc.split_pattern(texts, " ")
+        coded = words.values.dictionary_encode()
+        yield end - at, coded.dictionary.to_pylist(), coded.indices.to_numpy(), words.offsets.to_numpy().astype(np.int64)
+
+
+def summed_counts(df: DataFrame, size: int, count: Callable[[Iterator[pa.RecordBatch]], np.ndarray], chunk: int = 256) -> np.ndarray:
+    """The sum over all partitions of a vector of fixed size that count() makes of each; vectors are added on
+    the executors, chunk by chunk, and only their sum reaches the driver."""
+    schema = "chunk int, counts binary"
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = count(batches)
+        where = [k for k in range(0, size, chunk) if total[k : k + chunk].any()]
+        yield pa.RecordBatch.from_arrays([pa.array(where, pa.int32()), pa.array([total[k : k + chunk].astype(np.int64).tobytes() for k in where], pa.binary())], names=["chunk", "counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                sums[k] = sums.get(k, 0) + np.frombuffer(counts, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([s.tobytes() for s in sums.values()], pa.binary())], names=["chunk", "counts"])
+
+    out = np.zeros(size, np.int64)
+    for k, counts in df.mapInArrow(part, schema).repartition("chunk").mapInArrow(add, schema).collect():
+        out[k : k + chunk] += np.frombuffer(counts, np.int64)
+    return out

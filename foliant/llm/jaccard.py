@@ -32,7 +32,7 @@ from foliant.session import cut
 #: Counters of the frequency sketch: 8 bytes each, whatever the size of the corpus.
 SKETCH = 1 << 20
 _CHUNK = 1 << 12
-_BUCKETS = 32
+_BUCKETS = 64
 #: Ids up to which a table of ids is broadcast (8 MB); beyond, the semi join is shuffled.
 BROADCAST_IDS = 500_000
 
@@ -60,9 +60,13 @@ def shingle_sets(column: pa.Array, size: int) -> Iterator[tuple[int, np.ndarray,
                 rows.append(short)
                 values.append(whole)
         row, value = np.concatenate(rows), np.concatenate(values)
-        order = np.lexsort((value, row))
-        row, value = row[order], value[order]
+        if len(rows) > 1:
+            order = np.argsort(row, kind="stable")
+            row, value = row[order], value[order]
         if len(row):
+            cuts = np.searchsorted(row, np.arange(end - at + 1)).tolist()
+            for s, e in zip(cuts, cuts[1:], strict=False):
+                value[s:e].sort()
             new = np.ones(len(row), bool)
             new[1:] = (row[1:] != row[:-1]) | (value[1:] != value[:-1])
             row, value = row[new], value[new]
@@ -118,10 +122,10 @@ def _summaries(column: pa.Array, size: int, counts: np.ndarray, share: tuple[int
             ones, twos = (np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(value ^ np.uint64(k)))]) for k in (0x5851F42D4C957F2D, 0x14057B7EF767814F))
             sig1, sig2 = ones[first + n] - ones[first], twos[first + n] - twos[first]
         spread = np.bincount(row * _BUCKETS + ((value >> np.uint64(8)) % np.uint64(_BUCKETS)).astype(np.int64), minlength=rows * _BUCKETS)
-        order = np.lexsort((value, counts[(value >> np.uint64(44)).astype(np.int64)] // usual, row))
         length = np.where(n > 0, n - (-(-n * share[0] // share[1])) + 1, 0)
-        kept = np.arange(len(row)) - first[row] < length[row]
-        prefix = value[order][kept]
+        rank = (np.minimum(counts[(value >> np.uint64(44)).astype(np.int64)] // usual, 255).astype(np.uint64) << np.uint64(56)) | (value >> np.uint64(8))
+        chosen = [s + np.argsort(rank[s : s + k], kind="stable")[:p] for s, k, p in zip(first.tolist(), n.tolist(), length.tolist(), strict=True) if k]
+        prefix = value[np.concatenate(chosen)] if chosen else value
         parts.append(
             pa.StructArray.from_arrays(
                 [
@@ -173,6 +177,17 @@ def _can_link(n_a: str, n_b: str, share: tuple[int, int]) -> str:
     return f"{share[1]} * least({n_a}, {n_b}) >= {share[0]} * greatest({n_a}, {n_b})"
 
 
+def _spread_filter(pairs: DataFrame, sets: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """The pairs that can still link by what their sets may have in common in each hash bucket, as a suffix
+    filter with fixed pivots: the common part is at most the sum of the smaller counts."""
+    shape = lambda k: sets.select(F.col("rep").alias(k), F.col("n").alias(f"n_{k}"), F.col("spread").alias(f"spread_{k}"))
+    most = F.aggregate(F.zip_with("spread_a", "spread_b", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
+    return (
+        pairs.join(shape("a"), "a").join(shape("b"), "b")
+        .where(F.lit(share[1] + share[0]) * most >= F.lit(share[0]) * (F.col("n_a") + F.col("n_b"))).select("a", "b")
+    )
+
+
 def cluster(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 3, share: tuple[int, int] = (90, 100)) -> DataFrame:
     """(id, n_shingles, component_id), a row for each row of docs. Two documents link when
     share[1] * |A and B| >= share[0] * |A or B| over their shingle sets."""
@@ -189,25 +204,28 @@ def cluster(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: i
     # length classes: sizes of one class are near enough to link
     ratio = share[1] / share[0]
     grade = F.floor(F.log("n") / F.log(F.lit(ratio))) if ratio > 1 else F.col("n")
-    posting = sets.select("rep", "n", grade.alias("grade"), F.posexplode("prefix").alias("pos", "token"))
+    every = sets.select("rep", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("pos", "token"))
+    shared = every.groupBy("token").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").select("token")
+    posting = cut(every.join(shared, "token"))
 
     # star round
-    lists = posting.groupBy("token", "grade").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).where("hub < last")
+    posting_grade = posting.withColumn("grade", grade)
+    lists = posting_grade.groupBy("token", "grade").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).where("hub < last")
     stars = (
-        posting.select("token", "grade", "rep").join(lists.select("token", "grade", "hub"), ["token", "grade"]).where("rep <> hub")
+        posting_grade.select("token", "grade", "rep").join(lists.select("token", "grade", "hub"), ["token", "grade"]).where("rep <> hub")
         .groupBy("rep", "hub").count()
         .groupBy("rep").agg(F.max(F.struct("count", F.negative("hub").alias("hub"))).alias("best"))
         .select(F.negative("best.hub").alias("a"), F.col("rep").alias("b"))
     )
-    stars = cut(stars)
+    stars = cut(_spread_filter(stars, sets, share))
     found = cut(_verified(stars, own, size, share))
     labels = connected(found)
 
     # exact round, in lists of several components
-    marked = cut(sets.select("rep").join(labels, sets["rep"] == labels["node"], "left").select("rep", F.coalesce("component", "rep").alias("component")))
-    labelled = posting.join(marked, "rep")
+    marked = sets.select("rep").join(labels, sets["rep"] == labels["node"], "left").select("rep", F.coalesce("component", "rep").alias("component"))
+    labelled = cut(posting.join(marked, "rep"))
     mixed = labelled.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("token")
-    active = cut(labelled.join(mixed, "token").select("token", "rep", "n", "pos", "component"))
+    active = labelled.join(mixed, "token").select("token", "rep", "n", "pos", "component")
     left, right = (active.select("token", *[F.col(c).alias(f"{c}_{k}") for c in ("rep", "n", "pos", "component")]) for k in ("a", "b"))
     bound = f"{share[1] + share[0]} * (least(n_a - pos_a, n_b - pos_b) + least(pos_a, pos_b)) >= {share[0]} * (n_a + n_b)"
     pairs = (
@@ -215,13 +233,7 @@ def cluster(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: i
         .select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct()
     )
     tested = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    shape = lambda k: sets.select(F.col("rep").alias(k), F.col("n").alias(f"n_{k}"), F.col("spread").alias(f"spread_{k}"))
-    most = F.aggregate(F.zip_with("spread_a", "spread_b", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
-    pairs = (
-        cut(pairs.join(tested, ["a", "b"], "left_anti")).join(shape("a"), "a").join(shape("b"), "b")
-        .where(F.lit(share[1] + share[0]) * most >= F.lit(share[0]) * (F.col("n_a") + F.col("n_b"))).select("a", "b")
-    )
-    pairs = cut(pairs)
+    pairs = cut(_spread_filter(pairs.join(tested, ["a", "b"], "left_anti"), sets, share))
     if not pairs.isEmpty():
         labels = connected(found.unionByName(_verified(pairs, own, size, share)))
 
