@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliant.llm import decontaminate, jaccard, pack, secrets, toxicity
+from foliant.llm import decontaminate, jaccard, pack, pagetext, secrets, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,11 +33,16 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pagetext.digest(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_decontaminate": op2_decontaminate,
         "op4_secrets": op4_secrets,
         "op5_toxicity": op5_toxicity,
+        "op6_page_text": op6_page_text,
         "op8_jaccard_join": op8_jaccard_join,
         "op10_pack": op10_pack,
     }
