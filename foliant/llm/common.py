@@ -39,7 +39,7 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-def text_slices(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def text_slices(column: pa.Array, step: int = STEP_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets of rows + 1) of a string column, in steps of about STEP_BYTES;
     null is an empty text. A longer text is a step of its own."""
     if isinstance(column, pa.ChunkedArray):
@@ -54,7 +54,7 @@ def text_slices(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.nda
     raw = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
     at = 0
     while at < n:
-        end = max(at + 1, int(np.searchsorted(offs, offs[at] + STEP_BYTES, "right")) - 1)
+        end = max(at + 1, int(np.searchsorted(offs, offs[at] + step, "right")) - 1)
         yield at, end, raw[offs[at] : offs[end]], offs[at : end + 1] - offs[at]
         at = end
 
@@ -118,12 +118,19 @@ def append_column(df: DataFrame, text: str, name: str, kind: T.DataType, make: C
     return df.mapInArrow(run, schema)
 
 
-def blank_words(column: pa.Array) -> Iterator[tuple[int, list[str], np.ndarray, np.ndarray]]:
-    """(rows, distinct words, code of each word, first word of each row + total): texts split at blanks, tabs
-    and line ends; empty words are among them. Steps of about STEP_BYTES."""
-    for at, end, raw, offs in text_slices(column):
-        blank = np.array([b in b"\n\r\t" for b in range(256)])
-        buf = np.where(blank[raw], np.uint8(0x20), raw)
+_MARKS = np.array([b in b",.;:!?" for b in range(256)])
+_ASCII_LETTERS = np.array([0x41 <= b <= 0x5A or 0x61 <= b <= 0x7A for b in range(256)])
+_BLANKS = np.array([b in b"\n\r\t" for b in range(256)])
+
+
+def blank_words(column: pa.Array, step: int = STEP_BYTES) -> Iterator[tuple[int, list[str], np.ndarray, np.ndarray]]:
+    """(rows, distinct words, code of each word, first word of each row + total): texts split at blanks, tabs,
+    line ends and between an ASCII letter and a mark such as a comma; empty words are among them."""
+    for at, end, raw, offs in text_slices(column, step):
+        buf = np.where(_BLANKS[raw], np.uint8(0x20), raw)
+        cuts = np.flatnonzero(_MARKS[buf[1:]] & _ASCII_LETTERS[buf[:-1]]) + 1
+        buf = np.insert(buf, cuts, 0x20)
+        offs = offs + np.searchsorted(cuts, offs)
         texts = pa.StringArray.from_buffers(end - at, pa.py_buffer(offs.astype(np.int32)), pa.py_buffer(buf))
         words = pc.split_pattern(texts, " ")
         coded = words.values.dictionary_encode()

@@ -13,20 +13,22 @@ an empty table gives an empty result; other columns do not matter.
 from __future__ import annotations
 
 import functools
+import json
 import os
 import random
+import re
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foliant.llm.common import append_column, text_slices
+from foliant.llm.common import append_column, blank_words
 from foliant.session import cut
 
 CAPACITY = 4096
@@ -39,10 +41,10 @@ GENERATIONS = 10
 POPULATION = 4
 #: Bins filled less than this share are dealt again.
 POOR = 0.98
-#: Words whose ids a worker remembers.
-MOST_WORDS = 400_000
-
-_WORDS: dict[tuple[str, str], bytes] = {}
+#: Bytes of text tokenised at a time.
+STEP_BYTES = 6_000_000
+#: Words whose ids a worker remembers, twice over.
+MOST_WORDS = 250_000
 
 
 def default_tokenizer() -> str:
@@ -51,44 +53,73 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-@functools.lru_cache(maxsize=2)
-def _tokenizer(file: str):
+class Encoder:
+    """The ids of words. A tokenizer of this kind never joins text across a blank, nor a letter with a comma, so
+    every distinct word is tokenised once. Words of Latin letters need none of the tokenizer's normalisation
+    but lower case and go straight to its model."""
+
+    plain = re.compile(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+
+    def __init__(self, file: str) -> None:
+        from tokenizers import Tokenizer
+
+        self.whole = Tokenizer.from_file(file)
+        steps = json.loads(self.whole.to_str())
+        kinds = [x.get("type") for x in (steps.get("pre_tokenizer") or {}).get("pretokenizers", [])]
+        if kinds != ["Split", "ByteLevel"] or [x.get("type") for x in (steps.get("normalizer") or {}).get("normalizers", [])] != ["NFC", "Replace", "Lowercase"]:
+            raise ValueError("only lower-casing tokenizers that split at blanks and marks")
+        self.model = self.whole.model
+        own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+        rest = [b for b in range(256) if b not in own]
+        self.letters = {b: 0x100 + k for k, b in enumerate(rest)}  # how byte-level models spell bytes
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def ids(self, words: list[str]) -> list[bytes]:
+        if len(self.young) > MOST_WORDS:  # what was not asked for since is forgotten
+            self.old, self.young = self.young, {}
+        young, old, plain = self.young, self.old, self.plain.fullmatch
+        out, slow = [young.get(w) for w in words], []
+        for k, (w, ids) in enumerate(zip(words, out, strict=True)):
+            if ids is not None:
+                continue
+            ids = old.get(w)
+            if ids is None:
+                if not plain(w):
+                    slow.append(k)
+                    continue
+                low = w.lower()
+                ids = young.get(low) or old.get(low)
+                if ids is None:
+                    spelt = low if low.isascii() else low.encode().decode("latin-1").translate(self.letters)
+                    ids = array("I", [x.id for x in self.model.tokenize(spelt)]).tobytes()
+                    young[low] = ids
+            out[k] = young[w] = ids
+        for at in range(0, len(slow), 10_000):
+            some = slow[at : at + 10_000]
+            for k, e in zip(some, self.whole.encode_batch_fast([words[k] for k in some], add_special_tokens=False), strict=True):
+                out[k] = young[words[k]] = array("I", e.ids).tobytes()
+        return out
+
+
+@functools.lru_cache(maxsize=1)
+def _encoder(file: str) -> Encoder:
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    from tokenizers import Tokenizer
-
-    return Tokenizer.from_file(file)
-
-
-def _ids_of_words(words: list[str], file: str) -> list[bytes]:
-    """The ids of each word, from the worker's memory where it is known."""
-    if len(_WORDS) > MOST_WORDS:
-        _WORDS.clear()
-    new = [w for w in words if (file, w) not in _WORDS]
-    for at in range(0, len(new), 10_000):
-        part = new[at : at + 10_000]
-        for w, e in zip(part, _tokenizer(file).encode_batch(part, add_special_tokens=False), strict=True):
-            _WORDS[file, w] = np.array(e.ids, "<u4").tobytes()
-    return [_WORDS[file, w] for w in words]
+    return Encoder(file)
 
 
 def encode(column: pa.Array, file: str) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(rows, ids, first id of each row + total). A tokenizer of this kind never joins text across a blank,
-    so every distinct word is tokenised once."""
-    for at, end, raw, offs in text_slices(column):
-        blank = np.array([b in b"\n\r\t" for b in range(256)])
-        buf = np.where(blank[raw], np.uint8(0x20), raw)
-        texts = pa.StringArray.from_buffers(end - at, pa.py_buffer(offs.astype(np.int32)), pa.py_buffer(buf))
-        words = pc.split_pattern(texts, " ")
-        coded = words.values.dictionary_encode()
-        known = _ids_of_words(coded.dictionary.to_pylist(), file)
-        size = np.array([len(b) // 4 for b in known], np.int64)
+    """(rows, ids, first id of each row + total)."""
+    encoder = _encoder(file)
+    for rows, words, codes, firsts in blank_words(column, STEP_BYTES):
+        known = encoder.ids(words)
+        size = np.fromiter(map(len, known), np.int64, len(known)) // 4
         first = np.cumsum(size) - size
         flat = np.frombuffer(b"".join(known), "<u4")
-        codes = coded.indices.to_numpy()
         sizes = size[codes]
         done = np.concatenate([[0], np.cumsum(sizes)])
         ids = flat[np.repeat(first[codes] - done[:-1], sizes) + np.arange(done[-1])] if done[-1] else np.zeros(0, "<u4")
-        yield end - at, ids, done[words.offsets.to_numpy()]
+        yield rows, ids, done[firsts]
 
 
 _PIECES = T.ArrayType(
