@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliant.llm import decontaminate, jaccard, pack, pagetext, secrets, toxicity
+from foliant.llm import decontaminate, jaccard, pack, pagetext, secrets, substrings, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,12 +37,17 @@ def op6_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pagetext.digest(table(spark, sf_dir, "pages"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digest(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_decontaminate": op2_decontaminate,
         "op4_secrets": op4_secrets,
         "op5_toxicity": op5_toxicity,
         "op6_page_text": op6_page_text,
+        "op7_substring_dedup": op7_substring_dedup,
         "op8_jaccard_join": op8_jaccard_join,
         "op10_pack": op10_pack,
     }
@@ -52,5 +57,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op2_decontaminate": decontaminate.SQL,
         "op4_secrets": secrets.SQL,
+        "op7_substring_dedup": substrings.SQL,
         "op8_jaccard_join": jaccard.SQL,
     }
