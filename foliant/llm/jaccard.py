@@ -3,8 +3,9 @@
 1. Equal sets collapse by a 128-bit signature into their smallest document.
 2. Shingle frequencies over all documents, in a sketch of fixed size, order shingles rare first. Two sets
    that link share a shingle among the first n - ceil(t * n) + 1 of each (prefix filter).
-3. Star round: within a posting list and length class each document meets the first one only, and only
-   its most frequent such partner is verified. Large groups of near copies join up in linear work.
+3. Star round: within a posting list and length class each document meets one hub only, the document with the
+   fewest rarer shingles before this one, and only its most frequent hub is verified. Large groups of near
+   copies join up in linear work.
 4. Exact round: in posting lists that still hold several components, every pair of documents of different
    components that passes the length, positional and suffix filters is verified, each pair once. Pairs inside
    a component need no check: they cannot change it.
@@ -210,9 +211,9 @@ def cluster(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: i
 
     # star round
     posting_grade = posting.withColumn("grade", grade)
-    lists = posting_grade.groupBy("token", "grade").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).where("hub < last")
+    lists = posting_grade.groupBy("token", "grade").agg(F.min(F.struct("pos", "rep")).alias("hub"), F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high")
     stars = (
-        posting_grade.select("token", "grade", "rep").join(lists.select("token", "grade", "hub"), ["token", "grade"]).where("rep <> hub")
+        posting_grade.select("token", "grade", "rep").join(lists.select("token", "grade", F.col("hub.rep").alias("hub")), ["token", "grade"]).where("rep <> hub")
         .groupBy("rep", "hub").count()
         .groupBy("rep").agg(F.max(F.struct("count", F.negative("hub").alias("hub"))).alias("best"))
         .select(F.negative("best.hub").alias("a"), F.col("rep").alias("b"))
@@ -227,7 +228,8 @@ def cluster(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: i
     mixed = labelled.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("token")
     active = labelled.join(mixed, "token").select("token", "rep", "n", "pos", "component")
     left, right = (active.select("token", *[F.col(c).alias(f"{c}_{k}") for c in ("rep", "n", "pos", "component")]) for k in ("a", "b"))
-    bound = f"{share[1] + share[0]} * (least(n_a - pos_a, n_b - pos_b) + least(pos_a, pos_b)) >= {share[0]} * (n_a + n_b)"
+    # at the first shingle that two sets share, what is left of either must hold all that they need to share
+    bound = f"{share[1] + share[0]} * least(n_a - pos_a, n_b - pos_b) >= {share[0]} * (n_a + n_b)"
     pairs = (
         left.join(right, "token").where("rep_a < rep_b and component_a <> component_b").where(_can_link("n_a", "n_b", share)).where(bound)
         .select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct()
