@@ -41,9 +41,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 def cut(df: DataFrame) -> DataFrame:
     """Materialise df in the shared checkpoint folder: later steps reread files and survive lost executors."""
-    checkpoint_dir(df.sparkSession)
+    spark = df.sparkSession
+    checkpoint_dir(spark)
     kept = df.checkpoint(eager=True)
     # shuffle files of the lineage that has just been cut go when the driver collects its garbage
+    del df
     gc.collect()
-    df.sparkSession._jvm.System.gc()
+    spark._jvm.System.gc()
     return kept
