@@ -48,39 +48,37 @@ class SuffixAutomaton:
         self.link, self.length, self.low = [-1], [0], [None]
 
     def add(self, words: list[str], doc) -> None:
+        """Extends by a sequence; sequences come with their documents in ascending order, so a state's first
+        document is its smallest."""
+        nexts, link, length, low = self.next, self.link, self.length, self.low
         last = 0
         for w in words:
-            last = self._extend(last, w)
-            at = last
-            while at > 0 and (self.low[at] is None or self.low[at] > doc):
-                self.low[at] = doc
-                at = self.link[at]
-
-    def _state(self, length: int, link: int, step: dict[str, int], low) -> int:
-        self.next.append(step)
-        self.length.append(length)
-        self.link.append(link)
-        self.low.append(low)
-        return len(self.link) - 1
-
-    def _extend(self, last: int, w: str) -> int:
-        known = self.next[last].get(w)
-        if known is not None:
-            if self.length[known] == self.length[last] + 1:
-                return known
-            return self._split(last, known, w)
-        new = self._state(self.length[last] + 1, 0, {}, None)
-        at = last
-        while at >= 0 and w not in self.next[at]:
-            self.next[at][w] = new
-            at = self.link[at]
-        if at >= 0:
-            there = self.next[at][w]
-            self.link[new] = there if self.length[there] == self.length[at] + 1 else self._split(at, there, w)
-        return new
+            known = nexts[last].get(w)
+            if known is None:
+                new = len(link)
+                nexts.append({})
+                length.append(length[last] + 1)
+                link.append(0)
+                low.append(doc)
+                at = last
+                while at >= 0 and w not in nexts[at]:
+                    nexts[at][w] = new
+                    at = link[at]
+                if at >= 0:
+                    there = nexts[at][w]
+                    link[new] = there if length[there] == length[at] + 1 else self._split(at, there, w)
+                last = new
+            elif length[known] == length[last] + 1:
+                last = known
+            else:
+                last = self._split(last, known, w)
 
     def _split(self, at: int, there: int, w: str) -> int:
-        clone = self._state(self.length[at] + 1, self.link[there], dict(self.next[there]), self.low[there])
+        clone = len(self.link)
+        self.next.append(self.next[there].copy())
+        self.length.append(self.length[at] + 1)
+        self.link.append(self.link[there])
+        self.low.append(self.low[there])
         self.link[there] = clone
         while at >= 0 and self.next[at].get(w) == there:
             self.next[at][w] = clone
@@ -90,20 +88,21 @@ class SuffixAutomaton:
     def lows(self, words: list[str], size: int) -> list:
         """The smallest document of each run of size words, by matching statistics: the longest run that ends
         at each word and is known, and the state that it leads to."""
+        nexts, link, length, low = self.next, self.link, self.length, self.low
         out, state, n = [], 0, 0
         for k, w in enumerate(words):
-            while state and w not in self.next[state]:
-                state = self.link[state]
-                n = self.length[state]
-            if w in self.next[state]:
-                state, n = self.next[state][w], n + 1
-            at = state
-            while at > 0 and self.length[self.link[at]] >= size:
-                at = self.link[at]
-            if at != state:
-                state, n = at, min(n, self.length[at])
+            to = nexts[state].get(w)
+            while to is None and state:
+                state = link[state]
+                n = length[state]
+                to = nexts[state].get(w)
+            if to is not None:
+                state, n = to, n + 1
+            while state and length[link[state]] >= size:
+                state = link[state]
+                n = length[state]
             if k >= size - 1:
-                out.append(self.low[at] if n >= size else None)
+                out.append(low[state] if n >= size else None)
         return out
 
 
@@ -120,6 +119,18 @@ def _marks(column: pa.Array) -> np.ndarray:
     return np.array(out, np.int64)
 
 
+def _joined(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[bytes, list[int]]:
+    """All words of a step joined by one space, and where each starts, and the end + 1."""
+    lengths = ends - starts + 1
+    begin = np.cumsum(lengths) - lengths
+    flat = np.full(int(lengths.sum()), 0x20, np.uint8)
+    if len(starts):
+        word = np.ones(len(flat), bool)
+        word[begin + lengths - 1] = False
+        flat[word] = buf[(np.repeat(starts - begin, lengths) + np.arange(len(flat)))[word]]
+    return flat.tobytes(), np.append(begin, len(flat)).tolist()
+
+
 def _segments(batch: pa.RecordBatch, size: int, anchor: int) -> Iterator[pa.RecordBatch]:
     ids, marks = batch.column(0), _marks(batch.column(1))
     reach = size - anchor + 1
@@ -166,27 +177,25 @@ def _segment_rows(docs: DataFrame, size: int, anchor: int) -> DataFrame:
 
 def _words_of(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     """(anchor, content, low, words) of the wanted segments (doc_id, parts: at, count, anchor, content, low)."""
-    joined = docs.join(wanted, "doc_id").select("doc_id", "text", "parts")
+    with_parts = docs.join(wanted, "doc_id").select("doc_id", "text", "parts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             marks, parts = _marks(batch.column(1)), batch.column(2).to_pylist()
             out = []
             for at, rows, buf, starts, ends, firsts in _steps(batch.column(1)):
-                raw = buf.tobytes()
+                joined, edges = _joined(buf, starts, ends)
                 for r in range(rows):
                     for p in parts[at + r]:
                         if p["at"] >> 40 != marks[at + r]:
                             continue
                         a = int(firsts[r]) + (p["at"] & (1 << 40) - 1)
-                        words = [raw[starts[k] : ends[k]].decode() for k in range(a, a + p["count"] + size - 1)]
-                        out.append((p["anchor"], p["content"], p["low"], words))
+                        out.append((p["anchor"], p["content"], p["low"], joined[edges[a] : edges[a + p["count"] + size - 1] - 1]))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out]) if k < 2 else pa.array([x[k] for x in out], kinds[k]) for k in range(4)], names=["anchor", "content", "low", "words"])
+                columns = list(zip(*out, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2]), pa.array(columns[3], pa.binary()).cast(pa.string())], names=["anchor", "content", "low", "words"])
 
-    kind = docs.schema["doc_id"].dataType
-    kinds = [None, None, pa.int64() if isinstance(kind, T.LongType) else None, pa.list_(pa.string())]
-    return joined.mapInArrow(run, f"anchor long, content long, low {kind.simpleString()}, words array<string>")
+    return with_parts.mapInArrow(run, f"anchor long, content long, low {docs.schema['doc_id'].dataType.simpleString()}, words string")
 
 
 def _by_automata(segments: DataFrame, size: int) -> DataFrame:
@@ -195,10 +204,11 @@ def _by_automata(segments: DataFrame, size: int) -> DataFrame:
 
     def solve(rows: list[dict]) -> Iterator[dict]:
         automaton = SuffixAutomaton()
-        for x in rows:
-            automaton.add(x["words"], x["low"])
-        for x in rows:
-            yield {"anchor": x["anchor"], "content": x["content"], "lows": automaton.lows(x["words"], size)}
+        words = [x["words"].split(" ") for x in rows]
+        for x, own in zip(rows, words, strict=True):
+            automaton.add(own, x["low"])
+        for x, own in zip(rows, words, strict=True):
+            yield {"anchor": x["anchor"], "content": x["content"], "lows": automaton.lows(own, size)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict] = []
@@ -214,14 +224,17 @@ def _by_automata(segments: DataFrame, size: int) -> DataFrame:
         if held:
             yield pa.RecordBatch.from_pylist(list(solve(held)))
 
-    return segments.repartition("anchor").sortWithinPartitions("anchor", "low", "content").mapInArrow(run, f"anchor long, content long, lows array<{kind}>")
+    # dealt by a hash of its own: a join's partitioning by anchor below would satisfy repartition("anchor"), and
+    # adaptive execution may give that up again for a local shuffle read
+    dealt = segments.withColumn("shard", F.xxhash64("anchor")).repartition("shard").sortWithinPartitions("anchor", "low", "content").drop("shard")
+    return dealt.mapInArrow(run, f"anchor long, content long, lows array<{kind}>")
 
 
 def _by_windows(segments: DataFrame, size: int) -> DataFrame:
     """The same for anchors of more segments than a shard may hold: windows are grouped one by one."""
     windows = segments.select(
         "anchor", "content", "low",
-        F.posexplode(F.transform(F.sequence(F.lit(1), F.size("words") - size + 1), lambda i: F.array_join(F.slice("words", i, F.lit(size)), " "))).alias("pos", "window"),
+        F.posexplode(F.transform(F.sequence(F.lit(1), F.size(F.split("words", " ")) - size + 1), lambda i: F.array_join(F.slice(F.split("words", " "), i, F.lit(size)), " "))).alias("pos", "window"),
     )
     least = windows.groupBy("anchor", "window").agg(F.min("low").alias("least"))
     return (
@@ -274,17 +287,7 @@ def _kept(text: pa.Array, spans: pa.Array, with_text: bool) -> pa.Array:
     marks, spans = _marks(text), spans.to_pylist()
     n_words, n_removed, kept_texts, digests = [], [], [], []
     for at, rows, buf, starts, ends, firsts in _steps(text):
-        # all words of the step joined by one space
-        lengths = ends - starts + 1
-        begin = np.cumsum(lengths) - lengths
-        flat = np.full(int(lengths.sum()), 0x20, np.uint8)
-        if len(starts):
-            within = np.repeat(starts - begin, lengths) + np.arange(len(flat))
-            blank = np.zeros(len(flat), bool)
-            blank[begin + lengths - 1] = True
-            flat[~blank] = buf[within[~blank]]
-        joined = flat.tobytes()
-        edges = np.append(begin, len(flat)).tolist()
+        joined, edges = _joined(buf, starts, ends)
         for r in range(rows):
             a, b = int(firsts[r]), int(firsts[r + 1])
             keep: list[tuple[int, int]] = []
