@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliant.llm import decontaminate, jaccard, pack, pagetext, secrets, substrings, toxicity, vectors
+from foliant.llm import decontaminate, jaccard, language, pack, pagetext, secrets, sharding, substrings, toxicity, vectors
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,9 +45,19 @@ def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.digest(table(spark, sf_dir, "embeddings"))
 
 
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages"))
+
+
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.digest(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_language": op1_language,
         "op2_decontaminate": op2_decontaminate,
+        "op3_sharding": op3_sharding,
         "op4_secrets": op4_secrets,
         "op5_toxicity": op5_toxicity,
         "op6_page_text": op6_page_text,
@@ -61,6 +71,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_decontaminate": decontaminate.SQL,
+        "op3_sharding": sharding.SQL,
         "op4_secrets": secrets.SQL,
         "op7_substring_dedup": substrings.SQL,
         "op8_jaccard_join": jaccard.SQL,
