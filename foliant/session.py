@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -49,3 +50,16 @@ def cut(df: DataFrame) -> DataFrame:
     gc.collect()
     spark._jvm.System.gc()
     return kept
+
+
+def cut_table(df: DataFrame) -> DataFrame:
+    """Like cut(), as a compressed Parquet table in the same folder: for many rows of a few random numbers, a
+    third of a checkpoint's size. The table stays until the folder is emptied."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
+    schema = df.schema
+    df.write.option("compression", "zstd").parquet(path)
+    del df
+    gc.collect()
+    spark._jvm.System.gc()
+    return spark.read.schema(schema).parquet(path)
