@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from foliant.llm.common import append_column, free_name, lower_ascii_table, mix, text_slices, window_hashes, word_bounds, word_hashes
-from foliant.session import cut
+from foliant.session import cut_table
 
 WINDOW = 13
 ANCHOR = 4
@@ -248,8 +248,8 @@ def covered(docs: DataFrame, size: int = WINDOW, anchor: int = ANCHOR, shard_seg
     text's mark in its upper bits. docs has doc_id and text."""
     segments = _segment_rows(docs, size, anchor)
     shared = segments.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("anchor")
-    shared = cut(segments.join(shared, "anchor"))
-    different = cut(
+    shared = cut_table(segments.join(shared, "anchor"))
+    different = cut_table(
         shared.groupBy("anchor", "content").agg(F.min(F.struct("doc_id", "at", "count")).alias("first"))
         .select("anchor", "content", "first.*").withColumnRenamed("doc_id", "low")
     )
@@ -262,20 +262,20 @@ def covered(docs: DataFrame, size: int = WINDOW, anchor: int = ANCHOR, shard_seg
     if large.isEmpty():
         lows = _by_automata(words, size)
     else:
-        words = cut(words.dropDuplicates(["anchor", "content"]))
+        words = cut_table(words.dropDuplicates(["anchor", "content"]))
         lows = _by_automata(words.join(large, "anchor", "left_anti"), size).unionByName(_by_windows(words.join(large, "anchor"), size))
     none = F.lit(None)
     answers = sized.where("many = 1").select("anchor", "content", "low", none.cast(lows.schema["lows"].dataType).alias("lows")).unionByName(
         lows.select("anchor", "content", none.cast(docs.schema["doc_id"].dataType).alias("low"), "lows")
     )
-    found = shared.join(cut(answers), ["anchor", "content"])
+    found = shared.join(cut_table(answers), ["anchor", "content"])
     whole = F.when(F.col("low") < F.col("doc_id"), F.array(F.struct(F.col("at"), (F.col("at") + F.col("count") + size - 1).alias("end"))))
     single = F.transform(
         F.filter(F.transform("lows", lambda x, i: F.struct((x < F.col("doc_id")).alias("ok"), i.alias("i"))), lambda x: x["ok"]),
         lambda x: F.struct((F.col("at") + x["i"]).alias("at"), (F.col("at") + x["i"] + size).alias("end")),
     )
     spans = found.select("doc_id", F.coalesce(whole, single).alias("spans")).where(F.size("spans") > 0)
-    return spans.groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"))
+    return spans.groupBy("doc_id").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
 _RESULT = T.StructType(
@@ -292,7 +292,7 @@ def _kept(text: pa.Array, spans: pa.Array, with_text: bool) -> pa.Array:
             a, b = int(firsts[r]), int(firsts[r + 1])
             keep: list[tuple[int, int]] = []
             gone, done = 0, a
-            for s in spans[at + r] or ():
+            for s in sorted(spans[at + r] or (), key=lambda s: s["at"]):
                 if s["at"] >> 40 != marks[at + r]:
                     continue
                 x, y = a + (s["at"] & (1 << 40) - 1), a + (s["end"] & (1 << 40) - 1)
@@ -314,7 +314,7 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", with_text
     """docs with one more struct column (n_words, n_removed, kept: the words that stay joined by one space,
     kept_sha256), and that column's name."""
     columns = docs.columns
-    spans = cut(covered(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), size, anchor, shard_segments))
+    spans = cut_table(covered(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), size, anchor, shard_segments))
     found = free_name(docs, "spans")
     joined = docs.join(spans.select(F.col("doc_id").alias(doc_id), F.col("spans").alias(found)), doc_id, "left").select(*[F.col(f"`{c}`") for c in columns], F.col(found))
     at = joined.columns.index(text)
