@@ -254,8 +254,9 @@ def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size
     """docs with the smallest document of each group of near copies, and every document that has none.
     Rows without an id stay."""
     groups = cluster(docs, doc_id, text, size, share)
-    gone = groups.where("id <> component_id").select(F.col("id").alias(doc_id)).distinct()
-    return docs.join(gone, doc_id, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    gone = cut(groups.where("id <> component_id").select(F.col("id").alias(doc_id)).distinct())
+    few = gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(gone) if few else gone, doc_id, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 SQL = r"""
