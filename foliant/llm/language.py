@@ -13,18 +13,18 @@ texts the language is null; repeated rows count each; an empty table gives an em
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from foliant.llm.common import append_column, text_slices
-from foliant.llm.pagetext import extract
-from foliant.session import cut
+from foliant.llm.pagetext import main_texts
 
 #: Labelled texts of each language that the text model is fitted on, those with the smallest hash.
 FIT_TEXTS = 500
@@ -32,6 +32,8 @@ FIT_TEXTS = 500
 FULL_TRIGRAMS = 60
 #: Rows that a broader level is worth in the prior of a narrower one.
 KAPPA = 5.0
+#: Bytes of text scored at a time: each has a row of the trigram table in memory meanwhile.
+STEP_BYTES = 400_000
 _BITS = 16
 _NONE = (1 << _BITS) - 1
 
@@ -40,7 +42,7 @@ _LOWER = np.array([b + 32 if 0x41 <= b <= 0x5A else b for b in range(256)], np.u
 
 def _trigrams(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(rows, trigram codes, offsets of rows + 1); the last two bytes of a text have no code."""
-    for at, end, raw, offs in text_slices(column):
+    for at, end, raw, offs in text_slices(column, STEP_BYTES):
         b = np.concatenate([_LOWER[raw], np.zeros(2, np.uint32)])
         codes = (((b[:-2] * np.uint32(0x10001) + b[1:-1]) * np.uint32(0x10201) + b[2:]) * np.uint32(0x9E3779B1)) >> np.uint32(32 - _BITS)
         codes = np.minimum(codes, _NONE - 1).astype(np.uint16)
@@ -82,7 +84,7 @@ def _likelihoods(column: pa.Array, logs: np.ndarray) -> pa.Array:
         sums = np.zeros((rows, logs.shape[1]))
         some = np.flatnonzero(n > 0)
         if len(some):
-            sums[some] = np.add.reduceat(logs[codes], offs[some], axis=0, dtype=np.float64)
+            sums[some] = np.add.reduceat(logs[codes], offs[some], axis=0)
         worth = np.maximum(n - 2, 0)
         sums *= np.where(worth > 0, np.minimum(worth, FULL_TRIGRAMS) / np.maximum(worth, 1), 0)[:, None]
         out.append(sums)
@@ -102,15 +104,15 @@ def _softmax(logs: Column) -> Column:
     return F.transform(raised, lambda x: x / total)
 
 
-def identify(rows: DataFrame, languages: list[str], logs: np.ndarray) -> DataFrame:
+def identify(rows: DataFrame, languages: list[str], logs: np.ndarray, read: Callable[[pa.Array], pa.Array] = lambda c: c) -> DataFrame:
     """rows(id columns, text, declared, host) with lang, probability, text_lang and evidence columns in place of
-    text. Priors and worths are aggregated over all of rows."""
+    text. Priors and worths are aggregated over all of rows. read() makes text of the text column, as of markup."""
     n = len(languages)
     ids = [c for c in rows.columns if c not in ("text", "declared", "host")]
     shared = rows.sparkSession.sparkContext.broadcast(logs)
     known = F.array(*[F.lit(x) for x in languages])
     primary = F.regexp_extract(F.lower(F.coalesce("declared", F.lit(""))), r"^([a-z]{2,3})(?:[-_]|$)", 1)
-    scored = append_column(rows, "text", "logs", T.ArrayType(T.DoubleType()), lambda c: _likelihoods(c, shared.value)).select(
+    scored = append_column(rows, "text", "logs", T.ArrayType(T.DoubleType()), lambda c: _likelihoods(read(c), shared.value)).select(
         *ids,
         F.when(F.array_contains(known, primary), primary).when(primary != "", "other").otherwise("none").alias("declared"),
         F.coalesce("host", F.lit("")).alias("host"),
@@ -118,10 +120,10 @@ def identify(rows: DataFrame, languages: list[str], logs: np.ndarray) -> DataFra
         F.coalesce(F.regexp_extract("host", r"([^.]+)$", 1), F.lit("")).alias("suffix"),
         _softmax(F.col("logs")).alias("own"), "logs",
     )
-    scored = cut(scored)
+    scored = scored.persist(StorageLevel.MEMORY_AND_DISK)  # a few numbers a row, made again if they are lost
     sums = [F.sum(F.col("own")[k]).alias(f"s{k}") for k in range(n)]
     # a host's rows are summed first: levels above it add up hosts, not rows
-    by_host = cut(scored.groupBy("host", "domain", "suffix", "declared").agg(F.count("*").alias("n"), *sums))
+    by_host = scored.groupBy("host", "domain", "suffix", "declared").agg(F.count("*").alias("n"), *sums)
     add = [F.sum(c).alias(c) for c in ("n", *(f"s{k}" for k in range(n)))]
     level = lambda name, *keys: by_host.groupBy(*keys).agg(*add).select(*keys, F.col("n").alias(f"n_{name}"), F.array(*[F.col(f"s{k}") for k in range(n)]).alias(f"c_{name}"))
     every = by_host.agg(*add).first()
@@ -171,13 +173,11 @@ def identify(rows: DataFrame, languages: list[str], logs: np.ndarray) -> DataFra
 def digest(documents: DataFrame, pages: DataFrame) -> DataFrame:
     """A row for each page (page_id; markup, address and host) and each document (doc_id; its source as host)."""
     languages, logs = fit_texts(documents.select("lang", "text"))
-    texts = extract(pages.select("page_id", "url", "html"), "html", "main")
-    web = texts.select(
-        F.lit(None).cast("long").alias("doc_id"), "page_id", F.col("main").alias("text"),
+    web = pages.select(
+        F.lit(None).cast("long").alias("doc_id"), "page_id", F.col("html").alias("text"),
         F.regexp_extract("html", r"""(?is)^.{0,2000}?<html\b[^>]*?\blang\s*=\s*["']?([A-Za-z_-]+)""", 1).alias("declared"), host_of(F.col("url")).alias("host"),
     )
     own = documents.select("doc_id", F.lit(None).cast("long").alias("page_id"), "text", F.lit(None).cast("string").alias("declared"), F.col("source").alias("host"))
     if not languages:
         return web.unionByName(own).select("doc_id", "page_id", *[F.lit(None).cast(k).alias(c) for c, k in (("lang", "string"), ("probability", "double"), ("text_lang", "string"), ("declared_lang", "string"), ("suffix", "string"))])
-    columns = identify(web, languages, logs).unionByName(identify(own, languages, logs).withColumn("suffix", F.lit("")))
-    return columns
+    return identify(web, languages, logs, main_texts).unionByName(identify(own, languages, logs).withColumn("suffix", F.lit("")))

@@ -272,10 +272,11 @@ def main_text(page: str | None) -> str:
 def extract(pages: DataFrame, page: str = "html", name: str = "main_text") -> DataFrame:
     """pages with one more string column, the main text of each page."""
 
-    def make(column: pa.Array) -> pa.Array:
-        return pa.array([main_text(p) for p in _each(column)], pa.string())
+    return append_column(pages, page, name, T.StringType(), main_texts)
 
-    return append_column(pages, page, name, T.StringType(), make)
+
+def main_texts(column: pa.Array) -> pa.Array:
+    return pa.array([main_text(p) for p in _each(column)], pa.string())
 
 
 def _each(column: pa.Array) -> Iterator[str | None]:
