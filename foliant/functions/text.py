@@ -94,7 +94,7 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def ngrams(words: Column, n: int) -> Column:
-    """All runs of n words, each joined by blanks."""
+    """All runs of n words, each joined by blanks. words should be a column, not an expression: it is read in each run."""
     runs = F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.array_join(F.slice(words, i, F.lit(n)), " "))
     return F.when(F.size(words) >= n, runs).otherwise(F.array().cast("array<string>"))
 
@@ -139,6 +139,6 @@ def key_values(text: Column, separator: str = ":") -> Column:
 
 
 def acronyms(text: Column) -> Column:
-    """Words of 2 to 12 letters and digits with two capitals or more, in order of first use."""
-    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"\b([A-Za-z][A-Za-z0-9-]{1,11})\b"), F.lit(1))
-    return F.array_distinct(F.filter(found, lambda w: F.length(F.regexp_replace(w, "[^A-Z]", "")) >= 2))
+    """Words of 2 to 12 ASCII letters, digits and hyphens with two capitals or more, in order of first use."""
+    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"[\p{L}\p{N}-]+"), F.lit(0))
+    return F.array_distinct(F.filter(found, lambda w: w.rlike("^[A-Za-z][A-Za-z0-9-]{1,11}$") & (F.length(F.regexp_replace(w, "[^A-Z]", "")) >= 2)))
