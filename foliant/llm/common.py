@@ -11,7 +11,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 #: Bytes of text that one vectorised step works on; bounds the memory of a Python worker.
-STEP_BYTES = 2_000_000
+STEP_BYTES = 1_000_000
+
+# freed buffers go back to the system at once: an executor's Python workers live long, next to its heap
+pa.set_memory_pool(pa.system_memory_pool())
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 

@@ -248,7 +248,8 @@ def covered(docs: DataFrame, size: int = WINDOW, anchor: int = ANCHOR, shard_seg
     text's mark in its upper bits. docs has doc_id and text."""
     segments = _segment_rows(docs, size, anchor)
     shared = segments.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("anchor")
-    shared = cut_table(segments.join(shared, "anchor"))
+    # a table of its own, so that both sides of the join are dealt for it and a hot anchor can be split
+    shared = cut_table(segments.join(cut_table(shared), "anchor"))
     different = cut_table(
         shared.groupBy("anchor", "content").agg(F.min(F.struct("doc_id", "at", "count")).alias("first"))
         .select("anchor", "content", "first.*").withColumnRenamed("doc_id", "low")
