@@ -162,7 +162,7 @@ def nodes(spark: SparkSession, d: str) -> DataFrame:
     last = rows.groupBy("paper_id").agg(F.max("position").alias("top"))
     none = F.lit(None).cast("string")
     empty = F.array().cast("array<string>")
-    root = last.select("paper_id", F.lit("root").alias("node_id"), none.alias("parent_id"), F.lit("document").alias("node_type"), F.lit("").alias("title"), F.lit("").alias("text"), F.lit("").alias("breadcrumb"), empty.alias("chunk_ids"), F.lit(-1).alias("preorder"), (F.col("top") * 10 + 9).alias("last_preorder"))
+    root = last.select("paper_id", F.lit("root").alias("node_id"), none.alias("parent_id"), F.lit("document").alias("node_type"), F.lit("").alias("title"), F.lit("").alias("text"), F.lit("").alias("breadcrumb"), empty.alias("chunk_ids"), F.lit(-1).alias("preorder"), (F.floor(F.col("top") / 5) * 50 + 49).cast("int").alias("last_preorder"))
     part = rows.select("paper_id", F.floor(F.col("position") / 5).cast("int").alias("s")).distinct()
     section = part.select("paper_id", F.concat(F.lit("s"), "s").alias("node_id"), F.lit("root").alias("parent_id"), F.lit("section").alias("node_type"), F.concat(F.lit("Part "), "s").alias("title"), F.lit("").alias("text"), F.lit("").alias("breadcrumb"), empty.alias("chunk_ids"), (F.col("s") * 50).alias("preorder"), (F.col("s") * 50 + 49).alias("last_preorder"))
     leaf = rows.select("paper_id", F.col("chunk_id").alias("node_id"), F.concat(F.lit("s"), F.floor(F.col("position") / 5).cast("int")).alias("parent_id"), F.lit("paragraph").alias("node_type"), F.lit("").alias("title"), "text", F.lit("").alias("breadcrumb"), F.array("chunk_id").alias("chunk_ids"), (F.col("position") * 10 + 1).alias("preorder"), (F.col("position") * 10 + 1).alias("last_preorder"))
