@@ -63,3 +63,11 @@ def cut_table(df: DataFrame) -> DataFrame:
     gc.collect()
     spark._jvm.System.gc()
     return spark.read.schema(schema).parquet(path)
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches of whole texts: a tenth of Spark's default of 10,000 rows keeps the buffers of both sides
+    small. A session's own setting stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, "1000")
