@@ -10,6 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from foliant.session import bound_batches
+
 #: Bytes of text that one vectorised step works on; bounds the memory of a Python worker.
 STEP_BYTES = 1_000_000
 
@@ -111,6 +113,7 @@ def window_hashes(words: np.ndarray, size: int) -> np.ndarray:
 def append_column(df: DataFrame, text: str, name: str, kind: T.DataType, make: Callable[[pa.Array], pa.Array]) -> DataFrame:
     """df with one more column that make() computes from a string column, Arrow batch by Arrow batch.
     All other columns pass through unread."""
+    bound_batches(df.sparkSession)
     at = df.columns.index(text)
     schema = T.StructType([*df.schema.fields, T.StructField(name, kind)])
 
@@ -143,6 +146,7 @@ def blank_words(column: pa.Array, step: int = STEP_BYTES) -> Iterator[tuple[int,
 def summed_counts(df: DataFrame, size: int, count: Callable[[Iterator[pa.RecordBatch]], np.ndarray], chunk: int = 256) -> np.ndarray:
     """The sum over all partitions of a vector of fixed size that count() makes of each; vectors are added on
     the executors, chunk by chunk, and only their sum reaches the driver."""
+    bound_batches(df.sparkSession)
     schema = "chunk int, counts binary"
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 
 from foliant.llm.common import append_column, lower_ascii_table, mix, text_slices, window_hashes, word_bounds, word_hashes
 from foliant.llm.components import connected
-from foliant.session import cut
+from foliant.session import bound_batches, cut
 
 #: Counters of the frequency sketch: 8 bytes each, whatever the size of the corpus.
 SKETCH = 1 << 20
@@ -93,6 +93,7 @@ def frequencies(docs: DataFrame, text: str, size: int) -> np.ndarray:
                 sums[chunk] = sums.get(chunk, 0) + np.frombuffer(counts, np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([s.tobytes() for s in sums.values()], pa.binary())], names=["chunk", "counts"])
 
+    bound_batches(docs.sparkSession)
     schema = "chunk int, counts binary"
     sums = docs.select(text).mapInArrow(count, schema).repartition("chunk").mapInArrow(add, schema)
     out = np.zeros((SKETCH // _CHUNK, _CHUNK), np.int64)

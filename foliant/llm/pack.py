@@ -44,7 +44,7 @@ POOR = 0.98
 #: Bytes of text tokenised at a time.
 STEP_BYTES = 3_000_000
 #: Words whose ids a worker remembers, twice over.
-MOST_WORDS = 150_000
+MOST_WORDS = 100_000
 
 
 def default_tokenizer() -> str:

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from foliant.llm.common import append_column, free_name, lower_ascii_table, mix, text_slices, window_hashes, word_bounds, word_hashes
-from foliant.session import cut_table
+from foliant.session import bound_batches, cut_table
 
 WINDOW = 13
 ANCHOR = 4
@@ -166,6 +166,7 @@ def _segments(batch: pa.RecordBatch, size: int, anchor: int) -> Iterator[pa.Reco
 
 
 def _segment_rows(docs: DataFrame, size: int, anchor: int) -> DataFrame:
+    bound_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
