@@ -293,7 +293,10 @@ def pack(
             .groupBy("group", "bin").agg(F.sum("length").alias("load"), F.sort_array(F.collect_list(F.struct("length", "uid", "doc_id", "piece", "start", "ids_crc32")), asc=False).alias("parts"))
         )
         placed = cut(placed)
-        good = placed if many == 1 else placed.where(F.col("load") >= int(POOR * capacity))
+        poor = placed.where(F.col("load") < int(POOR * capacity))
+        # dealing again helps while it is a few poor bins a group; where most stay poor, it cannot
+        last = many == 1 or (poor.agg(F.coalesce(F.sum(F.size("parts")), F.lit(0))).first()[0] > n / 2)
+        good = placed if last else placed.where(F.col("load") >= int(POOR * capacity))
         sequence = F.lit(deal) * F.lit(1 << 56) + F.col("group") * F.lit(1 << 20) + F.col("bin")
         rows = good.select(
             sequence.alias("sequence_id"),
@@ -302,9 +305,9 @@ def pack(
             ),
         )
         done = done.unionByName(rows.select("p.doc_id", "p.piece", "p.start", "p.length", "p.ids_crc32", "sequence_id", "offset"))
-        if many == 1:
+        if last:
             break
-        todo = placed.where(F.col("load") < int(POOR * capacity)).select(F.inline("parts")).select("uid", *fields)
+        todo = poor.select(F.inline("parts")).select("uid", *fields)
         deal += 1
     return done.select(*fields, "sequence_id", "offset")
 

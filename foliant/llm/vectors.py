@@ -4,7 +4,8 @@ Both halves of the vectors have their own codebook, fitted on a bounded sample;
 the cell of its pair of centroids. A query visits pairs by summed distance, off a heap over both sorted
 lists, until the visited cells hold enough entries: a share of all that is measured on the sample so that
 95 of 100 true neighbours are reached, and LEAST_ENTRIES at least. Entries of visited cells are scored exactly,
-in blocks of bounded size; a score below what the sample itself offers a query cannot be among its nearest.
+in blocks of bounded size; a score below what the sample's entries in the same cells offer a query cannot be
+among the nearest found.
 
 Defined results: vectors that are null, zero, of another length than most, or hold null or non-finite
 components take no part, nor do rows without an id; a query never finds rows of its own id, and repeated
@@ -155,18 +156,21 @@ def search(table: DataFrame, is_query: Column, vec_id: str = "vec_id", vector: s
             if not batch.num_rows:
                 continue
             ids, x = batch.column(0).to_numpy(), matrix(batch.column(1))
+            one, two = shared.value.cells(shared.value.sample)
             rows, first, seconds, least = [], [], [], []
             for r in range(len(ids)):
-                scores = (shared.value.sample @ x[r])[shared.value.sample_ids != ids[r]]
-                floor = float(np.partition(scores, len(scores) - k)[len(scores) - k]) - 1e-9 * (1 + abs(float(scores.max()))) if len(scores) >= k else -np.inf
+                visited = np.zeros(sizes.value.shape, bool)
                 cells: dict[int, list[int]] = {}
                 seen = 0
                 for i, j in walk(*shared.value.distances(x[r])):
                     if sizes.value[i, j]:
                         cells.setdefault(i, []).append(j)
+                        visited[i, j] = True
                         seen += int(sizes.value[i, j])
                         if seen >= budget:
                             break
+                scores = shared.value.sample[visited[one, two] & (shared.value.sample_ids != ids[r])] @ x[r]
+                floor = float(np.partition(scores, len(scores) - k)[len(scores) - k]) - 1e-9 * (1 + abs(float(scores.max()))) if len(scores) >= k else -np.inf
                 for i, js in cells.items():
                     rows.append(r)
                     first.append(i)
