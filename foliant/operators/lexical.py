@@ -18,9 +18,19 @@ class LexicalIndex:
     Postings and terms join on the term: write them bucketed by it to search many times."""
 
     postings: DataFrame
-    terms: DataFrame
     docs: DataFrame
     stats: DataFrame
+    min_df: int = 1
+
+    @property
+    def terms(self) -> DataFrame:
+        return self.weigh(self.postings)
+
+    def weigh(self, postings: DataFrame) -> DataFrame:
+        """(term, df, idf) of the terms in postings, which must hold them whole."""
+        terms = postings.groupBy("term").agg(F.count("*").alias("df")).where(F.col("df") >= self.min_df)
+        idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)) + 1
+        return terms.join(F.broadcast(self.stats.select("n"))).withColumn("idf", idf).drop("n")
 
 
 def build(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "text", pattern: str = TOKEN, min_df: int = 1) -> LexicalIndex:
@@ -29,17 +39,16 @@ def build(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "text", p
     docs = tokenised.select("chunk_id", F.size("words").cast("long").alias("dl"))
     stats = docs.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     postings = tokenised.select("chunk_id", F.explode("words").alias("term")).groupBy("term", "chunk_id").agg(F.count("*").alias("tf"))
-    terms = postings.groupBy("term").agg(F.count("*").alias("df")).where(F.col("df") >= min_df)
-    idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)) + 1
-    terms = terms.join(F.broadcast(stats.select("n"))).withColumn("idf", idf).drop("n")
-    return LexicalIndex(postings, terms, docs, stats)
+    return LexicalIndex(postings, docs, stats, min_df)
 
 
 def score(index: LexicalIndex, queries: DataFrame, k1: float = K1, b: float = B, scope: DataFrame | None = None) -> DataFrame:
     """(query_id, chunk_id, score) of queries(query_id, text), the sum over a query's distinct terms; with scope
     (query_id, chunk_id) only inside it, by the statistics of the whole corpus."""
     wanted = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-    hits = index.postings.join(F.broadcast(wanted), "term").join(index.terms, "term")
+    # only the queries' terms are counted: the semi join sinks below the aggregation of postings
+    postings = index.postings.join(F.broadcast(wanted.select("term").distinct()), "term", "left_semi")
+    hits = postings.join(F.broadcast(wanted), "term").join(F.broadcast(index.weigh(postings)), "term")
     if scope is not None:
         hits = hits.join(scope, ["query_id", "chunk_id"], "left_semi")
     hits = hits.join(index.docs, "chunk_id").join(F.broadcast(index.stats.select("avgdl")))
@@ -61,6 +70,7 @@ def search(index: LexicalIndex, queries: DataFrame, k: int, zero_fill: bool = Tr
     if digits is not None:
         scores = scores.withColumn("score", F.round("score", digits))
     if zero_fill:
+        scores = scores.persist()  # counted first, then ranked
         if scope is not None:
             every = scope.select("query_id", "chunk_id")
         else:
