@@ -42,9 +42,9 @@ POPULATION = 4
 #: Bins filled less than this share are dealt again.
 POOR = 0.98
 #: Bytes of text tokenised at a time.
-STEP_BYTES = 3_000_000
+STEP_BYTES = 2_000_000
 #: Words whose ids a worker remembers, twice over.
-MOST_WORDS = 100_000
+MOST_WORDS = 50_000
 
 
 def default_tokenizer() -> str:

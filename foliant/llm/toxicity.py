@@ -41,7 +41,7 @@ PURE = 10
 NEIGHBOURS = 32
 BLOCK = 128
 REJECT = 0.3
-_MOST_WORDS = 100_000
+_MOST_WORDS = 50_000
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
