@@ -198,3 +198,10 @@ def ordinal_zip_join(spark: SparkSession, d: str) -> DataFrame:
 @query("vector_norms", "SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x))), 5) AS norm FROM embeddings")
 def vector_norms(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "embeddings").select("vec_id", F.round(vector.norm(F.col("embedding")), 5).alias("norm"))
+
+
+@query("event_windows", "SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
+def event_windows(spark: SparkSession, d: str) -> DataFrame:
+    from foliant.streaming.ingest import windowed_counts
+
+    return windowed_counts(read(spark, d, "events"))
