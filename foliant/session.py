@@ -52,11 +52,14 @@ def cut(df: DataFrame) -> DataFrame:
     return kept
 
 
-def cut_table(df: DataFrame) -> DataFrame:
+def cut_table(df: DataFrame, made: list[str] | None = None) -> DataFrame:
     """Like cut(), as a compressed Parquet table in the same folder: for many rows of a few random numbers, a
-    third of a checkpoint's size. The table stays until the folder is emptied."""
+    third of a checkpoint's size. The table stays until the folder is emptied, or drop_tables() gets the path that
+    is added to made."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
+    if made is not None:
+        made.append(path)
     schema = df.schema
     df.write.option("compression", "zstd").parquet(path)
     del df
@@ -65,6 +68,13 @@ def cut_table(df: DataFrame) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def drop_tables(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes tables that nothing reads any more."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def bound_batches(spark: SparkSession) -> None:
     """Arrow batches of whole texts: a tenth of Spark's default of 10,000 rows keeps the buffers of both sides
     small. A session's own setting stays."""
