@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from foliant.llm.common import append_column, free_name, lower_ascii_table, mix, text_slices, window_hashes, word_bounds, word_hashes
-from foliant.session import bound_batches, cut_table
+from foliant.session import bound_batches, cut_table, drop_tables
 
 WINDOW = 13
 ANCHOR = 4
@@ -244,15 +244,16 @@ def _by_windows(segments: DataFrame, size: int) -> DataFrame:
     )
 
 
-def covered(docs: DataFrame, size: int = WINDOW, anchor: int = ANCHOR, shard_segments: int = SHARD_SEGMENTS) -> DataFrame:
+def covered(docs: DataFrame, size: int = WINDOW, anchor: int = ANCHOR, shard_segments: int = SHARD_SEGMENTS, made: list[str] | None = None) -> DataFrame:
     """(doc_id, spans: array of (at, end)): the windows to remove of each document that has any; at carries the
-    text's mark in its upper bits. docs has doc_id and text."""
+    text's mark in its upper bits. docs has doc_id and text; made gets the paths of the tables on the way."""
     segments = _segment_rows(docs, size, anchor)
     shared = segments.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("anchor")
-    shared = cut_table(segments.join(shared, "anchor"))
+    shared = cut_table(segments.join(shared, "anchor"), made)
     different = cut_table(
         shared.groupBy("anchor", "content").agg(F.min(F.struct("doc_id", "at", "count")).alias("first"))
-        .select("anchor", "content", "first.*").withColumnRenamed("doc_id", "low")
+        .select("anchor", "content", "first.*").withColumnRenamed("doc_id", "low"),
+        made,
     )
     sizes = different.groupBy("anchor").agg(F.count("*").alias("many"))
     sized = different.join(sizes, "anchor")
@@ -263,13 +264,13 @@ def covered(docs: DataFrame, size: int = WINDOW, anchor: int = ANCHOR, shard_seg
     if large.isEmpty():
         lows = _by_automata(words, size)
     else:
-        words = cut_table(words.dropDuplicates(["anchor", "content"]))
+        words = cut_table(words.dropDuplicates(["anchor", "content"]), made)
         lows = _by_automata(words.join(large, "anchor", "left_anti"), size).unionByName(_by_windows(words.join(large, "anchor"), size))
     none = F.lit(None)
     answers = sized.where("many = 1").select("anchor", "content", "low", none.cast(lows.schema["lows"].dataType).alias("lows")).unionByName(
         lows.select("anchor", "content", none.cast(docs.schema["doc_id"].dataType).alias("low"), "lows")
     )
-    found = shared.join(cut_table(answers), ["anchor", "content"])
+    found = shared.join(cut_table(answers, made), ["anchor", "content"])
     whole = F.when(F.col("low") < F.col("doc_id"), F.array(F.struct(F.col("at"), (F.col("at") + F.col("count") + size - 1).alias("end"))))
     single = F.transform(
         F.filter(F.transform("lows", lambda x, i: F.struct((x < F.col("doc_id")).alias("ok"), i.alias("i"))), lambda x: x["ok"]),
@@ -315,7 +316,9 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", with_text
     """docs with one more struct column (n_words, n_removed, kept: the words that stay joined by one space,
     kept_sha256), and that column's name."""
     columns = docs.columns
-    spans = cut_table(covered(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), size, anchor, shard_segments))
+    made: list[str] = []
+    spans = cut_table(covered(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), size, anchor, shard_segments, made))
+    drop_tables(docs.sparkSession, made)  # the spans are a table of their own now
     found = free_name(docs, "spans")
     joined = docs.join(spans.select(F.col("doc_id").alias(doc_id), F.col("spans").alias(found)), doc_id, "left").select(*[F.col(f"`{c}`") for c in columns], F.col(found))
     at = joined.columns.index(text)
