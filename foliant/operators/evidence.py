@@ -158,6 +158,27 @@ def select_greedily(merged: DataFrame, n_requirements: int, w: GreedyWeights = G
     return merged.groupBy("question_id").applyInPandas(run, "question_id string, chunk_id string, place int, gain double, covers array<string>")
 
 
+def repair(picked: list[dict], searched: list[dict], requirements: list[str], slots: int = GreedyWeights.slots) -> list[dict]:
+    """picked with evidence for requirements that it leaves uncovered, from searched, the scored result of searching for them
+    again (rows with chunk_id, final, covers). While slots are free a new row is added; then it takes the place of the weakest
+    row whose requirements others cover too. What nothing covers stays uncovered."""
+    out = list(picked)
+    for wanted in requirements:
+        if any(wanted in r["covers"] for r in out):
+            continue
+        held = {r["chunk_id"] for r in out}
+        found = sorted((r for r in searched if wanted in r["covers"] and r["chunk_id"] not in held), key=lambda r: (-r["final"], r["chunk_id"]))
+        if not found:
+            continue
+        if len(out) >= slots:
+            spare = [r for r in out if all(any(c in o["covers"] for o in out if o is not r) for c in r["covers"])]
+            if not spare:
+                continue
+            out.remove(min(spare, key=lambda r: (r["final"], r["chunk_id"])))
+        out.append(found[0])
+    return out
+
+
 def coverage(requirements: DataFrame, selected: DataFrame) -> DataFrame:
     """(requirement_id, n_evidence, n_papers, covered) for every requirement."""
     used = selected.select(F.explode("covers").alias("requirement_id"), "chunk_id", "paper_id")

@@ -123,3 +123,12 @@ def test_markdown_and_tables(spark):
     t = tables.first()
     assert (t.caption, t.headers, t.rows, t.footnotes) == ("Table 1. X", ["Name", "Value"], ["r1", "r2"], ["[a] note"])
     assert structure.table_context(tables).where("row_no = 1").first().context == "Table 1. X\nName | Value\nr1\nr2\n[a] note"
+
+
+def test_repair_replaces_only_what_others_cover():
+    row = lambda c, f, *k: {"chunk_id": c, "final": f, "covers": list(k)}
+    picked = [row("a", 0.9, "r1"), row("b", 0.2, "r1"), row("c", 0.5, "r2")]
+    found = [row("x", 0.3, "r3"), row("y", 0.4, "r3"), row("z", 1.0, "r1")]
+    assert [r["chunk_id"] for r in evidence.repair(picked, found, ["r1", "r2", "r3", "r4"], slots=3)] == ["a", "c", "y"]
+    assert [r["chunk_id"] for r in evidence.repair(picked, found, ["r3"], slots=4)] == ["a", "b", "c", "y"]
+    assert evidence.repair([row("a", 1.0, "r1")], found, ["r3"], slots=1) == [row("a", 1.0, "r1")]
