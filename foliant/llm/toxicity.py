@@ -1,7 +1,7 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine over block-max inverted lists.
 
 Words and word beginnings that are far more common in toxic examples are the terms; their document frequencies are counted over the whole corpus. A bounded sample of labelled rows gives the
-examples. An inverted list per term holds the examples' weights in blocks of neighbouring examples with
+examples; near copies of one label (5-word shingles, 0.8, in chains too) are one example of their number's weight. An inverted list per term holds the examples' weights in blocks of neighbouring examples with
 each block's largest weight: blocks are visited in the order of what they can score at most and the search
 stops, exactly, when no block can reach the k-th neighbour. Votes weighted by distance are calibrated on the
 examples, each left out of its own vote, by weighted isotonic regression.
@@ -15,7 +15,6 @@ document, and null labels, are left out; without examples of both kinds all scor
 from __future__ import annotations
 
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -25,11 +24,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from foliant.llm import jaccard
 from foliant.llm.common import append_column, blank_words, free_name, summed_counts
 from foliant.session import cut
 
 #: Examples of each kind, those with the smallest hash: bounds the index and what is fitted.
 MOST_EXAMPLES = 8192
+#: Near copies among the examples: words of a shingle and least similarity.
+COPY_SIZE, COPY_SHARE = 5, (80, 100)
 #: Candidate terms from toxic examples and terms kept.
 MOST_CANDIDATES = 100_000
 MOST_TERMS = 4096
@@ -106,14 +108,14 @@ class Terms:
 class Model:
     """Terms, their weights, the examples' inverted lists and the calibration."""
 
-    def __init__(self, terms: list[str], idf: np.ndarray, vectors: list[list[tuple[int, int]]], labels: list[int], ids: list, weights: tuple[float, float]) -> None:
+    def __init__(self, terms: list[str], idf: np.ndarray, vectors: list[list[tuple[int, int]]], labels: list[int], ids: list, weights: list[float]) -> None:
         self.terms, self.idf = Terms(terms), idf
         kept = [k for k, v in enumerate(vectors) if v]
         # neighbouring examples share terms, so that few blocks hold a term
         kept.sort(key=lambda k: (min(vectors[k], key=lambda x: -idf[x[0]])[0], vectors[k], str(ids[k])))
         self.labels = np.array([labels[k] for k in kept], np.float64)
         self.ids = [ids[k] for k in kept]
-        self.share = np.array(weights)[self.labels.astype(int)] if len(kept) else np.zeros(0)
+        self.share = np.array([weights[k] for k in kept], np.float64)
         lists: list[list[tuple[int, float]]] = [[] for _ in terms]
         own = [self.vector(vectors[k]) for k in kept]
         for n, (at, w) in enumerate(own):
@@ -124,9 +126,9 @@ class Model:
         self.best = np.zeros((len(terms), self.blocks))  # the largest weight of a term in a block
         for t, (n, x) in enumerate(self.lists):
             np.maximum.at(self.best[t], n // BLOCK, x)
-        rate = lambda own_labels: float(sum(weights[y] * y for y in own_labels) / max(1e-12, sum(weights[y] for y in own_labels))) if own_labels else None
-        overall = rate(labels) or 0.0
-        bare = rate([labels[k] for k in range(len(labels)) if not vectors[k]])
+        rate = lambda rows: float(sum(weights[k] * labels[k] for k in rows) / max(1e-12, sum(weights[k] for k in rows))) if rows else None
+        overall = rate(range(len(labels))) or 0.0
+        bare = rate([k for k in range(len(labels)) if not vectors[k]])
         self.bare = overall if bare is None else bare
         votes = [self.vote(self.search(*v, skip=n)) for n, v in enumerate(own)]
         self.x, self.y = isotonic(np.array([self.bare if v is None else v for v in votes]), self.labels, self.share)
@@ -190,17 +192,6 @@ _RESULT = T.StructType(
 )
 
 
-def _content(column: pa.Array) -> pa.Array:
-    out: list[int | None] = []
-    for rows, words, codes, firsts in blank_words(column):
-        hashes = np.array([zlib.crc32(w.encode()) if w else 2**32 for w in words], np.int64)
-        hashes = (hashes * 0x9E3779B1) % (2**33 - 9)
-        for r in range(rows):
-            own = codes[firsts[r] : firsts[r + 1]]
-            out.append(int(hashes[own].min()) if len(own) else -1)
-    return pa.array(out, pa.int64())
-
-
 def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Knots of the non-decreasing function nearest to y at x, by pooling adjacent violators."""
     if not len(x):
@@ -236,12 +227,16 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
         sample += part
         weights[y] = totals.get(y, 0) / len(part) if part else 0.0
     spark = docs.sparkSession
-    chosen = spark.createDataFrame([(r["id"], r["y"]) for r in sample], known.schema)
-    examples = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(F.broadcast(chosen), "id").select("id", "text", "y")
-    # near copies are one example: the smallest word hash of a text stands for its content
-    content = append_column(examples, "text", "content", T.LongType(), _content)
-    first = F.broadcast(content.groupBy("content", "y").agg(F.min("id").alias("id")).select("id"))
-    examples = cut(examples.join(first, "id", "left_semi"))
+    sample.sort(key=lambda r: r["id"])
+    chosen = spark.createDataFrame([(r["id"], r["y"], k) for k, r in enumerate(sample)], T.StructType([*known.schema.fields, T.StructField("key", T.LongType())]))
+    examples = cut(docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(F.broadcast(chosen), "id").select("id", "text", "y", "key"))
+    # near copies of one label are one example, the one with the smallest id, that weighs as many as they are
+    groups = {r["id"]: r["component_id"] for r in jaccard.cluster(examples, "key", "text", COPY_SIZE, COPY_SHARE).collect()}
+    firsts: dict[tuple[int, int], int] = {}
+    for k in sorted(groups):
+        firsts.setdefault((groups[k], sample[k]["y"]), k)
+    copies = Counter(firsts[groups[k], sample[k]["y"]] for k in groups)
+    examples = cut(examples.join(F.broadcast(spark.createDataFrame(list(copies.items()), "key long, copies long")), "key"))
 
     def toxic_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
@@ -280,8 +275,8 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     idf = np.log((everywhere[-1] + 1) / (everywhere[:-1] + 1)) + 1
 
     found = append_column(examples, "text", "terms", T.ArrayType(T.ArrayType(T.IntegerType())), lambda c: pa.array([[list(x) for x in row] for row in terms.rows(c)], pa.list_(pa.list_(pa.int32()))))
-    rows = sorted(found.select("id", "y", "terms").collect(), key=lambda r: str(r["id"]))
-    return Model(terms.terms, idf, [[tuple(x) for x in r["terms"]] for r in rows], [r["y"] for r in rows], [r["id"] for r in rows], (weights[0], weights[1]))
+    rows = sorted(found.select("id", "y", "copies", "terms").collect(), key=lambda r: str(r["id"]))
+    return Model(terms.terms, idf, [[tuple(x) for x in r["terms"]] for r in rows], [r["y"] for r in rows], [r["id"] for r in rows], [weights[r["y"]] * r["copies"] for r in rows])
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> tuple[DataFrame, str]:

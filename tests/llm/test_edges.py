@@ -299,6 +299,23 @@ def test_toxicity(spark, docs, empty, clashing):
         assert [(-s, n) for s, n in model.search(at, w)] == want
 
 
+def test_toxicity_keeps_examples_that_share_a_word(spark):
+    rng = random.Random(9)
+    own = lambda i: " ".join(f"d{i}x{rng.randrange(50)}" for _ in range(30))
+    common = " ".join(f"c{k}" for k in range(300))  # the least hash of every text is among these
+    bad = [f"{common} scum idiot {own(i)} {own(i)} " + " ".join(own(i) for _ in range(16)) for i in range(80)]
+    table = [(i, t) for i, t in enumerate(bad)] + [(100 + i, f"{common} " + " ".join(own(100 + i) for _ in range(18))) for i in range(80)]
+    table += [(1000 + i, f"{bad[0]} end{i}") for i in range(12)]  # copies of the first
+    labels = [(i, int("scum" in t)) for i, t in table]
+    learned = [r.doc_id for r in spark.createDataFrame(labels, "doc_id long, toxic int").where(toxicity.learned_from(F.col("doc_id"))).collect()]
+    model = toxicity.fit(spark.createDataFrame(table, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    copies = [i for i in learned if i == 0 or i >= 1000]
+    assert len(copies) > 3
+    assert set(model.ids) == {i for i in learned if i < 80} | {min(copies)}
+    weight = dict(zip(model.ids, model.share.tolist(), strict=True))
+    assert weight.pop(min(copies)) == len(copies) and set(weight.values()) == {1.0}
+
+
 def test_page_text(spark):
     article = "<p>First paragraph, with commas, and enough text to score well.</p><p>Second &amp; last,<br>also long enough to be seen here.</p>"
     page = f"""<!doctype html><html><head><title>t</title><script>var a="</p>";</script><style>p{{}}</style></head><body><header><h1>Site</h1></header><nav><a href=x>Menu</a></nav>
