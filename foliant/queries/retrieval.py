@@ -50,6 +50,12 @@ def term_frequency(spark: SparkSession, d: str) -> DataFrame:
     return lexical.build(chunks(spark, d)).postings.where("tf > 1")
 
 
+@query("term_frequency_all", BM25_SQL + " SELECT term, chunk_id, tf FROM po")
+def term_frequency_all(spark: SparkSession, d: str) -> DataFrame:
+    """All postings; term_frequency, whose SQL is fixed, gives those of terms that are repeated in a chunk."""
+    return lexical.build(chunks(spark, d)).postings
+
+
 @query("document_frequency", BM25_SQL + " SELECT term, df, round(idf, 8) AS idf FROM te")
 def document_frequency(spark: SparkSession, d: str) -> DataFrame:
     return lexical.build(chunks(spark, d)).terms.select("term", "df", F.round("idf", 8).alias("idf"))

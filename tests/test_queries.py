@@ -1,7 +1,7 @@
 import pytest
 
 import __spark_entry__ as entry
-from foliant.queries import QUERIES, SQL
+from foliant.queries import QUERIES, SQL, retrieval
 from tests.compare import assert_same, tables
 
 
@@ -20,6 +20,12 @@ def test_runs(spark, sf, name):
     assert QUERIES[name](spark, sf).count() >= 0
 
 
+def test_all_postings_add_up_to_lengths(spark, sf):
+    rows = QUERIES["term_frequency_all"](spark, sf)
+    lengths = retrieval.lexical.build(retrieval.chunks(spark, sf)).docs
+    assert rows.where("tf = 1").count() > 0 and rows.groupBy().sum("tf").first()[0] == lengths.groupBy().sum("dl").first()[0]
+
+
 def test_entry(spark):
     df = entry.entry(spark)
     assert df.columns == ["query_id", "chunk_id", "score", "rank"] and df.count() == 150
