@@ -13,6 +13,7 @@ texts the language is null; repeated rows count each; an empty table gives an em
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 from functools import reduce
 
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from foliant.llm.common import append_column, text_slices
-from foliant.llm.pagetext import main_texts
+from foliant.llm.pagetext import html_tags, main_texts
 
 #: Labelled texts of each language that the text model is fitted on, those with the smallest hash.
 FIT_TEXTS = 500
@@ -37,6 +38,8 @@ STEP_BYTES = 400_000
 _BITS = 16
 _NONE = (1 << _BITS) - 1
 
+_LANG = re.compile(r"""\blang\s*=\s*["']?([A-Za-z_-]+)""", re.I)
+
 _LOWER = np.array([b + 32 if 0x41 <= b <= 0x5A else b for b in range(256)], np.uint32)
 
 
@@ -92,6 +95,12 @@ def _likelihoods(column: pa.Array, logs: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(len(flat) + 1) * logs.shape[1], pa.int32()), pa.array(flat.ravel()))
 
 
+def declared_in(column: pa.Array) -> pa.Array:
+    """The language that a page's first html start tag with one declares, empty without; the whole page is searched."""
+    said = ((found[1] for tag in html_tags(page or "") if (found := _LANG.search(tag))) for at in range(0, len(column), 256) for page in column.slice(at, 256).to_pylist())
+    return pa.array([next(s, "") for s in said], pa.string())
+
+
 def host_of(url: Column) -> Column:
     host = F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)", 1))
     return F.when(host != "", host)
@@ -104,21 +113,28 @@ def _softmax(logs: Column) -> Column:
     return F.transform(raised, lambda x: x / total)
 
 
-def identify(rows: DataFrame, languages: list[str], logs: np.ndarray, read: Callable[[pa.Array], pa.Array] = lambda c: c) -> DataFrame:
+def identify(rows: DataFrame, languages: list[str], logs: np.ndarray, read: Callable[[pa.Array], pa.Array] = lambda c: c, declared: Callable[[pa.Array], pa.Array] | None = None) -> DataFrame:
     """rows(id columns, text, declared, host) with lang, probability, text_lang and evidence columns in place of
-    text. Priors and worths are aggregated over all of rows. read() makes text of the text column, as of markup."""
+    text. Priors and worths are aggregated over all of rows. read() makes text of the text column, as of markup;
+    declared() finds there what it declares, in place of the declared column."""
     n = len(languages)
     ids = [c for c in rows.columns if c not in ("text", "declared", "host")]
     shared = rows.sparkSession.sparkContext.broadcast(logs)
     known = F.array(*[F.lit(x) for x in languages])
-    primary = F.regexp_extract(F.lower(F.coalesce("declared", F.lit(""))), r"^([a-z]{2,3})(?:[-_]|$)", 1)
-    scored = append_column(rows, "text", "logs", T.ArrayType(T.DoubleType()), lambda c: _likelihoods(read(c), shared.value)).select(
+    kind = T.StructType([T.StructField("logs", T.ArrayType(T.DoubleType())), T.StructField("declared", T.StringType())])
+
+    def made(c: pa.Array) -> pa.Array:
+        said = declared(c) if declared else pa.nulls(len(c), pa.string())
+        return pa.StructArray.from_arrays([_likelihoods(read(c), shared.value), said], names=["logs", "declared"])
+
+    primary = F.regexp_extract(F.lower(F.coalesce("found.declared", "declared", F.lit(""))), r"^([a-z]{2,3})(?:[-_]|$)", 1)
+    scored = append_column(rows, "text", "found", kind, made).select(
         *ids,
         F.when(F.array_contains(known, primary), primary).when(primary != "", "other").otherwise("none").alias("declared"),
         F.coalesce("host", F.lit("")).alias("host"),
         F.coalesce(F.regexp_extract("host", r"([^.]+\.[^.]+)$", 1), F.lit("")).alias("domain"),
         F.coalesce(F.regexp_extract("host", r"([^.]+)$", 1), F.lit("")).alias("suffix"),
-        _softmax(F.col("logs")).alias("own"), "logs",
+        _softmax(F.col("found.logs")).alias("own"), F.col("found.logs").alias("logs"),
     )
     scored = scored.persist(StorageLevel.MEMORY_AND_DISK)  # a few numbers a row, made again if they are lost
     sums = [F.sum(F.col("own")[k]).alias(f"s{k}") for k in range(n)]
@@ -175,9 +191,9 @@ def digest(documents: DataFrame, pages: DataFrame) -> DataFrame:
     languages, logs = fit_texts(documents.select("lang", "text"))
     web = pages.select(
         F.lit(None).cast("long").alias("doc_id"), "page_id", F.col("html").alias("text"),
-        F.regexp_extract("html", r"""(?is)^.{0,2000}?<html\b[^>]*?\blang\s*=\s*["']?([A-Za-z_-]+)""", 1).alias("declared"), host_of(F.col("url")).alias("host"),
+        F.lit(None).cast("string").alias("declared"), host_of(F.col("url")).alias("host"),
     )
     own = documents.select("doc_id", F.lit(None).cast("long").alias("page_id"), "text", F.lit(None).cast("string").alias("declared"), F.col("source").alias("host"))
     if not languages:
         return web.unionByName(own).select("doc_id", "page_id", *[F.lit(None).cast(k).alias(c) for c, k in (("lang", "string"), ("probability", "double"), ("text_lang", "string"), ("declared_lang", "string"), ("suffix", "string"))])
-    return identify(web, languages, logs, main_texts).unionByName(identify(own, languages, logs).withColumn("suffix", F.lit("")))
+    return identify(web, languages, logs, main_texts, declared_in).unionByName(identify(own, languages, logs).withColumn("suffix", F.lit("")))

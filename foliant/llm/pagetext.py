@@ -49,6 +49,7 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)\]\]>|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=\"'<>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_HTML = re.compile(r"<html(?=[\s/>])", re.I)
 _COMMAS = re.compile("[,،、，；;]")
 
 
@@ -63,6 +64,25 @@ class Node:
         self.dropped = False
 
 
+def html_tags(page: str) -> Iterator[str]:
+    """The attributes of each html start tag, wherever it stands; comments and raw elements hold none."""
+    last = max((m.start() for m in _HTML.finditer(page)), default=-1)
+    at = 0
+    while at <= last:
+        found = _TOKEN.search(page, at)
+        if found is None:
+            return
+        at = found.end()
+        if found[3] is None or found[2]:
+            continue
+        tag = found[3].lower()
+        if tag == "html":
+            yield found[4]
+        elif tag in RAW:
+            stop = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(page, at)
+            at = stop.end() if stop else len(page)
+
+
 def parse(page: str) -> Node:
     """The page's tree. A start tag closes what cannot hold it; an end tag closes up to its start tag, and
     one of an inline element does not reach through a block."""

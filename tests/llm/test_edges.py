@@ -371,6 +371,17 @@ def test_language(spark, empty):
     assert [r.lang for r in nothing] == [None] * 3
 
 
+def test_language_declared_after_a_long_preamble(spark):
+    body = "<body><article><p>the and house with this</p></article></body></html>"
+    pages = [
+        f"<!-- {'licence ' * 1000}-->\n<HTML class='a' lang='de-AT'>{body}", " \n" * 3000 + f"<html\nlang=en>{body}", f"<!-- <html lang='de'> -->{'x' * 3000}<html>{body}",
+        f"<html><script>a = \"<html lang='de'>\"</script>{body}", f"<html data-a='>' xml:lang='en'>{body}", "<html lang='de'", None,
+    ]
+    docs = spark.createDataFrame([(0, "the and house with this", "en", "s", 1), (1, "der und haus mit dies", "de", "s", 1)], DOCS)
+    got = language.digest(docs, spark.createDataFrame([(i, "u", p) for i, p in enumerate(pages)], "page_id long, url string, html string")).where("page_id is not null").collect()
+    assert {r.page_id: r.declared_lang for r in got} == dict(enumerate(["de", "en", "none", "none", "en", "none", "none"]))
+
+
 def test_vectors(spark):
     import numpy as np
 
