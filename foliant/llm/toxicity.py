@@ -32,11 +32,10 @@ from foliant.session import cut
 MOST_EXAMPLES = 8192
 #: Near copies among the examples: words of a shingle and least similarity.
 COPY_SIZE, COPY_SHARE = 5, (80, 100)
-#: Candidate terms from toxic examples and terms kept.
-MOST_CANDIDATES = 100_000
+#: Terms kept, those of the most worth.
 MOST_TERMS = 4096
 #: Least evidence of a term: how often it is in toxic examples, times the log of how much more often than in
-#: clean ones. Well above what the most lucky of MOST_CANDIDATES harmless terms reaches.
+#: clean ones. Well above what the most lucky of a million harmless terms reaches; no term of less than 4 toxic examples has it.
 WORTH = 30
 #: How many times more common in toxic than in clean examples a term must be.
 PURE = 10
@@ -238,21 +237,26 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     copies = Counter(firsts[groups[k], sample[k]["y"]] for k in groups)
     examples = cut(examples.join(F.broadcast(spark.createDataFrame(list(copies.items()), "key long, copies long")), "key"))
 
-    def toxic_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
+    def term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: tuple[Counter, Counter] = Counter(), Counter()
         for batch in batches:
-            for value in batch.column(0).to_pylist():
-                counts.update(terms_of_text(value or ""))
-        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["term", "n"])
+            for value, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                counts[y].update(terms_of_text(value or ""))
+        for y, own in enumerate(counts):
+            yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.string()), pa.array([y] * len(own), pa.int32()), pa.array(list(own.values()), pa.int64())], names=["term", "y", "n"])
 
-    ranked = (
-        examples.where("y = 1").select("text").mapInArrow(toxic_terms, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
-        .where(F.col("n") >= 4).orderBy(F.desc("n"), "term").limit(MOST_CANDIDATES).collect()
-    )
-    candidates = Terms([r["term"] for r in ranked])
-    positives = np.array([r["n"] for r in ranked], np.float64)
     n_toxic, n_clean = (examples.where(F.col("y") == y).count() for y in (1, 0))
 
+    # log-likelihood ratio of a term's share in toxic and in clean examples; only terms that pass reach the driver
+    p, q = (F.col("toxic") + 0.5) / (n_toxic + 1), (F.col("clean") + 0.5) / (n_clean + 1)
+    kept = (
+        examples.select("text", "y").mapInArrow(term_counts, "term string, y int, n long").groupBy("term")
+        .agg(*[F.sum(F.when(F.col("y") == y, F.col("n")).otherwise(0)).alias(name) for y, name in ((1, "toxic"), (0, "clean"))])
+        .where(F.col("toxic") >= 4).withColumn("worth", F.col("toxic") * F.log(p / q)).where((F.col("worth") > WORTH) & (p > PURE * q))
+        .orderBy(F.desc("worth"), F.desc("toxic"), "term").limit(MOST_TERMS).select("term").collect()
+    )
+    terms = Terms([r["term"] for r in kept])
+
     def document_counts(terms: Terms):
         def count(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
             total = np.zeros(len(terms.terms) + 1, np.int64)
@@ -265,13 +269,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
 
         return count
 
-    clean = summed_counts(examples.where("y = 0").select("text"), len(ranked) + 1, document_counts(candidates))[:-1]
-    # log-likelihood ratio of a term's share in toxic and in clean examples
-    p, q = (positives + 0.5) / (n_toxic + 1), (clean + 0.5) / (n_clean + 1)
-    worth = positives * np.log(p / q) if len(ranked) else np.zeros(0)
-    order = [int(k) for k in np.argsort(-worth, kind="stable")[:MOST_TERMS] if worth[k] > WORTH and p[k] > PURE * q[k]]
-    terms = Terms([candidates.terms[k] for k in order])
-    everywhere = summed_counts(docs.select(text), len(order) + 1, document_counts(terms))
+    everywhere = summed_counts(docs.select(text), len(kept) + 1, document_counts(terms))
     idf = np.log((everywhere[-1] + 1) / (everywhere[:-1] + 1)) + 1
 
     found = append_column(examples, "text", "terms", T.ArrayType(T.ArrayType(T.IntegerType())), lambda c: pa.array([[list(x) for x in row] for row in terms.rows(c)], pa.list_(pa.list_(pa.int32()))))

@@ -316,6 +316,15 @@ def test_toxicity_keeps_examples_that_share_a_word(spark):
     assert weight.pop(min(copies)) == len(copies) and set(weight.values()) == {1.0}
 
 
+def test_toxicity_finds_rare_terms_among_many_candidates(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "MOST_CANDIDATES", 50, raising=False)
+    rng = random.Random(3)
+    table = [(i, " ".join(rng.choices([f"{a}{b}common" for a in "abcdefgh" for b in "ijklmnop"], k=60)) + f" d{i}" + (f" {['scum', 'idiot'][i % 4 // 2]}" if i % 2 else "")) for i in range(160)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(160)], "doc_id long, toxic int")
+    model = toxicity.fit(spark.createDataFrame(table, "doc_id long, text string"), labels)
+    assert {"scum", "idiot"} <= set(model.terms.terms)
+
+
 def test_page_text(spark):
     article = "<p>First paragraph, with commas, and enough text to score well.</p><p>Second &amp; last,<br>also long enough to be seen here.</p>"
     page = f"""<!doctype html><html><head><title>t</title><script>var a="</p>";</script><style>p{{}}</style></head><body><header><h1>Site</h1></header><nav><a href=x>Menu</a></nav>
