@@ -1,188 +1,243 @@
-"""Toxicity by the nearest labelled examples: exact TF-IDF cosine over block-max inverted lists.
-
-Words and word beginnings that are far more common in toxic examples are the terms; their document frequencies are counted over the whole corpus. A bounded sample of labelled rows gives the
-examples; near copies of one label (5-word shingles, 0.8, in chains too) are one example of their number's weight. An inverted list per term holds the examples' weights in blocks of neighbouring examples with
-each block's largest weight: blocks are visited in the order of what they can score at most and the search
-stops, exactly, when no block can reach the k-th neighbour. Votes weighted by distance are calibrated on the
-examples, each left out of its own vote, by weighted isotonic regression.
-
-Defined results: null and empty texts, and texts without any term, get the toxic share of the examples that
-have none either; a document labelled several times is toxic if any label says so; labels without a
-document, and null labels, are left out; without examples of both kinds all scores are the toxic share
-(0 without examples); repeated rows score alike; other columns pass through, whatever their names.
+"""Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
+
+Terms are all words of the examples; none is cut. A term weighs (1 + ln of its count) times its inverse document
+frequency, counted over the whole corpus, times its relevance: how strongly the examples tie it to the toxic
+label (log-likelihood ratio, saturated; a term without such a tie keeps FLOOR of it). Terms that no example has
+cannot be shared and are not part of a text's length. A bounded sample of labelled rows gives the examples; near
+copies of one label (5-word shingles, 0.8, in chains too) are one example of their number's weight.
+
+The index holds the examples in blocks and, for each term, its largest weight in each block. A text's best block
+gives a first k-th neighbour; all blocks that could reach it are scored, so the k nearest are exact. Votes
+weighted by distance are calibrated on the examples, each left out of its own vote, by weighted isotonic regression.
+
+Defined results: null and empty texts, and texts that share no term with any example, get the toxic share of
+the examples that have no term either (of all examples, if there are none); a document labelled several times is
+toxic if any label says so; labels without a document, and null labels, are left out; without examples of both
+kinds all scores are the toxic share (0 without examples); repeated rows score alike; neighbours at the same
+cosine (9 digits) are taken in the index's order; other columns pass through, whatever their names.
 """
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from foliant.llm import jaccard
-from foliant.llm.common import append_column, blank_words, free_name, summed_counts
-from foliant.session import cut
+from foliant.llm.common import append_column, free_name, lower_ascii_table, summed_counts, text_slices, word_bounds, word_hashes
+from foliant.session import bound_batches, cut
 
-#: Examples of each kind, those with the smallest hash: bounds the index and what is fitted.
-MOST_EXAMPLES = 8192
+#: Examples of each kind, those with the smallest hash, and bytes of their texts: bounds the index and what is fitted.
+MOST_EXAMPLES = 4096
+MOST_EXAMPLE_BYTES = 64_000_000
 #: Near copies among the examples: words of a shingle and least similarity.
 COPY_SIZE, COPY_SHARE = 5, (80, 100)
-#: Terms kept, those of the most worth.
-MOST_TERMS = 4096
-#: Least evidence of a term: how often it is in toxic examples, times the log of how much more often than in
-#: clean ones. Well above what the most lucky of a million harmless terms reaches; no term of less than 4 toxic examples has it.
-WORTH = 30
-#: How many times more common in toxic than in clean examples a term must be.
-PURE = 10
+#: Log-likelihood ratio at which a term's relevance is full, and the relevance of a term without any.
+FULL_TIE, FLOOR = 30.0, 0.02
 NEIGHBOURS = 32
 BLOCK = 128
+#: Bytes of a word's beginning, which is a term of its own: rare words of a family share it.
+BEGINNING = 5
+#: Terms with the longest lists have a dense column each.
+DENSE = 192
+#: Texts that are scored at a time.
+STEP_TEXTS = 128
 REJECT = 0.3
-_MOST_WORDS = 50_000
-_LETTERS = re.compile(r"[^\W\d_]+")
 
+_IS_WORD, _ = lower_ascii_table(lambda b: 0x61 <= b <= 0x7A or b >= 0x80)
 
-def terms_of(word: str) -> list[str]:
-    """The terms of a piece of text without blanks: words and their beginnings."""
-    out = []
-    for w in _LETTERS.findall(word.lower()):
-        if len(w) < 3:
-            continue
-        out.append(w)
-        out += [f"{w[:k]}*" for k in (4, 5, 6) if len(w) > k]
-    return out
 
-
-def terms_of_text(text: str) -> set[str]:
-    """The terms of a text; one that occurs twice or more is also there as "term twice"."""
-    counts: Counter = Counter()
-    for w, n in Counter(text.split()).items():
-        for t in terms_of(w):
-            counts[t] += n
-    return {*counts, *(f"{t} twice" for t, n in counts.items() if n > 1)}
+def word_rows(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(rows, row of each word, hash of each word) of lower-cased texts, step by step."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    for at, end, raw, offs in text_slices(pc.utf8_lower(column)):
+        starts, ends, firsts = word_bounds(raw, offs, _IS_WORD)
+        row = np.repeat(np.arange(end - at), np.diff(firsts))
+        long = np.flatnonzero(ends - starts > BEGINNING)
+        begun = ~word_hashes(raw, starts[long], starts[long] + BEGINNING)
+        order = np.argsort(np.concatenate([row, row[long]]), kind="stable")
+        yield end - at, np.concatenate([row, row[long]])[order], np.concatenate([word_hashes(raw, starts, ends), begun])[order]
 
 
 class Terms:
-    """Finds the known terms of texts; remembers the words that it has seen."""
-
-    def __init__(self, terms: list[str]) -> None:
-        self.terms = terms
-        self.once = {t: k for k, t in enumerate(terms)}
-        self.bases = {t.removesuffix(" twice") for t in terms}
-        self.seen: dict[str, tuple[str, ...]] = {}
-
-    def __reduce__(self):
-        return (Terms, (self.terms,))
-
-    def rows(self, column: pa.Array) -> Iterator[list[tuple[int, int]]]:
-        """Per text its (term, count), in order of terms."""
-        for rows, words, codes, firsts in blank_words(column):
-            if len(self.seen) > _MOST_WORDS:
-                self.seen.clear()
-            found = []
-            for w in words:
-                known = self.seen.get(w)
-                if known is None:
-                    known = tuple(t for t in terms_of(w) if t in self.bases)
-                    self.seen[w] = known
-                found.append(known)
-            has = np.array([bool(f) for f in found], bool)
-            where = np.flatnonzero(has[codes]) if len(codes) else np.zeros(0, np.int64)
-            row_of = np.searchsorted(firsts, where, "right") - 1
-            counts: dict[int, Counter] = {}
-            for r, c in zip(row_of.tolist(), codes[where].tolist(), strict=True):
-                counts.setdefault(r, Counter()).update(found[c])
-            for r in range(rows):
-                if r not in counts:
-                    yield []
-                    continue
-                named = [(self.once.get(t), n) for t, n in counts[r].items()] + [(self.once.get(f"{t} twice"), n) for t, n in counts[r].items() if n > 1]
-                yield sorted((k, n) for k, n in named if k is not None)
+    """The examples' words as sorted hashes; a word's place is its term."""
+
+    def __init__(self, known: np.ndarray) -> None:
+        self.known = known
+
+    def rows(self, column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """(rows, row, term, count) of the distinct known words of each row, ordered by row and term."""
+        size = max(1, len(self.known))
+        for rows, row, hashes in word_rows(column):
+            at = np.searchsorted(self.known, hashes)
+            ok = at < len(self.known)
+            ok[ok] = self.known[at[ok]] == hashes[ok]
+            pair, count = np.unique(row[ok] * size + at[ok], return_counts=True)
+            yield rows, pair // size, pair % size, count
+
+
+class Index:
+    """Examples' normalised vectors: dense columns for the terms with the longest lists, lists for all others, and
+    of both the largest weight in each block."""
+
+    def __init__(self, row: np.ndarray, term: np.ndarray, weight: np.ndarray, rows: int, terms: int) -> None:
+        self.rows, self.blocks = rows, -(-rows // BLOCK)
+        frequency = np.bincount(term, minlength=terms)
+        often = np.sort(np.argsort(-frequency, kind="stable")[:DENSE])
+        self.column = np.full(terms, -1, np.int32)
+        self.column[often] = np.arange(len(often))
+        self.dense = np.zeros((self.blocks * BLOCK, len(often)))
+        common = self.column[term] >= 0
+        self.dense[row[common], self.column[term[common]]] = weight[common]
+        self.dense_best = self.dense.reshape(self.blocks, BLOCK, -1).max(1) if rows else np.zeros((0, len(often)))
+        row, term, weight = row[~common], term[~common], weight[~common]
+        order = np.lexsort((row, term))
+        self.example, self.weight = row[order].astype(np.int32), weight[order]
+        self.first = np.searchsorted(term[order], np.arange(terms + 1))
+        cell = term * np.int64(max(1, self.blocks)) + row // BLOCK
+        order = np.argsort(cell, kind="stable")
+        cells, at = np.unique(cell[order], return_index=True)
+        self.best = np.maximum.reduceat(weight[order], at) if len(at) else np.zeros(0)
+        self.best_block = (cells % max(1, self.blocks)).astype(np.int32)
+        self.best_first = np.searchsorted(cells // max(1, self.blocks), np.arange(terms + 1))
+
+    def _gather(self, first: np.ndarray, to: np.ndarray, value: np.ndarray, row: np.ndarray, term: np.ndarray, weight: np.ndarray, rows: int, width: int) -> np.ndarray:
+        """The sum over each row's terms of the lists that first delimits, as rows x width."""
+        n = first[term + 1] - first[term]
+        places = np.repeat(first[term] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        cells = np.repeat(row, n) * width + to[places]
+        return np.bincount(cells, weights=np.repeat(weight, n) * value[places], minlength=rows * width).reshape(rows, width)
+
+    def search(self, row: np.ndarray, term: np.ndarray, weight: np.ndarray, rows: int, k: int = NEIGHBOURS, skip: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(cosine, example) of the k nearest of each of rows texts, nearest first, ties to the earlier example;
+        a cosine of 0 stands for none. skip names an example per row that is not to be found."""
+        width = self.blocks * BLOCK
+        if not rows or not self.blocks:
+            return np.zeros((rows, 0)), np.zeros((rows, 0), np.int64)
+        common = self.column[term] >= 0
+        dense = np.zeros((rows, self.dense.shape[1]))
+        dense[row[common], self.column[term[common]]] = weight[common]
+        rare = row[~common], term[~common], weight[~common]
+        bound = dense @ self.dense_best.T + self._gather(self.best_first, self.best_block, self.best, *rare, rows, self.blocks)
+        scores = self._gather(self.first, self.example, self.weight, *rare, rows, width).reshape(rows, self.blocks, BLOCK)
+
+        def visit(b: int, some: np.ndarray) -> np.ndarray:
+            found = scores[some, b] + dense[some] @ self.dense[b * BLOCK : (b + 1) * BLOCK].T
+            if skip is not None:
+                own = np.flatnonzero(skip[some] // BLOCK == b)
+                found[own, skip[some[own]] % BLOCK] = 0
+            scores[some, b] = found
+            return found
+
+        top, least = bound.argmax(1), np.zeros(rows)
+        for b in np.unique(top):
+            some = np.flatnonzero(top == b)
+            found = visit(int(b), some)
+            if k <= BLOCK:
+                least[some] = np.partition(found, BLOCK - k, axis=1)[:, BLOCK - k]
+        wanted = (bound >= least[:, None] - 1e-9) & (bound > 0)
+        wanted[np.arange(rows), top] = False
+        for b in range(self.blocks):
+            some = np.flatnonzero(wanted[:, b])
+            if len(some):
+                visit(b, some)
+        wanted[np.arange(rows), top] = True
+        scores[~wanted] = 0
+        flat = np.round(scores.reshape(rows, width), 9)
+        k = min(k, width)
+        at_least = np.partition(flat, width - k, axis=1)[:, width - k]
+        cosine, example = np.zeros((rows, k)), np.zeros((rows, k), np.int64)
+        # every example at or above the k-th cosine, sorted by (row, cosine descending, example)
+        where, which = np.nonzero((flat >= at_least[:, None]) & (flat > 0))
+        order = np.lexsort((which, -flat[where, which], where))
+        where, which = where[order], which[order]
+        place = np.arange(len(where)) - np.searchsorted(where, where)
+        ok = place < k
+        cosine[where[ok], place[ok]] = flat[where[ok], which[ok]]
+        example[where[ok], place[ok]] = which[ok]
+        return cosine, example
 
 
 class Model:
-    """Terms, their weights, the examples' inverted lists and the calibration."""
-
-    def __init__(self, terms: list[str], idf: np.ndarray, vectors: list[list[tuple[int, int]]], labels: list[int], ids: list, weights: list[float]) -> None:
-        self.terms, self.idf = Terms(terms), idf
-        kept = [k for k, v in enumerate(vectors) if v]
-        # neighbouring examples share terms, so that few blocks hold a term
-        kept.sort(key=lambda k: (min(vectors[k], key=lambda x: -idf[x[0]])[0], vectors[k], str(ids[k])))
-        self.labels = np.array([labels[k] for k in kept], np.float64)
-        self.ids = [ids[k] for k in kept]
-        self.share = np.array([weights[k] for k in kept], np.float64)
-        lists: list[list[tuple[int, float]]] = [[] for _ in terms]
-        own = [self.vector(vectors[k]) for k in kept]
-        for n, (at, w) in enumerate(own):
-            for t, x in zip(at.tolist(), w.tolist(), strict=True):
-                lists[t].append((n, x))
-        self.blocks = -(-len(kept) // BLOCK)
-        self.lists = [(np.array([n for n, _ in p], np.int64), np.array([x for _, x in p])) for p in lists]
-        self.best = np.zeros((len(terms), self.blocks))  # the largest weight of a term in a block
-        for t, (n, x) in enumerate(self.lists):
-            np.maximum.at(self.best[t], n // BLOCK, x)
-        rate = lambda rows: float(sum(weights[k] * labels[k] for k in rows) / max(1e-12, sum(weights[k] for k in rows))) if rows else None
-        overall = rate(range(len(labels))) or 0.0
-        bare = rate([k for k in range(len(labels)) if not vectors[k]])
-        self.bare = overall if bare is None else bare
-        votes = [self.vote(self.search(*v, skip=n)) for n, v in enumerate(own)]
-        self.x, self.y = isotonic(np.array([self.bare if v is None else v for v in votes]), self.labels, self.share)
-
-    def vector(self, counts: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
-        at = np.array([t for t, _ in counts], np.int64)
-        w = (1 + np.log(np.array([n for _, n in counts], np.float64))) * self.idf[at]
-        return at, w / max(1e-12, float(np.sqrt((w * w).sum())))
-
-    def search(self, at: np.ndarray, w: np.ndarray, k: int = NEIGHBOURS, skip: int = -1) -> list[tuple[float, int]]:
-        """(cosine, example) of the k nearest with a common term, nearest first, ties to the earlier example."""
-        if not self.blocks or not len(at):
-            return []
-        bound = w @ self.best[at]
-        order = np.argsort(-bound, kind="stable")
-        found: list[tuple[float, int]] = []
-        least = 0.0
-        for b in order.tolist():
-            if bound[b] <= 0 or len(found) >= k and bound[b] < least - 1e-9:
-                break
-            lo, hi = b * BLOCK, (b + 1) * BLOCK
-            scores = np.zeros(BLOCK)
-            for t, x in zip(at.tolist(), w.tolist(), strict=True):
-                n, weight = self.lists[t]
-                i, j = np.searchsorted(n, (lo, hi))
-                scores[n[i:j] - lo] += x * weight[i:j]
-            some = np.flatnonzero(scores > max(0.0, least - 1e-9 if len(found) >= k else 0.0))
-            found += [(-round(float(scores[n]), 9), lo + n) for n in some.tolist() if lo + n != skip]
-            found.sort()
-            del found[k:]
-            if len(found) >= k:
-                least = -found[-1][0]
-        return [(-s, n) for s, n in found]
-
-    def vote(self, near: list[tuple[float, int]]) -> float | None:
-        if not near:
-            return None
-        w = np.array([1 / (1.05 - min(1.0, s)) for s, _ in near]) * self.share[[n for _, n in near]]
-        return float((w * self.labels[[n for _, n in near]]).sum() / w.sum())
+    """Terms, their weights, the examples' index and, once calibrated, the knots of the calibration."""
+
+    def __init__(self, examples: list[tuple[object, int, float, np.ndarray, np.ndarray]], known: np.ndarray, frequency: np.ndarray, documents: int) -> None:
+        """examples: (id, label, share, term, count)."""
+        self.terms = Terms(known)
+        labels = np.array([y for _, y, *_ in examples], np.int64)
+        held = [np.bincount(np.concatenate([t for _, y, _, t, _ in examples if y == kind] or [np.zeros(0, np.int64)]), minlength=len(known)) for kind in (1, 0)]
+        self.term_weight = (np.log((documents + 1) / (frequency + 1)) + 1) * relevance(held[0], held[1], int((labels == 1).sum()), int((labels == 0).sum()))
+        bare = [k for k, x in enumerate(examples) if not len(x[3])]
+        rate = lambda rows: sum(examples[k][2] * labels[k] for k in rows) / max(1e-12, sum(examples[k][2] for k in rows))
+        self.bare = float(rate(bare or range(len(examples)))) if examples else 0.0
+        # examples whose strongest terms agree are neighbours, so that few blocks hold a strong term
+        kept = [x for x in examples if len(x[3])]
+        strongest = [int(t[np.argmax(self.term_weight[t])]) for *_, t, _ in kept]
+        kept = [kept[k] for k in sorted(range(len(kept)), key=lambda k: (-kept[k][1], strongest[k], str(kept[k][0])))]
+        self.ids = [x[0] for x in kept]
+        self.labels = np.array([x[1] for x in kept], np.float64)
+        self.share = np.array([x[2] for x in kept], np.float64)
+        row = np.repeat(np.arange(len(kept)), [len(x[3]) for x in kept])
+        term = np.concatenate([x[3] for x in kept]) if kept else np.zeros(0, np.int64)
+        count = np.concatenate([x[4] for x in kept]) if kept else np.zeros(0, np.int64)
+        self.index = Index(row, term, self.weights(row, term, count, len(kept)), len(kept), len(known))
+        self.places = {x: k for k, x in enumerate(self.ids)}
+        self.x, self.y = np.array([0.0, 1.0]), np.array([0.0, 1.0])
+
+    def weights(self, row: np.ndarray, term: np.ndarray, count: np.ndarray, rows: int) -> np.ndarray:
+        w = (1 + np.log(count)) * self.term_weight[term]
+        length = np.sqrt(np.bincount(row, weights=w * w, minlength=rows))
+        return w / np.maximum(1e-12, length[row])
+
+    def near(self, column: pa.Array, own: list | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(cosine, example) of the nearest of each text, step by step; own names the example a text is, if any."""
+        at = 0
+        for rows, row, term, count in self.terms.rows(column):
+            w = self.weights(row, term, count, rows)
+            for lo in range(0, rows, STEP_TEXTS):
+                n = min(STEP_TEXTS, rows - lo)
+                a, b = np.searchsorted(row, (lo, lo + n))
+                skip = None if own is None else np.array([self.places.get(x, -1) for x in own[at + lo : at + lo + n]])
+                yield self.index.search(row[a:b] - lo, term[a:b], w[a:b], n, skip=skip)
+            at += rows
+
+    def votes(self, cosine: np.ndarray, example: np.ndarray) -> np.ndarray:
+        """The share of toxic neighbours, weighted by distance; not a number where there is none."""
+        w = np.where(cosine > 0, 1 / (1.05 - np.minimum(1.0, cosine)), 0.0)
+        w = w * self.share[example] if len(self.share) else w
+        total = w.sum(1)
+        return np.where(total > 0, (w * self.labels[example]).sum(1) / np.where(total > 0, total, 1), np.nan) if len(self.labels) else np.full(len(cosine), np.nan)
 
     def score(self, column: pa.Array) -> pa.Array:
-        scores, evidence, memory = [], [], {}
-        for counts in self.terms.rows(column):
-            key = tuple(counts)
-            if key not in memory:
-                near = self.search(*self.vector(counts)) if counts else []
-                vote = self.vote(near)
-                score = self.bare if vote is None else float(np.interp(vote, self.x, self.y))
-                memory[key] = min(1.0, max(0.0, score)), [{"doc_id": str(self.ids[n]), "cosine": s, "toxic": int(self.labels[n])} for s, n in near[:5]]
-            scores.append(memory[key][0])
-            evidence.append(memory[key][1])
-        return pa.StructArray.from_arrays([pa.array(scores, pa.float64()), pa.array(evidence, _EVIDENCE_ARROW)], names=["score", "evidence"])
-
-
-_EVIDENCE_ARROW = pa.list_(pa.struct([("doc_id", pa.string()), ("cosine", pa.float64()), ("toxic", pa.int32())]))
+        scores, counts, ids, cosines, labels = [np.zeros(0)], [np.zeros(0, np.int64)], [], [np.zeros(0)], [np.zeros(0)]
+        for cosine, example in self.near(column):
+            votes = self.votes(cosine, example)
+            scores.append(np.clip(np.where(np.isnan(votes), self.bare, np.interp(votes, self.x, self.y)), 0, 1))
+            shown = cosine[:, :5] > 0
+            counts.append(shown.sum(1))
+            which = example[:, :5][shown]
+            ids += [str(self.ids[k]) for k in which.tolist()]
+            cosines.append(cosine[:, :5][shown])
+            labels.append(self.labels[which] if len(self.labels) else np.zeros(0))
+        offsets = np.concatenate([[0], np.cumsum(np.concatenate(counts))])
+        shown = pa.StructArray.from_arrays([pa.array(ids, pa.string()), pa.array(np.concatenate(cosines)), pa.array(np.concatenate(labels).astype(np.int32))], names=["doc_id", "cosine", "toxic"])
+        return pa.StructArray.from_arrays([pa.array(np.concatenate(scores)), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), shown)], names=["score", "evidence"])
+
+
+def relevance(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int) -> np.ndarray:
+    """FLOOR to 1 + FLOOR times the squared log ratio of a term's share in toxic and in clean examples; the
+    log-likelihood ratio says how much of it counts."""
+    ratio = np.log(((toxic + 0.5) / (n_toxic + 1)) / ((clean + 0.5) / (n_clean + 1)))
+    return FLOOR + np.clip(toxic * ratio / FULL_TIE, 0, 1) * ratio**2
+
+
 _RESULT = T.StructType(
     [
         T.StructField("score", T.DoubleType()),
@@ -213,7 +268,7 @@ def learned_from(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) != 2, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", most_examples: int = MOST_EXAMPLES) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", most_examples: int = MOST_EXAMPLES, most_bytes: int = MOST_EXAMPLE_BYTES) -> Model:
     """A model of the labelled rows that labels may be learned from; see the module."""
     known = (
         labels.select(F.col(doc_id).alias("id"), F.col(label).cast("int").alias("y"))
@@ -235,51 +290,72 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     for k in sorted(groups):
         firsts.setdefault((groups[k], sample[k]["y"]), k)
     copies = Counter(firsts[groups[k], sample[k]["y"]] for k in groups)
-    examples = cut(examples.join(F.broadcast(spark.createDataFrame(list(copies.items()), "key long, copies long")), "key"))
-
-    def term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: tuple[Counter, Counter] = Counter(), Counter()
+    sizes = {r["key"]: r["n"] or 0 for r in examples.groupBy("key").agg(F.sum(F.octet_length("text")).alias("n")).collect()}
+    kept, room = [], [most_bytes, most_bytes]
+    for k in sorted(copies, key=lambda k: (sizes[k], k)):  # within the documented bound; the longest texts first go
+        room[sample[k]["y"]] -= sizes[k]
+        if room[sample[k]["y"]] >= 0:
+            kept.append((k, copies[k]))
+    examples = examples.join(F.broadcast(spark.createDataFrame(kept, "key long, copies long")), "key")
+    bound_batches(spark)
+
+    def own_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes, counts = [], []
+            for rows, row, words in word_rows(batch.column(1)):
+                firsts = np.searchsorted(row, np.arange(rows + 1))
+                for r in range(rows):
+                    own, n = np.unique(words[firsts[r] : firsts[r + 1]], return_counts=True)
+                    hashes.append(own.tobytes())
+                    counts.append(n.astype(np.int32).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hashes, pa.binary()), pa.array(counts, pa.binary())], names=["key", "hashes", "counts"])
+
+    held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    for r in examples.select("key", "text").mapInArrow(own_words, "key long, hashes binary, counts binary").collect():
+        own = np.frombuffer(r["hashes"], np.uint64), np.frombuffer(r["counts"], np.int32)
+        if r["key"] not in held or own[0].tobytes() < held[r["key"]][0].tobytes():  # an id of several texts has one
+            held[r["key"]] = own
+    every = np.unique(np.concatenate([h for h, _ in held.values()])) if held else np.zeros(0, np.uint64)
+    terms = Terms(every)
+    shared = spark.sparkContext.broadcast(terms)
+
+    def document_counts(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+        total = np.zeros(len(shared.value.known) + 1, np.int64)
         for batch in batches:
-            for value, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                counts[y].update(terms_of_text(value or ""))
-        for y, own in enumerate(counts):
-            yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.string()), pa.array([y] * len(own), pa.int32()), pa.array(list(own.values()), pa.int64())], names=["term", "y", "n"])
-
-    n_toxic, n_clean = (examples.where(F.col("y") == y).count() for y in (1, 0))
-
-    # log-likelihood ratio of a term's share in toxic and in clean examples; only terms that pass reach the driver
-    p, q = (F.col("toxic") + 0.5) / (n_toxic + 1), (F.col("clean") + 0.5) / (n_clean + 1)
-    kept = (
-        examples.select("text", "y").mapInArrow(term_counts, "term string, y int, n long").groupBy("term")
-        .agg(*[F.sum(F.when(F.col("y") == y, F.col("n")).otherwise(0)).alias(name) for y, name in ((1, "toxic"), (0, "clean"))])
-        .where(F.col("toxic") >= 4).withColumn("worth", F.col("toxic") * F.log(p / q)).where((F.col("worth") > WORTH) & (p > PURE * q))
-        .orderBy(F.desc("worth"), F.desc("toxic"), "term").limit(MOST_TERMS).select("term").collect()
+            total[-1] += batch.num_rows
+            for _, _, term, _ in shared.value.rows(batch.column(0)):
+                np.add.at(total, term, 1)
+        return total
+
+    everywhere = summed_counts(docs.select(text), len(every) + 1, document_counts, 4096)
+    model = Model(
+        [(sample[k]["id"], sample[k]["y"], weights[sample[k]["y"]] * copies[k], np.searchsorted(every, held[k][0]), held[k][1].astype(np.int64)) for k in sorted(held)],
+        every, everywhere[:-1], int(everywhere[-1]),
     )
-    terms = Terms([r["term"] for r in kept])
+    return _calibrated(model, examples)
 
-    def document_counts(terms: Terms):
-        def count(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
-            total = np.zeros(len(terms.terms) + 1, np.int64)
-            for batch in batches:
-                total[-1] += batch.num_rows
-                for row in terms.rows(batch.column(0)):
-                    for t, _ in row:
-                        total[t] += 1
-            return total
 
-        return count
+def _calibrated(model: Model, examples: DataFrame) -> Model:
+    """The model with its calibration: the vote of each example without itself, taken on the executors."""
+    spark = examples.sparkSession
+    shared = spark.sparkContext.broadcast(model)
 
-    everywhere = summed_counts(docs.select(text), len(kept) + 1, document_counts(terms))
-    idf = np.log((everywhere[-1] + 1) / (everywhere[:-1] + 1)) + 1
+    def left_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = batch.column(0).to_pylist()
+            votes = [shared.value.votes(*found) for found in shared.value.near(batch.column(1), own)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(votes) if votes else np.zeros(0))], names=["id", "vote"])
 
-    found = append_column(examples, "text", "terms", T.ArrayType(T.ArrayType(T.IntegerType())), lambda c: pa.array([[list(x) for x in row] for row in terms.rows(c)], pa.list_(pa.list_(pa.int32()))))
-    rows = sorted(found.select("id", "y", "copies", "terms").collect(), key=lambda r: str(r["id"]))
-    return Model(terms.terms, idf, [[tuple(x) for x in r["terms"]] for r in rows], [r["y"] for r in rows], [r["id"] for r in rows], [weights[r["y"]] * r["copies"] for r in rows])
+    kind = examples.schema["id"].dataType.simpleString()
+    votes = {r["id"]: r["vote"] for r in examples.select("id", "text").repartition(spark.sparkContext.defaultParallelism).mapInArrow(left_out, f"id {kind}, vote double").collect()}
+    x = np.array([votes.get(k, np.nan) for k in model.ids], np.float64)
+    model.x, model.y = isotonic(np.where(np.isnan(x), model.bare, x), model.labels, model.share)
+    return model
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> tuple[DataFrame, str]:
     """docs with one more struct column (score, evidence: up to five neighbours), and its name. The model is
-    broadcast; MOST_EXAMPLES and MOST_TERMS bound it."""
+    broadcast; MOST_EXAMPLES and MOST_EXAMPLE_BYTES bound it."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     name = free_name(docs, "toxicity")
     return append_column(docs, text, name, _RESULT, lambda c: shared.value.score(c)), name
