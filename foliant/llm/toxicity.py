@@ -34,12 +34,13 @@ from foliant.llm.common import append_column, free_name, lower_ascii_table, summ
 from foliant.session import bound_batches, cut
 
 #: Examples of each kind, those with the smallest hash, and bytes of their texts: bounds the index and what is fitted.
-MOST_EXAMPLES = 4096
-MOST_EXAMPLE_BYTES = 64_000_000
+MOST_EXAMPLES = 2048
+MOST_EXAMPLE_BYTES = 16_000_000
 #: Near copies among the examples: words of a shingle and least similarity.
 COPY_SIZE, COPY_SHARE = 5, (80, 100)
-#: Log-likelihood ratio at which a term's relevance is full, and the relevance of a term without any.
-FULL_TIE, FLOOR = 30.0, 0.02
+#: Log-likelihood ratio at which a term's relevance is full, the relevance of a term without any, and the standard errors
+#: by which a ratio is lowered.
+FULL_TIE, FLOOR, SURE = 30.0, 0.02, 1.5
 NEIGHBOURS = 32
 BLOCK = 128
 #: Bytes of a word's beginning, which is a term of its own: rare words of a family share it.
@@ -104,7 +105,7 @@ class Index:
         cell = term * np.int64(max(1, self.blocks)) + row // BLOCK
         order = np.argsort(cell, kind="stable")
         cells, at = np.unique(cell[order], return_index=True)
-        self.best = np.maximum.reduceat(weight[order], at) if len(at) else np.zeros(0)
+        self.best = np.maximum.reduceat(weight[order], at) if len(at) else np.zeros(0, np.float32)
         self.best_block = (cells % max(1, self.blocks)).astype(np.int32)
         self.best_first = np.searchsorted(cells // max(1, self.blocks), np.arange(terms + 1))
 
@@ -113,7 +114,7 @@ class Index:
         n = first[term + 1] - first[term]
         places = np.repeat(first[term] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
         cells = np.repeat(row, n) * width + to[places]
-        return np.bincount(cells, weights=np.repeat(weight, n) * value[places], minlength=rows * width).reshape(rows, width)
+        return np.bincount(cells, weights=np.repeat(weight, n) * value[places], minlength=rows * width).astype(np.float64).reshape(rows, width)
 
     def search(self, row: np.ndarray, term: np.ndarray, weight: np.ndarray, rows: int, k: int = NEIGHBOURS, skip: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(cosine, example) of the k nearest of each of rows texts, nearest first, ties to the earlier example;
@@ -168,26 +169,26 @@ class Index:
 class Model:
     """Terms, their weights, the examples' index and, once calibrated, the knots of the calibration."""
 
-    def __init__(self, examples: list[tuple[object, int, float, np.ndarray, np.ndarray]], known: np.ndarray, frequency: np.ndarray, documents: int) -> None:
-        """examples: (id, label, share, term, count)."""
+    def __init__(self, ids: list, labels: np.ndarray, share: np.ndarray, row: np.ndarray, term: np.ndarray, count: np.ndarray, known: np.ndarray, frequency: np.ndarray, documents: int) -> None:
+        """(row, term, count): the words of the examples, ordered by row."""
         self.terms = Terms(known)
-        labels = np.array([y for _, y, *_ in examples], np.int64)
-        held = [np.bincount(np.concatenate([t for _, y, _, t, _ in examples if y == kind] or [np.zeros(0, np.int64)]), minlength=len(known)) for kind in (1, 0)]
-        self.term_weight = (np.log((documents + 1) / (frequency + 1)) + 1) * relevance(held[0], held[1], int((labels == 1).sum()), int((labels == 0).sum()))
-        bare = [k for k, x in enumerate(examples) if not len(x[3])]
-        rate = lambda rows: sum(examples[k][2] * labels[k] for k in rows) / max(1e-12, sum(examples[k][2] for k in rows))
-        self.bare = float(rate(bare or range(len(examples)))) if examples else 0.0
+        held = [np.bincount(term[labels[row] == kind], minlength=len(known)) for kind in (1, 0)]
+        tie = relevance(held[0], held[1], int((labels == 1).sum()), int((labels == 0).sum()))
+        self.term_weight = (np.log((documents + 1) / (frequency + 1)) + 1) * tie
+        first = np.searchsorted(row, np.arange(len(ids) + 1))
+        bare = np.flatnonzero(np.diff(first) == 0)
+        base = bare if len(bare) else np.arange(len(ids))
+        self.bare = float((share[base] * labels[base]).sum() / max(1e-12, share[base].sum())) if len(base) else 0.0
         # examples whose strongest terms agree are neighbours, so that few blocks hold a strong term
-        kept = [x for x in examples if len(x[3])]
-        strongest = [int(t[np.argmax(self.term_weight[t])]) for *_, t, _ in kept]
-        kept = [kept[k] for k in sorted(range(len(kept)), key=lambda k: (-kept[k][1], strongest[k], str(kept[k][0])))]
-        self.ids = [x[0] for x in kept]
-        self.labels = np.array([x[1] for x in kept], np.float64)
-        self.share = np.array([x[2] for x in kept], np.float64)
-        row = np.repeat(np.arange(len(kept)), [len(x[3]) for x in kept])
-        term = np.concatenate([x[3] for x in kept]) if kept else np.zeros(0, np.int64)
-        count = np.concatenate([x[4] for x in kept]) if kept else np.zeros(0, np.int64)
-        self.index = Index(row, term, self.weights(row, term, count, len(kept)), len(kept), len(known))
+        own = [term[a:b] for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+        strongest = [int(t[np.argmax(self.term_weight[t])]) if len(t) else -1 for t in own]
+        kept = sorted((k for k in range(len(ids)) if len(own[k])), key=lambda k: (-labels[k], strongest[k], str(ids[k])))
+        place = np.full(len(ids), -1, np.int32)
+        place[kept] = np.arange(len(kept), dtype=np.int32)
+        self.ids = [ids[k] for k in kept]
+        self.labels, self.share = labels[kept].astype(np.float64), share[kept].astype(np.float64)
+        row = place[row]
+        self.index = Index(row, term, self.weights(row, term, count, len(kept)).astype(np.float32), len(kept), len(known))
         self.places = {x: k for k, x in enumerate(self.ids)}
         self.x, self.y = np.array([0.0, 1.0]), np.array([0.0, 1.0])
 
@@ -232,10 +233,11 @@ class Model:
 
 
 def relevance(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int) -> np.ndarray:
-    """FLOOR to 1 + FLOOR times the squared log ratio of a term's share in toxic and in clean examples; the
-    log-likelihood ratio says how much of it counts."""
+    """FLOOR, and the squared log ratio of a term's share in toxic and in clean examples as far as it is sure (less SURE
+    standard errors), in full where it makes up a log-likelihood of FULL_TIE."""
     ratio = np.log(((toxic + 0.5) / (n_toxic + 1)) / ((clean + 0.5) / (n_clean + 1)))
-    return FLOOR + np.clip(toxic * ratio / FULL_TIE, 0, 1) * ratio**2
+    sure = np.maximum(0, ratio - SURE * np.sqrt(1 / (toxic + 0.5) + 1 / (clean + 0.5)))
+    return FLOOR + np.minimum(1, toxic * sure / FULL_TIE) * sure**2
 
 
 _RESULT = T.StructType(
@@ -310,12 +312,15 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
                     counts.append(n.astype(np.int32).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hashes, pa.binary()), pa.array(counts, pa.binary())], names=["key", "hashes", "counts"])
 
-    held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-    for r in examples.select("key", "text").mapInArrow(own_words, "key long, hashes binary, counts binary").collect():
-        own = np.frombuffer(r["hashes"], np.uint64), np.frombuffer(r["counts"], np.int32)
-        if r["key"] not in held or own[0].tobytes() < held[r["key"]][0].tobytes():  # an id of several texts has one
-            held[r["key"]] = own
-    every = np.unique(np.concatenate([h for h, _ in held.values()])) if held else np.zeros(0, np.uint64)
+    found = examples.select("key", "text").mapInArrow(own_words, "key long, hashes binary, counts binary")
+    found = found.groupBy("key").agg(F.min(F.struct("hashes", "counts")).alias("x")).select("key", "x.*").orderBy("key").toArrow()  # an id of several texts has one
+    keys = found["key"].to_pylist()
+    hashes = np.frombuffer(b"".join(found["hashes"].to_pylist()), np.uint64)
+    count = np.frombuffer(b"".join(found["counts"].to_pylist()), np.int32)
+    row = np.repeat(np.arange(len(keys), dtype=np.int32), pc.binary_length(found["counts"]).to_numpy() // 4 if keys else 0)
+    every = np.unique(hashes)
+    term = np.searchsorted(every, hashes).astype(np.int32)
+    del found, hashes
     terms = Terms(every)
     shared = spark.sparkContext.broadcast(terms)
 
@@ -328,10 +333,11 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
         return total
 
     everywhere = summed_counts(docs.select(text), len(every) + 1, document_counts, 4096)
-    model = Model(
-        [(sample[k]["id"], sample[k]["y"], weights[sample[k]["y"]] * copies[k], np.searchsorted(every, held[k][0]), held[k][1].astype(np.int64)) for k in sorted(held)],
-        every, everywhere[:-1], int(everywhere[-1]),
-    )
+    of = [sample[k] for k in keys]
+    labels_of = np.array([r["y"] for r in of], np.int64)
+    share = np.array([weights[r["y"]] * copies[k] for k, r in zip(keys, of, strict=True)], np.float64)
+    model = Model([r["id"] for r in of], labels_of, share, row, term, count, every, everywhere[:-1], int(everywhere[-1]))
+    del row, term, count
     return _calibrated(model, examples)
 
 
