@@ -1,16 +1,20 @@
 """Approximate nearest neighbours by inner product, with an inverted multi-index.
 
 Both halves of the vectors have their own codebook, fitted on a bounded sample; every vector is an entry of
-the cell of its pair of centroids. A query visits pairs by summed distance, off a heap over both sorted
-lists, until the visited cells hold enough entries: a share of all that is measured on the sample so that
-95 of 100 true neighbours are reached, and LEAST_ENTRIES at least. Entries of visited cells are scored exactly,
-in blocks of bounded size; a score below what the sample's entries in the same cells offer a query cannot be
+the cell of its pair of centroids, of about CELL_ENTRIES on average. A query visits pairs by summed distance, off a
+heap over tiles of both sorted lists, until the visited cells hold a share of all entries; the share is measured on the
+sample so that RECALL of its true neighbours are reached. Since summed distances order the pairs, the visited ones are
+those up to one distance, the query's reach.
+
+Entries are dealt into blocks of bounded size by their first centroid, once each. A query goes to the blocks where its
+reach holds a cell, and is scored exactly there against the entries within reach; queries stream past a block, so that
+a task holds one block and one batch of queries. A score below what the sample's entries in reach offer cannot be
 among the nearest found.
 
 Defined results: vectors that are null, zero, of another length than most, or hold null or non-finite
-components take no part, nor do rows without an id; a query never finds rows of its own id, and repeated
-rows of a query id are one query; fewer candidates than asked for give fewer rows; ties go to the smaller
-id; an empty table gives an empty result.
+components take no part, nor do rows without an id; a query never finds rows of its own id; of a query id's different
+vectors the least asks, repeated rows of it ask once; fewer candidates than asked for give fewer rows; ties go to the
+smaller id; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,16 +29,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from foliant.llm.common import summed_counts
+
 #: Vectors that codebooks and the share to visit are fitted on, those with the smallest hash.
 FIT_ROWS = 8192
-#: Entries of a cell on average, and centroids of a half at most.
-CELL_ENTRIES = 64
-MOST_CENTROIDS = 256
-LEAST_ENTRIES = 2000
-RECALL = 0.95
-#: Entries and queries that meet in one task at a time.
-BLOCK_ROWS = 4096
-BLOCK_QUERIES = 16384
+#: Entries of a cell on average, and centroids of a half at most (the sample has no more to tell apart).
+CELL_ENTRIES = 4
+MOST_CENTROIDS = 1024
+RECALL = 0.94
+#: Centroids of each half in a tile of the heap.
+TILE = 16
+#: Entries of a block at most, and queries that are scored at a time.
+BLOCK_ROWS = 65_536
+STEP_QUERIES = 64
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
@@ -68,22 +75,37 @@ class Codebooks:
         return nearest(x[:, : self.cut], self.halves[0]), nearest(x[:, self.cut :], self.halves[1])
 
     def distances(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """How much less than the best centroid of its half each centroid gives to the inner product."""
-        one, two = self.halves[0] @ q[: self.cut], self.halves[1] @ q[self.cut :]
-        return one.max() - one, two.max() - two
+        """How much less than the best centroid of its half each centroid gives to the inner product with each row of q."""
+        one, two = q[:, : self.cut] @ self.halves[0].T, q[:, self.cut :] @ self.halves[1].T
+        return one.max(1, keepdims=True) - one, two.max(1, keepdims=True) - two
+
+
+def reach(one: np.ndarray, two: np.ndarray, counts: np.ndarray, budget: int) -> float:
+    """The summed distance up to which pairs of centroids hold budget entries, or all: tiles of pairs come off a heap by
+    their least distance; once they hold enough, only tiles that begin nearer can still matter."""
+    a, b = np.argsort(one, kind="stable"), np.argsort(two, kind="stable")
+    one, two = one[a], two[b]
+    heap = [(one[0] + two[0], 0, 0)]
+    sums, held, total, bound = [], [], 0, math.inf
+    while heap and heap[0][0] < bound:
+        _, i, j = heapq.heappop(heap)
+        sums.append((one[i : i + TILE, None] + two[None, j : j + TILE]).ravel())
+        held.append(counts[np.ix_(a[i : i + TILE], b[j : j + TILE])].ravel())
+        total += int(held[-1].sum())
+        if j == 0 and i + TILE < len(a):
+            heapq.heappush(heap, (one[i + TILE] + two[0], i + TILE, 0))
+        if j + TILE < len(b):
+            heapq.heappush(heap, (one[i] + two[j + TILE], i, j + TILE))
+        if total >= budget and bound == math.inf:
+            bound = _level(sums, held, budget)
+    return _level(sums, held, budget)
 
 
-def walk(one: np.ndarray, two: np.ndarray) -> Iterator[tuple[int, int]]:
-    """All pairs of centroids by summed distance, nearest first, off a heap."""
-    a, b = np.argsort(one, kind="stable").tolist(), np.argsort(two, kind="stable").tolist()
-    heap = [(one[a[0]] + two[b[0]], 0, 0)]
-    while heap:
-        _, i, j = heapq.heappop(heap)
-        yield a[i], b[j]
-        if j == 0 and i + 1 < len(a):
-            heapq.heappush(heap, (one[a[i + 1]] + two[b[0]], i + 1, 0))
-        if j + 1 < len(b):
-            heapq.heappush(heap, (one[a[i]] + two[b[j + 1]], i, j + 1))
+def _level(sums: list[np.ndarray], held: list[np.ndarray], budget: int) -> float:
+    flat, n = np.concatenate(sums), np.concatenate(held)
+    order = np.argsort(flat, kind="stable")
+    at = int(np.searchsorted(np.cumsum(n[order]), budget))
+    return float(flat[order[at]]) if at < len(order) else math.inf
 
 
 def fit(vectors: DataFrame, n: int, k: int, fit_rows: int) -> Codebooks | None:
@@ -98,20 +120,16 @@ def fit(vectors: DataFrame, n: int, k: int, fit_rows: int) -> Codebooks | None:
     books = Codebooks((kmeans(x[:, :half], centroids), kmeans(x[:, half:], centroids) if x.shape[1] > half else np.zeros((1, 0))), x, ids)
     if len(x) <= k + 1:
         return books
-    own = np.stack(books.cells(x), 1)
-    counts = np.zeros((len(books.halves[0]), len(books.halves[1])), np.int64)
-    np.add.at(counts, (own[:, 0], own[:, 1]), 1)
-    needed: list[float] = []
-    for q in range(0, len(x), max(1, len(x) // 256)):
+    one, two = books.cells(x)
+    needed: list[np.ndarray] = []
+    for q in range(0, len(x), max(1, len(x) // 512)):
         scores = x @ x[q]
         scores[q] = -np.inf
         near = np.argpartition(-scores, k)[:k]
-        one, two = books.distances(x[q])
-        order = (one[:, None] + two[None, :]).ravel().argsort(kind="stable")
-        before = np.empty(len(order))
-        before[order] = np.cumsum(counts.ravel()[order])
-        needed += (before[own[near, 0] * counts.shape[1] + own[near, 1]] / len(x)).tolist()
-    books.share = float(np.quantile(needed, RECALL))
+        to_one, to_two = books.distances(x[q : q + 1])
+        far = to_one[0, one] + to_two[0, two]
+        needed.append(np.searchsorted(np.sort(far), far[near], "right") / len(x))
+    books.share = float(np.quantile(np.concatenate(needed), RECALL))
     return books
 
 
@@ -132,86 +150,131 @@ def search(table: DataFrame, is_query: Column, vec_id: str = "vec_id", vector: s
     books = fit(own.select("id", "v"), n, k, fit_rows)
     shared = spark.sparkContext.broadcast(books)
     element = own.schema["v"].dataType.elementType.simpleString()
+    shape = len(books.halves[0]), len(books.halves[1])
 
     def matrix(column: pa.Array) -> np.ndarray:
+        column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
         return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
-    def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+        total = np.zeros(shape[0] * shape[1], np.int64)
         for batch in batches:
             if batch.num_rows:
-                i, j = shared.value.cells(matrix(batch.column(1)))
-                yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(j, pa.int32()), batch.column(0), batch.column(1)], names=["i", "j", "id", "v"])
-
-    index = own.select("id", "v").mapInArrow(enter, f"i int, j int, id long, v array<{element}>")
-    held = index.groupBy("i", "j").count().collect()  # at most MOST_CENTROIDS squared
-    counts = np.zeros((len(books.halves[0]), max(1, len(books.halves[1]))), np.int64)
-    for r in held:
-        counts[r["i"], r["j"]] = r["count"]
-    blocks = np.maximum(1, -(-counts.sum(1) // BLOCK_ROWS))
-    budget = max(LEAST_ENTRIES, math.ceil(books.share * n))
-    sizes = spark.sparkContext.broadcast(counts)
+                i, j = shared.value.cells(matrix(batch.column(0)))
+                np.add.at(total, i * shape[1] + j, 1)
+        return total
+
+    counts = summed_counts(own.select("v"), shape[0] * shape[1], count, 4096).reshape(shape)
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    block_rows = min(BLOCK_ROWS, max(1024, -(-n // (2 * partitions))))
+    first, parts, blocks = _blocks(counts.sum(1), block_rows)
+    sizes = spark.sparkContext.broadcast((counts, first, parts))
+    budget = max(k + 1, math.ceil(books.share * n))
+    fields = f"block int, asks boolean, id long, reach double, least double, i int, j int, v array<{element}>"
+
+    def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _, first, parts = sizes.value
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            i, j = shared.value.cells(matrix(batch.column(1)))
+            part = batch.column(2).to_numpy() % parts[i]
+            none = pa.nulls(len(i), pa.float64())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(first[i] + part, pa.int32()), pa.array(np.zeros(len(i), bool)), batch.column(0), none, none, pa.array(i, pa.int32()), pa.array(j, pa.int32()), batch.column(1)],
+                names=["block", "asks", "id", "reach", "least", "i", "j", "v"],
+            )
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, first, parts = sizes.value
+        one, two = shared.value.cells(shared.value.sample)
         for batch in batches:
             if not batch.num_rows:
                 continue
             ids, x = batch.column(0).to_numpy(), matrix(batch.column(1))
-            one, two = shared.value.cells(shared.value.sample)
-            rows, first, seconds, least = [], [], [], []
+            to_one, to_two = shared.value.distances(x)
+            rows, block, far, least = [], [], [], []
             for r in range(len(ids)):
-                visited = np.zeros(sizes.value.shape, bool)
-                cells: dict[int, list[int]] = {}
-                seen = 0
-                for i, j in walk(*shared.value.distances(x[r])):
-                    if sizes.value[i, j]:
-                        cells.setdefault(i, []).append(j)
-                        visited[i, j] = True
-                        seen += int(sizes.value[i, j])
-                        if seen >= budget:
-                            break
-                scores = shared.value.sample[visited[one, two] & (shared.value.sample_ids != ids[r])] @ x[r]
-                floor = float(np.partition(scores, len(scores) - k)[len(scores) - k]) - 1e-9 * (1 + abs(float(scores.max()))) if len(scores) >= k else -np.inf
-                for i, js in cells.items():
-                    rows.append(r)
-                    first.append(i)
-                    seconds.append(js)
-                    least.append(floor)
-            at = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(first, pa.int32()), pa.array(seconds, pa.list_(pa.int32())), pa.array(least, pa.float64()), batch.column(0).take(at), batch.column(1).take(at)], names=["i", "js", "least", "id", "v"])
-
-    queries = own.where("asks").select("id", "v").dropDuplicates(["id"])
-    many = max(1, -(-queries.count() // BLOCK_QUERIES))
-    # a first centroid with many entries is dealt over several blocks, which its queries all visit
-    parts = F.element_at(F.array(*[F.lit(int(b)) for b in blocks]), F.col("i") + 1)
-    asked = queries.repartition("id").mapInArrow(visit, f"i int, js array<int>, least double, id long, v array<{element}>")
-    asked = asked.withColumn("deal", F.pmod(F.xxhash64("id"), F.lit(many)).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
-    entries = index.withColumn("part", F.pmod(F.xxhash64("id"), parts).cast("int")).withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(many - 1))))
-
-    def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        if left.num_rows and right.num_rows:
-            left, right = left.combine_chunks(), right.combine_chunks()
-            q, x = matrix(left["v"].combine_chunks()), matrix(right["v"].combine_chunks())
-            qid, xid, j = left["id"].to_numpy(), right["id"].to_numpy(), right["j"].to_numpy()
-            js, least = left["js"].to_pylist(), left["least"].to_numpy()
-            for at in range(0, len(q), 512):
-                rough = q[at : at + 512] @ x.T
-                for r in range(len(rough)):
-                    visited = np.zeros(int(j.max()) + 1, bool)
-                    visited[[c for c in js[at + r] if c < len(visited)]] = True
-                    ok = np.flatnonzero(visited[j] & (rough[r] >= least[at + r]) & (xid != qid[at + r]))
-                    if not len(ok):
-                        continue
-                    exact = (x[ok] * q[at + r]).sum(1)
-                    best = np.lexsort((xid[ok], -exact))[:k]
-                    found.append((np.full(len(best), qid[at + r]), xid[ok][best], exact[best]))
-        columns = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
-        return pa.table({"query_id": pa.array(columns[0], pa.int64()), "vec_id": pa.array(columns[1], pa.int64()), "score": pa.array(columns[2], pa.float64())})
-
-    near = asked.groupBy("i", "part", "deal").cogroup(entries.groupBy("i", "part", "deal")).applyInArrow(score, "query_id long, vec_id long, score double")
+                level = reach(to_one[r], to_two[r], counts, budget)
+                inside = (to_one[r, one] + to_two[r, two] <= level) & (shared.value.sample_ids != ids[r])
+                scores = shared.value.sample[inside] @ x[r]
+                floor = float(np.partition(scores, len(scores) - k)[len(scores) - k]) - 1e-9 * (1 + abs(float(scores.max()))) if len(scores) >= k else -math.inf
+                visited = np.flatnonzero(((to_one[r][:, None] + to_two[r][None, :] <= level) & (counts > 0)).any(1))
+                asked = np.unique(np.concatenate([np.arange(first[i], first[i] + parts[i]) for i in visited.tolist()]))
+                rows.append(np.full(len(asked), r))
+                block.append(asked)
+                far.append(np.full(len(asked), level))
+                least.append(np.full(len(asked), floor))
+            at = pa.array(np.concatenate(rows))
+            none = pa.nulls(len(at), pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate(block), pa.int32()), pa.array(np.ones(len(at), bool)), batch.column(0).take(at), pa.array(np.concatenate(far)), pa.array(np.concatenate(least)), none, none, batch.column(1).take(at)],
+                names=["block", "asks", "id", "reach", "least", "i", "j", "v"],
+            )
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        block, entries = None, None
+        for batch in batches:
+            blocks, asks = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
+            cuts = np.flatnonzero((blocks[1:] != blocks[:-1]) | (asks[1:] != asks[:-1])) + 1
+            for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(blocks)], strict=True):
+                if hi == lo:
+                    continue
+                part = batch.slice(lo, hi - lo)
+                if blocks[lo] != block:
+                    block, entries, held = blocks[lo], None, []
+                if not asks[lo]:
+                    held.append(part)
+                    continue
+                if entries is None and held:
+                    whole = pa.Table.from_batches(held).combine_chunks()
+                    entries, held = (whole["id"].to_numpy(), whole["i"].to_numpy(), whole["j"].to_numpy(), matrix(whole["v"])), []
+                for at in range(0, part.num_rows, STEP_QUERIES):
+                    if entries is not None:
+                        yield nearest_in(entries, part.slice(at, STEP_QUERIES))
+
+    def nearest_in(entries: tuple[np.ndarray, ...], asked: pa.RecordBatch) -> pa.RecordBatch:
+        ids, i, j, x = entries
+        q, own = matrix(asked.column(7)), asked.column(2).to_numpy()
+        to_one, to_two = shared.value.distances(q)
+        rough = q @ x.T
+        rough[(to_one[:, i] + to_two[:, j] > asked.column(3).to_numpy()[:, None]) | (rough < asked.column(4).to_numpy()[:, None]) | (ids[None, :] == own[:, None])] = -np.inf
+        at_least = np.partition(rough, len(ids) - k, axis=1)[:, len(ids) - k] if len(ids) > k else np.full(len(q), -np.inf)
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        for r in range(len(q)):
+            ok = np.flatnonzero((rough[r] > -np.inf) & (rough[r] >= at_least[r] - 1e-9 * (1 + abs(at_least[r])) if at_least[r] > -np.inf else rough[r] > -np.inf))
+            exact = (x[ok] * q[r]).sum(1)
+            best = np.lexsort((ids[ok], -exact))[:k]
+            found.append((np.full(len(best), own[r]), ids[ok][best], exact[best]))
+        columns = [np.concatenate(c) for c in zip(*found, strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query_id", "vec_id", "score"])
+
+    hashed = F.pmod(F.xxhash64("id"), F.lit(1 << 30))
+    entries = own.select("id", "v", hashed.alias("h")).mapInArrow(enter, fields)
+    queries = own.where("asks").groupBy("id").agg(F.min("v").alias("v")).repartition(partitions, "id")
+    met = entries.unionByName(queries.mapInArrow(visit, fields)).repartition(max(1, min(blocks, 4 * partitions)), "block").sortWithinPartitions("block", "asks")
+    near = met.mapInArrow(score, "query_id long, vec_id long, score double")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return near.withColumn("rank", place.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def _blocks(entries: np.ndarray, block_rows: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """(first block, blocks) of each first centroid, and the number of blocks: centroids share a block while they fit;
+    one with more entries than a block may hold is dealt over several."""
+    first, parts = np.zeros(len(entries), np.int64), np.ones(len(entries), np.int64)
+    block, room = 0, block_rows
+    for i, n in enumerate(entries.tolist()):
+        if n > room and room < block_rows:
+            block, room = block + 1, block_rows
+        first[i] = block
+        if n > block_rows:
+            parts[i] = -(-n // block_rows)
+            block, room = block + int(parts[i]), block_rows
+        else:
+            room -= n
+    return first, parts, block + (room < block_rows)
+
+
 def digest(table: DataFrame) -> DataFrame:
     return search(table, F.col("vec_id") % 20 == 0)
