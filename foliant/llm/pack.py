@@ -36,11 +36,15 @@ END_ID = 1
 #: Pieces in a group: bounds the memory and time of one island.
 GROUP_PIECES = 4096
 ISLANDS = 2
-EPOCHS = 2
-GENERATIONS = 10
-POPULATION = 4
+EPOCHS = 3
+GENERATIONS = 30
+POPULATION = 8
+#: Loose pieces up to which the local search also tries pairs of them.
+PAIR_PIECES = 64
 #: Bins filled less than this share are dealt again.
 POOR = 0.98
+#: Dealing again goes on while it spares this share of the bins that are dealt.
+WORTH_DEALING = 0.001
 #: Bytes of text tokenised at a time.
 STEP_BYTES = 2_000_000
 #: Words whose ids a worker remembers, twice over.
@@ -173,10 +177,57 @@ def fitness(bins: list[Bin], capacity: int) -> tuple[int, float]:
     return -len(bins), sum((load / capacity) ** 2 for load, _ in bins)
 
 
+def exchange(bins: list[Bin], loose: list[int], lengths: list[int], capacity: int, rng: random.Random) -> tuple[list[Bin], list[int]]:
+    """Local search before loose pieces are best-fitted: a bin gives one or two pieces for one or two loose ones that
+    fill it better; what it gives is smaller and finds a place more easily. Each exchange fills a bin further, so it ends."""
+    out = list(bins)
+    free = sorted((lengths[p], p) for p in loose)
+    order = [k for k, (load, _) in enumerate(out) if load < capacity]
+    rng.shuffle(order)
+    for k in order:
+        better = True
+        while better and free and out[k][0] < capacity:
+            better = False
+            load, part = out[k]
+            room = capacity - load
+            gives = [(lengths[p], (p,)) for p in part]
+            if len(part) <= 8:
+                gives += [(lengths[p] + lengths[q], (p, q)) for x, p in enumerate(part) for q in part[:x]]
+            best: tuple[int, tuple[int, ...], tuple[int, ...]] | None = None
+            for size, give in gives:
+                at = bisect_left(free, (size + room + 1, -1)) - 1
+                if at >= 0 and free[at][0] > size and (best is None or free[at][0] - size > best[0]):
+                    best = free[at][0] - size, give, (at,)
+                if len(free) <= PAIR_PIECES and (best is None or best[0] < room):
+                    low, high = 0, len(free) - 1
+                    while low < high:  # the pair of loose pieces that comes nearest to size + room
+                        both = free[low][0] + free[high][0]
+                        if both > size + room:
+                            high -= 1
+                        else:
+                            if both > size and (best is None or both - size > best[0]):
+                                best = both - size, give, (low, high)
+                            low += 1
+            if best:
+                gain, give, take = best
+                out[k] = load + gain, tuple(p for p in part if p not in give) + tuple(free[t][1] for t in take)
+                for t in sorted(take, reverse=True):
+                    del free[t]
+                for p in give:
+                    insort(free, (lengths[p], p))
+                better = True
+    return out, [p for _, p in free]
+
+
+def placed_anew(bins: list[Bin], loose: list[int], lengths: list[int], capacity: int, rng: random.Random) -> list[Bin]:
+    bins, loose = exchange(bins, loose, lengths, capacity, rng)
+    return best_fit(bins, loose, lengths, capacity)
+
+
 def cross(a: list[Bin], b: list[Bin], lengths: list[int], capacity: int, rng: random.Random) -> list[Bin]:
-    """Well-filled bins of b put whole into a; bins of a with the same pieces go, and what they lose is best-fitted."""
+    """Well-filled bins of b put whole into a; bins of a with the same pieces go, and what they lose is placed anew."""
     full = sorted(b, key=lambda x: -x[0])[: max(1, len(b) // 2)]
-    gift = rng.sample(full, max(1, len(full) // 6))
+    gift = rng.sample(full, max(1, len(full) // 3))
     given = {p for _, part in gift for p in part}
     kept, loose = [], []
     for load, part in a:
@@ -184,20 +235,38 @@ def cross(a: list[Bin], b: list[Bin], lengths: list[int], capacity: int, rng: ra
             kept.append((load, part))
         else:
             loose += [p for p in part if p not in given]
-    return best_fit(kept + gift, loose, lengths, capacity)
+    return placed_anew(kept + gift, loose, lengths, capacity, rng)
 
 
 def mutate(bins: list[Bin], lengths: list[int], capacity: int, rng: random.Random) -> list[Bin]:
-    """The emptiest bins and a few others are opened and best-fitted anew."""
+    """The emptiest bins and a few others are opened and their pieces placed anew."""
     order = sorted(range(len(bins)), key=lambda k: bins[k][0])
     opened = set(order[: max(2, len(bins) // 100)]) | set(rng.sample(range(len(bins)), min(len(bins), 3)))
-    return best_fit([b for k, b in enumerate(bins) if k not in opened], [p for k in opened for p in bins[k][1]], lengths, capacity)
+    return placed_anew([b for k, b in enumerate(bins) if k not in opened], [p for k in opened for p in bins[k][1]], lengths, capacity, rng)
+
+
+def fewest(lengths: list[int], capacity: int) -> int:
+    """A lower bound of the number of bins: for each size a, pieces above capacity - a have bins of their own, those
+    above one half too, and the others from a on fill at best the room that the latter leave."""
+    x = np.sort(np.array(lengths, np.int64))
+    if not len(x):
+        return 0
+    total = np.concatenate([[0], np.cumsum(x)])
+    half = int(np.searchsorted(x, capacity // 2, "right"))
+    a = np.unique(np.concatenate([[0], x[:half]]))
+    big = np.searchsorted(x, capacity - a, "right")
+    small = np.searchsorted(x, a, "left")
+    n_big, n_half = len(x) - big, np.maximum(0, big - half)
+    room = n_half * capacity - (total[np.maximum(big, half)] - total[half])
+    rest = total[half] - total[np.minimum(small, half)] - room
+    return int((n_big + n_half + np.maximum(0, -(-rest // capacity))).max())
 
 
 def evolve(lengths: list[int], elites: list[list[int]], seed: int, capacity: int, generations: int = GENERATIONS) -> list[int]:
-    """The bin of each piece in the best packing that an island finds; elites are packings to start from."""
+    """The bin of each piece in the best packing that an island finds; elites are packings to start from. A packing
+    that meets the lower bound ends the search."""
     rng = random.Random(seed)
-    least = -(-sum(lengths) // capacity)
+    least = fewest(lengths, capacity)
     people: list[list[Bin]] = []
     for elite in elites:
         by_bin: dict[int, list[int]] = {}
@@ -207,17 +276,21 @@ def evolve(lengths: list[int], elites: list[list[int]], seed: int, capacity: int
     if not people:
         people.append(best_fit([], list(range(len(lengths))), lengths, capacity))
     while len(people) < POPULATION and len(people[0]) > least:
-        half = [b for b in people[0] if rng.random() < 0.5]
+        # half of a packing that is known, and the rest placed in an order of its own
+        half = [b for b in people[rng.randrange(len(people))] if rng.random() < 0.5]
         inside = {p for _, part in half for p in part}
-        people.append(best_fit(half, [p for p in range(len(lengths)) if p not in inside], lengths, capacity))
+        people.append(placed_anew(half, [p for p in range(len(lengths)) if p not in inside], lengths, capacity, rng))
     rank = lambda x: fitness(x, capacity)
     for _ in range(generations):
         people.sort(key=rank, reverse=True)
         if len(people[0]) <= least or len(people) < 2:
             break
-        a, b = people[0], people[rng.randrange(1, len(people))]
-        children = [cross(a, b, lengths, capacity, rng), cross(b, a, lengths, capacity, rng), mutate(a, lengths, capacity, rng)]
-        people = sorted([*people, *children], key=rank, reverse=True)[:POPULATION]
+        a, b = people[rng.randrange(max(1, len(people) // 2))], people[rng.randrange(1, len(people))]
+        children = [cross(a, b, lengths, capacity, rng), cross(b, a, lengths, capacity, rng), mutate(people[0], lengths, capacity, rng)]
+        seen: dict[tuple[int, float], list[Bin]] = {}
+        for x in [*people, *children]:  # packings of one fitness are one individual, so that the population stays varied
+            seen.setdefault(rank(x), x)
+        people = sorted(seen.values(), key=rank, reverse=True)[:POPULATION]
     best = max(people, key=rank)
     out = [0] * len(lengths)
     for k, (_, part) in enumerate(best):
@@ -278,7 +351,7 @@ def pack(
     fields = ["doc_id", "piece", "start", "length", "ids_crc32"]
     done = pieces.where(F.col("length") >= capacity).select(*fields, (F.lit(-1) - F.col("uid")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     todo = pieces.where(F.col("length") < capacity).select("uid", *fields)
-    deal = 0
+    deal, before = 0, None
     while n := todo.count():
         many = -(-n // group_pieces)
         groups = cut(
@@ -294,8 +367,10 @@ def pack(
         )
         placed = cut(placed)
         poor = placed.where(F.col("load") < int(POOR * capacity))
-        # dealing again helps while it is a few poor bins a group; where most stay poor, it cannot
-        last = many == 1 or (poor.agg(F.coalesce(F.sum(F.size("parts")), F.lit(0))).first()[0] > n / 2)
+        # pieces are dealt again until one group is left, or until that no longer spares one bin of a thousand
+        after = placed.count()
+        last = many == 1 or (before is not None and before - after < WORTH_DEALING * before)
+        before = after if last else poor.count()
         good = placed if last else placed.where(F.col("load") >= int(POOR * capacity))
         sequence = F.lit(deal) * F.lit(1 << 56) + F.col("group") * F.lit(1 << 20) + F.col("bin")
         rows = good.select(
