@@ -5,7 +5,8 @@ broadcast; instead both come together in bounded shards:
 
 1. Every window has an anchor, the 4-word run inside it with the least hash. Neighbouring windows with one anchor
    form a segment; equal windows have equal anchors, wherever they stand.
-2. Anchors of two documents or more are kept (partial aggregation, then a join that can split hot keys).
+2. Anchors of two documents or more are kept (partial aggregation; segments of anchors with more rows than a share of
+   a partition are dealt by document, so that no task holds a hot anchor).
    Equal segments of an anchor collapse into one with its smallest document.
 3. An anchor with several different segments is a reference shard: a suffix automaton of its segments holds the
    smallest document of each state, and each segment is streamed through it for matching statistics, which
@@ -15,7 +16,7 @@ broadcast; instead both come together in bounded shards:
 
 Defined results: null and empty texts have no words; texts shorter than a window lose nothing; rows of one
 doc_id are never each other's earlier document; rows of one doc_id with different texts are kept apart by
-a text hash; a row without a doc_id loses nothing and removes nothing; empty tables give empty results.
+33 bits of a text hash, equal rows are one; a row without a doc_id loses nothing and removes nothing; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -113,10 +114,12 @@ def _steps(column: pa.Array) -> Iterator[tuple]:
         yield at, end - at, buf, starts, ends, firsts
 
 
-def _marks(column: pa.Array) -> np.ndarray:
-    """16 bits of each text, to tell texts of one id apart."""
-    out = [int.from_bytes(hashlib.blake2b(t.as_buffer() if t.is_valid else b"", digest_size=2).digest(), "little") for t in column]
-    return np.array(out, np.int64)
+_PLACE_BITS = 30  # a text has at most 2**30 words
+
+
+def _marked(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, mark): mark tells texts of one id apart."""
+    return docs.select("doc_id", "text", F.shiftrightunsigned(F.xxhash64(F.coalesce("text", F.lit(""))), _PLACE_BITS + 1).alias("mark"))
 
 
 def _joined(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[bytes, list[int]]:
@@ -132,7 +135,7 @@ def _joined(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[byte
 
 
 def _segments(batch: pa.RecordBatch, size: int, anchor: int) -> Iterator[pa.RecordBatch]:
-    ids, marks = batch.column(0), _marks(batch.column(1))
+    ids, marks = batch.column(0), batch.column(2).to_numpy()
     reach = size - anchor + 1
     for at, rows, buf, starts, ends, firsts in _steps(batch.column(1)):
         words = word_hashes(buf, starts, ends)
@@ -160,7 +163,7 @@ def _segments(batch: pa.RecordBatch, size: int, anchor: int) -> Iterator[pa.Reco
         with np.errstate(over="ignore"):
             content = mix(whole[first] * np.uint64(0x9E3779B97F4A7C15) + mix(whole[last - 1] + count.astype(np.uint64)))
         yield pa.RecordBatch.from_arrays(
-            [ids.take(pa.array(at + r)), pa.array((marks[at + r] << 40) | (first - firsts[r])), pa.array(count, pa.int32()), pa.array(least[first].view(np.int64)), pa.array(content.view(np.int64))],
+            [ids.take(pa.array(at + r)), pa.array((marks[at + r] << _PLACE_BITS) | (first - firsts[r])), pa.array(count, pa.int32()), pa.array(least[first].view(np.int64)), pa.array(content.view(np.int64))],
             names=["doc_id", "at", "count", "anchor", "content"],
         )
 
@@ -173,24 +176,22 @@ def _segment_rows(docs: DataFrame, size: int, anchor: int) -> DataFrame:
         for batch in batches:
             yield from _segments(batch, size, anchor)
 
-    return docs.where("doc_id is not null").mapInArrow(run, f"doc_id {kind}, at long, count int, anchor long, content long")
+    return _marked(docs.where("doc_id is not null")).mapInArrow(run, f"doc_id {kind}, at long, count int, anchor long, content long")
 
 
 def _words_of(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """(anchor, content, low, words) of the wanted segments (doc_id, parts: at, count, anchor, content, low)."""
-    with_parts = docs.join(wanted, "doc_id").select("doc_id", "text", "parts")
+    """(anchor, content, low, words) of the wanted segments (doc_id, mark, parts: at, count, anchor, content, low)."""
+    with_parts = _marked(docs).join(wanted, ["doc_id", "mark"]).select("doc_id", "text", "parts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            marks, parts = _marks(batch.column(1)), batch.column(2).to_pylist()
+            parts = batch.column(2).to_pylist()
             out = []
             for at, rows, buf, starts, ends, firsts in _steps(batch.column(1)):
                 joined, edges = _joined(buf, starts, ends)
                 for r in range(rows):
                     for p in parts[at + r]:
-                        if p["at"] >> 40 != marks[at + r]:
-                            continue
-                        a = int(firsts[r]) + (p["at"] & (1 << 40) - 1)
+                        a = int(firsts[r]) + (p["at"] & (1 << _PLACE_BITS) - 1)
                         out.append((p["anchor"], p["content"], p["low"], joined[edges[a] : edges[a + p["count"] + size - 1] - 1]))
             if out:
                 columns = list(zip(*out, strict=True))
@@ -219,7 +220,8 @@ def _by_automata(segments: DataFrame, size: int) -> DataFrame:
                 if held and held[0]["anchor"] != x["anchor"]:
                     out += solve(held)
                     held = []
-                held.append(x)
+                if not held or held[-1]["content"] != x["content"]:  # repeated rows give a segment several times
+                    held.append(x)
             if out:
                 yield pa.RecordBatch.from_pylist(out)
         if held:
@@ -245,20 +247,21 @@ def _by_windows(segments: DataFrame, size: int) -> DataFrame:
 
 
 def covered(docs: DataFrame, size: int = WINDOW, anchor: int = ANCHOR, shard_segments: int = SHARD_SEGMENTS, made: list[str] | None = None) -> DataFrame:
-    """(doc_id, spans: array of (at, end)): the windows to remove of each document that has any; at carries the
-    text's mark in its upper bits. docs has doc_id and text; made gets the paths of the tables on the way."""
+    """(doc_id, mark, spans: array of (at, end)): the windows to remove of each document that has any; at and end carry
+    the text's mark in their upper bits. docs has doc_id and text; made gets the paths of the tables on the way."""
     segments = _segment_rows(docs, size, anchor)
-    shared = segments.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("anchor")
-    shared = cut_table(segments.join(shared, "anchor"), made)
+    anchors = segments.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n")).where("low < high").select("anchor", "n")
+    shared = cut_table(_of_anchors(segments, cut_table(anchors, made)), made)
     different = cut_table(
         shared.groupBy("anchor", "content").agg(F.min(F.struct("doc_id", "at", "count")).alias("first"))
         .select("anchor", "content", "first.*").withColumnRenamed("doc_id", "low"),
         made,
     )
-    sizes = different.groupBy("anchor").agg(F.count("*").alias("many"))
-    sized = different.join(sizes, "anchor")
+    sizes = cut_table(different.groupBy("anchor").agg(F.count("*").alias("many")).where("many > 1"), made)
+    sized = different.join(sizes, "anchor", "left").withColumn("many", F.coalesce("many", F.lit(1)))
     mixed = sized.where("many > 1")
-    wanted = mixed.groupBy(F.col("low").alias("doc_id")).agg(F.collect_list(F.struct("at", "count", "anchor", "content", "low")).alias("parts"))
+    mark = F.shiftrightunsigned("at", _PLACE_BITS).alias("mark")
+    wanted = mixed.groupBy(F.col("low").alias("doc_id"), mark).agg(F.collect_list(F.struct("at", "count", "anchor", "content", "low")).alias("parts"))
     words = _words_of(docs, wanted, size)
     large = sizes.where(F.col("many") > shard_segments).select("anchor")
     if large.isEmpty():
@@ -276,8 +279,25 @@ def covered(docs: DataFrame, size: int = WINDOW, anchor: int = ANCHOR, shard_seg
         F.filter(F.transform("lows", lambda x, i: F.struct((x < F.col("doc_id")).alias("ok"), i.alias("i"))), lambda x: x["ok"]),
         lambda x: F.struct((F.col("at") + x["i"]).alias("at"), (F.col("at") + x["i"] + size).alias("end")),
     )
+    mark_of_first = F.shiftrightunsigned(F.col("spans")[0]["at"], _PLACE_BITS).alias("mark")
     spans = found.select("doc_id", F.coalesce(whole, single).alias("spans")).where(F.size("spans") > 0)
-    return spans.groupBy("doc_id").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    return spans.groupBy("doc_id", mark_of_first).agg(F.flatten(F.collect_set("spans")).alias("spans"))
+
+
+def _of_anchors(segments: DataFrame, anchors: DataFrame) -> DataFrame:
+    """The segments of anchors(anchor, n). An anchor of more than a quarter of a partition's rows is dealt over several
+    partitions by document; there are at most four such anchors a partition."""
+    spark = segments.sparkSession
+    total = anchors.agg(F.sum("n")).first()[0] or 0
+    bound = max(1000, total // (4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    hot = [(r["anchor"], -(-r["n"] // bound)) for r in anchors.where(F.col("n") > bound).collect()]
+    if not hot:
+        return segments.join(anchors.select("anchor"), "anchor")
+    parts = F.broadcast(spark.createDataFrame(hot, "anchor long, parts long"))
+    deal = F.when(F.col("parts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("doc_id"), F.coalesce("parts", F.lit(1)))).alias("deal")
+    dealt = segments.join(parts, "anchor", "left").select(*segments.columns, deal)
+    keys = anchors.join(parts, "anchor", "left").select("anchor", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)) - 1)).alias("deal"))
+    return dealt.join(keys, ["anchor", "deal"]).drop("deal")
 
 
 _RESULT = T.StructType(
@@ -286,7 +306,7 @@ _RESULT = T.StructType(
 
 
 def _kept(text: pa.Array, spans: pa.Array, with_text: bool) -> pa.Array:
-    marks, spans = _marks(text), spans.to_pylist()
+    spans = spans.to_pylist()
     n_words, n_removed, kept_texts, digests = [], [], [], []
     for at, rows, buf, starts, ends, firsts in _steps(text):
         joined, edges = _joined(buf, starts, ends)
@@ -295,9 +315,7 @@ def _kept(text: pa.Array, spans: pa.Array, with_text: bool) -> pa.Array:
             keep: list[tuple[int, int]] = []
             gone, done = 0, a
             for s in sorted(spans[at + r] or (), key=lambda s: s["at"]):
-                if s["at"] >> 40 != marks[at + r]:
-                    continue
-                x, y = a + (s["at"] & (1 << 40) - 1), a + (s["end"] & (1 << 40) - 1)
+                x, y = a + (s["at"] & (1 << _PLACE_BITS) - 1), a + (s["end"] & (1 << _PLACE_BITS) - 1)
                 if x > done:
                     keep.append((done, x))
                 gone += max(0, y - max(x, done))
@@ -319,8 +337,10 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", with_text
     made: list[str] = []
     spans = cut_table(covered(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), size, anchor, shard_segments, made))
     drop_tables(docs.sparkSession, made)  # the spans are a table of their own now
-    found = free_name(docs, "spans")
-    joined = docs.join(spans.select(F.col("doc_id").alias(doc_id), F.col("spans").alias(found)), doc_id, "left").select(*[F.col(f"`{c}`") for c in columns], F.col(found))
+    found, mark = free_name(docs, "spans"), free_name(docs, "mark")
+    marked = docs.withColumn(mark, F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))), _PLACE_BITS + 1))
+    own = spans.select(F.col("doc_id").alias(doc_id), F.col("mark").alias(mark), F.col("spans").alias(found))
+    joined = marked.join(own, [doc_id, mark], "left").select(*[F.col(f"`{c}`") for c in columns], F.col(found))
     at = joined.columns.index(text)
     name = free_name(joined, "dedup")
     schema = T.StructType([*docs.schema.fields, T.StructField(name, _RESULT)])
