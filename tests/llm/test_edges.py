@@ -219,6 +219,17 @@ def test_substrings_edges(docs, empty, clashing):
     assert out.columns == [*clashing.columns, name] and out.where("doc_id = 8").first()[name].kept == text(8)
 
 
+def test_substrings_of_many_repeated_rows(spark):
+    """A thousand equal rows of one id stay linear, and rows of one id with different texts keep their own spans."""
+    shared, other = text("shared", 30), text("other", 30)
+    table = [(1, shared)] + [(2, f"{text('b')} {shared} {text('c')} {other}")] * 1000 + [(2, f"{text('d')} {shared}"), (2, text("e")), (0, other)]
+    df = spark.createDataFrame(table, "doc_id long, text string").repartition(4)
+    spans = substrings.covered(df)
+    assert max(len(r.spans) for r in spans.collect()) <= 60
+    got = sorted((r.doc_id, r.n_words, r.n_removed) for r in substrings.digest(df).collect())
+    assert got == sorted([(0, 30, 0), (1, 30, 0)] + [(2, 180, 60)] * 1000 + [(2, 90, 30), (2, 60, 0)])
+
+
 def test_pack(spark, docs, empty):
     got = pack.pack(docs, group_pieces=5).collect()
     whole = pack._encoder(pack.default_tokenizer()).whole
@@ -269,6 +280,27 @@ def test_genetic_algorithm_keeps_pieces_and_improves():
     assert sorted(p for _, part in child for p in part) == list(range(300))
 
 
+def test_genetic_algorithm_beats_best_fit():
+    """Pieces that fill bins exactly in threes, and pieces of a quarter to a half of a bin."""
+    rng = random.Random(5)
+    threes = []
+    for _ in range(40):
+        a = rng.randint(380, 490)
+        b = rng.randint(250, (1000 - a) // 2)
+        threes += [a, b, 1000 - a - b]
+    rng.shuffle(threes)
+    for lengths, capacity in ((threes, 1000), ([rng.randint(1000, 2200) for _ in range(400)], 4096)):
+        plain = len(pack.best_fit([], list(range(len(lengths))), lengths, capacity))
+        islands = [pack.evolve(lengths, [], seed, capacity) for seed in (1, 2)]
+        bins = pack.evolve(lengths, islands, 3, capacity)
+        loads = {}
+        for n, k in zip(lengths, bins, strict=True):
+            loads[k] = loads.get(k, 0) + n
+        assert max(loads.values()) <= capacity and sum(loads.values()) == sum(lengths)
+        assert pack.fewest(lengths, capacity) <= len(loads) < plain
+    assert pack.fewest([3, 3, 3], 4) == 3 and pack.fewest([], 4) == 0 and pack.fewest([2, 2, 1], 4) == 2
+
+
 def test_toxicity(spark, docs, empty, clashing):
     rng = random.Random(4)
     bad = ["idiot", "scum", "moron"]
@@ -285,18 +317,98 @@ def test_toxicity(spark, docs, empty, clashing):
     assert {r.doc_id for r in few.where(f"{name}.score < 0.3").collect()} == {r[0] for r in rows()}
     assert toxicity.digest(empty, labels).count() == 0
     assert {r.predicted for r in toxicity.digest(docs, labels.limit(0)).collect()} == {0}
-    # the search is exact
+    # a bare example set, a null label of a repeated id, and a very long text
+    assert {r.doc_id for r in toxicity.score(train.limit(0), model)[0].collect()} == set()
+    long = spark.createDataFrame([(1, " ".join(WORDS) * 500 + " scum idiot"), (1, None)], "doc_id long, text string")
+    assert sorted(r.doc_id for r in toxicity.score(long, model)[0].collect()) == [1, 1]
+
+
+def test_toxicity_against_brute_force(spark):
+    """Weights, cosines, votes, calibration and scores of 300 documents, from plain Python."""
+    import math
+    import zlib
+    from collections import Counter
+
+    rng = random.Random(12)
+    bad = ["idiot", "scum", "moron", "idiotic"]
+    letters = ["".join(rng.choices("abcdefghäö", k=rng.randint(2, 8))) for _ in range(400)]
+    table = [(i, " ".join(rng.choice(letters[: 40 + i]) for _ in range(5 + i % 50)) + (" " + " ".join(rng.sample(bad, 2)) if i % 3 == 0 else "")) for i in range(300)]
+    table[7], table[9] = (7, None), (9, "?!")
+    label = {i: int(i % 3 == 0) for i in range(0, 300, 2)}
+    docs = spark.createDataFrame(table, "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame(list(label.items()), "doc_id long, toxic int")
+    got = {r.doc_id: r for r in toxicity.digest(docs, labels).collect()}
+
+    def terms(text):
+        words = re.findall(r"[a-z\x80-\U0010ffff]+", (text or "").lower())
+        return Counter(words + [w.encode()[: toxicity.BEGINNING] for w in words if len(w.encode()) > toxicity.BEGINNING])
+
+    every = {i: terms(t) for i, t in table}
+    learned = [i for i in sorted(label) if zlib.crc32(str(i).encode()) % 4 != 2]
+    df = Counter(t for c in every.values() for t in c)
+    in_kind = [Counter(t for i in learned if label[i] == y for t in every[i]) for y in (0, 1)]
+    n_kind = [sum(label[i] == y for i in learned) for y in (0, 1)]
+
+    def weight(t):
+        ratio = math.log(((in_kind[1][t] + 0.5) / (n_kind[1] + 1)) / ((in_kind[0][t] + 0.5) / (n_kind[0] + 1)))
+        sure = max(0, ratio - toxicity.SURE * math.sqrt(1 / (in_kind[1][t] + 0.5) + 1 / (in_kind[0][t] + 0.5)))
+        tie = toxicity.FLOOR + min(1, in_kind[1][t] * sure / toxicity.FULL_TIE) * sure**2
+        return (math.log((len(table) + 1) / (df[t] + 1)) + 1) * tie
+
+    known = {t for i in learned for t in every[i]}
+
+    def vector(i):
+        v = {t: (1 + math.log(n)) * weight(t) for t, n in every[i].items() if t in known}
+        length = math.sqrt(sum(x * x for x in v.values()))
+        return {t: x / length for t, x in v.items()}
+
+    vectors_of = {i: vector(i) for i in every}
+
+    def vote(i, skip=None):
+        s = {j: sum(x * vectors_of[j].get(t, 0) for t, x in vectors_of[i].items()) for j in learned if j != skip}
+        near = sorted(((round(x, 9), j) for j, x in s.items() if x > 5e-10), key=lambda x: -x[0])
+        if not near:
+            return None
+        if len(near) > toxicity.NEIGHBOURS and near[toxicity.NEIGHBOURS - 1][0] == near[toxicity.NEIGHBOURS][0]:
+            return "tie"
+        w = [(1 / (1.05 - min(1, x)), j) for x, j in near[: toxicity.NEIGHBOURS]]
+        return sum(x * label[j] for x, j in w) / sum(x for x, _ in w)
+
     import numpy as np
 
-    for _ in range(50):
-        counts = sorted((k, rng.randint(1, 3)) for k in rng.sample(range(len(model.terms.terms)), min(3, len(model.terms.terms))))
-        at, w = model.vector(counts)
-        scores = np.zeros(len(model.labels))
-        for t, x in zip(at, w):
-            n, weight = model.lists[t]
-            scores[n] += x * weight
-        want = sorted((-round(float(s), 9), n) for n, s in enumerate(scores) if s > 0)[: toxicity.NEIGHBOURS]
-        assert [(-s, n) for s, n in model.search(at, w)] == want
+    kept = [i for i in learned if vectors_of[i]]
+    assert "tie" not in [vote(i, skip=i) for i in kept]
+    x, y = toxicity.isotonic(np.array([vote(i, skip=i) or 0.0 for i in kept]), np.array([label[i] for i in kept], float), np.ones(len(kept)))
+    share = sum(label[i] for i in learned) / len(learned)
+    compared = 0
+    for i in every:
+        v = vote(i)
+        if v != "tie":
+            compared += 1
+            assert got[i].score == pytest.approx(share if v is None else float(np.interp(v, x, y)), abs=1e-5), i
+    assert compared > 280
+
+
+def test_index_search_is_exact():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    for rows, terms, k in ((5, 3, 32), (700, 900, 32), (300, 400, 5)):
+        dense = (rng.random((rows, terms)) < 0.05) * rng.random((rows, terms))
+        dense[1 % rows] = dense[0]
+        row, term = np.nonzero(dense)
+        index = toxicity.Index(row, term, dense[row, term], rows, terms)
+        q = (rng.random((60, terms)) < 0.05) * rng.random((60, terms))
+        skip = np.where(np.arange(60) % 2, -1, np.arange(60) % rows)
+        at, of = np.nonzero(q)
+        cosine, example = index.search(at, of, q[at, of], 60, k, skip)
+        for r in range(60):
+            s = np.round(dense @ q[r], 9)
+            if skip[r] >= 0:
+                s[skip[r]] = 0
+            want = [n for n in np.lexsort((np.arange(rows), -s)) if s[n] > 0][:k]
+            found = cosine[r] > 0
+            assert example[r][found].tolist() == want and np.allclose(cosine[r][found], s[want], atol=1e-6)
 
 
 def test_toxicity_keeps_examples_that_share_a_word(spark):
@@ -311,18 +423,24 @@ def test_toxicity_keeps_examples_that_share_a_word(spark):
     model = toxicity.fit(spark.createDataFrame(table, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
     copies = [i for i in learned if i == 0 or i >= 1000]
     assert len(copies) > 3
-    assert set(model.ids) == {i for i in learned if i < 80} | {min(copies)}
+    assert set(model.ids) == {i for i in learned if i < 180} | {min(copies)}
     weight = dict(zip(model.ids, model.share.tolist(), strict=True))
     assert weight.pop(min(copies)) == len(copies) and set(weight.values()) == {1.0}
 
 
-def test_toxicity_finds_rare_terms_among_many_candidates(spark, monkeypatch):
-    monkeypatch.setattr(toxicity, "MOST_CANDIDATES", 50, raising=False)
+def test_toxicity_finds_rare_terms_among_many_candidates(spark):
+    import numpy as np
+
     rng = random.Random(3)
     table = [(i, " ".join(rng.choices([f"{a}{b}common" for a in "abcdefgh" for b in "ijklmnop"], k=60)) + f" d{i}" + (f" {['scum', 'idiot'][i % 4 // 2]}" if i % 2 else "")) for i in range(160)]
     labels = spark.createDataFrame([(i, i % 2) for i in range(160)], "doc_id long, toxic int")
     model = toxicity.fit(spark.createDataFrame(table, "doc_id long, text string"), labels)
-    assert {"scum", "idiot"} <= set(model.terms.terms)
+    import pyarrow as pa
+
+    _, _, terms, _ = next(model.terms.rows(pa.array(["scum idiot"])))
+    assert len(terms) == 2
+    weights = np.sort(model.term_weight)
+    assert (model.term_weight[terms] >= weights[-2]).all()  # the two outweigh all others
 
 
 def test_page_text(spark):
@@ -416,3 +534,23 @@ def test_vectors(spark):
     few = vectors.digest(spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5]), (20, [1.0, 0.0])], "vec_id long, embedding array<double>")).collect()
     assert [(r.query_id, r["rank"], r.vec_id, r.score) for r in sorted(few)] == [(0, 1, 20, 1.0), (0, 2, 1, 0.5), (20, 1, 0, 1.0), (20, 2, 1, 0.5)]
     assert vectors.digest(df.limit(0)).count() == 0
+    twice = spark.createDataFrame([(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [0.5, 0.25]), (1, [0.5, 0.25])], "vec_id long, embedding array<double>").withColumn("block", F.lit(1)).withColumn("reach", F.lit(2))
+    assert [(r.query_id, r["rank"], r.vec_id, r.score) for r in sorted(vectors.digest(twice).collect())] == [(0, 1, 1, 0.25), (0, 2, 1, 0.25)]
+    long = spark.createDataFrame([(i, rng.normal(size=3000).tolist()) for i in range(30)], "vec_id long, embedding array<double>")
+    assert vectors.digest(long).count() == 40
+
+
+def test_reach_is_the_least_distance():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for _ in range(40):
+        one, two = rng.random(rng.integers(1, 70)), rng.random(rng.integers(1, 70))
+        counts = rng.integers(0, 4, (len(one), len(two)))
+        budget = int(rng.integers(1, max(2, counts.sum() + 2)))
+        flat = (one[:, None] + two[None, :]).ravel()
+        order = np.argsort(flat)
+        at = np.searchsorted(np.cumsum(counts.ravel()[order]), budget)
+        assert vectors.reach(one, two, counts, budget) == (flat[order[at]] if at < len(order) else float("inf"))
+    first, parts, blocks = vectors._blocks(np.array([3, 3, 10, 1, 25, 2, 2]), 10)
+    assert first.tolist() == [0, 0, 1, 2, 3, 6, 6] and parts.tolist() == [1, 1, 1, 1, 3, 1, 1] and blocks == 7
