@@ -98,20 +98,21 @@ class Index:
         common = self.column[term] >= 0
         self.dense[row[common], self.column[term[common]]] = weight[common]
         self.dense_best = self.dense.reshape(self.blocks, BLOCK, -1).max(1) if rows else np.zeros((0, len(often)))
-        row, term, weight = row[~common], term[~common], weight[~common]
-        order = np.lexsort((row, term))
-        self.example, self.weight = row[order].astype(np.int32), weight[order]
-        self.first = np.searchsorted(term[order], np.arange(terms + 1))
-        cell = term * np.int64(max(1, self.blocks)) + row // BLOCK
-        order = np.argsort(cell, kind="stable")
-        cells, at = np.unique(cell[order], return_index=True)
-        self.best = np.maximum.reduceat(weight[order], at) if len(at) else np.zeros(0, np.float32)
-        self.best_block = (cells % max(1, self.blocks)).astype(np.int32)
-        self.best_first = np.searchsorted(cells // max(1, self.blocks), np.arange(terms + 1))
+        order = np.flatnonzero(~common).astype(np.int32)
+        order = order[np.argsort(term[order] * np.int64(max(1, rows)) + row[order])]  # by term, then by example
+        self.example, self.weight, term = row[order].astype(np.int32), weight[order], term[order]
+        self.first = np.searchsorted(term, np.arange(terms + 1)).astype(np.int32)
+        block = self.example // BLOCK
+        new = np.ones(len(term), bool)
+        new[1:] = (term[1:] != term[:-1]) | (block[1:] != block[:-1])
+        at = np.flatnonzero(new)
+        self.best = np.maximum.reduceat(self.weight, at) if len(at) else np.zeros(0, np.float32)
+        self.best_block = block[at]
+        self.best_first = np.searchsorted(term[at], np.arange(terms + 1)).astype(np.int32)
 
     def _gather(self, first: np.ndarray, to: np.ndarray, value: np.ndarray, row: np.ndarray, term: np.ndarray, weight: np.ndarray, rows: int, width: int) -> np.ndarray:
         """The sum over each row's terms of the lists that first delimits, as rows x width."""
-        n = first[term + 1] - first[term]
+        n = (first[term + 1] - first[term]).astype(np.int64)
         places = np.repeat(first[term] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
         cells = np.repeat(row, n) * width + to[places]
         return np.bincount(cells, weights=np.repeat(weight, n) * value[places], minlength=rows * width).astype(np.float64).reshape(rows, width)
@@ -315,8 +316,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     found = examples.select("key", "text").mapInArrow(own_words, "key long, hashes binary, counts binary")
     found = found.groupBy("key").agg(F.min(F.struct("hashes", "counts")).alias("x")).select("key", "x.*").orderBy("key").toArrow()  # an id of several texts has one
     keys = found["key"].to_pylist()
-    hashes = np.frombuffer(b"".join(found["hashes"].to_pylist()), np.uint64)
-    count = np.frombuffer(b"".join(found["counts"].to_pylist()), np.int32)
+    hashes, count = _flat(found["hashes"], np.uint64), _flat(found["counts"], np.int32)
     row = np.repeat(np.arange(len(keys), dtype=np.int32), pc.binary_length(found["counts"]).to_numpy() // 4 if keys else 0)
     every = np.unique(hashes)
     term = np.searchsorted(every, hashes).astype(np.int32)
@@ -341,6 +341,17 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     return _calibrated(model, examples)
 
 
+def _flat(column: pa.ChunkedArray, kind: type) -> np.ndarray:
+    """The numbers of all values of a binary column, one after the other."""
+    parts = []
+    for part in column.chunks:
+        _, offsets, data = part.buffers()
+        offs = np.frombuffer(offsets, np.int32)[part.offset : part.offset + len(part) + 1]
+        if len(part) and offs[-1] > offs[0]:
+            parts.append(np.frombuffer(data, np.uint8)[offs[0] : offs[-1]].view(kind))
+    return np.concatenate(parts) if parts else np.zeros(0, kind)
+
+
 def _calibrated(model: Model, examples: DataFrame) -> Model:
     """The model with its calibration: the vote of each example without itself, taken on the executors."""
     spark = examples.sparkSession
