@@ -17,12 +17,19 @@ STOP_WORDS = (
 
 # How statistics are written in running text, by field.
 FIELD_PATTERNS = {
-    "percentage": r"(?i)\d+(?:\.\d+)?\s*(?:%|percent|per cent)",
-    "p-value": r"(?i)\bp\s*(?:-?\s*values?\s*)?[=<>≤≥]\s*0?\.\d+",
-    "confidence_interval": r"(?i)\b(?:95|99|90)\s*%?\s*(?:ci|confidence\s+intervals?)\b",
-    "effect_estimate": r"(?i)\b(?:or|rr|hr|odds\s+ratio|risk\s+ratio|relative\s+risk|hazard\s+ratio|beta|β)\s*(?:[=:,(]|of|was)\s*-?\d+(?:\.\d+)?",
-    "sample_size": r"(?i)\bn\s*=\s*\d+",
+    "percentage": r"\d+(?:\.\d+)?\s*%|\d+\s*\(\s*\d+\s*\)",
+    "p-value": r"(?i)\bp(?:-value)?\s*[=<>]\s*0?\.?\d+",
+    "confidence_interval": r"(?i)95\s*%\s*ci|confidence interval",
+    "effect_estimate": r"(?i)\b(?:or|hr|rr)\s*[=:]\s*\d",
+    "sample_size": r"(?i)\bn\s*[=:]\s*\d+",
 }
+# How table columns and cells say what they hold.
+P_COLUMN = r"(?i)^\s*p(?:-value| value)?\s*$"
+P_CELL = r"(?i)^\s*(?:p\s*[=<>]\s*)?[=<>]*\s*(?:0?\.\d+|\d+\.\d+|\d+)\s*$"
+SHARE_COLUMN, SHARE_CELL = r"(?i)%|percent", r"\d+\s*\(\s*\d+\s*\)|\d+(?:\.\d+)?\s*%"
+INTERVAL_COLUMN, INTERVAL_CELL = r"(?i)ci|confidence interval", r"(?i)\b\d+(?:\.\d+)?\s*[-\u2013]\s*\d+(?:\.\d+)?\b|95\s*%\s*ci|confidence interval"
+EFFECT_COLUMN, EFFECT_WORDS, SHORT_LABEL = r"(?i)^(?:adjusted\s*)?(?:or|hr|rr|aor|ahr|ahrr)\b", r"(?i)\b(?:odds ratio|hazard ratio|relative risk)\b", 14
+EFFECT_NOTE = r"(?i)\b(?:odds ratio|hazard ratio|relative risk|adjusted or|adjusted hr)\b"
 
 # Section titles by kind.
 SECTION_EXCLUDED = ("graphical abstract", "supplementary material", "supplementary data", "publisher's note")
@@ -104,6 +111,23 @@ def detect_fields(text: Column) -> Column:
     return F.array_compact(F.array(*[F.when(F.regexp(F.coalesce(text, F.lit("")), F.lit(p)), F.lit(name)) for name, p in FIELD_PATTERNS.items()]))
 
 
+def detect_row_fields(variable: Column, cells: Column, footnotes: Column) -> Column:
+    """The statistics that a table row reports, as an array of field names: what a cell holds depends on its column's name
+    (cells: array of struct col, val); the row's name and the table's footnotes count too."""
+    named, notes = F.coalesce(variable, F.lit("")), F.array_join(F.coalesce(footnotes, F.array().cast("array<string>")), " ")
+    value = lambda c: F.coalesce(c["val"], F.lit(""))
+    some = lambda test: F.coalesce(F.exists(cells, test), F.lit(False))
+    short = lambda c: (F.length(F.btrim(c["col"])) <= SHORT_LABEL) & F.btrim(c["col"]).rlike(EFFECT_COLUMN)
+    found = {
+        "percentage": some(lambda c: c["col"].rlike(SHARE_COLUMN) & value(c).rlike(SHARE_CELL)) | named.rlike(SHARE_CELL),
+        "p-value": some(lambda c: c["col"].rlike(P_COLUMN) & (value(c).rlike(P_CELL) | value(c).rlike(FIELD_PATTERNS["p-value"]))),
+        "confidence_interval": some(lambda c: c["col"].rlike(INTERVAL_COLUMN) & value(c).rlike(INTERVAL_CELL)) | notes.rlike(FIELD_PATTERNS["confidence_interval"]),
+        "effect_estimate": some(lambda c: (short(c) | c["col"].rlike(EFFECT_WORDS)) & value(c).rlike(r"\d")) | notes.rlike(EFFECT_NOTE),
+        "sample_size": some(lambda c: value(c).rlike(FIELD_PATTERNS["sample_size"])) | named.rlike(FIELD_PATTERNS["sample_size"]),
+    }
+    return F.array_compact(F.array(*[F.when(test, F.lit(name)) for name, test in found.items()]))
+
+
 def requested_fraction(detected: Column, requested: Column) -> Column:
     """The share of requested fields that were detected; 1 if none is requested."""
     n = F.size(F.array_distinct(requested))
@@ -138,6 +162,25 @@ def key_values(text: Column, separator: str = ":") -> Column:
     return F.transform(lines, lambda x: F.struct(F.btrim(F.substring_index(x, separator, 1)).alias("label"), F.btrim(F.regexp_replace(x, rf"^[^{separator}]*{separator}", "")).alias("value")))
 
 
+def non_content(section: Column, text: Column, sections: tuple[str, ...] = SECTION_ADMINISTRATIVE + SECTION_REFERENCES, starts: tuple[str, ...] = ("copyright", "supplementary")) -> Column:
+    """Whether a chunk is no content: its section is one of these, or its text begins with one of these."""
+    low = F.lower(F.ltrim(F.coalesce(text, F.lit(""))))
+    begins = F.lit(False)
+    for s in starts:
+        begins = begins | low.startswith(s)
+    return F.lower(F.btrim(F.coalesce(section, F.lit("")))).isin(*sections) | begins
+
+
+def information(sentence: Column) -> Column:
+    """How much a sentence says: its content words, and two for each number."""
+    return F.size(content_tokens(sentence)) + 2 * F.size(F.regexp_extract_all(F.coalesce(sentence, F.lit("")), F.lit(r"\d+(?:\.\d+)?"), F.lit(0)))
+
+
+def entity_phrases(text: Column, n: int = 3) -> Column:
+    """The first n runs of two words or more that begin with a capital, without repetitions."""
+    return F.slice(F.array_distinct(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"\p{Lu}[\p{L}\p{N}-]*(?: \p{Lu}[\p{L}\p{N}-]*)+"), F.lit(0))), 1, n)
+
+
 def acronyms(text: Column) -> Column:
     """Words of 2 to 12 ASCII letters, digits and hyphens with two capitals or more, in order of first use."""
     found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"[\p{L}\p{N}-]+"), F.lit(0))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from foliant.operators import dense, evaluate, fusion, lexical, papers
 from foliant.operators.structure import line_chunks
 from foliant.queries import query, read
+from foliant.session import cut
 
 ASKED = {"q1": "the of and that in", "q2": "der die und von ein", "q3": "les des dans pour avec"}
 _VALUES = ", ".join(f"('{k}', '{v}')" for k, v in ASKED.items())
@@ -37,7 +38,7 @@ def asked(spark: SparkSession) -> DataFrame:
 
 
 def query_vectors(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "embeddings").where("vec_id % 100 = 7").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    return read(spark, d, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
 
 
 @query("chunk_split", f"WITH {CHUNKS_SQL} SELECT chunk_id, document_id, position, text FROM ch")
@@ -45,15 +46,9 @@ def chunk_split(spark: SparkSession, d: str) -> DataFrame:
     return chunks(spark, d)
 
 
-@query("term_frequency", BM25_SQL + " SELECT term, chunk_id, tf FROM po WHERE tf > 1")
+@query("term_frequency", BM25_SQL + " SELECT term, chunk_id, tf FROM po")
 def term_frequency(spark: SparkSession, d: str) -> DataFrame:
-    return lexical.build(chunks(spark, d)).postings.where("tf > 1")
-
-
-@query("term_frequency_all", BM25_SQL + " SELECT term, chunk_id, tf FROM po")
-def term_frequency_all(spark: SparkSession, d: str) -> DataFrame:
-    """All postings; term_frequency, whose SQL is fixed, gives those of terms that are repeated in a chunk."""
-    return lexical.build(chunks(spark, d)).postings
+    return lexical.build(chunks(spark, d)).postings.select("term", "chunk_id", "tf")
 
 
 @query("document_frequency", BM25_SQL + " SELECT term, df, round(idf, 8) AS idf FROM te")
@@ -92,7 +87,7 @@ def bm25_restricted(spark: SparkSession, d: str) -> DataFrame:
 
 def _dense_sql(score: str, k: int, where: str = "true") -> str:
     return f"""
-WITH q AS (SELECT vec_id AS query_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS q FROM embeddings WHERE vec_id % 100 = 7),
+WITH q AS (SELECT vec_id AS query_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS q FROM embeddings WHERE vec_id % 50 = 0),
 e AS (SELECT vec_id AS id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings WHERE {where}),
 s AS (SELECT query_id, id, round({score}, 6) + 0.0 AS score FROM q CROSS JOIN e)
 SELECT query_id, id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s) WHERE rank <= {k}"""
@@ -121,12 +116,14 @@ hits AS (SELECT * FROM l1 WHERE rank <= 100 UNION ALL SELECT * FROM l2 WHERE ran
 
 
 def hits(spark: SparkSession, d: str) -> DataFrame:
-    """Two rankings of the same queries: BM25, and query terms for a hundred words."""
+    """Two rankings of the same queries, BM25 and query terms for a hundred words, written once: at most 200 rows a query,
+    which the plans on top read several times."""
     index = lexical.build(chunks(spark, d))
     one = lexical.search(index, asked(spark), 100, zero_fill=False, digits=6).withColumn("method", F.lit("bm25"))
     terms = asked(spark).select("query_id", F.explode(F.array_distinct(lexical.tokens(F.col("text")))).alias("term"))
-    share = index.postings.join(F.broadcast(terms), "term").join(index.docs, "chunk_id").groupBy("query_id", "chunk_id").agg(F.round(100.0 * F.count("*") / F.max("dl"), 6).alias("score"))
-    return one.unionByName(lexical.top_k(share, 100).withColumn("method", F.lit("share")))
+    found = index.words.withColumn("term", F.explode(F.array_distinct("words"))).join(F.broadcast(terms), "term")
+    share = found.groupBy("query_id", "chunk_id", "dl").agg(F.count("*").alias("n")).select("query_id", "chunk_id", F.round(100.0 * F.col("n") / F.col("dl"), 6).alias("score"))
+    return cut(one.unionByName(lexical.top_k(share, 100).withColumn("method", F.lit("share"))))
 
 
 @query("hits_provenance", LISTS_SQL + " SELECT query_id, chunk_id, method, score, CAST(rank AS INTEGER) AS rank, CAST(split_part(chunk_id, '_', 2) AS BIGINT) AS paper_id FROM hits")

@@ -6,6 +6,7 @@ from __future__ import annotations
 import re
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
+from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -109,15 +110,69 @@ def _is_label(p: ET.Element) -> bool:
     return 0 < len(text) <= LABEL_MOST and (bold or text.endswith(":"))
 
 
-def blocks_of(xml: str, name: str = "") -> list[dict]:
-    """The blocks of one article in reading order; one row with an error if it does not parse."""
-    blank = {k: None for k in ("label", "columns", "rows", "footnotes", "error", "source_id")}
+class _Recovering(HTMLParser):
+    """A tree of broken XML: tags that are not closed end with what holds them, closing tags without a start go."""
+
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.root: ET.Element | None = None
+        self.open: list[ET.Element] = []
+
+    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        e = ET.Element(tag.rsplit(":", 1)[-1], {k: v or "" for k, v in attrs})
+        if self.open:
+            self.open[-1].append(e)
+        elif self.root is None:
+            self.root = e
+        else:
+            return
+        self.open.append(e)
+
+    def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        self.handle_starttag(tag, attrs)
+        self.handle_endtag(tag)
+
+    def handle_endtag(self, tag: str) -> None:
+        name = tag.rsplit(":", 1)[-1]
+        if any(e.tag == name for e in self.open):
+            while self.open.pop().tag != name:
+                pass
+
+    def handle_data(self, data: str) -> None:
+        if self.open:
+            e = self.open[-1]
+            if len(e):
+                e[-1].tail = (e[-1].tail or "") + data
+            else:
+                e.text = (e.text or "") + data
+
+
+def parse_tree(xml: str) -> tuple[ET.Element | None, str | None]:
+    """(root, error): the tree of an article; of a broken one what can be recovered, with the error."""
+    text = re.sub(r"<!DOCTYPE[^>]*>", "", xml or "").strip()
     try:
-        root = ET.fromstring(re.sub(r"<!DOCTYPE[^>]*>", "", xml or "").strip())
+        return ET.fromstring(text), None
     except ET.ParseError as e:
-        return [{**blank, "document_id": name, "title": None, "block_seq": 0, "section_path": [], "block_type": "error", "original_type": None, "content": "", "refs": [], "error": str(e)}]
+        reader = _Recovering()
+        reader.feed(re.sub(r"<\?xml[^>]*\?>", "", text))
+        reader.close()
+        return (reader.root if reader.root is not None and len(reader.root) else None), str(e)
+
+
+def article_id(root: ET.Element, name: str) -> str:
+    """The article's own id, else the file's name without its ending."""
     ids = [x for x in root.iter() if _name(x) == "article-id"]
-    own = next((_clean(_text(x)) for x in ids if x.get("pub-id-type") in ("pmc", "pmcid")), None) or name
+    return next((_clean(_text(x)) for x in ids if x.get("pub-id-type") in ("pmc", "pmcid")), None) or re.sub(r"\.(?:n?xml)$", "", name.rsplit("/", 1)[-1])
+
+
+def blocks_of(xml: str, name: str = "") -> list[dict]:
+    """The blocks of one article in reading order; a broken article gives what can be recovered of it, a row of type error if
+    that is nothing."""
+    blank = {k: None for k in ("label", "columns", "rows", "footnotes", "error", "source_id")}
+    root, error = parse_tree(xml)
+    if root is None or (error and not any(_name(x) in ("body", "front", "back") for x in root)):
+        return [{**blank, "document_id": name, "title": None, "block_seq": 0, "section_path": [], "block_type": "error", "original_type": None, "content": "", "refs": [], "error": error}]
+    own = article_id(root, name)
     title = _clean(_text(_first(root, "article-title"))) or _clean(_text(_first(root, "journal-title"))) or own
     out: list[dict] = []
 
@@ -146,7 +201,8 @@ def blocks_of(xml: str, name: str = "") -> list[dict]:
                 items = [_clean(_text(x)) for x in e if _name(x) == "list-item"]
                 add(e, path, "list", "\n".join(f"- {x}" for x in items if x), label=_clean(_text(before)) if before is not None else None)
             elif tag == "table-wrap":
-                add(e, path, "table", _clean(" ".join([_text(_first(e, "label")), _text(_first(e, "caption"))])), **_table(e))
+                drawn = _first(e, "graphic", "inline-graphic") is not None and _first(e, "tr") is None  # a table given as a picture
+                add(e, path, "table", _clean(_text(_first(e, "caption"))), label=_clean(_text(_first(e, "label"))) or None, **({"columns": [], "rows": [], "footnotes": _table(e)["footnotes"]} if drawn else _table(e)))
             elif tag in ("fig", "supplementary-material"):
                 add(e, path, "figure" if tag == "fig" else "supplementary", _clean(_text(_first(e, "caption"))), label=_clean(_text(_first(e, "label"))) or None)
             elif tag in ("fig-group", "floats-group", "body", "back", "app-group"):

@@ -21,7 +21,7 @@ def test_runs(spark, sf, name):
 
 
 def test_all_postings_add_up_to_lengths(spark, sf):
-    rows = QUERIES["term_frequency_all"](spark, sf)
+    rows = QUERIES["term_frequency"](spark, sf)
     lengths = retrieval.lexical.build(retrieval.chunks(spark, sf)).docs
     assert rows.where("tf = 1").count() > 0 and rows.groupBy().sum("tf").first()[0] == lengths.groupBy().sum("dl").first()[0]
 
