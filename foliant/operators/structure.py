@@ -120,14 +120,10 @@ def prose_chunks(blocks: DataFrame, target: int = TARGET, hard: int = HARD) -> D
 
 
 def neighbours(chunks: DataFrame, n: int, by: list[str], order: str = "position") -> DataFrame:
-    """(chunk_id, neighbour_id, distance) up to n chunks before and after in the same section."""
+    """(chunk_id, neighbour_id, distance) up to n chunks before and after in the same section, from one window."""
     w = Window.partitionBy(*by).orderBy(order)
-    out = None
-    for k in range(1, n + 1):
-        for ahead, sign in ((F.lag, -1), (F.lead, 1)):
-            part = chunks.select("chunk_id", ahead("chunk_id", k).over(w).alias("neighbour_id"), F.lit(sign * k).alias("distance")).where("neighbour_id is not null")
-            out = part if out is None else out.unionByName(part)
-    return out
+    near = F.array(*[F.struct((F.lead("chunk_id", k) if k > 0 else F.lag("chunk_id", -k)).over(w).alias("neighbour_id"), F.lit(k).alias("distance")) for k in range(-n, n + 1) if k])
+    return chunks.select("chunk_id", near.alias("near")).select("chunk_id", F.inline("near")).where("neighbour_id is not null")
 
 
 def token_budget(rows: DataFrame, anchor: str, order: str, tokens: str, most_nodes: int, most_tokens: int) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliant.functions.text import tokens
+from foliant.session import cut
 
 
 @dataclass(frozen=True)
@@ -22,11 +23,26 @@ class NavigationWeights:
     top: int = 8
 
 
+def ancestors(nodes: DataFrame) -> DataFrame:
+    """(paper_id, node_id, ancestor_id, steps), a node itself included: each round joins every open path with the parent of its last
+    node, so the work is nodes times depth. A path that would meet a node again ends there."""
+    links = nodes.select("paper_id", F.col("node_id").alias("at"), "parent_id")
+    front = nodes.select("paper_id", "node_id", F.col("node_id").alias("ancestor_id"), F.lit(0).alias("steps"), F.col("parent_id").alias("at"), F.array("node_id").alias("path"))
+    columns = ["paper_id", "node_id", "ancestor_id", "steps"]
+    found = front.select(*columns)
+    while True:
+        front = cut(
+            front.where(F.col("at").isNotNull() & ~F.array_contains("path", F.col("at"))).join(links, ["paper_id", "at"])
+            .select("paper_id", "node_id", F.col("at").alias("ancestor_id"), (F.col("steps") + 1).alias("steps"), F.col("parent_id").alias("at"), F.concat("path", F.array("at")).alias("path"))
+        )
+        if front.isEmpty():
+            return found
+        found = found.unionByName(front.select(*columns))
+
+
 def descendants(nodes: DataFrame) -> DataFrame:
-    """(paper_id, node_id, descendant_id), a node included: an interval join on the preorder numbers, inside a paper."""
-    a = nodes.select("paper_id", "node_id", F.col("preorder").alias("_from"), F.col("last_preorder").alias("_to"))
-    b = nodes.select("paper_id", F.col("node_id").alias("descendant_id"), F.col("preorder").alias("_at"))
-    return a.join(b, "paper_id").where("_at between _from and _to").select("paper_id", "node_id", "descendant_id")
+    """(paper_id, node_id, descendant_id), a node included."""
+    return ancestors(nodes).select("paper_id", F.col("ancestor_id").alias("node_id"), F.col("node_id").alias("descendant_id"))
 
 
 def chunk_rollup(nodes: DataFrame) -> DataFrame:
@@ -46,29 +62,44 @@ def leaves(nodes: DataFrame) -> DataFrame:
     return nodes.join(parents, ["paper_id", "node_id"], "left_anti")
 
 
-def audit(nodes: DataFrame, types: set[str]) -> DataFrame:
-    """(paper_id, code, n): what is wrong with a tree; a sound one has no rows."""
-    roots = nodes.groupBy("paper_id").agg(F.count_if(F.col("parent_id").isNull()).alias("n")).where("n <> 1").select("paper_id", F.lit("ROOTS").alias("code"), "n")
+def audit(nodes: DataFrame, types: set[str], chunks: DataFrame | None = None, ends: tuple[str, ...] = ("paragraph", "table_row", "table_footnote", "reference")) -> DataFrame:
+    """(paper_id, code, n): what is wrong with a tree; a sound one has no rows. With chunks(paper_id, chunk_id) the nodes' chunks are
+    checked too."""
+    by = lambda rows, code: rows.groupBy("paper_id").agg(F.count("*").alias("n")).select("paper_id", F.lit(code).alias("code"), "n")
+    top = nodes.groupBy("paper_id").agg(F.count_if(F.col("parent_id").isNull()).alias("n")).where("n <> 1").select("paper_id", F.lit("ROOTS").alias("code"), "n")
     known = nodes.select("paper_id", F.col("node_id").alias("parent_id")).distinct()
-    lost = nodes.where("parent_id is not null").join(known, ["paper_id", "parent_id"], "left_anti").groupBy("paper_id").agg(F.count("*").alias("n")).select("paper_id", F.lit("PARENT").alias("code"), "n")
-    twice = nodes.groupBy("paper_id", "node_id").count().where("count > 1").groupBy("paper_id").agg(F.count("*").alias("n")).select("paper_id", F.lit("DUPLICATE").alias("code"), "n")
-    odd = nodes.where(~F.col("node_type").isin(*sorted(types))).groupBy("paper_id").agg(F.count("*").alias("n")).select("paper_id", F.lit("TYPE").alias("code"), "n")
-    outside = (
-        nodes.alias("c").join(nodes.alias("p"), (F.col("c.paper_id") == F.col("p.paper_id")) & (F.col("c.parent_id") == F.col("p.node_id")))
-        .where("not (c.preorder > p.preorder and c.last_preorder <= p.last_preorder)").groupBy(F.col("c.paper_id").alias("paper_id")).agg(F.count("*").alias("n")).select("paper_id", F.lit("ORDER").alias("code"), "n")
-    )
-    return roots.unionByName(lost).unionByName(twice).unionByName(odd).unionByName(outside)
-
-
-def reachable(spark, nodes: DataFrame, view: str = "foliant_nodes") -> DataFrame:
-    """(paper_id, node_id, depth) of what hangs on a root, by a recursive query; others are cut off or in a cycle."""
-    nodes.select("paper_id", "node_id", "parent_id").createOrReplaceTempView(view)
-    return spark.sql(
-        f"""WITH RECURSIVE r(paper_id, node_id, depth) AS (
-              SELECT paper_id, node_id, 0 FROM {view} WHERE parent_id IS NULL
-              UNION ALL SELECT n.paper_id, n.node_id, r.depth + 1 FROM {view} n JOIN r ON n.paper_id = r.paper_id AND n.parent_id = r.node_id)
-            SELECT * FROM r"""
-    )
+    parent = nodes.select("paper_id", F.col("node_id").alias("parent_id"), F.col("node_type").alias("_type"), F.col("preorder").alias("_from"), F.col("last_preorder").alias("_to"))
+    both = nodes.where("parent_id is not null").join(parent, ["paper_id", "parent_id"])
+    inner = nodes.select("paper_id", F.col("parent_id").alias("node_id")).where("node_id is not null").distinct()
+    found = [
+        top,
+        by(nodes.where("parent_id is not null").join(known, ["paper_id", "parent_id"], "left_anti"), "PARENT"),
+        by(nodes.groupBy("paper_id", "node_id").count().where("count > 1"), "DUPLICATE"),
+        by(nodes.where(~F.col("node_type").isin(*sorted(types))), "TYPE"),
+        by(nodes.where("parent_id is null and node_type <> 'document'"), "ROOT_TYPE"),
+        by(nodes.where("parent_id is not null and node_type = 'document'"), "INNER_DOCUMENT"),
+        by(nodes.where("parent_id = node_id"), "SELF"),
+        by(both.where("not (preorder > _from and last_preorder <= _to)"), "ORDER"),
+        by(nodes.where("last_preorder < preorder"), "INTERVAL"),
+        by(nodes.groupBy("paper_id", "preorder").count().where("count > 1"), "PREORDER"),
+        by(both.where(F.col("_type").isin(*ends)), "END_WITH_CHILD"),
+        by(nodes.where("node_type = 'section' and trim(coalesce(title, '')) = ''"), "TITLE"),
+        by(nodes.where(F.col("node_type").isin(*ends) & (F.trim(F.coalesce("text", F.lit(""))) == "")).join(inner, ["paper_id", "node_id"], "left_anti"), "EMPTY_END"),
+        by(nodes.select("paper_id", "node_id").join(reachable(nodes).select("paper_id", "node_id"), ["paper_id", "node_id"], "left_anti"), "UNREACHABLE"),
+    ]
+    if chunks is not None:
+        held = nodes.select("paper_id", F.explode("chunk_ids").alias("chunk_id"))
+        found += [by(held.join(chunks.select("paper_id", "chunk_id"), ["paper_id", "chunk_id"], "left_anti"), "CHUNK"), by(held.groupBy("paper_id", "chunk_id").count().where("count > 1"), "CHUNK_TWICE")]
+    out = found[0]
+    for rows in found[1:]:
+        out = out.unionByName(rows)
+    return out
+
+
+def reachable(nodes: DataFrame) -> DataFrame:
+    """(paper_id, node_id, depth) of what hangs on a root; others are cut off or in a cycle."""
+    roots = nodes.where("parent_id is null").select("paper_id", F.col("node_id").alias("ancestor_id")).distinct()
+    return ancestors(nodes).join(roots, ["paper_id", "ancestor_id"], "left_semi").groupBy("paper_id", "node_id").agg(F.min("steps").alias("depth"))
 
 
 def _overlap(words: Column, text: Column) -> Column:

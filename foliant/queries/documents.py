@@ -176,12 +176,32 @@ def tree_descendants(spark: SparkSession, d: str) -> DataFrame:
 
 @query("tree_reachability", f"WITH {CHUNKS_SQL} SELECT document_id AS paper_id, 'root' AS node_id, 0 AS depth FROM ch GROUP BY ALL UNION ALL SELECT DISTINCT document_id, 's' || (position // 5), 1 FROM ch UNION ALL SELECT document_id, chunk_id, 2 FROM ch")
 def tree_reachability(spark: SparkSession, d: str) -> DataFrame:
-    return tree.reachable(spark, nodes(spark, d))
+    return tree.reachable(nodes(spark, d))
 
 
-@query("tree_audit", "SELECT doc_id AS paper_id, '' AS code, CAST(0 AS BIGINT) AS n FROM documents WHERE false")
+FAULTS_SQL = f"""WITH {CHUNKS_SQL}, c AS (SELECT document_id AS paper_id, count(*) AS n, count(DISTINCT position // 5) AS s, count(*) FILTER (position // 5 = 0) AS s0, count(*) FILTER (position = 0) AS p0 FROM ch GROUP BY document_id)
+SELECT paper_id, 'ROOTS' AS code, CAST(2 AS BIGINT) AS n FROM c WHERE paper_id % 7 = 1
+UNION ALL SELECT paper_id, 'ROOT_TYPE', 1 FROM c WHERE paper_id % 7 = 1
+UNION ALL SELECT paper_id, 'PREORDER', 1 FROM c WHERE paper_id % 7 = 1
+UNION ALL SELECT paper_id, 'PARENT', s0 FROM c WHERE paper_id % 7 = 2 AND s0 > 0
+UNION ALL SELECT paper_id, 'UNREACHABLE', s0 FROM c WHERE paper_id % 7 = 2 AND s0 > 0
+UNION ALL SELECT paper_id, 'TYPE', s FROM c WHERE paper_id % 7 = 3
+UNION ALL SELECT paper_id, 'TITLE', s FROM c WHERE paper_id % 7 = 4
+UNION ALL SELECT paper_id, 'DUPLICATE', n FROM c WHERE paper_id % 7 = 5
+UNION ALL SELECT paper_id, 'PREORDER', n FROM c WHERE paper_id % 7 = 5"""
+
+
+@query("tree_audit", FAULTS_SQL)
 def tree_audit(spark: SparkSession, d: str) -> DataFrame:
-    return tree.audit(nodes(spark, d), {"document", "section", "paragraph"})
+    """Trees with a fault that the document's id gives: a second root, a lost section, a type that is not known, sections without titles,
+    paragraphs twice; those of ids 0 and 6 modulo 7 are sound."""
+    every, part = nodes(spark, d), F.col("paper_id") % 7
+    second = every.where((part == 1) & (F.col("node_type") == "document")).withColumn("node_id", F.lit("other")).withColumn("node_type", F.lit("section")).withColumn("title", F.lit("Other"))
+    again = every.where((part == 5) & (F.col("node_type") == "paragraph"))
+    kept = every.where(~((part == 2) & (F.col("node_id") == "s0"))).unionByName(second).unionByName(again)
+    section = F.col("node_type") == "section"
+    kept = kept.withColumn("title", F.when((part == 4) & section, F.lit(" ")).otherwise(F.col("title"))).withColumn("node_type", F.when((part == 3) & section, F.lit("odd")).otherwise(F.col("node_type")))
+    return tree.audit(kept, {"document", "section", "paragraph"})
 
 
 @query("nav_score_topk", f"""
