@@ -36,14 +36,14 @@ class Depths:
     pairs: int = 150
 
 
-def retrieve(index: lexical.LexicalIndex, queries: DataFrame, vectors: DataFrame | None = None, d: Depths = Depths()) -> DataFrame:
+def retrieve(index: lexical.LexicalIndex, queries: DataFrame, vectors: DataFrame | None = None, d: Depths = Depths(), digits: int | None = None) -> DataFrame:
     """(query_id, chunk_id, method, score, rank): both lists of queries(query_id, text, and vector if there are vectors(chunk_id,
     embedding)). Queries of equal text are searched once. Without vectors only BM25 answers."""
     asked = queries.withColumn("asked", F.min("query_id").over(Window.partitionBy("text")))
     once = asked.where("query_id = asked").drop("asked")
-    found = lexical.search(index, once, d.lexical, zero_fill=False).select("query_id", "chunk_id", F.lit("bm25").alias("method"), "score", "rank")
+    found = lexical.search(index, once, d.lexical, zero_fill=False, digits=digits).select("query_id", "chunk_id", F.lit("bm25").alias("method"), "score", "rank")
     if vectors is not None and "vector" in queries.columns:
-        near = dense.search(vectors, once, d.dense, id_col="chunk_id")
+        near = dense.search(vectors, once, d.dense, id_col="chunk_id", digits=digits)
         found = found.unionByName(near.select("query_id", F.col("id").alias("chunk_id"), F.lit("dense").alias("method"), "score", "rank"))
     return found.withColumnRenamed("query_id", "asked").join(F.broadcast(asked.select("asked", "query_id")), "asked").select("query_id", "chunk_id", "method", "score", "rank")
 
@@ -56,19 +56,20 @@ def papers_by_requirement(fused: DataFrame, bridge: DataFrame, papers: DataFrame
     return first.select("requirement_id", "paper_id", place.alias("place"))
 
 
-def local_search(index: lexical.LexicalIndex, queries: DataFrame, pairs: DataFrame, papers: DataFrame, vectors: DataFrame | None = None, d: Depths = Depths()) -> DataFrame:
+def local_search(index: lexical.LexicalIndex, queries: DataFrame, pairs: DataFrame, papers: DataFrame, vectors: DataFrame | None = None, d: Depths = Depths(), digits: int | None = None) -> DataFrame:
     """(paper_id, query_id, chunk_id, rrf_score, methods, rank): each query of pairs(paper_id, query_id) inside its paper, by the whole
     corpus' statistics; papers(paper_id, chunk_id). At most d.variant chunks of a pair."""
     inside = papers.join(F.broadcast(pairs), "paper_id").select("query_id", "chunk_id", "paper_id")
     scored = lexical.score(index, queries.join(F.broadcast(pairs.select("query_id").distinct()), "query_id", "left_semi"), scope=inside.select("query_id", "chunk_id"))
-    scored = inside.join(scored, ["query_id", "chunk_id"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    rounded = lambda c: F.round(c, digits) if digits is not None else c
+    scored = inside.join(scored, ["query_id", "chunk_id"], "left").withColumn("score", rounded(F.coalesce("score", F.lit(0.0))))
     ranked = lambda rows, k: rows.withColumn("rank", F.row_number().over(Window.partitionBy("paper_id", "query_id").orderBy(F.desc("score"), "chunk_id"))).where(F.col("rank") <= k)
     lists = ranked(scored, d.local_lexical).withColumn("method", F.lit("bm25"))
     if vectors is not None and "vector" in queries.columns:
-        near = inside.join(vectors.select("chunk_id", "embedding"), "chunk_id").join(F.broadcast(queries.select("query_id", "vector")), "query_id").withColumn("score", vec.cosine(F.col("vector"), F.col("embedding")))
+        near = inside.join(vectors.select("chunk_id", "embedding"), "chunk_id").join(F.broadcast(queries.select("query_id", "vector")), "query_id").withColumn("score", rounded(vec.cosine(F.col("vector"), F.col("embedding"))))
         lists = lists.unionByName(ranked(near.select("query_id", "chunk_id", "paper_id", "score"), d.local_dense).withColumn("method", F.lit("dense")))
     key = F.concat_ws("\u0001", "paper_id", "query_id")
-    fused = fusion.rrf(lists.withColumn("_pair", key).select(F.col("_pair").alias("query_id"), "chunk_id", "method", "rank"), d.rrf_k, depth=d.variant)
+    fused = fusion.rrf(lists.withColumn("_pair", key).select(F.col("_pair").alias("query_id"), "chunk_id", "method", "rank"), d.rrf_k, depth=d.variant, digits=digits)
     return fused.select(F.split_part("query_id", F.lit("\u0001"), F.lit(1)).alias("paper_id"), F.split_part("query_id", F.lit("\u0001"), F.lit(2)).alias("query_id"), "chunk_id", "rrf_score", "methods", "rank")
 
 

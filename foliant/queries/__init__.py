@@ -25,4 +25,4 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-from foliant.queries import chunking, documents, relational, retrieval  # noqa: E402, F401
+from foliant.queries import chunking, documents, relational, retrieval, search  # noqa: E402, F401
