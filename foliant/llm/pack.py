@@ -316,14 +316,14 @@ def _epoch(state: DataFrame, capacity: int, epoch: int, generations: int) -> Dat
     return state.mapInArrow(run, "group long, island int, lengths array<long>, bins array<int>, fit double")
 
 
-def _pack_groups(groups: DataFrame, capacity: int, islands: int, epochs: int, generations: int) -> DataFrame:
-    """(group, bins): the best packing of each group over its islands."""
+def _pack_groups(groups: DataFrame, many: int, capacity: int, islands: int, epochs: int, generations: int) -> DataFrame:
+    """(group, bins): the best packing of each of many groups over its islands, which run side by side."""
     state = groups.select(
         "group",
         F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"),
         F.transform("pieces", lambda p: p["length"]).alias("lengths"),
         F.array().cast("array<array<int>>").alias("elites"),
-    ).repartition("group", "island")
+    ).repartition(max(1, min(many * islands, 16 * int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions")))), F.xxhash64("group", "island"))
     for epoch in range(epochs):
         state = cut(_epoch(state, capacity, epoch, generations))
         if epoch + 1 < epochs:
@@ -358,7 +358,7 @@ def pack(
             todo.groupBy(F.pmod(F.xxhash64("uid", F.lit(deal)), F.lit(many)).alias("group"))
             .agg(F.sort_array(F.collect_list(F.struct("length", "uid", "doc_id", "piece", "start", "ids_crc32")), asc=False).alias("pieces"))
         )
-        best = _pack_groups(groups, capacity, islands, epochs, generations)
+        best = _pack_groups(groups, many, capacity, islands, epochs, generations)
         placed = (
             groups.join(best, "group")
             .select("group", F.inline(F.arrays_zip("pieces", "bins")))

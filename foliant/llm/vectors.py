@@ -252,7 +252,7 @@ def search(table: DataFrame, is_query: Column, vec_id: str = "vec_id", vector: s
 
     hashed = F.pmod(F.xxhash64("id"), F.lit(1 << 30))
     entries = own.select("id", "v", hashed.alias("h")).mapInArrow(enter, fields)
-    queries = own.where("asks").groupBy("id").agg(F.min("v").alias("v")).repartition(partitions, "id")
+    queries = own.where("asks").groupBy("id").agg(F.min("v").alias("v")).repartition(partitions, F.xxhash64("id"))
     met = entries.unionByName(queries.mapInArrow(visit, fields)).repartition(max(1, min(blocks, 4 * partitions)), "block").sortWithinPartitions("block", "asks")
     near = met.mapInArrow(score, "query_id long, vec_id long, score double")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
