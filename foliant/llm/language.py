@@ -19,13 +19,13 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from foliant.llm.common import append_column, text_slices
 from foliant.llm.pagetext import html_tags, main_texts
+from foliant.session import cut, cut_table
 
 #: Labelled texts of each language that the text model is fitted on, those with the smallest hash.
 FIT_TEXTS = 500
@@ -33,6 +33,8 @@ FIT_TEXTS = 500
 FULL_TRIGRAMS = 60
 #: Rows that a broader level is worth in the prior of a narrower one.
 KAPPA = 5.0
+#: Hosts whose counts are broadcast (a few hundred bytes each); more are joined in shares.
+MOST_HOSTS = 100_000
 #: Bytes of text scored at a time: each has a row of the trigram table in memory meanwhile.
 STEP_BYTES = 400_000
 _BITS = 16
@@ -128,15 +130,17 @@ def identify(rows: DataFrame, languages: list[str], logs: np.ndarray, read: Call
         return pa.StructArray.from_arrays([_likelihoods(read(c), shared.value), said], names=["logs", "declared"])
 
     primary = F.regexp_extract(F.lower(F.coalesce("found.declared", "declared", F.lit(""))), r"^([a-z]{2,3})(?:[-_]|$)", 1)
+    held = F.struct(*[F.col(f"`{c}`") for c in ids]).alias("ids")  # so that no name of theirs meets one of this plan
+    rows = rows.select(held, "text", "declared", "host")
     scored = append_column(rows, "text", "found", kind, made).select(
-        *ids,
+        "ids",
         F.when(F.array_contains(known, primary), primary).when(primary != "", "other").otherwise("none").alias("declared"),
         F.coalesce("host", F.lit("")).alias("host"),
         F.coalesce(F.regexp_extract("host", r"([^.]+\.[^.]+)$", 1), F.lit("")).alias("domain"),
         F.coalesce(F.regexp_extract("host", r"([^.]+)$", 1), F.lit("")).alias("suffix"),
         _softmax(F.col("found.logs")).alias("own"), F.col("found.logs").alias("logs"),
     )
-    scored = scored.persist(StorageLevel.MEMORY_AND_DISK)  # a few numbers a row, made again if they are lost
+    scored = cut_table(scored)  # a few numbers a row; texts are read once
     sums = [F.sum(F.col("own")[k]).alias(f"s{k}") for k in range(n)]
     # a host's rows are summed first: levels above it add up hosts, not rows
     by_host = scored.groupBy("host", "domain", "suffix", "declared").agg(F.count("*").alias("n"), *sums)
@@ -147,7 +151,7 @@ def identify(rows: DataFrame, languages: list[str], logs: np.ndarray, read: Call
         level("host", "host", "domain", "suffix").join(level("domain", "domain", "suffix"), ["domain", "suffix"]).join(level("suffix", "suffix"), "suffix")
         .drop("domain", "suffix").withColumn("n_all", F.lit(every["n"])).withColumn("c_all", F.array(*[F.lit(every[f"s{k}"]) for k in range(n)]))
     )
-    joined = scored.drop("domain").join(hosts, "host").join(F.broadcast(level("declared", "declared")), "declared")
+    joined = _with_hosts(scored.drop("domain"), cut(hosts), every["n"]).join(F.broadcast(level("declared", "declared")), "declared")
     worthless = F.array(*[F.lit(1.0 / n)] * n)
 
     def less(name: str) -> Column:  # the level's counts without the row's own
@@ -168,7 +172,7 @@ def identify(rows: DataFrame, languages: list[str], logs: np.ndarray, read: Call
     fused = fused.withColumn("prior", F.when(F.col("host") != "", smooth("host", F.col("p_domain"))).otherwise(F.col("p_all")))
     zero = F.array(*[F.lit(0.0)] * n)
     fused = fused.select(
-        *ids, "declared", "suffix", "logs", "own",
+        "ids", "declared", "suffix", "logs", "own",
         F.transform("prior", lambda x: F.log(x)).alias("prior"),
         F.when(F.col("declared") != "none", worth("declared")).otherwise(zero).alias("w_declared"),
         F.when(F.col("suffix") != "", worth("suffix")).otherwise(zero).alias("w_suffix"),
@@ -177,7 +181,7 @@ def identify(rows: DataFrame, languages: list[str], logs: np.ndarray, read: Call
     posterior = fused.withColumn("posterior", _softmax(total))
     best = lambda c: F.element_at(known, F.array_position(c, F.array_max(c)).cast("int"))
     return posterior.select(
-        *ids,
+        "ids.*",
         best(F.col("posterior")).alias("lang"),
         F.array_max("posterior").alias("probability"),
         best(F.col("own")).alias("text_lang"),
@@ -186,6 +190,17 @@ def identify(rows: DataFrame, languages: list[str], logs: np.ndarray, read: Call
     )
 
 
+def _with_hosts(rows: DataFrame, hosts: DataFrame, total: int) -> DataFrame:
+    """rows with their hosts' counts. Up to MOST_HOSTS hosts are broadcast; of more, those that hold more than a quarter of a partition's
+    rows (at most four a partition) are broadcast, and only rows of all others are shuffled."""
+    if hosts.limit(MOST_HOSTS + 1).count() <= MOST_HOSTS:
+        return rows.join(F.broadcast(hosts), "host")
+    bound = total // (4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))) + 1
+    large = hosts.where(F.col("n_host") > bound)
+    rest = rows.join(F.broadcast(large.select("host")), "host", "left_anti").join(hosts.where(F.col("n_host") <= bound), "host")
+    return rows.join(F.broadcast(large), "host").unionByName(rest)
+
+
 def digest(documents: DataFrame, pages: DataFrame) -> DataFrame:
     """A row for each page (page_id; markup, address and host) and each document (doc_id; its source as host)."""
     languages, logs = fit_texts(documents.select("lang", "text"))
