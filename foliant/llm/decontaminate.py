@@ -14,6 +14,7 @@ no hits; other columns pass through, whatever their names.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,10 +23,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from foliant.llm.common import append_column, free_name, lower_ascii_table, text_slices, window_hashes, word_bounds, word_hashes
+from foliant.session import cut_table
 
 WINDOW = 10
 #: Bytes of item text in one broadcast block: about 6 MB of hashes and offsets for each MB of text.
 BLOCK_BYTES = 4_000_000
+#: Blocks that are broadcast at once; the documents' hits are written between such waves.
+WAVE_BLOCKS = 4
+#: Words of a piece of a longer item; pieces share a window less one word, so that no window is lost.
+PIECE_WORDS = 100_000
 
 _IS_WORD, _LOW = lower_ascii_table(lambda b: 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80)
 _FILTER_BITS = 20
@@ -136,11 +142,34 @@ class Windows:
         return pa.array(rows, _HITS_ARROW)
 
 
-def _blocks(items: DataFrame, item_id: str, text: str, block_bytes: int) -> list[DataFrame]:
-    own = items.select(F.col(item_id).cast("string").alias("id"), F.col(text).alias("text"))
+def _pieces(items: DataFrame, window: int) -> DataFrame:
+    """Items as they are, but for those of more than PIECE_WORDS words: these in overlapping pieces of their words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, texts = [], []
+            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                buf = _LOW[np.frombuffer((text or "").encode(), np.uint8)]
+                starts, ends, _ = word_bounds(buf, np.array([0, len(buf)]), _IS_WORD)
+                if len(starts) <= PIECE_WORDS:
+                    parts = [text]
+                else:
+                    parts = [buf[starts[k] : ends[min(k + PIECE_WORDS + window - 1, len(ends)) - 1]].tobytes().decode() for k in range(0, len(starts) - window + 1, PIECE_WORDS)]
+                ids += [name] * len(parts)
+                texts += parts
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(texts, pa.string())], names=["id", "text"])
+
+    return items.mapInArrow(run, "id string, text string")
+
+
+def _blocks(items: DataFrame, item_id: str, text: str, block_bytes: int, window: int) -> list[DataFrame]:
+    own = _pieces(items.select(F.col(item_id).cast("string").alias("id"), F.col(text).alias("text")), window)
     size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, math.ceil(size / block_bytes))
-    return [own if n == 1 else own.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == b) for b in range(n)]
+    if n == 1:
+        return [own]
+    own = cut_table(own)
+    return [own.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == b) for b in range(n)]
 
 
 def scan(
@@ -155,11 +184,18 @@ def scan(
     """docs with one more struct column of hits (see HITS), and that column's name.
 
     Items beyond block_bytes are scanned in further blocks, row by row and without a shuffle, and the
-    blocks' spans are united; no item is left out."""
+    blocks' spans are united; no item is left out. After WAVE_BLOCKS blocks the rows and their hits so far are written,
+    and the blocks' broadcasts go."""
     spark = docs.sparkSession
-    columns, parts = docs.columns, []
-    for block in _blocks(items, item_id, item_text, block_bytes):
+    columns, parts, wave = docs.columns, [], []
+    for block in _blocks(items, item_id, item_text, block_bytes, window):
+        if len(wave) == WAVE_BLOCKS:
+            docs = cut_table(docs)
+            for old in wave:
+                old.destroy()
+            wave = []
         known = spark.sparkContext.broadcast(Windows([(r["id"], r["text"]) for r in block.collect()], window))
+        wave.append(known)
         name = free_name(docs, "hits")
         docs = append_column(docs, text, name, HITS, lambda column, known=known: known.value.report(column))
         parts.append(name)
