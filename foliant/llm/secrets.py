@@ -226,7 +226,7 @@ def find(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, b
     columns = docs.columns
     key, kinds, out = (free_name(docs, x) for x in ("row_key", "can_match", "spans"))
     content = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    flat = [c for c, kind in docs.dtypes if not kind.startswith(("map", "variant"))]
+    flat = [c for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]  # these have no hash, wherever they are nested
     # rows of equal content share a key: each stands for the others, and a collision only adds a candidate
     keyed = docs.withColumn(key, F.xxhash64(*[F.col(f"`{c}`") for c in flat]))
     if queries:
