@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -45,9 +46,17 @@ DROP_WORDS = frozenset(
     "form search pagination pager paging toolbar widget widgets copyright legal disclaimer skip outbrain taboola paywall byline-tools".split()
 )
 KEEP_WORDS = frozenset("article body content main entry post story page text".split())
+#: Last parts of a name that say what a block is, whatever it belongs to: "story-related", "body-share".
+ASIDE_WORDS = frozenset("related share sharing social recommended recommendations".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)\]\]>|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_START = re.compile(r"<(?=[!?]|/?[A-Za-z])")
+_HEAD = re.compile(r"<(/?)([A-Za-z][^\s/>]*)")
+_SPECIAL = re.compile("[>\"']")
+#: Tags of a page that may fail to close before their ends are looked up step by step.
+_FEW_FAILURES = 16
+_SELF_CLOSED = re.compile(r"(?:^|[\s\"'])/\s*\Z")
 _ATTRIBUTE = re.compile(r"([^\s=\"'<>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _HTML = re.compile(r"<html(?=[\s/>])", re.I)
 _COMMAS = re.compile("[,،、，；;]")
@@ -64,20 +73,58 @@ class Node:
         self.dropped = False
 
 
+class _Tokens:
+    """The comments, declarations and tags of a page, each as (start, end, CDATA, slash, name, attributes). A "<" whose tag never ends
+    is text. Each such failure costs a scan of the page; after a few, quotes that are known to lead nowhere are remembered, so that
+    any page takes time in proportion to its length."""
+
+    def __init__(self, page: str) -> None:
+        self.page, self.failures, self.dead = page, 0, set()
+
+    def next(self, at: int) -> tuple[int, int, str | None, str | None, str | None, str] | None:
+        page = self.page
+        while begin := _START.search(page, at):
+            at = begin.start()
+            if self.failures < _FEW_FAILURES or page[at + 1] in "!?":
+                if found := _TOKEN.match(page, at):
+                    return at, found.end(), found[1], found[2], found[3], found[4]
+                self.failures += 1
+            elif (head := _HEAD.match(page, at)) and (end := self._end(head.end())) is not None:
+                return at, end + 1, None, head[1], head[2], page[head.end() : end]
+            at += 1
+        return None
+
+    def _end(self, at: int) -> int | None:
+        """The place of the ">" that ends a tag, outside quotes."""
+        seen = []
+        while special := _SPECIAL.search(self.page, at):
+            place = special.start()
+            if special[0] == ">":
+                return place
+            if place in self.dead:
+                break
+            seen.append(place)
+            at = self.page.find(special[0], place + 1) + 1
+            if not at:
+                break
+        self.dead.update(seen)
+        return None
+
+
 def html_tags(page: str) -> Iterator[str]:
     """The attributes of each html start tag, wherever it stands; comments and raw elements hold none."""
     last = max((m.start() for m in _HTML.finditer(page)), default=-1)
-    at = 0
+    at, tokens = 0, _Tokens(page)
     while at <= last:
-        found = _TOKEN.search(page, at)
+        found = tokens.next(at)
         if found is None:
             return
-        at = found.end()
-        if found[3] is None or found[2]:
+        _, at, _, slash, name, attributes = found
+        if name is None or slash:
             continue
-        tag = found[3].lower()
+        tag = name.lower()
         if tag == "html":
-            yield found[4]
+            yield attributes
         elif tag in RAW:
             stop = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(page, at)
             at = stop.end() if stop else len(page)
@@ -87,46 +134,59 @@ def parse(page: str) -> Node:
     """The page's tree. A start tag closes what cannot hold it; an end tag closes up to its start tag, and
     one of an inline element does not reach through a block."""
     root = now = Node("#root", "", None)
-    at, end = 0, len(page)
+    at, end, tokens = 0, len(page), _Tokens(page)
+    opened: Counter[str] = Counter()  # open elements by name: an end tag without one is not searched for
+
+    def back(to: Node) -> Node:
+        node = now
+        while node is not to:
+            opened[node.tag] -= 1
+            node = node.parent
+        return to
+
+    def close_open(tags: tuple[str, ...], scope: frozenset[str]) -> Node:
+        return back(_close_open(now, tags, scope)) if any(opened[t] for t in tags) else now
+
     while at < end:
-        found = _TOKEN.search(page, at)
+        found = tokens.next(at)
         if found is None:
             now.children.append(page[at:])
             break
-        if found.start() > at:
-            now.children.append(page[at : found.start()])
-        at = found.end()
-        if found[1] is not None:
-            now.children.append(found[1])
+        start, stop_at, cdata, slash, name, attributes = found
+        if start > at:
+            now.children.append(page[at:start])
+        at = stop_at
+        if cdata is not None:
+            now.children.append(cdata)
             continue
-        if found[3] is None:
+        if name is None:
             continue
-        tag = found[3].lower()
-        if found[2]:
-            now = _close(now, tag)
+        tag = name.lower()
+        if slash:
+            if opened[tag]:
+                now = back(_close(now, tag))
             continue
         if tag in CLOSES_P:
-            now = _close_open(now, ("p",), SCOPE)
+            now = close_open(("p",), SCOPE)
         if tag == "li":
-            now = _close_open(now, ("li",), SCOPE | {"ul", "ol", "menu", "dir"})
+            now = close_open(("li",), SCOPE | {"ul", "ol", "menu", "dir"})
         elif tag in ("dt", "dd"):
-            now = _close_open(now, ("dt", "dd"), SCOPE | {"dl"})
+            now = close_open(("dt", "dd"), SCOPE | {"dl"})
         elif tag in ("td", "th"):
-            now = _close_open(now, ("td", "th"), frozenset(("tr", "table")))
+            now = close_open(("td", "th"), frozenset(("tr", "table")))
         elif tag in ("tr", "tbody", "thead", "tfoot"):
-            now = _close_open(now, ("tr",), frozenset(("table",)))
-        elif tag in HEADINGS and now.tag in HEADINGS:
-            now = now.parent
-        elif tag == "option" and now.tag == "option":
-            now = now.parent
-        node = Node(tag, found[4], now)
+            now = close_open(("tr",), frozenset(("table",)))
+        elif tag in HEADINGS and now.tag in HEADINGS or tag == "option" and now.tag == "option":
+            now = back(now.parent)
+        node = Node(tag, attributes, now)
         now.children.append(node)
         if tag in RAW:
             stop = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(page, at)
             node.children.append(page[at : stop.start()] if stop else page[at:])
             at = stop.end() if stop else end
-        elif tag not in VOID and not found[4].rstrip().endswith("/") or tag in BLOCK and tag not in VOID:
+        elif tag not in VOID and not _SELF_CLOSED.search(attributes) or tag in BLOCK and tag not in VOID:
             now = node
+            opened[tag] += 1
     return root
 
 
@@ -164,6 +224,7 @@ def _unwanted(node: Node) -> bool:
     if not node.attributes or node.attributes.isspace():
         return False
     words: set[str] = set()
+    aside = False
     for name, a, b, c in _ATTRIBUTE.findall(node.attributes):
         name, value = name.lower(), (a or b or c).lower()
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
@@ -172,7 +233,8 @@ def _unwanted(node: Node) -> bool:
             return True
         if name in ("class", "id"):
             words.update(w for part in value.split() for w in (part, *re.split(r"[-_]+", part)))
-    return bool(words & DROP_WORDS) and not words & KEEP_WORDS or bool(words & {"comments", "comment", "advert", "ads", "sidebar", "newsletter"})
+            aside = aside or any(re.split(r"[-_]+", part)[-1] in ASIDE_WORDS for part in value.split())
+    return aside or bool(words & DROP_WORDS) and not words & KEEP_WORDS or bool(words & {"comments", "comment", "advert", "ads", "sidebar", "newsletter"})
 
 
 def _measure(root: Node) -> list[Node]:
@@ -254,7 +316,7 @@ def blocks(nodes: list[Node]) -> list[str]:
     now: list[str] = []
 
     def flush() -> None:
-        text = " ".join(html.unescape("".join(now)).split())
+        text = " ".join("".join(map(html.unescape, now)).split())
         if text:
             out.append(text)
         now.clear()
