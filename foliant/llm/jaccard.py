@@ -241,9 +241,18 @@ def cluster(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: i
         labels = connected(found.unionByName(_verified(pairs, own, size, share)))
 
     reps = sets.join(labels, sets["rep"] == labels["node"], "left").select("sig1", "sig2", F.coalesce("component", "rep").alias("component"))
-    return rows.join(reps, ["sig1", "sig2"], "left").select(
+    out = rows.join(reps, ["sig1", "sig2"], "left").select(
         "id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component", "id")).otherwise(F.col("id")).alias("component_id")
     )
+    # rows of one id are one document: where their texts differ, the id links the texts' components
+    own_set = F.struct(F.col("n") > 0, "sig1", "sig2")
+    several = cut(rows.where("id is not null").groupBy("id").agg(F.min(own_set).alias("low"), F.max(own_set).alias("high")).where("low < high").select("id"))
+    if several.isEmpty():
+        return out
+    held = out.join(several, "id", "left_semi")
+    links = held.join(held.groupBy("id").agg(F.min("component_id").alias("a")), "id").select("a", F.col("component_id").alias("b"))
+    merged = connected(links).select(F.col("node").alias("component_id"), F.col("component").alias("joined"))
+    return out.join(merged, "component_id", "left").select("id", "n_shingles", F.coalesce("joined", "component_id").alias("component_id"))
 
 
 def digest(docs: DataFrame) -> DataFrame:
