@@ -554,3 +554,115 @@ def test_reach_is_the_least_distance():
         assert vectors.reach(one, two, counts, budget) == (flat[order[at]] if at < len(order) else float("inf"))
     first, parts, blocks = vectors._blocks(np.array([3, 3, 10, 1, 25, 2, 2]), 10)
     assert first.tolist() == [0, 0, 1, 2, 3, 6, 6] and parts.tolist() == [1, 1, 1, 1, 3, 1, 1] and blocks == 7
+
+
+def test_decontaminate_in_waves_and_pieces(spark, monkeypatch):
+    rng = random.Random(21)
+    items = [(f"i{k}", " ".join(rng.choice(WORDS) for _ in range(rng.choice((3, 15, 60))))) for k in range(40)]
+    long = " ".join(rng.choice(WORDS) for _ in range(900))
+    items.append(("long", long))
+    docs = [(k, " ".join(rng.choice(WORDS) for _ in range(30)) + " " + rng.choice(items)[1] + " tail") for k in range(60)] + [(100, " ".join(long.split()[95:115])), (101, None)]
+    df, known = spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id string, text string")
+    one = {r.doc_id: (r.n_hit, r.n_items, r.items_sha256) for r in decontaminate.digest(df, known).collect()}
+    monkeypatch.setattr(decontaminate, "PIECE_WORDS", 100)
+    scanned, hits = decontaminate.scan(df, known, block_bytes=1500)
+    many = {r.doc_id: r[hits] for r in scanned.collect()}
+    assert set(many) == set(one) and any(n for n, *_ in one.values())
+    for k, (n_hit, n_items, digest) in one.items():
+        assert (many[k]["n_hit"], len(many[k]["items"]), hashlib.sha256(",".join(many[k]["items"]).encode()).hexdigest()) == (n_hit, n_items, digest)
+    assert one[100][0] == 20
+
+
+def test_secrets_beside_columns_without_a_hash(spark):
+    df = spark.sql("SELECT 1 AS doc_id, 'password: abcdefghijkl0123' AS text, array(map('a', 1)) AS m, named_struct('x', map('b', 2)) AS s")
+    assert secrets.redact(df).collect()[0].text == "[secret]"
+
+
+def test_one_id_with_two_texts_is_one_document(spark):
+    rows = [(1, "a b c d e"), (5, "a b c d e"), (5, "q w e r t y"), (7, "q w e r t y"), (8, None), (8, "z x c v b"), (9, "z x c v b")]
+    got = sorted((r.id, r.component_id) for r in jaccard.cluster(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(1, 1), (5, 1), (5, 1), (7, 1), (8, 8), (8, 8), (9, 8)]
+    assert sorted(r.doc_id for r in jaccard.keep_first(spark.createDataFrame(rows, "doc_id long, text string"), size=3, share=(90, 100)).collect()) == [1, 8, 8]
+
+
+def test_page_text_of_hostile_and_odd_markup(spark, empty):
+    import time
+
+    took = []
+    for n in (4000, 16000):
+        began = time.perf_counter()
+        for page in ("<a \"" * n, "<b>" * n + "</i>" * n, "<p>" * n, "<a '" * n + ">", "</div>" * n + "<" * n):
+            pagetext.main_text(page)
+        took.append(time.perf_counter() - began)
+    assert took[1] < 12 * took[0] + 0.5
+    text = "Enough words, in a paragraph, to be seen as the article of this page."
+    assert pagetext.main_text(f"<body><article><p>{text}</p><p>A <a href=http://e.com/>link text</a> &am<b>p;</b> &amp; more.</p></article></body>") == f"{text}\n\nA link text &amp; & more."
+    assert pagetext.main_text(f"<body><article><p>{text}</p><div class='story-related'><p>{text}</p></div></article></body>") == text
+    assert pagetext.main_text(f"<body><p>{text}</p><p title=\"a > b\">x < y and <a 'open</p><p>{text}</p></body>").count(text) == 2
+    rows = [(1, "u", None), (2, "u", ""), (3, "u", f"<p>{text}</p>"), (3, "u", f"<p>{text}</p>"), (4, "u", f"<p>{text * 3000}</p>")]
+    got = sorted((r.page_id, r.text, r.n_chars) for r in pagetext.digest(spark.createDataFrame(rows, "page_id long, url string, html string")).collect())
+    assert got == [(1, "", 0), (2, "", 0), (3, text, len(text)), (3, text, len(text)), (4, text * 3000, 3000 * len(text))]
+
+
+def test_language_against_brute_force(spark, monkeypatch):
+    """The posterior from hosts, suffixes, declarations and texts, recomputed row by row; with many hosts joined in shares too."""
+    import math
+
+    import numpy as np
+
+    rng = random.Random(15)
+    words = {"en": ["the", "and", "house", "with", "this"], "de": ["der", "und", "haus", "mit", "dies"], "fr": ["les", "des", "dans", "pour", "avec"]}
+    say = lambda k, n: " ".join(rng.choice(words[k]) for _ in range(n))
+    labelled = spark.createDataFrame([(k, say(k, 20)) for k in words for _ in range(20)], "lang string, text string")
+    languages, logs = language.fit_texts(labelled)
+    rows = []
+    for i in range(150):
+        k = rng.choice(list(words))
+        rows.append((i, say(k, rng.choice((0, 1, 3))), rng.choice((None, k, f"{k}-XX", "it")), rng.choice((None, f"a.x.{k}", f"b.x.{k}", "c.y.com"))))
+    rows += [(0, *rows[0][1:]), (200, None, None, None), (201, say("de", 4000), "de", "a.x.de")]
+    df = spark.createDataFrame(rows, "own long, text string, declared string, host string").withColumn("found", F.lit("kept")).withColumn("logs", F.lit("kept"))
+    out = language.identify(df, languages, logs)
+    assert out.columns[:3] == ["own", "found", "logs"]
+    got = sorted((r.own, r.lang, round(r.probability, 9)) for r in out.collect())
+    monkeypatch.setattr(language, "MOST_HOSTS", 0)
+    assert sorted((r.own, r.lang, round(r.probability, 9)) for r in language.identify(df, languages, logs).collect()) == got
+
+    n, kappa = len(languages), language.KAPPA
+    import pyarrow as pa
+
+    text_logs = np.array(language._likelihoods(pa.array([r[1] for r in rows], pa.string()), logs).to_pylist())
+    own = np.exp(text_logs - text_logs.max(1, keepdims=True))
+    own /= own.sum(1, keepdims=True)
+    primary = lambda d: (d or "").lower().split("-")[0]
+    said = [primary(r[2]) if primary(r[2]) in languages else "other" if r[2] else "none" for r in rows]
+    host = [r[3] or "" for r in rows]
+    domain = [".".join(h.split(".")[-2:]) if h.count(".") else "" for h in host]
+    suffix = [h.split(".")[-1] for h in host]
+
+    def counts(keys, of):
+        same = [j for j in range(len(rows)) if keys[j] == of]
+        return len(same), own[same].sum(0)
+
+    want = []
+    for i, r in enumerate(rows):
+        def less(keys):
+            total, c = counts(keys, keys[i])
+            return total - 1, np.maximum(c - own[i], 0)
+
+        everything = [""] * len(rows)
+        total, c_all = less(everything)
+        p_all = (c_all + kappa / n) / (total + kappa)
+        prior = p_all
+        if host[i]:
+            for keys in (suffix, domain, host):
+                total, c = less(keys)
+                prior = (c + kappa * prior) / (total + kappa)
+        score = text_logs[i] + np.log(prior)
+        for keys, none in ((said, "none"), (suffix, "")):
+            if keys[i] != none:
+                _, c = less(keys)
+                score = score + np.log((c + kappa * p_all) / (c_all + kappa * n * p_all))
+        posterior = np.exp(score - score.max())
+        posterior /= posterior.sum()
+        want.append((r[0], languages[int(np.argmax(posterior))], round(float(posterior.max()), 9)))
+    assert [g[:2] for g in got] == [w[:2] for w in sorted(want)] and all(math.isclose(g[2], w[2], abs_tol=1e-6) for g, w in zip(got, sorted(want), strict=True))
