@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.llm import decontaminate, jaccard, pack, secrets, toxicity
-from foliant.session import cut_table
+from foliant.session import cut_table, drop_tables
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,7 +57,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for _, stage in STAGES:
-        docs = cut_table(stage(spark, docs, sf_dir))
+        made: list[str] = []
+        docs = cut_table(stage(spark, docs, sf_dir), made)
+        drop_tables(spark, before)  # what the stage read is not read again
+        before = made
     return docs

@@ -28,13 +28,15 @@ def local_session(cores: int | str = "*", partitions: int = 8, **conf: str) -> S
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for cut lineage. The cluster's setting wins; only a session without one (a
-    test on one machine) gets a temporary folder."""
+    """The shared folder for cut lineage. The cluster's setting wins; only a session without one on one machine (a
+    test) gets a temporary folder, elsewhere its lack is an error."""
     context = spark.sparkContext
     set_dir = context._jsc.sc().getCheckpointDir()
     if set_dir.isDefined():
         return set_dir.get()
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if not named and not context.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     folder = named or f"file://{tempfile.gettempdir()}/foliant-checkpoints-{os.getpid()}"
     context.setCheckpointDir(folder)
     return folder
@@ -77,7 +79,7 @@ def drop_tables(spark: SparkSession, paths: list[str]) -> None:
 
 def bound_batches(spark: SparkSession) -> None:
     """Arrow batches of whole texts: a tenth of Spark's default of 10,000 rows keeps the buffers of both sides
-    small. A session's own setting stays."""
+    small. Any other setting of the session stays."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark.conf.get(key) == "10000":
         spark.conf.set(key, "1000")
