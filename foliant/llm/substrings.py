@@ -5,8 +5,9 @@ broadcast; instead both come together in bounded shards:
 
 1. Every window has an anchor, the 4-word run inside it with the least hash. Neighbouring windows with one anchor
    form a segment; equal windows have equal anchors, wherever they stand.
-2. Anchors of two documents or more are kept (partial aggregation; segments of anchors with more rows than a share of
-   a partition are dealt by document, so that no task holds a hot anchor).
+2. Anchors of two documents or more are kept (partial aggregation). A bit table of them, of bounded size, drops most
+   other segments where they are made; the join drops the rest. Segments of anchors with more rows than a share of a
+   partition are dealt by document, so that no task holds a hot anchor.
    Equal segments of an anchor collapse into one with its smallest document.
 3. An anchor with several different segments is a reference shard: a suffix automaton of its segments holds the
    smallest document of each state, and each segment is streamed through it for matching statistics, which
@@ -37,6 +38,10 @@ WINDOW = 13
 ANCHOR = 4
 #: Different segments of one anchor that an automaton may hold.
 SHARD_SEGMENTS = 2000
+#: Bits of the table of shared anchors: this many for each, up to 2 ** MOST_BITS (64 MB). Beyond, it lets more pass, which
+#: the join drops.
+BITS_PER_ANCHOR, LEAST_BITS, MOST_BITS = 16, 16, 29
+_SLICE_BITS = 16
 
 _IS_WORD, _ = lower_ascii_table(lambda b: not (b == 0x20 or 0x09 <= b <= 0x0D))
 
@@ -134,7 +139,41 @@ def _joined(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[byte
     return flat.tobytes(), np.append(begin, len(flat)).tolist()
 
 
-def _segments(batch: pa.RecordBatch, size: int, anchor: int) -> Iterator[pa.RecordBatch]:
+def _bit_places(anchors: np.ndarray, bits: int) -> np.ndarray:
+    """Where anchors stand in a table of 2 ** bits bits; they are least hashes, so their bits are mixed first."""
+    return (mix(anchors.view(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def _bit_table(anchors: DataFrame, n: int) -> np.ndarray:
+    """A table of bytes with the bits of anchors(anchor). Each task makes whole slices of it; slices are disjoint."""
+    bits = min(MOST_BITS, max(LEAST_BITS, (BITS_PER_ANCHOR * n).bit_length()))
+    places = F.pmod("place", F.lit(1 << _SLICE_BITS))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(_bit_places(batch.column(0).to_numpy(), bits))], names=["place"])
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            slices, at = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for k in np.unique(slices).tolist():
+                held.setdefault(k, np.zeros(1 << _SLICE_BITS, bool))[at[slices == k]] = True
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array([np.packbits(v).tobytes() for v in held.values()], pa.binary())], names=["slice", "bytes"])
+
+    placed = anchors.select("anchor").mapInArrow(place, "place long").select(F.shiftright("place", _SLICE_BITS).alias("slice"), places.alias("at"))
+    table = np.zeros(1 << bits >> 3, np.uint8)
+    for k, held in placed.repartition("slice").mapInArrow(fill, "slice long, bytes binary").collect():
+        table[k << _SLICE_BITS >> 3 : (k + 1) << _SLICE_BITS >> 3] = np.frombuffer(held, np.uint8)
+    return table
+
+
+def _in_table(anchors: np.ndarray, table: np.ndarray) -> np.ndarray:
+    at = _bit_places(anchors, len(table).bit_length() + 2)
+    return (table[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 > 0
+
+
+def _segments(batch: pa.RecordBatch, size: int, anchor: int, table: np.ndarray | None) -> Iterator[pa.RecordBatch]:
     ids, marks = batch.column(0), batch.column(2).to_numpy()
     reach = size - anchor + 1
     for at, rows, buf, starts, ends, firsts in _steps(batch.column(1)):
@@ -153,10 +192,12 @@ def _segments(batch: pa.RecordBatch, size: int, anchor: int) -> Iterator[pa.Reco
         inside = row[: len(whole)] == row[size - 1 :]
         new = np.ones(len(whole), bool)
         new[1:] = (place[1:] != place[:-1]) | (row[1 : len(whole)] != row[: len(whole) - 1]) | ~inside[:-1]
+        bounds = np.append(np.flatnonzero(new | ~inside), len(whole))
         first = np.flatnonzero(new & inside)
+        if table is not None:
+            first = first[_in_table(least[first], table)]
         if not len(first):
             continue
-        bounds = np.append(np.flatnonzero(new | ~inside), len(whole))
         last = bounds[np.searchsorted(bounds, first, "right")]  # windows of a segment are [first, last)
         count = last - first
         r = row[first]
@@ -168,13 +209,14 @@ def _segments(batch: pa.RecordBatch, size: int, anchor: int) -> Iterator[pa.Reco
         )
 
 
-def _segment_rows(docs: DataFrame, size: int, anchor: int) -> DataFrame:
+def _segment_rows(docs: DataFrame, size: int, anchor: int, table: np.ndarray | None = None) -> DataFrame:
     bound_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
+    shared = docs.sparkSession.sparkContext.broadcast(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield from _segments(batch, size, anchor)
+            yield from _segments(batch, size, anchor, shared.value)
 
     return _marked(docs.where("doc_id is not null")).mapInArrow(run, f"doc_id {kind}, at long, count int, anchor long, content long")
 
@@ -233,13 +275,14 @@ def _by_automata(segments: DataFrame, size: int) -> DataFrame:
     return dealt.mapInArrow(run, f"anchor long, content long, lows array<{kind}>")
 
 
-def _by_windows(segments: DataFrame, size: int) -> DataFrame:
-    """The same for anchors of more segments than a shard may hold: windows are grouped one by one."""
+def _by_windows(segments: DataFrame, size: int, made: list[str] | None) -> DataFrame:
+    """The same for anchors of more segments than a shard may hold: each window is a shard of its own, whose automaton would say
+    what the least document of its group says. The groups' answers are written, so that the join back can split a common window."""
     windows = segments.select(
         "anchor", "content", "low",
         F.posexplode(F.transform(F.sequence(F.lit(1), F.size(F.split("words", " ")) - size + 1), lambda i: F.array_join(F.slice(F.split("words", " "), i, F.lit(size)), " "))).alias("pos", "window"),
     )
-    least = windows.groupBy("anchor", "window").agg(F.min("low").alias("least"))
+    least = cut_table(windows.groupBy("anchor", "window").agg(F.min("low").alias("least")), made)
     return (
         windows.join(least, ["anchor", "window"]).groupBy("anchor", "content")
         .agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "least"))), lambda x: x["least"]).alias("lows"))
@@ -249,9 +292,12 @@ def _by_windows(segments: DataFrame, size: int) -> DataFrame:
 def covered(docs: DataFrame, size: int = WINDOW, anchor: int = ANCHOR, shard_segments: int = SHARD_SEGMENTS, made: list[str] | None = None) -> DataFrame:
     """(doc_id, mark, spans: array of (at, end)): the windows to remove of each document that has any; at and end carry
     the text's mark in their upper bits. docs has doc_id and text; made gets the paths of the tables on the way."""
-    segments = _segment_rows(docs, size, anchor)
-    anchors = segments.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n")).where("low < high").select("anchor", "n")
-    shared = cut_table(_of_anchors(segments, cut_table(anchors, made)), made)
+    anchors = _segment_rows(docs, size, anchor).groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n")).where("low < high").select("anchor", "n")
+    spark, passing = docs.sparkSession, []
+    anchors = cut_table(anchors, passing)
+    n, rows = anchors.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    shared = cut_table(_of_anchors(_segment_rows(docs, size, anchor, _bit_table(anchors, n)), anchors, rows), made)
+    drop_tables(spark, passing)
     different = cut_table(
         shared.groupBy("anchor", "content").agg(F.min(F.struct("doc_id", "at", "count")).alias("first"))
         .select("anchor", "content", "first.*").withColumnRenamed("doc_id", "low"),
@@ -268,7 +314,7 @@ def covered(docs: DataFrame, size: int = WINDOW, anchor: int = ANCHOR, shard_seg
         lows = _by_automata(words, size)
     else:
         words = cut_table(words.dropDuplicates(["anchor", "content"]), made)
-        lows = _by_automata(words.join(large, "anchor", "left_anti"), size).unionByName(_by_windows(words.join(large, "anchor"), size))
+        lows = _by_automata(words.join(large, "anchor", "left_anti"), size).unionByName(_by_windows(words.join(large, "anchor"), size, made))
     none = F.lit(None)
     answers = sized.where("many = 1").select("anchor", "content", "low", none.cast(lows.schema["lows"].dataType).alias("lows")).unionByName(
         lows.select("anchor", "content", none.cast(docs.schema["doc_id"].dataType).alias("low"), "lows")
@@ -284,19 +330,15 @@ def covered(docs: DataFrame, size: int = WINDOW, anchor: int = ANCHOR, shard_seg
     return spans.groupBy("doc_id", mark_of_first).agg(F.flatten(F.collect_set("spans")).alias("spans"))
 
 
-def _of_anchors(segments: DataFrame, anchors: DataFrame) -> DataFrame:
-    """The segments of anchors(anchor, n). An anchor of more than a quarter of a partition's rows is dealt over several
-    partitions by document; there are at most four such anchors a partition."""
-    spark = segments.sparkSession
-    total = anchors.agg(F.sum("n")).first()[0] or 0
-    bound = max(1000, total // (4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    hot = [(r["anchor"], -(-r["n"] // bound)) for r in anchors.where(F.col("n") > bound).collect()]
-    if not hot:
-        return segments.join(anchors.select("anchor"), "anchor")
-    parts = F.broadcast(spark.createDataFrame(hot, "anchor long, parts long"))
-    deal = F.when(F.col("parts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("doc_id"), F.coalesce("parts", F.lit(1)))).alias("deal")
-    dealt = segments.join(parts, "anchor", "left").select(*segments.columns, deal)
-    keys = anchors.join(parts, "anchor", "left").select("anchor", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)) - 1)).alias("deal"))
+def _of_anchors(segments: DataFrame, anchors: DataFrame, rows: int) -> DataFrame:
+    """The segments of anchors(anchor, n), whose n sum up to rows. An anchor of more than a quarter of a partition's rows is dealt
+    over several partitions by document; there are at most four such anchors a partition."""
+    bound = max(1000, rows // (4 * int(segments.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    large = {r["anchor"]: r["n"] for r in anchors.where(F.col("n") > bound).collect()}
+    hot = F.col("anchor").isin(list(large))
+    parts = max([-(-n // bound) for n in large.values()], default=1)
+    dealt = segments.withColumn("deal", F.when(hot, F.pmod(F.xxhash64("doc_id"), F.lit(parts))).otherwise(F.lit(0).cast("long")))
+    keys = anchors.select("anchor", F.explode(F.when(hot, F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))).alias("deal"))
     return dealt.join(keys, ["anchor", "deal"]).drop("deal")
 
 
