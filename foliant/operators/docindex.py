@@ -93,7 +93,7 @@ def expand(structure: DataFrame, anchors: DataFrame, by: list[str], window: int
     """(by, chunk_id, expanded_from, anchor_order, node_order, tokens) of anchors(by, chunk_id, anchor_order): the anchor, then its
     whole table, or the neighbours of a figure or paragraph. An anchor brings most_nodes nodes and most_tokens tokens at most,
     itself always; all anchors of a group together most_total; a node that several bring is kept where it comes first."""
-    own = anchors.join(structure, "chunk_id").withColumn("table_id", F.when(F.col("node_type").isin(*TABLE_TYPES), table_key(F.col("chunk_id"), F.col("paper_id"), F.col("table_id"))))
+    own = anchors.join(structure.drop(*by), "chunk_id").withColumn("table_id", F.when(F.col("node_type").isin(*TABLE_TYPES), table_key(F.col("chunk_id"), F.col("paper_id"), F.col("table_id"))))
     keys = [*by, "anchor_order"]
     self_rows = own.select(*keys, F.col("chunk_id").alias("anchor"), "chunk_id", F.lit(0).alias("node_order"))
     whole = own.join(tables(structure), ["paper_id", "table_id"]).select(*keys, F.col("chunk_id").alias("anchor"), F.posexplode("members").alias("k", "member"))
