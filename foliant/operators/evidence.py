@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from foliant.functions.text import fraction_overlap, requested_fraction
 
 
+# The weights, penalties and thresholds of the classes below.
 @dataclass(frozen=True)
 class IntentWeights:
     concept: float = 0.22
@@ -116,7 +117,7 @@ def score(candidates: DataFrame, scoring: Scoring = Scoring()) -> DataFrame:
 def merge(candidates: DataFrame) -> DataFrame:
     """One row a chunk: its best score and all requirements that it covers."""
     return candidates.groupBy("question_id", "chunk_id").agg(
-        F.max("final").alias("final"), F.sort_array(F.collect_set(F.when(F.col("covered"), F.col("requirement_id")))).alias("covers"), F.first("paper_id").alias("paper_id"), F.first("chunk_type").alias("chunk_type")
+        F.max("final").alias("final"), F.sort_array(F.collect_set(F.when(F.col("covered"), F.col("requirement_id")))).alias("covers"), F.min("paper_id").alias("paper_id"), F.min("chunk_type").alias("chunk_type")
     )
 
 

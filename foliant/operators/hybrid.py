@@ -198,7 +198,7 @@ def repair(selected: DataFrame, searched: DataFrame, requirements: DataFrame, sl
     missing = requirements.join(counts, ["question_id", "requirement_id"], "left_anti")
     found = searched.withColumn("requirement_id", F.explode("covers")).join(missing, ["question_id", "requirement_id"], "left_semi").join(selected.select("question_id", "chunk_id"), ["question_id", "chunk_id"], "left_anti")
     best = found.withColumn("n", F.row_number().over(Window.partitionBy("question_id", "requirement_id").orderBy(F.desc("final"), "chunk_id"))).where("n = 1")
-    best = best.groupBy("question_id", "chunk_id").agg(F.max("final").alias("final"), F.first("covers").alias("covers"))
+    best = best.groupBy("question_id", "chunk_id").agg(F.max("final").alias("final"), F.max_by("covers", "final").alias("covers"))
     best = best.withColumn("place", F.row_number().over(w.orderBy(F.desc("final"), "chunk_id")))
     often = selected.withColumn("requirement_id", F.explode_outer("covers")).join(counts, ["question_id", "requirement_id"], "left")
     spare = often.groupBy("question_id", "chunk_id").agg(F.max("final").alias("final"), F.coalesce(F.min("n"), F.lit(2)).alias("least")).where("least > 1")

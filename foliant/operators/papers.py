@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from foliant.operators.fusion import min_max
 
 
+# The weights and limits of the classes below.
 @dataclass(frozen=True)
 class QueryWeights:
     strongest: float = 0.50

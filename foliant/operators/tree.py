@@ -11,6 +11,7 @@ from foliant.functions.text import tokens
 from foliant.session import cut
 
 
+# What each part of a node counts.
 @dataclass(frozen=True)
 class NavigationWeights:
     title: float = 2.6

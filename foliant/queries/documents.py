@@ -10,6 +10,9 @@ from foliant.operators import evidence, structure, tree
 from foliant.queries import query, read
 from foliant.queries.retrieval import CHUNKS_SQL, chunks
 
+#: Windows of held-out texts that are broadcast; more are shuffled.
+MOST_WINDOWS = 500_000
+
 
 @query("chunk_breadcrumb", f"WITH {CHUNKS_SQL} SELECT chunk_id, source || ' > ' || lang || chr(10) || chr(10) || ch.text AS embedding_text, source AS section, lang AS subsection FROM ch JOIN (SELECT doc_id, lang FROM documents) ON doc_id = document_id")
 def chunk_breadcrumb(spark: SparkSession, d: str) -> DataFrame:
@@ -93,7 +96,9 @@ def ngram_leak(spark: SparkSession, d: str) -> DataFrame:
     words = tx.tokens(F.col("text")).alias("ws")
     known = read(spark, d, "benchmark").select(words).select(F.explode(tx.ngrams(F.col("ws"), 7)).alias("g")).distinct()
     own = read(spark, d, "documents").select("doc_id", words).select("doc_id", F.explode(F.array_distinct(tx.ngrams(F.col("ws"), 7))).alias("g"))
-    return own.join(known, "g", "left_semi").groupBy("doc_id").agg(F.count("*").alias("n"))
+    # a held-out set's windows are few: while they are, each document's are looked up where they are made
+    few = known.limit(MOST_WINDOWS + 1).count() <= MOST_WINDOWS
+    return own.join(F.broadcast(known) if few else known, "g", "left_semi").groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
 @query("fraction_overlap", """
