@@ -72,6 +72,34 @@ class Scoring:
     table_factor: float = 1.25
 
 
+# How much a kind of chunk counts for a focus, and what being a preferred kind adds; "results" is a paragraph of the
+# Results section.
+TYPE_BOOSTS = {
+    "definition": {"paragraph": 0.15, "table_summary": 0.25, "table_row": 0.10},
+    "numerical": {"table_row": 0.30, "table_summary": 0.20, "table_footnotes": 0.15, "figure": 0.15, "paragraph": 0.05, "results": 0.10},
+    "comparative_numerical": {"table_row": 0.35, "table_summary": 0.25, "table_footnotes": 0.20, "results": 0.20, "paragraph": 0.08, "figure": 0.10},
+    "mechanism": {"paragraph": 0.10, "figure": 0.20, "table_row": 0.05, "results": 0.10},
+    "population": {"table_row": 0.20, "table_summary": 0.15, "paragraph": 0.10},
+    "outcome": {"table_row": 0.20, "table_summary": 0.10, "figure": 0.15, "paragraph": 0.10},
+    "treatment": {"table_row": 0.20, "table_summary": 0.15, "paragraph": 0.10},
+    "comparison": {"table_row": 0.25, "table_summary": 0.15, "paragraph": 0.10},
+    "diagnosis": {"table_row": 0.20, "table_summary": 0.25, "paragraph": 0.10},
+    "table_lookup": {"table_row": 0.40, "table_summary": 0.30, "table_footnotes": 0.20},
+    "figure_interpretation": {"figure": 0.40, "paragraph": 0.10},
+}
+PREFERRED_BOOST = 0.10
+
+
+def type_match(focus: Column, kind: Column, section: Column, preferred: Column) -> Column:
+    """How well a kind of chunk fits a focus, 1 at most."""
+    boost = F.lit(0.0)
+    for name, kinds in TYPE_BOOSTS.items():
+        for k, value in kinds.items():
+            boost = F.when((focus == name) & (kind == k), F.lit(value)).otherwise(boost)
+    in_results = F.array_contains(preferred, "results") & (kind == "paragraph") & (F.lower(F.coalesce(section, F.lit(""))) == "results")
+    return F.least(F.lit(1.0), boost + F.when(F.array_contains(preferred, kind) | in_results, F.lit(PREFERRED_BOOST)).otherwise(F.lit(0.0)))
+
+
 def _given(terms: Column, value: Column) -> Column:
     """A slot that a requirement leaves open counts as met."""
     return F.when(F.size(F.coalesce(terms, F.array().cast("array<string>"))) > 0, value).otherwise(F.lit(1.0))
