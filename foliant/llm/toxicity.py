@@ -47,8 +47,9 @@ BLOCK = 128
 BEGINNING = 5
 #: Terms with the longest lists have a dense column each.
 DENSE = 192
-#: Texts that are scored at a time.
-STEP_TEXTS = 128
+#: Texts that are scored at a time, and bytes of text that are cut into words: what bounds a worker's memory beside the index.
+STEP_TEXTS = 16
+STEP_BYTES = 250_000
 REJECT = 0.3
 
 _IS_WORD, _ = lower_ascii_table(lambda b: 0x61 <= b <= 0x7A or b >= 0x80)
@@ -58,7 +59,7 @@ def word_rows(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(rows, row of each word, hash of each word) of lower-cased texts, step by step."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    for at, end, raw, offs in text_slices(pc.utf8_lower(column)):
+    for at, end, raw, offs in text_slices(pc.utf8_lower(column), STEP_BYTES):
         starts, ends, firsts = word_bounds(raw, offs, _IS_WORD)
         row = np.repeat(np.arange(end - at), np.diff(firsts))
         long = np.flatnonzero(ends - starts > BEGINNING)
@@ -113,9 +114,13 @@ class Index:
     def _gather(self, first: np.ndarray, to: np.ndarray, value: np.ndarray, row: np.ndarray, term: np.ndarray, weight: np.ndarray, rows: int, width: int) -> np.ndarray:
         """The sum over each row's terms of the lists that first delimits, as rows x width."""
         n = (first[term + 1] - first[term]).astype(np.int64)
-        places = np.repeat(first[term] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        cells = np.repeat(row, n) * width + to[places]
-        return np.bincount(cells, weights=np.repeat(weight, n) * value[places], minlength=rows * width).astype(np.float64).reshape(rows, width)
+        places = np.repeat(first[term] - (np.cumsum(n) - n), n)
+        places += np.arange(len(places))
+        cells = np.repeat(row * width, n)
+        cells += to[places]
+        weights = np.repeat(weight, n)
+        weights *= value[places]
+        return np.bincount(cells, weights=weights, minlength=rows * width).astype(np.float64).reshape(rows, width)
 
     def search(self, row: np.ndarray, term: np.ndarray, weight: np.ndarray, rows: int, k: int = NEIGHBOURS, skip: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(cosine, example) of the k nearest of each of rows texts, nearest first, ties to the earlier example;
