@@ -38,9 +38,8 @@ MOST_EXAMPLES = 2048
 MOST_EXAMPLE_BYTES = 16_000_000
 #: Near copies among the examples: words of a shingle and least similarity.
 COPY_SIZE, COPY_SHARE = 5, (80, 100)
-#: Log-likelihood ratio at which a term's relevance is full, the relevance of a term without any, and the standard errors
-#: by which a ratio is lowered.
-FULL_TIE, FLOOR, SURE = 30.0, 0.02, 1.5
+#: Log-likelihood ratio at which a term's relevance is full, and the relevance of a term without any.
+FULL_TIE, FLOOR = 30.0, 0.02
 NEIGHBOURS = 32
 BLOCK = 128
 #: Bytes of a word's beginning, which is a term of its own: rare words of a family share it.
@@ -239,11 +238,10 @@ class Model:
 
 
 def relevance(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int) -> np.ndarray:
-    """FLOOR, and the squared log ratio of a term's share in toxic and in clean examples as far as it is sure (less SURE
-    standard errors), in full where it makes up a log-likelihood of FULL_TIE."""
+    """FLOOR, and the squared log ratio of a term's share in toxic and in clean examples, in full where it makes up a
+    log-likelihood of FULL_TIE."""
     ratio = np.log(((toxic + 0.5) / (n_toxic + 1)) / ((clean + 0.5) / (n_clean + 1)))
-    sure = np.maximum(0, ratio - SURE * np.sqrt(1 / (toxic + 0.5) + 1 / (clean + 0.5)))
-    return FLOOR + np.minimum(1, toxic * sure / FULL_TIE) * sure**2
+    return FLOOR + np.clip(toxic * ratio / FULL_TIE, 0, 1) * ratio**2
 
 
 _RESULT = T.StructType(
