@@ -351,8 +351,7 @@ def test_toxicity_against_brute_force(spark):
 
     def weight(t):
         ratio = math.log(((in_kind[1][t] + 0.5) / (n_kind[1] + 1)) / ((in_kind[0][t] + 0.5) / (n_kind[0] + 1)))
-        sure = max(0, ratio - toxicity.SURE * math.sqrt(1 / (in_kind[1][t] + 0.5) + 1 / (in_kind[0][t] + 0.5)))
-        tie = toxicity.FLOOR + min(1, in_kind[1][t] * sure / toxicity.FULL_TIE) * sure**2
+        tie = toxicity.FLOOR + min(1, max(0, in_kind[1][t] * ratio / toxicity.FULL_TIE)) * ratio**2
         return (math.log((len(table) + 1) / (df[t] + 1)) + 1) * tie
 
     known = {t for i in learned for t in every[i]}
