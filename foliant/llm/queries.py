@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliant.llm import decontaminate, jaccard, language, pack, pagetext, secrets, sharding, substrings, toxicity, vectors
+from foliant.llm import bitplanes, decontaminate, jaccard, language, pack, pagetext, prefixtrie, secrets, sharding, substrings, toxicity, vectors, whitening
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +53,18 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.digest(table(spark, sf_dir, "documents"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.digest(table(spark, sf_dir, "embeddings"))
+
+
+def op12_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bitplanes.digest(table(spark, sf_dir, "documents"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixtrie.digest(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language": op1_language,
@@ -65,6 +77,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_jaccard_join": op8_jaccard_join,
         "op9_neighbours": op9_neighbours,
         "op10_pack": op10_pack,
+        "op11_whitening": op11_whitening,
+        "op12_bit_planes": op12_bit_planes,
+        "op13_prefix_trie": op13_prefix_trie,
     }
 
 
@@ -75,4 +90,5 @@ def oracle_sql() -> dict[str, str]:
         "op4_secrets": secrets.SQL,
         "op7_substring_dedup": substrings.SQL,
         "op8_jaccard_join": jaccard.SQL,
+        "op13_prefix_trie": prefixtrie.SQL,
     }
