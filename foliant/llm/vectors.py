@@ -4,7 +4,8 @@ Both halves of the vectors have their own codebook, fitted on a bounded sample;
 the cell of its pair of centroids, of about CELL_ENTRIES on average. A query visits pairs by summed distance, off a
 heap over tiles of both sorted lists, until the visited cells hold a share of all entries; the share is measured on the
 sample so that RECALL of its true neighbours are reached. Since summed distances order the pairs, the visited ones are
-those up to one distance, the query's reach.
+those up to one distance, the query's reach. Distances are always computed in blocks of one shape, so that a row's do not depend on the
+rows beside it, and a cell counts as reached a rounding error beyond: no border cell is lost between a query's walk and its scoring.
 
 Entries are dealt into blocks of bounded size by their first centroid, once each. A query goes to the blocks where its
 reach holds a cell, and is scored exactly there against the entries within reach; queries stream past a block, so that
@@ -36,7 +37,10 @@ FIT_ROWS = 8192
 #: Entries of a cell on average, and centroids of a half at most (the sample has no more to tell apart).
 CELL_ENTRIES = 4
 MOST_CENTROIDS = 1024
-RECALL = 0.94
+RECALL = 0.95
+#: Rows whose products with centroids are computed at a time, always as many; relative slack of a reach.
+STEP_ROWS = 256
+SLACK = 1e-9
 #: Centroids of each half in a tile of the heap.
 TILE = 16
 #: Entries of a block at most, and queries that are scored at a time.
@@ -56,8 +60,33 @@ def kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return centers
 
 
+def products(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
+    """x @ centers.T by blocks of STEP_ROWS rows, the last one filled up: products of other shapes round differently."""
+    if not len(x):
+        return np.zeros((0, len(centers)))
+    parts = []
+    for at in range(0, len(x), STEP_ROWS):
+        block = np.ascontiguousarray(x[at : at + STEP_ROWS])
+        if len(block) < STEP_ROWS:
+            block = np.concatenate([block, np.zeros((STEP_ROWS - len(block), x.shape[1]))])
+        parts.append(block @ centers.T)
+    return np.concatenate(parts)[: len(x)]
+
+
+def _distances(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
+    return 0.5 * (centers**2).sum(1) - products(x, centers)
+
+
 def nearest(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
-    return (0.5 * (centers**2).sum(1) - x @ centers.T).argmin(1)
+    return _distances(x, centers).argmin(1)
+
+
+def clearly_nearest(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
+    """Whether no other centroid is as near, within rounding."""
+    if len(centers) < 2:
+        return np.ones(len(x), bool)
+    two = np.partition(_distances(x, centers), 1, axis=1)[:, :2]
+    return two[:, 1] - two[:, 0] > SLACK * (1 + np.abs(two).max(1))
 
 
 @dataclass
@@ -66,6 +95,7 @@ class Codebooks:
     sample: np.ndarray
     sample_ids: np.ndarray
     share: float = 1.0
+    clear: np.ndarray | None = None  # which of the sample are in their cell beyond doubt
 
     @property
     def cut(self) -> int:
@@ -76,7 +106,7 @@ class Codebooks:
 
     def distances(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """How much less than the best centroid of its half each centroid gives to the inner product with each row of q."""
-        one, two = q[:, : self.cut] @ self.halves[0].T, q[:, self.cut :] @ self.halves[1].T
+        one, two = products(q[:, : self.cut], self.halves[0]), products(q[:, self.cut :], self.halves[1])
         return one.max(1, keepdims=True) - one, two.max(1, keepdims=True) - two
 
 
@@ -118,6 +148,7 @@ def fit(vectors: DataFrame, n: int, k: int, fit_rows: int) -> Codebooks | None:
     half = max(1, x.shape[1] // 2)
     centroids = min(MOST_CENTROIDS, max(1, round(math.sqrt(n / CELL_ENTRIES))), len(x))
     books = Codebooks((kmeans(x[:, :half], centroids), kmeans(x[:, half:], centroids) if x.shape[1] > half else np.zeros((1, 0))), x, ids)
+    books.clear = clearly_nearest(x[:, :half], books.halves[0]) & clearly_nearest(x[:, half:], books.halves[1])
     if len(x) <= k + 1:
         return books
     one, two = books.cells(x)
@@ -169,7 +200,7 @@ def search(table: DataFrame, is_query: Column, vec_id: str = "vec_id", vector: s
     block_rows = min(BLOCK_ROWS, max(1024, -(-n // (2 * partitions))))
     first, parts, blocks = _blocks(counts.sum(1), block_rows)
     sizes = spark.sparkContext.broadcast((counts, first, parts))
-    budget = max(k + 1, math.ceil(books.share * n))
+    share_rows = math.ceil(books.share * n)
     fields = f"block int, asks boolean, id long, reach double, least double, i int, j int, v array<{element}>"
 
     def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,14 +222,16 @@ def search(table: DataFrame, is_query: Column, vec_id: str = "vec_id", vector: s
         for batch in batches:
             if not batch.num_rows:
                 continue
-            ids, x = batch.column(0).to_numpy(), matrix(batch.column(1))
+            ids, x, rows_of_id = batch.column(0).to_numpy(), matrix(batch.column(1)), batch.column(2).to_numpy()
             to_one, to_two = shared.value.distances(x)
             rows, block, far, least = [], [], [], []
             for r in range(len(ids)):
-                level = reach(to_one[r], to_two[r], counts, budget)
-                inside = (to_one[r, one] + to_two[r, two] <= level) & (shared.value.sample_ids != ids[r])
+                # rows of the query's own id are reached but not found
+                level = reach(to_one[r], to_two[r], counts, max(k + int(rows_of_id[r]), share_rows))
+                inside = (to_one[r, one] + to_two[r, two] <= level) & (shared.value.sample_ids != ids[r]) & shared.value.clear
                 scores = shared.value.sample[inside] @ x[r]
                 floor = float(np.partition(scores, len(scores) - k)[len(scores) - k]) - 1e-9 * (1 + abs(float(scores.max()))) if len(scores) >= k else -math.inf
+                level += SLACK * (1 + abs(level)) if level < math.inf else 0.0
                 visited = np.flatnonzero(((to_one[r][:, None] + to_two[r][None, :] <= level) & (counts > 0)).any(1))
                 asked = np.unique(np.concatenate([np.arange(first[i], first[i] + parts[i]) for i in visited.tolist()]))
                 rows.append(np.full(len(asked), r))
@@ -252,7 +285,8 @@ def search(table: DataFrame, is_query: Column, vec_id: str = "vec_id", vector: s
 
     hashed = F.pmod(F.xxhash64("id"), F.lit(1 << 30))
     entries = own.select("id", "v", hashed.alias("h")).mapInArrow(enter, fields)
-    queries = own.where("asks").groupBy("id").agg(F.min("v").alias("v")).repartition(partitions, F.xxhash64("id"))
+    asked = own.groupBy("id").agg(F.min(F.when(F.col("asks"), F.col("v"))).alias("v"), F.count("*").alias("rows")).where("v is not null")
+    queries = asked.repartition(partitions, F.xxhash64("id"))
     met = entries.unionByName(queries.mapInArrow(visit, fields)).repartition(max(1, min(blocks, 4 * partitions)), "block").sortWithinPartitions("block", "asks")
     near = met.mapInArrow(score, "query_id long, vec_id long, score double")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
