@@ -45,7 +45,7 @@ def jacobi(matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     turned = np.eye(n)
     order = [*range(n), *([-1] if n % 2 else [])]
     half, least = len(order) // 2, _EPS * math.sqrt(max(n, 1))
-    floor = 1e-30 * float(np.trace(np.abs(a))) if n else 0.0
+    floor = float(np.finfo(np.float64).tiny) / _EPS
     for _ in range(MOST_SWEEPS):
         still = True
         for _ in range(len(order) - 1):
