@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.operators import dense, evaluate, fusion, lexical, papers
+from foliant.operators import dense, evaluate, fusion, graph, impacts, lexical, papers
 from foliant.operators.structure import line_chunks
 from foliant.queries import query, read
 from foliant.session import cut
@@ -69,6 +69,14 @@ def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
     return lexical.search(lexical.build(chunks(spark, d)), asked(spark), 50, digits=6)
 
 
+@query("bm25_pruned_topk", BM25_SQL + """
+SELECT query_id, chunk_id, score, CAST(rank AS INTEGER) AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM (
+    SELECT q.query_id, c.chunk_id, coalesce(score, 0.0) AS score FROM qs q CROSS JOIN dl c LEFT JOIN sc USING (query_id, chunk_id))) WHERE rank <= 50""")
+def bm25_pruned_topk(spark: SparkSession, d: str) -> DataFrame:
+    return impacts.search(impacts.build(chunks(spark, d)), asked(spark), 50, digits=6)
+
+
 @query("bm25_positive_only", BM25_SQL + " SELECT query_id, chunk_id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM sc) WHERE rank <= 20")
 def bm25_positive_only(spark: SparkSession, d: str) -> DataFrame:
     return lexical.search(lexical.build(chunks(spark, d)), asked(spark), 20, zero_fill=False, digits=6)
@@ -108,6 +116,12 @@ def dense_filtered_topk(spark: SparkSession, d: str) -> DataFrame:
     return dense.search(read(spark, d, "embeddings").where("label in (1, 3)"), query_vectors(spark, d), 5, method="dot", digits=6)
 
 
+@query("dense_graph_topk")
+def dense_graph_topk(spark: SparkSession, d: str) -> DataFrame:
+    """What dense_cosine_topk finds, but from small-world graphs: nearly all of it."""
+    return graph.search(graph.build(read(spark, d, "embeddings")), query_vectors(spark, d), 10, digits=6)
+
+
 LISTS_SQL = BM25_SQL + """,
 l1 AS (SELECT query_id, chunk_id, 'bm25' AS method, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM sc),
 lw AS (SELECT query_id, chunk_id, round(100.0 * count(*) / max(dl), 6) AS score FROM qt JOIN po USING (term) JOIN dl USING (chunk_id) GROUP BY query_id, chunk_id),
