@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,7 +23,7 @@ Found = tuple[np.ndarray, np.ndarray, np.ndarray]  # query, id and score of each
 def by_length(column: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     """(places, matrix) of a column's vectors for each length; nulls and vectors with a null entry are left out."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    sizes = np.array([-1 if n is None else n for n in pa.compute.list_value_length(column).to_pylist()], np.int64)
+    sizes = np.array([-1 if n is None else n for n in pc.list_value_length(column).to_pylist()], np.int64)
     if column.flatten().null_count:
         sizes[[k for k, v in enumerate(column.to_pylist()) if v is not None and None in v]] = -1
     out = {}

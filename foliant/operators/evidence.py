@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliant.functions.text import fraction_overlap, requested_fraction
+from foliant.functions.text import fraction_overlap, requested_fraction, tokens
 
 
 # The weights, penalties and thresholds of the classes below.
@@ -105,17 +105,46 @@ def _given(terms: Column, value: Column) -> Column:
     return F.when(F.size(F.coalesce(terms, F.array().cast("array<string>"))) > 0, value).otherwise(F.lit(1.0))
 
 
+# Names that are taken for each other.
+CONFUSABLE = (("inoca", "minoca"), ("non-diabetic", "diabetic"))
+
+
+def confusable_names(names: list[str]) -> list[tuple[str, str]]:
+    """(own, other) of the names that have one they are taken for."""
+    pairs = [*CONFUSABLE, *((b, a) for a, b in CONFUSABLE)]
+    return [pair for pair in pairs if pair[0] in {n.lower() for n in names}]
+
+
+def confusable_parts(phrase: str) -> list[tuple[str, str]]:
+    """(own, other) of the names that a phrase holds; one that is only part of its longer counterpart is not held."""
+    low = phrase.lower()
+    return [(a, b) for a, b in [*CONFUSABLE, *((b, a) for a, b in CONFUSABLE)] if a in (low.replace(b, " ") if a in b else low)]
+
+
+def other_name(low: Column, own: Column, other: Column) -> Column:
+    """Whether a text has the other name and nowhere its own, each where it is no part of the other."""
+    apart = lambda name, longer: F.when(F.contains(longer, name), F.replace(low, longer, F.lit(" "))).otherwise(low)
+    return F.contains(apart(other, own), other) & ~F.contains(apart(own, other), own)
+
+
 def score(candidates: DataFrame, scoring: Scoring = Scoring()) -> DataFrame:
     """candidates with components, match, penalty, final score and covered.
 
     A candidate is a row (requirement, chunk) with text, chunk_type, encoder (0..1), paper (0..1), type_match (0..1), fields
-    (detected), and the requirement's concepts, conditions, targets, outcomes, populations, requested, confusables,
-    competing and generics as arrays of terms."""
+    (detected), and the requirement's concepts, conditions, targets, outcomes, populations, requested and generics (all names of its condition) as arrays
+    of terms, and confusables (of its names) and competing (of its population) as arrays of (own, other). Penalties: a text, not of a table, that has no word of
+    the target; another population, or less than a quarter of its own one of several words; no outcome; few of the requested fields; a name
+    that is taken for its own; and a text, not of a table, that has the condition and nothing else that is asked for."""
     w, f, p, t = scoring.intent, scoring.final, scoring.penalties, scoring.thresholds
     text = F.col("text")
     is_table = F.col("chunk_type").startswith("table")
     overlap = lambda c: fraction_overlap(F.col(c), text)
-    any_of = lambda c: F.exists(F.coalesce(F.col(c), F.array().cast("array<string>")), lambda x: F.contains(F.lower(text), F.lower(x)))
+    low = F.lower(F.coalesce(text, F.lit("")))
+    terms = lambda c: F.filter(F.coalesce(F.col(c), F.array().cast("array<string>")), lambda x: F.coalesce(x, F.lit("")) != "")
+    said = lambda c: F.exists(terms(c), lambda x: F.contains(low, F.lower(x)))
+    words_of = lambda c: F.flatten(F.transform(terms(c), lambda x: tokens(x)))
+    taken_for = lambda c: F.coalesce(F.exists(F.col(c), lambda x: other_name(low, F.lower(x["own"]), F.lower(x["other"]))), F.lit(False))
+    nothing_else = (F.size(terms("requested")) <= 0) & ~said("populations") & ~said("targets") & ~said("outcomes")
     fields = _given(F.col("requested"), requested_fraction(F.col("fields"), F.col("requested")))
     rows = candidates.withColumns(
         {
@@ -131,10 +160,10 @@ def score(candidates: DataFrame, scoring: Scoring = Scoring()) -> DataFrame:
     ) / total
     when = lambda cond, value: F.when(cond, F.lit(value)).otherwise(F.lit(0.0))
     penalty = (
-        when((F.col("s_target") == 0) & ~is_table, p.target)
-        + F.when(any_of("competing") & (F.col("s_population") == 0), F.lit(p.population)).when((F.col("s_population") > 0) & (F.col("s_population") < 0.5), F.lit(p.weak_population)).otherwise(F.lit(0.0))
+        when(~is_table & (F.size(words_of("targets")) > 0) & (F.col("s_target") < 0.1) & ~F.arrays_overlap(words_of("targets"), tokens(text)), p.target)
+        + F.when(taken_for("competing"), F.lit(p.population)).when((F.col("s_population") < 0.25) & (F.size(words_of("populations")) > 1), F.lit(p.weak_population)).otherwise(F.lit(0.0))
         + when(F.col("s_outcome") == 0, p.outcome) + when(F.col("s_fields") < 0.34, p.fields)
-        + when(any_of("confusables") & (F.col("s_concept") == 0), p.confusable) + when(any_of("generics") & (F.col("s_concept") == 0), p.generic)
+        + when(taken_for("confusables"), p.confusable) + when(~is_table & said("generics") & nothing_else, p.generic)
     )
     rows = rows.withColumn("match", match).withColumn("penalty", F.least(F.lit(p.cap), penalty))
     final = f.encoder * F.col("encoder") + f.match * F.col("match") + f.type * F.col("s_type") + f.fields * F.col("s_fields") + f.paper * F.col("paper") + f.diversity - F.col("penalty")
@@ -187,27 +216,6 @@ def select_greedily(merged: DataFrame, n_requirements: int, w: GreedyWeights = G
     return merged.groupBy("question_id").applyInPandas(run, "question_id string, chunk_id string, place int, gain double, covers array<string>")
 
 
-def repair(picked: list[dict], searched: list[dict], requirements: list[str], slots: int = GreedyWeights.slots) -> list[dict]:
-    """picked with evidence for requirements that it leaves uncovered, from searched, the scored result of searching for them
-    again (rows with chunk_id, final, covers). While slots are free a new row is added; then it takes the place of the weakest
-    row whose requirements others cover too. What nothing covers stays uncovered."""
-    out = list(picked)
-    for wanted in requirements:
-        if any(wanted in r["covers"] for r in out):
-            continue
-        held = {r["chunk_id"] for r in out}
-        found = sorted((r for r in searched if wanted in r["covers"] and r["chunk_id"] not in held), key=lambda r: (-r["final"], r["chunk_id"]))
-        if not found:
-            continue
-        if len(out) >= slots:
-            spare = [r for r in out if all(any(c in o["covers"] for o in out if o is not r) for c in r["covers"])]
-            if not spare:
-                continue
-            out.remove(min(spare, key=lambda r: (r["final"], r["chunk_id"])))
-        out.append(found[0])
-    return out
-
-
 def coverage(requirements: DataFrame, selected: DataFrame) -> DataFrame:
     """(requirement_id, n_evidence, n_papers, covered) for every requirement."""
     used = selected.select(F.explode("covers").alias("requirement_id"), "chunk_id", "paper_id")
@@ -216,12 +224,3 @@ def coverage(requirements: DataFrame, selected: DataFrame) -> DataFrame:
     return requirements.select("requirement_id").join(found, "requirement_id", "left").select(
         "requirement_id", F.coalesce("n_evidence", zero).alias("n_evidence"), F.coalesce("n_papers", zero).alias("n_papers"), (F.coalesce("n_evidence", zero) > 0).alias("covered")
     )
-
-
-def pair_budget(hits: DataFrame, most_pairs: int = 150) -> DataFrame:
-    """The best hits of each requirement, most_pairs over all requirements together."""
-    from pyspark.sql import Window
-
-    n = hits.select("requirement_id").distinct().count()
-    place = F.row_number().over(Window.partitionBy("requirement_id").orderBy(F.desc("score"), "chunk_id"))
-    return hits.withColumn("_n", place).where(F.col("_n") <= most_pairs // max(1, n)).drop("_n")

@@ -6,7 +6,7 @@ query) pair is a key."""
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -35,6 +35,10 @@ class Depths:
     rrf_k: int = 60
     pairs: int = 150
 
+    def wider(self, times: int) -> Depths:
+        """Every list that many times as deep."""
+        return Depths(**{f.name: getattr(self, f.name) * (1 if f.name == "rrf_k" else times) for f in fields(self)})
+
 
 def retrieve(index: lexical.LexicalIndex, queries: DataFrame, vectors: DataFrame | None = None, d: Depths = Depths(), digits: int | None = None) -> DataFrame:
     """(query_id, chunk_id, method, score, rank): both lists of queries(query_id, text, and vector if there are vectors(chunk_id,
@@ -188,26 +192,3 @@ def union_rerank_diversify(lists: dict[str, DataFrame], details: DataFrame, aske
     scored = both.withColumn("intent", F.round(intent_score(F.col("text"), F.col("node_type"), F.col("section"), F.col("asked"), F.col("phrases")), 5))
     ranked = lexical.top_k(scored, keep, order="intent")
     return diversify(ranked, "paper_id", most_per_paper, top).select("query_id", "chunk_id", "place", "intent", "methods")
-
-
-def repair(selected: DataFrame, searched: DataFrame, requirements: DataFrame, slots: int = 18) -> DataFrame:
-    """selected (question_id, chunk_id, final, covers) with the best searched row of each requirement that nothing selected covers, first
-    into free slots, then in place of the weakest rows all of whose requirements two rows or more cover; what nothing covers stays so."""
-    w = Window.partitionBy("question_id")
-    counts = selected.select("question_id", F.explode("covers").alias("requirement_id")).groupBy("question_id", "requirement_id").agg(F.count("*").alias("n"))
-    missing = requirements.join(counts, ["question_id", "requirement_id"], "left_anti")
-    found = searched.withColumn("requirement_id", F.explode("covers")).join(missing, ["question_id", "requirement_id"], "left_semi").join(selected.select("question_id", "chunk_id"), ["question_id", "chunk_id"], "left_anti")
-    best = found.withColumn("n", F.row_number().over(Window.partitionBy("question_id", "requirement_id").orderBy(F.desc("final"), "chunk_id"))).where("n = 1")
-    best = best.groupBy("question_id", "chunk_id").agg(F.max("final").alias("final"), F.max_by("covers", "final").alias("covers"))
-    best = best.withColumn("place", F.row_number().over(w.orderBy(F.desc("final"), "chunk_id")))
-    often = selected.withColumn("requirement_id", F.explode_outer("covers")).join(counts, ["question_id", "requirement_id"], "left")
-    spare = often.groupBy("question_id", "chunk_id").agg(F.max("final").alias("final"), F.coalesce(F.min("n"), F.lit(2)).alias("least")).where("least > 1")
-    spare = spare.withColumn("spare_place", F.row_number().over(w.orderBy("final", "chunk_id")))
-    free = selected.groupBy("question_id").agg(F.greatest(F.lit(0), F.lit(slots) - F.count("*")).alias("free"))
-    placed = best.join(free, "question_id", "left").withColumn("needs", F.col("place") - F.coalesce("free", F.lit(slots)))
-    swapped = placed.join(spare.select("question_id", F.col("spare_place").alias("needs"), F.col("chunk_id").alias("gives")), ["question_id", "needs"], "left")
-    entering = swapped.where((F.col("needs") <= 0) | F.col("gives").isNotNull())
-    leaving = entering.where("needs > 0").select("question_id", F.col("gives").alias("chunk_id"))
-    columns = ["question_id", "chunk_id", "final", "covers"]
-    return selected.select(*columns).join(leaving, ["question_id", "chunk_id"], "left_anti").unionByName(entering.select(*columns))
-

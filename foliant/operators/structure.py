@@ -151,13 +151,25 @@ def summary_columns(summary: Column) -> Column:
     return F.transform(F.filter(F.split(listed, "\n"), lambda x: F.btrim(x) != ""), lambda x: F.regexp_replace(x, r"^\s*-\s*", ""))
 
 
-def table_context(tables: DataFrame, rows_around: int = 8, footnotes: int = 2, most: int = 3500) -> DataFrame:
-    """(paper_id, table_id, row_no, context) of each row of assembled tables: caption, headers, the rows around it and
-    footnotes, cut at most characters."""
-    rows = tables.select("*", F.posexplode("rows").alias("row_no", "row"))
-    around = F.slice("rows", F.greatest(F.col("row_no") + 1 - rows_around, F.lit(1)), F.least(F.col("row_no"), F.lit(rows_around)) + 1 + rows_around)
-    text = F.concat_ws("\n", "caption", F.concat_ws(" | ", "headers"), F.concat_ws("\n", around), F.concat_ws("\n", F.slice("footnotes", 1, footnotes)))
-    return rows.select("paper_id", "table_id", "row_no", F.substring(text, 1, most).alias("context"))
+def table_context(chunks: DataFrame, rows_around: int = 8, footnotes: int = 2, most: int = 3500) -> DataFrame:
+    """(paper_id, table_id, chunk_id, context) of each chunk of a table: caption, headers, the rows around it, footnotes, cut at most
+    characters. A row's are those before and after it, a summary's or footnote's the table's first ones. Rows meet in a window, so that a long
+    table is not carried along with each of its rows."""
+    key = ["paper_id", "table_id"]
+    own = chunks.where("table_id is not null").select(*key, "chunk_id", "chunk_type", "position", "text")
+    note = F.when(F.col("chunk_type") == "table_footnotes", F.struct("position", "chunk_id", "text"))
+    # of footnotes and first rows only as many are gathered as are shown
+    place = F.row_number().over(Window.partitionBy(*key, "chunk_type").orderBy("position", "chunk_id"))
+    first = own.withColumn("n", place).where((F.col("chunk_type") == "table_summary") | (F.col("n") <= F.when(F.col("chunk_type") == "table_row", 2 * rows_around + 1).otherwise(footnotes)))
+    texts = lambda c: F.transform(F.sort_array(F.collect_list(c)), lambda x: x["text"])
+    row = F.when(F.col("chunk_type") == "table_row", F.struct("position", "chunk_id", "text"))
+    heads = first.groupBy(*key).agg(F.max(F.when(F.col("chunk_type") == "table_summary", F.col("text"))).alias("summary"), texts(note).alias("notes"), texts(row).alias("lead"))
+    w = Window.partitionBy(*key).orderBy("position", "chunk_id").rowsBetween(-rows_around, rows_around)
+    rows = own.where("chunk_type = 'table_row'").withColumn("around", F.collect_list("text").over(w)).drop("chunk_type", "position", "text")
+    others = own.where("chunk_type <> 'table_row'").select(*key, "chunk_id", F.lit(None).cast("array<string>").alias("around"))
+    caption = F.coalesce(F.substring_index("summary", "\n", 1), F.concat(F.lit("Table "), "table_id"))
+    text = F.concat_ws("\n", caption, F.nullif(F.concat_ws(" | ", summary_columns(F.col("summary"))), F.lit("")), F.concat_ws("\n", F.coalesce("around", "lead")), F.nullif(F.concat_ws("\n", "notes"), F.lit("")))
+    return rows.unionByName(others).join(heads, key).select(*key, "chunk_id", F.substring(text, 1, most).alias("context"))
 
 
 def zip_by_order(left: DataFrame, right: DataFrame, key: str, left_order: str, right_order: str) -> DataFrame:

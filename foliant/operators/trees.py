@@ -10,11 +10,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliant.functions.text import collapse
+from foliant.operators import leafmatch
+from foliant.operators.structure import zip_by_order
 from foliant.operators.tree import leaves
+from foliant.session import cut_table
 
 # How alike texts must be, and how long, to be matched.
-MOST_MERGED, LEAST_RATIO, LEAST_CONTAINED, LEAST_SCORE = 40, 0.75, 40, 1.8
-EXACT, CONTAINED, CONTAINS = 3.0, 2.0, 1.8
+MOST_MERGED, LEAST_RATIO = 40, 0.75
 FLOATS = ("figure", "table", "supplementary")
 NODE_COLUMNS = ("paper_id", "node_id", "parent_id", "node_type", "title", "text", "breadcrumb", "level", "preorder", "last_preorder", "source_id")
 
@@ -155,40 +157,18 @@ def exact_fallback(nodes: DataFrame, chunks: DataFrame, mapped: DataFrame) -> Da
     return left.withColumn("k", F.row_number().over(w)).join(right.withColumn("k", F.row_number().over(w)), ["paper_id", "flat", "k"]).select("paper_id", "node_id", "chunk_id")
 
 
-def match_leaves(nodes: DataFrame, chunks: DataFrame) -> DataFrame:
+def match_leaves(nodes: DataFrame, chunks: DataFrame, alike: bool = False) -> DataFrame:
     """(paper_id, node_id, chunk_id, score): leaves (paper_id, node_id, node_type, position, text) with chunks (paper_id, chunk_id, chunk_type,
-    position, text) of a paper, one to one, best first: equal texts, a chunk inside a leaf, a leaf inside a chunk. Tables and figures that
-    are left go by their order."""
-
-    def solve(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        flat = lambda s: " ".join((s or "").lower().split())
-        left, right = left.sort_values("position"), right.sort_values("position")
-        a = [(n, k, flat(t)) for n, k, t in zip(left["node_id"], left["node_type"], left["text"], strict=True)]
-        b = [(c, k, flat(t)) for c, k, t in zip(right["chunk_id"], right["chunk_type"], right["text"], strict=True)]
-        whole: dict[str, list[int]] = {}
-        for j, (*_, t) in enumerate(b):
-            whole.setdefault(t, []).append(j)
-        scored = [(-EXACT, i, j) for i, (*_, t) in enumerate(a) if t for j in whole.get(t, [])]
-        for i, (*_, t) in enumerate(a):
-            for j, (*_, u) in enumerate(b):
-                if t != u and len(u) >= LEAST_CONTAINED and u in t:
-                    scored.append((-CONTAINED, i, j))
-                elif t != u and len(t) >= LEAST_CONTAINED and t in u:
-                    scored.append((-CONTAINS, i, j))
-        used_a: set[int] = set()
-        used_b: set[int] = set()
-        out = []
-        for s, i, j in sorted(scored):
-            if i not in used_a and j not in used_b and -s >= LEAST_SCORE:
-                used_a.add(i)
-                used_b.add(j)
-                out.append((key[0], a[i][0], b[j][0], -s))
-        for kind, chunk_kind in (("table", "table_summary"), ("figure", "figure")):
-            rest = zip([i for i, x in enumerate(a) if x[1] == kind and i not in used_a], [j for j, x in enumerate(b) if x[1] == chunk_kind and j not in used_b], strict=False)
-            out += [(key[0], a[i][0], b[j][0], 0.0) for i, j in rest]
-        return pd.DataFrame(out, columns=["paper_id", "node_id", "chunk_id", "score"])
-
-    return nodes.groupBy("paper_id").cogroup(chunks.groupBy("paper_id")).applyInPandas(solve, "paper_id string, node_id string, chunk_id string, score double")
+    position, text) of a paper, one to one, best first: equal texts, a leaf inside a chunk, a chunk inside a leaf, and with alike those much
+    like each other. Tables and figures that are left go by their order, with score 0."""
+    found = cut_table(leafmatch.match(nodes, chunks, alike))
+    by_order = None
+    for kind, chunk_kind in (("table", "table_summary"), ("figure", "figure")):
+        left = nodes.where(F.col("node_type") == kind).join(found, ["paper_id", "node_id"], "left_anti").select("paper_id", "node_id", "position")
+        right = chunks.where(F.col("chunk_type") == chunk_kind).join(found, ["paper_id", "chunk_id"], "left_anti").select("paper_id", "chunk_id", F.col("position").alias("chunk_position"))
+        rest = zip_by_order(left, right, "paper_id", "position", "chunk_position").select("paper_id", "node_id", "chunk_id", F.lit(0.0).alias("score"))
+        by_order = rest if by_order is None else by_order.unionByName(rest)
+    return found.unionByName(by_order)
 
 
 def navigate_structure(nodes: DataFrame, queries: DataFrame, most: int = 8) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.functions import text as tx
-from foliant.operators import evidence, structure, tree
+from foliant.operators import evidence, leafmatch, structure, tree
 from foliant.queries import query, read
 from foliant.queries.retrieval import CHUNKS_SQL, chunks
 
@@ -209,6 +209,40 @@ def tree_audit(spark: SparkSession, d: str) -> DataFrame:
     return tree.audit(kept, {"document", "section", "paragraph"})
 
 
+DESCENT_SQL = f"""
+WITH RECURSIVE {CHUNKS_SQL},
+nd AS (SELECT document_id AS paper_id, chunk_id AS node_id, 's' || (position // 5) AS parent_id, 'paragraph' AS node_type, lower(text[1:120]) AS low FROM ch
+       UNION ALL SELECT DISTINCT document_id, 's' || (position // 5), 'root', 'section', 'part ' || (position // 5) FROM ch
+       UNION ALL SELECT DISTINCT document_id, 'root', NULL, 'document', '' FROM ch),
+qs AS (SELECT query_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]{{3,}}')) AS terms FROM (VALUES ('a', 'the with that'), ('b', 'und der nicht eine')) AS t(query_id, text)),
+wd AS (SELECT paper_id, node_id, parent_id, unnest(list_distinct(regexp_extract_all(low, '[a-z0-9]{{3,}}'))) AS term FROM nd),
+up AS (SELECT paper_id, node_id, term FROM wd UNION SELECT paper_id, parent_id, term FROM wd WHERE parent_id IS NOT NULL UNION SELECT paper_id, 'root', term FROM wd),
+sc AS (SELECT n.paper_id, n.node_id, n.parent_id, query_id, 2e0 * count(DISTINCT u.term) / max(len(terms)) AS score
+       FROM nd n CROSS JOIN qs JOIN up u ON u.paper_id = n.paper_id AND u.node_id = n.node_id AND list_contains(terms, u.term) GROUP BY ALL),
+go AS (SELECT paper_id, query_id, 'root' AS node_id, 0 AS level, 0e0 AS score FROM (SELECT DISTINCT paper_id FROM nd) CROSS JOIN qs
+       UNION ALL SELECT paper_id, query_id, node_id, level, score FROM (
+         SELECT s.paper_id, s.query_id, s.node_id, g.level + 1 AS level, s.score, row_number() OVER (PARTITION BY s.paper_id, s.query_id ORDER BY s.score DESC, s.node_id) AS n
+         FROM go g JOIN sc s ON s.paper_id = g.paper_id AND s.query_id = g.query_id AND s.parent_id = g.node_id) WHERE n <= 3),
+le AS (SELECT *, row_number() OVER (PARTITION BY paper_id, query_id ORDER BY score DESC, node_id) AS place FROM go WHERE level = 2)
+SELECT paper_id, query_id, node_id, level, round(score, 6) AS score, CAST(place AS INTEGER) AS place FROM le WHERE place <= 8"""
+
+
+@query("tree_descent", DESCENT_SQL)
+def tree_descent(spark: SparkSession, d: str) -> DataFrame:
+    """Every document's tree, searched branch by branch for two questions."""
+    asked = spark.sql("SELECT * FROM VALUES ('a', 'the with that'), ('b', 'und der nicht eine') AS t(query_id, text)")
+    return tree.descend(nodes(spark, d), asked).select("paper_id", "query_id", "node_id", "level", F.round("score", 6).alias("score"), "place")
+
+
+@query("leaf_match")
+def leaf_match(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of documents with an even id as leaves, those of the others as chunks, a paper for each source."""
+    rows = read(spark, d, "documents").select("source", F.col("doc_id").alias("document_id")).join(chunks(spark, d), "document_id")
+    place = (F.col("document_id") * (1 << 24) + F.col("position")).alias("position")
+    side = lambda odd, name: rows.where(F.col("document_id") % 2 == odd).select(F.col("source").alias("paper_id"), F.col("chunk_id").alias(name), place, "text")
+    return leafmatch.match(side(0, "node_id"), side(1, "chunk_id")).withColumn("score", F.round("score", 6))
+
+
 @query("nav_score_topk", f"""
 WITH {CHUNKS_SQL},
 sc AS (SELECT document_id AS paper_id, chunk_id AS node_id, ((CASE WHEN contains(lower(text[1:400]), 'the') THEN 1 ELSE 0 END) + (CASE WHEN contains(lower(text[1:400]), 'und') THEN 1 ELSE 0 END)) / 2 AS score FROM ch),

@@ -3,11 +3,11 @@ the vector of an id is the document's."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foliant.functions import text as tx
-from foliant.operators import docindex, fusion, hybrid, lexical, report
+from foliant.operators import docindex, evidence, fusion, hybrid, lexical, repair, report, structure
 from foliant.plans import understanding
 from foliant.queries import query, read
 from foliant.queries.chunking import BLOCKS_SQL, order_blocks
@@ -199,3 +199,67 @@ def levelled_questions(spark: SparkSession, d: str) -> DataFrame:
     rows = read(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("chunk_id"), "text", F.slice(tx.content_tokens(F.col("text")), 1, 6).alias("keywords"), tx.entity_phrases(F.col("text")).alias("phrases"))
     return report.levelled_questions(rows, {"is": "was", "of the": "from any"})
 
+
+
+@query("evidence_repair", """
+WITH e AS (SELECT CAST(user_id % 23 AS VARCHAR) AS question_id, event_id AS chunk_id, event_type AS requirement_id, value AS final FROM events),
+r AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY final DESC, chunk_id) AS n, row_number() OVER (PARTITION BY question_id, requirement_id ORDER BY final DESC, chunk_id) AS k FROM e),
+s AS (SELECT * FROM r WHERE n <= 6),
+o AS (SELECT * FROM r WHERE k = 1 AND NOT EXISTS (SELECT 1 FROM s WHERE s.question_id = r.question_id AND s.requirement_id = r.requirement_id)),
+w AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY final, chunk_id) AS weak FROM s WHERE k > 1),
+c AS (SELECT question_id, count(*) AS n_open FROM o GROUP BY question_id)
+SELECT question_id, chunk_id, round(final, 6) AS final, [requirement_id] AS covers FROM o
+UNION ALL SELECT question_id, chunk_id, round(final, 6), [requirement_id] FROM s WHERE k = 1
+UNION ALL SELECT question_id, chunk_id, round(final, 6), [requirement_id] FROM w LEFT JOIN c USING (question_id) WHERE weak > coalesce(n_open, 0)""")
+def evidence_repair(spark: SparkSession, d: str) -> DataFrame:
+    """Each question's six best events, and what their types leave open: the weakest of a type that others show too go for the best of
+    each open type."""
+    rows = read(spark, d, "events").select((F.col("user_id") % 23).cast("string").alias("question_id"), F.col("event_id").alias("chunk_id"), F.col("value").alias("final"), F.array("event_type").alias("covers"))
+    best = lexical.top_k(rows, 6, order="final", key="question_id").drop("rank")
+    needed = rows.select("question_id", F.col("covers")[0].alias("requirement_id")).distinct()
+    return repair.repair(best, rows, needed, slots=6).withColumn("final", F.round("final", 6))
+
+
+TABLE_ROWS_SQL = f"""
+WITH {CHUNKS_SQL},
+tc AS (SELECT CAST(document_id AS VARCHAR) AS paper_id, chunk_id, position, text, CASE WHEN position = min(position) OVER (PARTITION BY document_id) THEN 'table_summary' WHEN position % 11 = 10 THEN 'table_footnotes' ELSE 'table_row' END AS kind FROM ch),
+hd AS (SELECT paper_id, max(text) FILTER (kind = 'table_summary') AS caption FROM tc GROUP BY paper_id),
+nt AS (SELECT paper_id, string_agg(text, chr(10) ORDER BY position, chunk_id) AS notes FROM (SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY position, chunk_id) AS n FROM tc WHERE kind = 'table_footnotes') WHERE n <= 2 GROUP BY paper_id),
+rw AS (SELECT paper_id, chunk_id, string_agg(text, chr(10)) OVER (PARTITION BY paper_id ORDER BY position, chunk_id ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS rws FROM tc WHERE kind = 'table_row')
+SELECT paper_id, chunk_id, (caption || chr(10) || rws || coalesce(chr(10) || notes, ''))[1:600] AS context FROM rw JOIN hd USING (paper_id) LEFT JOIN nt USING (paper_id)"""
+
+
+@query("row_context", TABLE_ROWS_SQL)
+def row_context(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as tables: the first line is the summary, every eleventh a footnote, others are rows."""
+    first = F.min("position").over(Window.partitionBy("document_id"))
+    kind = F.when(F.col("position") == first, "table_summary").when(F.col("position") % 11 == 10, "table_footnotes").otherwise("table_row")
+    rows = chunks(spark, d).select(F.col("document_id").cast("string").alias("paper_id"), F.lit("t").alias("table_id"), "chunk_id", kind.alias("chunk_type"), "position", "text")
+    found = structure.table_context(rows, rows_around=3, most=600)
+    return found.join(rows.where("chunk_type = 'table_row'").select("chunk_id"), "chunk_id", "left_semi").select("paper_id", "chunk_id", "context")
+
+
+def _apart_sql(name: str, longer: str) -> str:
+    return f"CASE WHEN contains('{longer}', '{name}') THEN replace(low, '{longer}', ' ') ELSE low END"
+
+
+def _taken_sql(own: str, other: str) -> str:
+    return f"(contains({_apart_sql(other, own)}, '{other}') AND NOT contains({_apart_sql(own, other)}, '{own}'))"
+
+
+@query("confusable_penalty", f"""
+WITH t AS (SELECT doc_id, lower(coalesce(text, '')) AS low, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') AS ws FROM documents),
+f AS (SELECT doc_id, {_taken_sql('inter', 'er')} OR {_taken_sql('sch', 'che')} AS confused, {_taken_sql('sch', 'che')} AS competing, contains(low, 'the') AS generic, contains(low, 'sch') AS population, contains(low, 'of the') OR list_has_all(ws, ['of', 'the']) AS target,
+        list_has_any(ws, ['of', 'the']) AS near FROM t)
+SELECT doc_id, round(least(1e0, CASE WHEN NOT target AND NOT near THEN 0.6 ELSE 0 END + CASE WHEN competing THEN 1.05 ELSE 0 END + CASE WHEN confused THEN 1.4 ELSE 0 END
+  + CASE WHEN generic AND NOT population AND NOT contains(low, 'of the') THEN 0.5 ELSE 0 END), 6) AS penalty FROM f JOIN t USING (doc_id)""")
+def confusable_penalty(spark: SparkSession, d: str) -> DataFrame:
+    """Every document as a candidate for one requirement, whose names stand for ones that are taken for others."""
+    none, one = F.array().cast("array<string>"), lambda x: F.array(F.lit(x))
+    pair = lambda own, other: F.struct(F.lit(own).alias("own"), F.lit(other).alias("other"))
+    rows = read(spark, d, "documents").select(
+        "doc_id", F.coalesce("text", F.lit("")).alias("text"), F.lit("paragraph").alias("chunk_type"), F.lit(0.0).alias("encoder"), F.lit(0.0).alias("paper"), F.lit(0.0).alias("type_match"), none.alias("fields"), one("the").alias("concepts"),
+        none.alias("conditions"), one("of the").alias("targets"), none.alias("outcomes"), one("sch").alias("populations"), none.alias("requested"), one("the").alias("generics"),
+        F.array(pair("inter", "er"), pair("sch", "che")).alias("confusables"), F.array(pair("sch", "che")).alias("competing"),
+    )
+    return evidence.score(rows).select("doc_id", F.round("penalty", 6).alias("penalty"))

@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from foliant.functions import text as tx
-from foliant.operators import dense, evidence, fusion, lexical, structure
+from foliant.operators import dense, evidence, fusion, lexical, repair, structure
 
 
 def test_bm25_against_plain_python(spark):
@@ -103,10 +103,10 @@ def test_greedy_prefers_new_requirements():
 
 
 def test_intent_score_and_coverage(spark):
-    schema = "requirement_id string, chunk_id string, paper_id string, text string, chunk_type string, encoder double, paper double, type_match double, fields array<string>, " + ", ".join(f"{c} array<string>" for c in ("concepts", "conditions", "targets", "outcomes", "populations", "requested", "confusables", "competing", "generics"))
+    schema = "requirement_id string, chunk_id string, paper_id string, text string, chunk_type string, encoder double, paper double, type_match double, fields array<string>, " + ", ".join(f"{c} array<string>" for c in ("concepts", "conditions", "targets", "outcomes", "populations", "requested", "generics")) + ", confusables array<struct<own:string,other:string>>, competing array<struct<own:string,other:string>>"
     rows = [
-        ("r", "good", "p", "Iron therapy raised ferritin in adults, p < 0.01", "paragraph", 0.9, 1.0, 1.0, ["p-value"], ["iron therapy"], [], ["ferritin"], [], ["adults"], ["p-value"], [], ["children"], []),
-        ("r", "bad", "p", "Children slept well", "paragraph", 0.1, 0.0, 0.0, [], ["iron therapy"], [], ["ferritin"], [], ["adults"], ["p-value"], [], ["children"], []),
+        ("r", "good", "p", "Iron therapy raised ferritin in adults, p < 0.01", "paragraph", 0.9, 1.0, 1.0, ["p-value"], ["iron therapy"], [], ["ferritin"], [], ["adults"], ["p-value"], [], [], [("adults", "children")]),
+        ("r", "bad", "p", "Children slept well", "paragraph", 0.1, 0.0, 0.0, [], ["iron therapy"], [], ["ferritin"], [], ["adults"], ["p-value"], [], [], [("adults", "children")]),
     ]
     got = {r.chunk_id: r for r in evidence.score(spark.createDataFrame(rows, schema)).collect()}
     assert got["good"].covered and got["good"].match == pytest.approx(1.0) and got["good"].penalty == 0
@@ -119,16 +119,40 @@ def test_markdown_and_tables(spark):
     p = structure.markdown_profile(spark.createDataFrame([(1, doc)], "doc_id long, text string")).first()
     assert (p.n_headings, p.deepest, p.n_jumps, p.n_html_tables, p.n_pipe_tables) == (2, 3, 1, 1, 2)
     chunks = [("p", "t", "table_summary", 0, "Table 1. X\nColumns:\n- Name\n- Value"), ("p", "t", "table_row", 2, "r2"), ("p", "t", "table_row", 1, "r1"), ("p", "t", "table_footnotes", 3, "[a] note")]
-    tables = structure.assemble_tables(spark.createDataFrame(chunks, "paper_id string, table_id string, chunk_type string, position int, text string"))
+    rows = spark.createDataFrame([(p, t, f"c{n}", k, n, x) for p, t, k, n, x in chunks], "paper_id string, table_id string, chunk_id string, chunk_type string, position int, text string")
+    tables = structure.assemble_tables(rows)
     t = tables.first()
     assert (t.caption, t.headers, t.rows, t.footnotes) == ("Table 1. X", ["Name", "Value"], ["r1", "r2"], ["[a] note"])
-    assert structure.table_context(tables).where("row_no = 1").first().context == "Table 1. X\nName | Value\nr1\nr2\n[a] note"
-
-
-def test_repair_replaces_only_what_others_cover():
-    row = lambda c, f, *k: {"chunk_id": c, "final": f, "covers": list(k)}
-    picked = [row("a", 0.9, "r1"), row("b", 0.2, "r1"), row("c", 0.5, "r2")]
-    found = [row("x", 0.3, "r3"), row("y", 0.4, "r3"), row("z", 1.0, "r1")]
-    assert [r["chunk_id"] for r in evidence.repair(picked, found, ["r1", "r2", "r3", "r4"], slots=3)] == ["a", "c", "y"]
-    assert [r["chunk_id"] for r in evidence.repair(picked, found, ["r3"], slots=4)] == ["a", "b", "c", "y"]
-    assert evidence.repair([row("a", 1.0, "r1")], found, ["r3"], slots=1) == [row("a", 1.0, "r1")]
+    assert structure.table_context(rows).where("chunk_id = 'c2'").first().context == "Table 1. X\nName | Value\nr1\nr2\n[a] note"
+    long = spark.createDataFrame([("p", "t", f"c{n}", "table_row", n, f"row {n}") for n in range(60)] + [("p", "t", "n", "table_footnotes", 99, "note")], rows.schema)
+    got = {r.chunk_id: r.context for r in structure.table_context(long, rows_around=2).collect()}
+    assert got["c50"] == "Table t\n" + "\n".join(f"row {n}" for n in range(48, 53)) + "\nnote" and got["c0"].startswith("Table t\nrow 0\nrow 1\nrow 2\nnote") and got["n"] == "Table t\n" + "\n".join(f"row {n}" for n in range(5)) + "\nnote"
+
+
+def test_repair_keeps_what_is_covered():
+    of = lambda **rows: {c: (f, frozenset(k)) for c, (f, *k) in rows.items()}
+    picked = of(a=(0.9, "r1"), b=(0.2, "r1"), c=(0.5, "r2"))
+    found = of(x=(0.3, "r3"), y=(0.4, "r3"), z=(1.0, "r1"))
+    assert sorted(repair.augment(picked, found, ["r1", "r2", "r3", "r4"], 3)) == ["a", "c", "y"] and sorted(repair.augment(picked, found, ["r3"], 4)) == ["a", "b", "c", "y"]
+    assert repair.augment(of(a=(1.0, "r1")), found, ["r3"], 1) == of(a=(1.0, "r1"))
+    # both rows alone cover r1 together: two open requirements must not take both
+    both = repair.augment(of(a=(0.9, "r1"), b=(0.8, "r1")), of(c=(0.7, "r2"), d=(0.6, "r3")), ["r1", "r2", "r3"], 2)
+    assert sorted(both) == ["a", "c"]
+    # a path: for r3 a row goes whose requirement another brings back, which itself stands in for a second one
+    path = repair.augment(of(a=(0.9, "r1"), b=(0.8, "r2")), of(c=(0.5, "r3"), d=(0.4, "r1", "r2")), ["r1", "r2", "r3"], 2)
+    assert sorted(path) == ["c", "d"]
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_coverage_never_shrinks(seed):
+    rng = random.Random(seed)
+    for _ in range(300):
+        needs = [f"r{k}" for k in range(rng.randrange(1, 7))]
+        rows = {f"c{k}": (rng.random(), frozenset(r for r in needs if rng.random() < 0.3)) for k in range(rng.randrange(1, 14))}
+        slots = rng.randrange(1, 6)
+        picked = {c: rows[c] for c in rng.sample(sorted(rows), min(len(rows), rng.randrange(0, slots + 1)))}
+        out = repair.augment(picked, rows, needs, slots)
+        covered = lambda x: {r for _, k in x.values() for r in k}
+        assert covered(picked) & set(needs) <= covered(out) and len(out) <= slots and all(rows[c] == v for c, v in out.items())
+        if len(picked) < slots:
+            assert len(covered(out)) >= min(1, len(set().union(*(k for _, k in rows.values()))))

@@ -1,6 +1,7 @@
 """Chunks, trees, the document index, front matter, the store, plug-ins, hybrid retrieval and reports on small fixtures."""
 
 import random
+import re
 
 import numpy as np
 import pytest
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from foliant.functions import text as tx
 from foliant.models import plugins
 from foliant.operators import chunks as ck
-from foliant.operators import docindex, hybrid, lexical, report, tree, trees
+from foliant.operators import docindex, hybrid, leafmatch, lexical, repair, report, tree, trees
 from foliant.sources import articles, front, store
 
 XML = """<article article-type="research"><front><journal-meta><journal-id journal-id-type="nlm">J1</journal-id><journal-title>The Journal</journal-title><issn>1234-5678</issn><publisher><publisher-name>Pub</publisher-name></publisher></journal-meta>
@@ -93,7 +94,7 @@ def test_trees(spark, blocks, chunks):
     assert [r.node_id for r in trees.exact_fallback(own, corpus, mapped.where("status = 'merged'")).orderBy("node_id").collect()] == ["b0", "b3"]
     leaf = spark.createDataFrame([("p", "a", "paragraph", 1, "x" * 50), ("p", "b", "paragraph", 2, "left " + "y" * 45 + " right"), ("p", "t", "table", 3, "")], "paper_id string, node_id string, node_type string, position long, text string")
     other = spark.createDataFrame([("p", "c1", "paragraph", 1, "X" * 50), ("p", "c2", "paragraph", 2, "y" * 45), ("p", "c3", "table_summary", 3, "zzz")], "paper_id string, chunk_id string, chunk_type string, position long, text string")
-    assert sorted((r.node_id, r.chunk_id, r.score) for r in trees.match_leaves(leaf, other).collect()) == [("a", "c1", 3.0), ("b", "c2", 2.0), ("t", "c3", 0.0)]
+    assert sorted((r.node_id, r.chunk_id, r.score) for r in trees.match_leaves(leaf, other).collect()) == [("a", "c1", 3.0), ("b", "c2", 1.8), ("t", "c3", 0.0)]
     found = trees.navigate_structure(nodes, spark.createDataFrame([("q", "third table para")], "query_id string, text string")).orderBy("place").collect()
     assert found[0].score > 0 and {r.place for r in found} == set(range(1, len(found) + 1))
 
@@ -264,10 +265,10 @@ def test_repair(spark):
     chosen = spark.createDataFrame([("q", "a", 0.9, ["r1"]), ("q", "b", 0.8, ["r1"]), ("q", "c", 0.1, [])], kind)
     searched = spark.createDataFrame([("q", "d", 0.5, ["r2"]), ("q", "e", 0.4, ["r2"]), ("q", "a", 0.9, ["r3"])], kind)
     needs = spark.createDataFrame([("q", "r1"), ("q", "r2"), ("q", "r3"), ("q", "r4")], "question_id string, requirement_id string")
-    run = lambda slots: sorted(r.chunk_id for r in hybrid.repair(chosen, searched, needs, slots).collect())
+    run = lambda slots: sorted(r.chunk_id for r in repair.repair(chosen, searched, needs, slots).collect())
     assert run(4) == ["a", "b", "c", "d"] and run(3) == ["a", "b", "d"]
     only = spark.createDataFrame([("q", "a", 0.9, ["r1"])], kind)
-    assert [r.chunk_id for r in hybrid.repair(only, searched, needs, 1).collect()] == ["a"]
+    assert [r.chunk_id for r in repair.repair(only, searched, needs, 1).collect()] == ["a"]
 
 
 def test_reports(spark):
@@ -302,3 +303,78 @@ def test_detectors(spark):
     row = spark.createDataFrame([("Age", [("adjusted OR", "2.1"), ("more or less", "5")], ["95% CI in brackets"])], "v string, c array<struct<col:string,val:string>>, n array<string>")
     assert row.select(tx.detect_row_fields(F.col("v"), F.col("c"), F.col("n")).alias("f")).first().f == ["confidence_interval", "effect_estimate"]
     assert spark.range(1).select(tx.non_content(F.lit(" Funding "), F.lit("x")).alias("a"), tx.non_content(F.lit("Results"), F.lit(" Copyright 2020")).alias("b"), tx.non_content(F.lit("Results"), F.lit("x")).alias("c")).first()[:] == (True, True, False)
+
+
+def brute_matches(leaves, texts):
+    """Different texts, every pair looked at."""
+    from difflib import SequenceMatcher
+
+    flat = lambda s: " ".join(s.lower().split())
+    group = lambda rows: {t: sorted((p, n) for n, p, x in rows if flat(x) == t) for t in {flat(x) for *_, x in rows} - {''}}
+    a, b = group(leaves), group(texts)
+    found = []
+    for t in a:
+        for u in b:
+            if t == u:
+                found.append((3.0, t, u))
+            elif len(t) >= 40 and t in u:
+                found.append((2.0, t, u))
+            elif len(u) >= 40 and u in t:
+                found.append((1.8, t, u))
+            elif len(t) >= 40 and max(len(t), len(u)) <= 1.6 * min(len(t), len(u)):
+                w, v = set(re.findall("[a-z0-9]+", t)), set(re.findall("[a-z0-9]+", u))
+                if len(w & v) >= 0.45 * len(w) and w and (r := SequenceMatcher(None, u, t).ratio()) >= 0.92:
+                    found.append((r, t, u))
+    out = []
+    for s, t, u in sorted(found, key=lambda x: (-x[0], a[x[1]][0], b[x[2]][0])):
+        while a[t] and b[u]:
+            out.append((a[t].pop(0)[1], b[u].pop(0)[1], round(s, 6)))
+    return sorted(out)
+
+
+def test_leaf_match_against_all_pairs(spark):
+    rng = random.Random(8)
+    words = [f"{x}{y}{z}" for x in "bcdfg" for y in "aeiou" for z in "lmnrst"]
+    base = [" ".join(rng.choice(words) for _ in range(rng.randrange(6, 30))) for _ in range(60)]
+
+    def changed(t):
+        parts = t.split()
+        kind = rng.randrange(5)
+        if kind == 0:
+            return t.upper()
+        if kind == 1:
+            return f"{rng.choice(words)} {t} {rng.choice(words)}"
+        if kind == 2:
+            return " ".join(parts[1:-1])
+        parts[rng.randrange(len(parts))] = rng.choice(words)
+        return "  ".join(parts)
+
+    leaves = [(f"n{i:03d}", i, rng.choice(base)) for i in range(150)] + [("n900", 900, ""), ("n901", 901, "short"), ("n902", 902, "short")]
+    texts = [(f"c{i:03d}", i, changed(rng.choice(base))) for i in range(200)] + [("c900", 900, "short"), ("c901", 901, " ")]
+    side = lambda rows, name: spark.createDataFrame([(p, *r) for p in ("p", "q") for r in rows], f"paper_id string, {name} string, position long, text string").repartition(5)
+    got = leafmatch.match(side(leaves, "node_id"), side(texts, "chunk_id")).collect()
+    want = brute_matches(leaves, texts)
+    for p in ("p", "q"):
+        mine = sorted((r.node_id, r.chunk_id, round(r.score, 6)) for r in got if r.paper_id == p)
+        assert [x[2] for x in sorted(mine, key=lambda x: x[2])] == [x[2] for x in sorted(want, key=lambda x: x[2])] and mine == want
+    assert {1.8, 2.0, 3.0} < {x[2] for x in want} and min(x[2] for x in want) < 1
+    empty = side([], "node_id")
+    assert leafmatch.match(empty, side(texts, "chunk_id")).count() == 0
+
+
+def test_leaf_match_of_a_long_paper(spark):
+    rng = random.Random(9)
+    words = [f"{x}{y}{z}{k}" for x in "bcdfg" for y in "aeiou" for z in "lmnrst" for k in range(20)]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(12)) if i % 3 else "Table continued on the next page, with the same columns as before") for i in range(20_000)]
+    leaves = spark.createDataFrame([("p", f"n{i}", i, t) for i, t in rows], "paper_id string, node_id string, position long, text string")
+    texts = spark.createDataFrame([("p", f"c{i}", i, f"Intro: {t}") for i, t in rows], "paper_id string, chunk_id string, position long, text string")
+    got = leafmatch.match(leaves, texts, alike=False)
+    assert got.count() == 20_000 and got.where("substring(node_id, 2) <> substring(chunk_id, 2) or score <> 2.0").count() == 0
+
+
+def test_deep_trees(spark):
+    chain = [("p", f"n{k:04d}", f"n{k - 1:04d}" if k else None, k, 1999) for k in range(2000)] + [("p", "x", "y", 3000, 3000), ("p", "y", "x", 3001, 3001)]
+    nodes = spark.createDataFrame(chain, "paper_id string, node_id string, parent_id string, preorder int, last_preorder int")
+    got = {r.node_id: r.depth for r in tree.reachable(nodes).collect()}
+    assert got == {f"n{k:04d}": k for k in range(2000)}
+    assert tree.descendants(nodes.where("preorder < 200")).count() == 200 * 201 // 2
