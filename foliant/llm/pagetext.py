@@ -2,9 +2,14 @@
 
 A page becomes a tree the way browsers close what is left open. Paragraphs give points for length and commas,
 less their share of link text, to their parent, half of them to the grandparent and a third to the next one.
-The container with the most points, less its own link share, is kept, up to the article or main element
-that it stands in, with those siblings that score near it. Menus, forms, adverts, comments and the like are
-left out by element, role, and the words of class and id.
+The container with the most points, less its own link share, is kept with those siblings that score near it; where it stands in
+an article element, the outermost one is kept with the other article elements that score near it, and in a main element that one.
+Lists that are nearly all links go wherever they stand.
+
+Menus, adverts, comments and the like are left out by element, role, and the names of class and id. Of a name its last part counts that
+is not of a general kind ("list", "box"): a "social-policy" is a policy. Names that say what is not there ("no-sidebar") or that something
+is on or off ("comments-open") do not count. What is named so and yet holds the page's article or nearly all of its prose is a wrapper and
+stays; so does a form around an article.
 
 Defined results: null and empty pages, and pages without text, give an empty text; without any scoring
 paragraph the first article, main or body element is taken; repeated rows are each extracted; character
@@ -35,9 +40,10 @@ BLOCK = frozenset(
 CLOSES_P = BLOCK - frozenset("body caption html legend option optgroup tbody tfoot thead tr".split())
 SCOPE = frozenset("applet button caption html marquee object table td template th".split())
 DROP = frozenset(
-    "head script style noscript template iframe object embed svg canvas math audio video map nav footer aside form button select textarea input "
-    "label fieldset dialog menu search title datalist".split()
+    "head script style noscript template iframe object embed svg canvas math audio video map nav footer aside button select textarea input menu search title datalist".split()
 )
+#: Elements of forms and dialogs: they go, unless they hold the article.
+FORMS = frozenset("form fieldset label dialog".split())
 DROP_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar tablist tooltip status".split())
 DROP_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promos promotion banner nav navbar navigation menu menus breadcrumb "
@@ -45,9 +51,25 @@ DROP_WORDS = frozenset(
     "signup signin login share sharing social related recommended recommendations comment comments commentlist respond reply replies disqus popup modal overlay "
     "form search pagination pager paging toolbar widget widgets copyright legal disclaimer skip outbrain taboola paywall byline-tools".split()
 )
-KEEP_WORDS = frozenset("article body content main entry post story page text".split())
-#: Last parts of a name that say what a block is, whatever it belongs to: "story-related", "body-share".
-ASIDE_WORDS = frozenset("related share sharing social recommended recommendations".split())
+#: Words that say what a block is wherever they stand in its name, and those that only reader comments have.
+QUALIFIERS = frozenset("related recommended sponsored promoted popular trending".split())
+READERS = frozenset("comment comments commentlist respond reply replies disqus".split())
+#: General parts of a name, which leave the part before them to say what a block is.
+GENERAL = frozenset(
+    "list lists box boxes wrapper wrap container area section block blocks inner outer left right top bottom item items link links holder bar row col column panel group buttons button icons icon slot unit title "
+    "body content text module region zone".split()
+)
+#: Parts that say that something is absent, or belongs to a layout, and those that say that it is on or off.
+ABSENT = frozenset("no not non without has with hide show".split())
+STATES = frozenset("open opened closed off on enabled disabled active inactive visible hidden count".split())
+#: An article's own header is one.
+KEEP_WORDS = frozenset("article entry post story".split())
+#: Share of the page's prose from which on a named block is a wrapper, and a form, and characters of it at least.
+WRAPPER_SHARE, FORM_SHARE, LEAST_WRAPPED = 0.8, 0.5, 300
+#: A list that is nearly all links: their share of its text, how many, and how long on average.
+LINK_SHARE, LEAST_LINKS, LINK_LENGTH = 0.9, 3, 60
+#: Points, as a share of the best, and characters from which on a second article belongs to the text.
+NEAR_SHARE, LEAST_ARTICLE = 0.2, 250
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)\]\]>|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
@@ -63,14 +85,14 @@ _COMMAS = re.compile("[,،、，；;]")
 
 
 class Node:
-    __slots__ = ("tag", "attributes", "parent", "children", "points", "text_length", "link_length", "dropped")
+    __slots__ = ("tag", "attributes", "parent", "children", "points", "text_length", "link_length", "links", "prose", "has_article", "dropped")
 
     def __init__(self, tag: str, attributes: str, parent: Node | None) -> None:
         self.tag, self.attributes, self.parent = tag, attributes, parent
         self.children: list[Node | str] = []
         self.points = 0.0
-        self.text_length = self.link_length = 0
-        self.dropped = False
+        self.text_length = self.link_length = self.links = self.prose = 0
+        self.has_article = self.dropped = False
 
 
 class _Tokens:
@@ -211,50 +233,103 @@ def _close_open(now: Node, tags: tuple[str, ...], scope: frozenset[str]) -> Node
     return now
 
 
-def _unwanted(node: Node) -> bool:
+def unwanted_name(name: str) -> str | None:
+    """The word of a class or id that says that a block is no part of the article."""
+    parts = [p for p in re.split(r"[-_]+|(?<=[a-z])(?=[A-Z])", name) if p]
+    parts = [p.lower() for p in parts]
+    if not parts or parts[0] in ABSENT or parts[-1] in STATES:
+        return None
+    for p in parts:
+        if p in QUALIFIERS:
+            return p
+    while len(parts) > 1 and (parts[-1] in GENERAL or parts[-1].isdigit()):
+        parts.pop()
+    if parts[-1] not in DROP_WORDS or parts[-1] == "header" and KEEP_WORDS.intersection(parts):
+        return None
+    return parts[-1]
+
+
+def _unwanted(node: Node) -> str | None:
+    """Why a node is no part of the article: "element", "form", "hidden", "role", or the word of a name; None if nothing says so."""
     if node.tag in DROP:
-        return True
-    if node.tag in ("html", "body", "article", "main", "#root"):
-        return False
+        return "element"
+    if node.tag in ("html", "body", "main", "#root"):
+        return None
+    if node.tag in FORMS:
+        return "form"
     if node.tag == "header":  # a page's header goes; an article's own keeps its headings, see blocks()
         up = node.parent
         while up is not None and up.tag not in ("article", "main"):
             up = up.parent
-        return up is None
+        return None if up is not None else "element"
     if not node.attributes or node.attributes.isspace():
-        return False
-    words: set[str] = set()
-    aside = False
+        return None
+    why = None
     for name, a, b, c in _ATTRIBUTE.findall(node.attributes):
-        name, value = name.lower(), (a or b or c).lower()
-        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
-        if name == "role" and value.strip() in DROP_ROLES:
-            return True
+        name, value = name.lower(), a or b or c
+        if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value.lower()):
+            return "hidden"
+        if name == "role" and value.strip().lower() in DROP_ROLES:
+            why = why or "role"
         if name in ("class", "id"):
-            words.update(w for part in value.split() for w in (part, *re.split(r"[-_]+", part)))
-            aside = aside or any(re.split(r"[-_]+", part)[-1] in ASIDE_WORDS for part in value.split())
-    return aside or bool(words & DROP_WORDS) and not words & KEEP_WORDS or bool(words & {"comments", "comment", "advert", "ads", "sidebar", "newsletter"})
+            for word in filter(None, map(unwanted_name, value.split())):
+                if word in READERS:
+                    return word
+                why = why or word
+    return why
+
+
+def _is_prose(node: Node, inner: bool) -> bool:
+    """Whether a node's own text is a paragraph's; inner: blocks stand in it."""
+    return not inner and node.tag in ("p", "pre", "blockquote", "td", "li", "dd", "div", "section", "article", "main") and node.text_length >= 25 and _links(node) < 0.5
 
 
 def _measure(root: Node) -> list[Node]:
-    """All nodes that are kept, parents first, with text and link lengths; unwanted ones are marked."""
-    order, todo = [], [root]
+    """All nodes that are kept, parents first, with text and link lengths and prose; unwanted ones are marked."""
+    every, todo = [], [root]
     while todo:
         node = todo.pop()
-        if _unwanted(node):
+        node.dropped = node.tag in DROP
+        if not node.dropped:
+            every.append(node)
+            todo += [c for c in node.children if not isinstance(c, str)]
+    for node in reversed(every):
+        _sum_up(node)
+    # what a block's prose is a share of: the article or main element around it, or the page's where none has such an element; of more than a few words
+    order: list[Node] = []
+    whole = 0 if any(n.tag in ("article", "main") for n in every) else root.prose
+    open_ = [(root, whole)]
+    while open_:
+        node, total = open_.pop()
+        holds = lambda share: total and node.prose >= max(LEAST_WRAPPED, share * total)  # noqa: B023, E731
+        why = "element" if node.dropped else _unwanted(node)
+        if why == "form":
+            node.dropped = not (node.has_article or holds(FORM_SHARE))
+        elif why == "element":
             node.dropped = True
-            continue
-        order.append(node)
-        todo += [c for c in node.children if not isinstance(c, str)]
+        elif why is not None:
+            node.dropped = not (node.has_article or why not in READERS and holds(WRAPPER_SHARE))
+        if node.tag in ("ul", "ol", "div", "section", "table") and node.links >= LEAST_LINKS and _links(node) >= LINK_SHARE and node.link_length <= LINK_LENGTH * node.links:
+            node.dropped = True
+        if not node.dropped:
+            order.append(node)
+            total = node.prose if node.tag in ("article", "main") else total
+            open_ += [(c, total) for c in node.children if not isinstance(c, str)]
     for node in reversed(order):
-        own = sum(len(" ".join(c.split())) for c in node.children if isinstance(c, str))
-        below = [c for c in node.children if not isinstance(c, str) and not c.dropped]
-        node.text_length = own + sum(c.text_length for c in below)
-        node.link_length = node.text_length if node.tag == "a" else sum(c.link_length for c in below)
+        _sum_up(node)
     return order
 
 
+def _sum_up(node: Node) -> None:
+    below = [c for c in node.children if not isinstance(c, str) and not c.dropped]
+    node.text_length = sum(len(" ".join(c.split())) for c in node.children if isinstance(c, str)) + sum(c.text_length for c in below)
+    node.link_length = node.text_length if node.tag == "a" else sum(c.link_length for c in below)
+    node.links = (node.tag == "a") + sum(c.links for c in below)
+    node.has_article = any(c.has_article or c.tag in ("article", "main", "h1") for c in below)
+    inner = any(c.tag in BLOCK for c in below)
+    node.prose = node.text_length if _is_prose(node, inner) else sum(c.prose for c in below)
+
+
 def _links(node: Node) -> float:
     return node.link_length / node.text_length if node.text_length else 0.0
 
@@ -292,11 +367,21 @@ def best_container(root: Node) -> list[Node]:
                     return [n]
         return []
     best = max(scored, key=lambda n: n.points * (1 - _links(n)))
+    article = main = None
     up = best
-    while up is not None and up.tag not in ("article", "main"):
+    while up is not None:
+        article = up if up.tag == "article" else article
+        main = main or (up if up.tag == "main" else None)
         up = up.parent
-    if up is not None:
-        return [up]
+    if article is not None:
+        # the sum of what paragraphs below give, wherever they stand in it
+        worth = lambda n: sum(x.points for x in _below(n)) * (1 - _links(n))
+        outer = [n for n in order if n.tag == "article" and not _inside(n, "article")]
+        least = NEAR_SHARE * worth(article)
+        near = {id(n) for n in outer if n is article or n.text_length >= LEAST_ARTICLE and worth(n) >= least}
+        return [n for n in order if id(n) in near] if len(near) < 2 else sorted((n for n in outer if id(n) in near), key=_place)
+    if main is not None:
+        return [main]
     least = max(10.0, 0.2 * best.points)
     kept, before = [], True
     for s in best.parent.children if best.parent else [best]:
@@ -310,6 +395,30 @@ def best_container(root: Node) -> list[Node]:
     return kept
 
 
+def _below(node: Node) -> Iterator[Node]:
+    todo = [node]
+    while todo:
+        x = todo.pop()
+        yield x
+        todo += [c for c in x.children if not isinstance(c, str) and not c.dropped]
+
+
+def _inside(node: Node, tag: str) -> bool:
+    up = node.parent
+    while up is not None and up.tag != tag:
+        up = up.parent
+    return up is not None
+
+
+def _place(node: Node) -> list[int]:
+    """Where a node stands in its page."""
+    out = []
+    while node.parent is not None:
+        out.append(next(k for k, c in enumerate(node.parent.children) if c is node))
+        node = node.parent
+    return out[::-1]
+
+
 def blocks(nodes: list[Node]) -> list[str]:
     """The text of each block of the nodes, in page order, with references decoded and white space as one space."""
     out: list[str] = []
