@@ -7,18 +7,20 @@ cannot be shared and are not part of a text's length. A bounded sample of labell
 copies of one label (5-word shingles, 0.8, in chains too) are one example of their number's weight.
 
 The index holds the examples in blocks and, for each term, its largest weight in each block. A text's best block
-gives a first k-th neighbour; all blocks that could reach it are scored, so the k nearest are exact. Votes
-weighted by distance are calibrated on the examples, each left out of its own vote, by weighted isotonic regression.
+gives a first k-th neighbour; of a term's list only the parts in blocks that could reach it are read, so the k nearest are exact. Votes
+weighted by distance are calibrated on the examples, each left out of its own vote and of what ties its terms to a label, by weighted isotonic
+regression.
 
 Defined results: null and empty texts, and texts that share no term with any example, get the toxic share of
 the examples that have no term either (of all examples, if there are none); a document labelled several times is
 toxic if any label says so; labels without a document, and null labels, are left out; without examples of both
 kinds all scores are the toxic share (0 without examples); repeated rows score alike; neighbours at the same
-cosine (9 digits) are taken in the index's order; other columns pass through, whatever their names.
+cosine (9 digits) are taken in the index's order, which follows from their content; other columns pass through, whatever their names.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -109,30 +111,45 @@ class Index:
         self.best = np.maximum.reduceat(self.weight, at) if len(at) else np.zeros(0, np.float32)
         self.best_block = block[at]
         self.best_first = np.searchsorted(term[at], np.arange(terms + 1)).astype(np.int32)
-
-    def _gather(self, first: np.ndarray, to: np.ndarray, value: np.ndarray, row: np.ndarray, term: np.ndarray, weight: np.ndarray, rows: int, width: int) -> np.ndarray:
-        """The sum over each row's terms of the lists that first delimits, as rows x width."""
-        n = (first[term + 1] - first[term]).astype(np.int64)
-        places = np.repeat(first[term] - (np.cumsum(n) - n), n)
+        self.start = np.append(at, len(term)).astype(np.int32)  # where the part of a list in a block begins
+        self.parts = self.opened = 0  # parts of lists that texts asked for, and those that were read
+
+    def _read(self, part: np.ndarray, row: np.ndarray, weight: np.ndarray, scores: np.ndarray) -> None:
+        """Adds what the given parts of lists give each row to scores (rows x examples, flat)."""
+        self.opened += len(part)
+        begin = self.start[part].astype(np.int64)
+        n = self.start[part + 1] - begin
+        places = np.repeat(begin - (np.cumsum(n) - n), n)
         places += np.arange(len(places))
-        cells = np.repeat(row * width, n)
-        cells += to[places]
+        cells = np.repeat(row * (self.blocks * BLOCK), n)
+        cells += self.example[places]
         weights = np.repeat(weight, n)
-        weights *= value[places]
-        return np.bincount(cells, weights=weights, minlength=rows * width).astype(np.float64).reshape(rows, width)
+        weights *= self.weight[places]
+        scores += np.bincount(cells, weights=weights, minlength=len(scores))
 
     def search(self, row: np.ndarray, term: np.ndarray, weight: np.ndarray, rows: int, k: int = NEIGHBOURS, skip: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(cosine, example) of the k nearest of each of rows texts, nearest first, ties to the earlier example;
-        a cosine of 0 stands for none. skip names an example per row that is not to be found."""
+        a cosine of 0 stands for none. skip names an example per row that is not to be found. Of a list only the parts in blocks whose bound
+        reaches the k-th cosine so far are read."""
         width = self.blocks * BLOCK
         if not rows or not self.blocks:
             return np.zeros((rows, 0)), np.zeros((rows, 0), np.int64)
         common = self.column[term] >= 0
         dense = np.zeros((rows, self.dense.shape[1]))
         dense[row[common], self.column[term[common]]] = weight[common]
-        rare = row[~common], term[~common], weight[~common]
-        bound = dense @ self.dense_best.T + self._gather(self.best_first, self.best_block, self.best, *rare, rows, self.blocks)
-        scores = self._gather(self.first, self.example, self.weight, *rare, rows, width).reshape(rows, self.blocks, BLOCK)
+        rare_row, rare_term, rare_weight = row[~common], term[~common], weight[~common]
+        begin = self.best_first[rare_term].astype(np.int64)
+        n = self.best_first[rare_term + 1] - begin
+        part = np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        part_row, part_weight, part_block = np.repeat(rare_row, n), np.repeat(rare_weight, n), self.best_block[part] if len(self.best_block) else part
+        self.parts += len(part)
+        bound = dense @ self.dense_best.T + np.bincount(part_row * self.blocks + part_block, weights=part_weight * self.best[part], minlength=rows * self.blocks).reshape(rows, self.blocks)
+        flat_scores = np.zeros(rows * width)
+        scores = flat_scores.reshape(rows, self.blocks, BLOCK)
+
+        def read(wanted: np.ndarray) -> None:
+            ok = wanted[part_row, part_block]
+            self._read(part[ok], part_row[ok], part_weight[ok], flat_scores)
 
         def visit(b: int, some: np.ndarray) -> np.ndarray:
             found = scores[some, b] + dense[some] @ self.dense[b * BLOCK : (b + 1) * BLOCK].T
@@ -143,6 +160,9 @@ class Index:
             return found
 
         top, least = bound.argmax(1), np.zeros(rows)
+        first = np.zeros(bound.shape, bool)
+        first[np.arange(rows), top] = True
+        read(first)
         for b in np.unique(top):
             some = np.flatnonzero(top == b)
             found = visit(int(b), some)
@@ -150,6 +170,7 @@ class Index:
                 least[some] = np.partition(found, BLOCK - k, axis=1)[:, BLOCK - k]
         wanted = (bound >= least[:, None] - 1e-9) & (bound > 0)
         wanted[np.arange(rows), top] = False
+        read(wanted)
         for b in range(self.blocks):
             some = np.flatnonzero(wanted[:, b])
             if len(some):
@@ -179,7 +200,9 @@ class Model:
         self.terms = Terms(known)
         held = [np.bincount(term[labels[row] == kind], minlength=len(known)) for kind in (1, 0)]
         tie = relevance(held[0], held[1], int((labels == 1).sum()), int((labels == 0).sum()))
-        self.term_weight = (np.log((documents + 1) / (frequency + 1)) + 1) * tie
+        self.rarity = np.log((documents + 1) / (frequency + 1)) + 1
+        self.term_weight = self.rarity * tie
+        self.held, self.of_label = [h.astype(np.int32) for h in held], [int((labels == 1).sum()), int((labels == 0).sum())]
         first = np.searchsorted(row, np.arange(len(ids) + 1))
         bare = np.flatnonzero(np.diff(first) == 0)
         base = bare if len(bare) else np.arange(len(ids))
@@ -187,7 +210,9 @@ class Model:
         # examples whose strongest terms agree are neighbours, so that few blocks hold a strong term
         own = [term[a:b] for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
         strongest = [int(t[np.argmax(self.term_weight[t])]) if len(t) else -1 for t in own]
-        kept = sorted((k for k in range(len(ids)) if len(own[k])), key=lambda k: (-labels[k], strongest[k], str(ids[k])))
+        # neither id nor label places an example, since places decide ties: after the strongest term comes what it holds
+        content = [zlib.crc32(own[k].tobytes() + count[a:b].tobytes()) for k, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True))]
+        kept = sorted((k for k in range(len(ids)) if len(own[k])), key=lambda k: (strongest[k], content[k], own[k].tobytes(), count[first[k] : first[k + 1]].tobytes()))
         place = np.full(len(ids), -1, np.int32)
         place[kept] = np.arange(len(kept), dtype=np.int32)
         self.ids = [ids[k] for k in kept]
@@ -197,8 +222,16 @@ class Model:
         self.places = {x: k for k, x in enumerate(self.ids)}
         self.x, self.y = np.array([0.0, 1.0]), np.array([0.0, 1.0])
 
-    def weights(self, row: np.ndarray, term: np.ndarray, count: np.ndarray, rows: int) -> np.ndarray:
-        w = (1 + np.log(count)) * self.term_weight[term]
+    def weights(self, row: np.ndarray, term: np.ndarray, count: np.ndarray, rows: int, left_out: np.ndarray | None = None) -> np.ndarray:
+        """The weights of rows' terms; left_out holds each row's label if it is an example whose own part in the terms' ties does not count
+        (-1: none)."""
+        weight = self.term_weight[term]
+        if left_out is not None:
+            for label in (1, 0):
+                at = np.flatnonzero(left_out[row] == label)
+                own = [self.held[0][term[at]] - (label == 1), self.held[1][term[at]] - (label == 0)]
+                weight[at] = self.rarity[term[at]] * relevance(*own, self.of_label[0] - (label == 1), self.of_label[1] - (label == 0))
+        w = (1 + np.log(count)) * weight
         length = np.sqrt(np.bincount(row, weights=w * w, minlength=rows))
         return w / np.maximum(1e-12, length[row])
 
@@ -206,11 +239,13 @@ class Model:
         """(cosine, example) of the nearest of each text, step by step; own names the example a text is, if any."""
         at = 0
         for rows, row, term, count in self.terms.rows(column):
-            w = self.weights(row, term, count, rows)
+            places = None if own is None else np.array([self.places.get(x, -1) for x in own[at : at + rows]], np.int64)
+            left_out = None if own is None else np.where(places >= 0, self.labels[np.maximum(places, 0)] if len(self.labels) else -1, -1)
+            w = self.weights(row, term, count, rows, left_out)
             for lo in range(0, rows, STEP_TEXTS):
                 n = min(STEP_TEXTS, rows - lo)
                 a, b = np.searchsorted(row, (lo, lo + n))
-                skip = None if own is None else np.array([self.places.get(x, -1) for x in own[at + lo : at + lo + n]])
+                skip = None if own is None else places[lo : lo + n]
                 yield self.index.search(row[a:b] - lo, term[a:b], w[a:b], n, skip=skip)
             at += rows
 
@@ -302,6 +337,9 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
         room[sample[k]["y"]] -= sizes[k]
         if room[sample[k]["y"]] >= 0:
             kept.append((k, copies[k]))
+    for y in (0, 1):  # what is left stands for all labelled rows of its kind
+        held = sum(n for k, n in kept if sample[k]["y"] == y)
+        weights[y] = totals.get(y, 0) / held if held else 0.0
     examples = examples.join(F.broadcast(spark.createDataFrame(kept, "key long, copies long")), "key")
     bound_batches(spark)
 
@@ -336,6 +374,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
         return total
 
     everywhere = summed_counts(docs.select(text), len(every) + 1, document_counts, 4096)
+    shared.destroy()
     of = [sample[k] for k in keys]
     labels_of = np.array([r["y"] for r in of], np.int64)
     share = np.array([weights[r["y"]] * copies[k] for k, r in zip(keys, of, strict=True)], np.float64)
@@ -368,8 +407,10 @@ def _calibrated(model: Model, examples: DataFrame) -> Model:
 
     kind = examples.schema["id"].dataType.simpleString()
     votes = {r["id"]: r["vote"] for r in examples.select("id", "text").repartition(spark.sparkContext.defaultParallelism).mapInArrow(left_out, f"id {kind}, vote double").collect()}
+    shared.destroy()
     x = np.array([votes.get(k, np.nan) for k in model.ids], np.float64)
     model.x, model.y = isotonic(np.where(np.isnan(x), model.bare, x), model.labels, model.share)
+    model.held = model.rarity = None  # only votes without an example ask for them
     return model
 
 
