@@ -13,22 +13,23 @@ no hits; other columns pass through, whatever their names.
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from foliant.llm.common import append_column, free_name, lower_ascii_table, text_slices, window_hashes, word_bounds, word_hashes
-from foliant.session import cut_table
+from foliant.session import cut_table, drop_tables
 
 WINDOW = 10
 #: Bytes of item text in one broadcast block: about 6 MB of hashes and offsets for each MB of text.
 BLOCK_BYTES = 4_000_000
-#: Blocks that are broadcast at once; the documents' hits are written between such waves.
+#: Blocks that are broadcast at once; of more, the hits are written wave by wave.
 WAVE_BLOCKS = 4
 #: Words of a piece of a longer item; pieces share a window less one word, so that no window is lost.
 PIECE_WORDS = 100_000
@@ -162,13 +163,13 @@ def _pieces(items: DataFrame, window: int) -> DataFrame:
     return items.mapInArrow(run, "id string, text string")
 
 
-def _blocks(items: DataFrame, item_id: str, text: str, block_bytes: int, window: int) -> list[DataFrame]:
+def _blocks(items: DataFrame, item_id: str, text: str, block_bytes: int, window: int, made: list[str]) -> list[DataFrame]:
     own = _pieces(items.select(F.col(item_id).cast("string").alias("id"), F.col(text).alias("text")), window)
     size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, math.ceil(size / block_bytes))
     if n == 1:
         return [own]
-    own = cut_table(own)
+    own = cut_table(own, made)
     return [own.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == b) for b in range(n)]
 
 
@@ -184,31 +185,58 @@ def scan(
     """docs with one more struct column of hits (see HITS), and that column's name.
 
     Items beyond block_bytes are scanned in further blocks, row by row and without a shuffle, and the
-    blocks' spans are united; no item is left out. After WAVE_BLOCKS blocks the rows and their hits so far are written,
-    and the blocks' broadcasts go."""
-    spark = docs.sparkSession
-    columns, parts, wave = docs.columns, [], []
-    for block in _blocks(items, item_id, item_text, block_bytes, window):
-        if len(wave) == WAVE_BLOCKS:
-            docs = cut_table(docs)
-            for old in wave:
-                old.destroy()
-            wave = []
-        known = spark.sparkContext.broadcast(Windows([(r["id"], r["text"]) for r in block.collect()], window))
-        wave.append(known)
-        name = free_name(docs, "hits")
-        docs = append_column(docs, text, name, HITS, lambda column, known=known: known.value.report(column))
-        parts.append(name)
-    if len(parts) == 1:
-        return docs, parts[0]
-    united = {k: _unite(F.concat(*[F.col(f"`{p}`.{k}") for p in parts])) for k in ("words", "bytes")}
+    blocks' spans are united; no item is left out. Of more than WAVE_BLOCKS blocks only so many are broadcast at a time: each such wave reads the
+    texts and writes the hits of those that have any, by the digest of the text, which the rows are joined with in the end. The table of hits
+    stays in the checkpoint folder as long as the result is read; those of the waves go."""
+    made: list[str] = []
+    columns, blocks = docs.columns, _blocks(items, item_id, item_text, block_bytes, window, made)
+    if len(blocks) <= WAVE_BLOCKS:
+        scanned, parts, _ = _scan_blocks(docs, text, blocks, window)
+        out = (scanned, parts[0]) if len(parts) == 1 else _united(scanned, columns, parts)
+        drop_tables(docs.sparkSession, made)
+        return out
+    waves = []
+    for at in range(0, len(blocks), WAVE_BLOCKS):
+        own = docs.select(F.col(f"`{text}`").alias("text")).where("text is not null")
+        scanned, parts, known = _scan_blocks(own, "text", blocks[at : at + WAVE_BLOCKS], window)
+        scanned, hits = _united(scanned, ["text"], parts)
+        found = scanned.where(F.col(f"{hits}.n_hit") > 0).select(F.sha2("text", 256).alias("digest"), F.col(hits).alias("hits"))
+        waves.append(cut_table(found.dropDuplicates(["digest"]), made))
+        for block in known:
+            block.destroy()
+    every = functools.reduce(DataFrame.unionByName, waves).groupBy("digest").agg(F.collect_list("hits").alias("all"))
+    words, spans = (_unite(F.flatten(F.transform("all", lambda h: h[k]))) for k in ("words", "bytes"))
+    whole = F.struct(F.col("all")[0]["n_words"].alias("n_words"), _length(words).alias("n_hit"), F.array_sort(F.array_distinct(F.flatten(F.transform("all", lambda h: h["items"])))).alias("items"), words.alias("words"), spans.alias("bytes"))
+    found = cut_table(every.select("digest", whole.alias("found")))
+    drop_tables(docs.sparkSession, made)
+    # rows without hits have their number of words, and empty lists, from a scan for nothing
+    scanned, (bare,), _ = _scan_blocks(docs, text, [None], window)
+    key, name = free_name(scanned, "digest"), free_name(scanned, "united")
+    found = found.withColumnsRenamed({"digest": key, "found": "_found_" + name})
+    joined = scanned.withColumn(key, F.sha2(F.col(f"`{text}`"), 256)).join(found, key, "left")
+    return joined.select(*[F.col(f"`{c}`") for c in columns], F.coalesce(F.col("_found_" + name), F.col(bare)).alias(name)), name
+
+
+def _scan_blocks(docs: DataFrame, text: str, blocks: list[DataFrame | None], window: int) -> tuple[DataFrame, list[str], list]:
+    """(docs with a column of hits for each block, those columns, what is broadcast); None is a block without items."""
+    parts, known = [], []
+    for block in blocks:
+        known.append(docs.sparkSession.sparkContext.broadcast(Windows([(r["id"], r["text"]) for r in block.collect()] if block is not None else [], window)))
+        parts.append(free_name(docs, "hits"))
+        docs = append_column(docs, text, parts[-1], HITS, lambda column, known=known[-1]: known.value.report(column))
+    return docs, parts, known
+
+
+def _length(spans: Column) -> Column:
+    return F.aggregate(spans, F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+
+
+def _united(docs: DataFrame, columns: list[str], parts: list[str]) -> tuple[DataFrame, str]:
+    """docs' columns and one of hits that unites those of all parts, and its name."""
+    words, spans = (_unite(F.concat(*[F.col(f"`{p}`.{k}") for p in parts])) for k in ("words", "bytes"))
     name = free_name(docs, "hits")
     hits = F.struct(
-        F.col(f"`{parts[0]}`.n_words").alias("n_words"),
-        F.aggregate(united["words"], F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"]).alias("n_hit"),
-        F.array_sort(F.array_distinct(F.concat(*[F.col(f"`{p}`.items") for p in parts]))).alias("items"),
-        united["words"].alias("words"),
-        united["bytes"].alias("bytes"),
+        F.col(f"`{parts[0]}`.n_words").alias("n_words"), _length(words).alias("n_hit"), F.array_sort(F.array_distinct(F.concat(*[F.col(f"`{p}`.items") for p in parts]))).alias("items"), words.alias("words"), spans.alias("bytes"),
     )
     return docs.select(*[F.col(f"`{c}`") for c in columns], hits.alias(name)), name
 

@@ -3,11 +3,13 @@
 import hashlib
 import random
 import re
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from foliant.llm import decontaminate, jaccard, language, pack, pagetext, secrets, sharding, substrings, toxicity, vectors
+from foliant.session import checkpoint_dir
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = [f"w{i}" for i in range(400)]
@@ -410,6 +412,39 @@ def test_index_search_is_exact():
             assert example[r][found].tolist() == want and np.allclose(cosine[r][found], s[want], atol=1e-6)
 
 
+def test_index_reads_only_parts_of_lists_that_matter():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    blocks, own = 20, 60
+    rows, terms = blocks * toxicity.BLOCK, blocks * own
+    dense = np.zeros((rows, terms))
+    for r in range(rows):
+        b = r // toxicity.BLOCK
+        dense[r, b * own + rng.choice(own, 12, replace=False)] = rng.random(12) + 0.5
+        dense[r, rng.integers(0, terms, 6)] += 0.01  # every list has parts in most blocks
+    row, term = np.nonzero(dense)
+    index = toxicity.Index(row, term, dense[row, term], rows, terms)
+    q = dense[rng.integers(0, rows, 16)]
+    at, of = np.nonzero(q)
+    cosine, example = index.search(at, of, q[at, of], 16, 32)
+    s = np.round(q @ dense.T, 9)
+    assert np.allclose(cosine, -np.sort(-s, axis=1)[:, :32], atol=1e-6) and 0 < index.opened < index.parts / 4
+
+
+def test_examples_of_equal_cosine_go_by_content():
+    import numpy as np
+
+    texts = [b"a b", b"c d", b"e f"]
+    ids, labels = [3, 1, 2], np.array([1, 0, 0])
+    made = []
+    for order in ([0, 1, 2], [2, 0, 1]):
+        row, term, count = np.repeat(np.arange(3), 2), np.array([x for k in order for x in (2 * k, 2 * k + 1)]), np.ones(6, np.int64)
+        model = toxicity.Model([ids[k] * (1 if order[0] else 10) for k in order], labels[order], np.ones(3), row, term, count, np.arange(6, dtype=np.uint64), np.ones(6), 3)
+        made.append(model.labels.tolist())
+    assert made[0] == made[1] and len(texts) == 3
+
+
 def test_toxicity_keeps_examples_that_share_a_word(spark):
     rng = random.Random(9)
     own = lambda i: " ".join(f"d{i}x{rng.randrange(50)}" for _ in range(30))
@@ -564,7 +599,13 @@ def test_decontaminate_in_waves_and_pieces(spark, monkeypatch):
     df, known = spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id string, text string")
     one = {r.doc_id: (r.n_hit, r.n_items, r.items_sha256) for r in decontaminate.digest(df, known).collect()}
     monkeypatch.setattr(decontaminate, "PIECE_WORDS", 100)
-    scanned, hits = decontaminate.scan(df, known, block_bytes=1500)
+    folder = Path(checkpoint_dir(spark).removeprefix("file:"))
+    before = set(folder.glob("table-*"))
+    extra = df.withColumn("digest", F.lit(1)).withColumn("hits", F.lit("x"))
+    scanned, hits = decontaminate.scan(extra, known, block_bytes=1500)
+    assert scanned.columns[:4] == extra.columns
+    left = set(folder.glob("table-*")) - before  # waves leave nothing but the hits of the texts that have any
+    assert len(left) == 1 and spark.read.parquet(f"file:{next(iter(left))}").count() == len({t for k, t in docs if one[k][0]})
     many = {r.doc_id: r[hits] for r in scanned.collect()}
     assert set(many) == set(one) and any(n for n, *_ in one.values())
     for k, (n_hit, n_items, digest) in one.items():
