@@ -5,7 +5,9 @@ from __future__ import annotations
 
 import re
 import xml.etree.ElementTree as ET
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -25,13 +27,20 @@ def _name(e: ET.Element) -> str:
 
 
 def _text(e: ET.Element | None, skip: tuple[str, ...] = ()) -> str:
+    """All text of an element, in order, without what stands in elements named in skip; of any depth."""
     if e is None:
         return ""
-    parts = [e.text or ""]
-    for c in e:
-        if _name(c) not in skip:
-            parts.append(_text(c, skip))
-        parts.append(c.tail or "")
+    parts, todo = [], [(e, True)]
+    while todo:
+        x, begins = todo.pop()
+        if not begins:
+            parts.append(x.tail or "")
+            continue
+        parts.append(x.text or "")
+        for c in reversed(x):
+            todo.append((c, False))
+            if _name(c) not in skip:
+                todo.append((c, True))
     return "".join(parts)
 
 
@@ -117,6 +126,7 @@ class _Recovering(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root: ET.Element | None = None
         self.open: list[ET.Element] = []
+        self.names: Counter[str] = Counter()  # of the open elements: an end tag without a start is not searched for
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         e = ET.Element(tag.rsplit(":", 1)[-1], {k: v or "" for k, v in attrs})
@@ -127,6 +137,7 @@ class _Recovering(HTMLParser):
         else:
             return
         self.open.append(e)
+        self.names[e.tag] += 1
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -134,9 +145,11 @@ class _Recovering(HTMLParser):
 
     def handle_endtag(self, tag: str) -> None:
         name = tag.rsplit(":", 1)[-1]
-        if any(e.tag == name for e in self.open):
-            while self.open.pop().tag != name:
-                pass
+        while self.names[name] and self.open:
+            last = self.open.pop()
+            self.names[last.tag] -= 1
+            if last.tag == name:
+                break
 
     def handle_data(self, data: str) -> None:
         if self.open:
@@ -165,73 +178,140 @@ def article_id(root: ET.Element, name: str) -> str:
     return next((_clean(_text(x)) for x in ids if x.get("pub-id-type") in ("pmc", "pmcid")), None) or re.sub(r"\.(?:n?xml)$", "", name.rsplit("/", 1)[-1])
 
 
-def blocks_of(xml: str, name: str = "") -> list[dict]:
-    """The blocks of one article in reading order; a broken article gives what can be recovered of it, a row of type error if
-    that is nothing."""
-    blank = {k: None for k in ("label", "columns", "rows", "footnotes", "error", "source_id")}
-    root, error = parse_tree(xml)
-    if root is None or (error and not any(_name(x) in ("body", "front", "back") for x in root)):
-        return [{**blank, "document_id": name, "title": None, "block_seq": 0, "section_path": [], "block_type": "error", "original_type": None, "content": "", "refs": [], "error": error}]
-    own = article_id(root, name)
-    title = _clean(_text(_first(root, "article-title"))) or _clean(_text(_first(root, "journal-title"))) or own
-    out: list[dict] = []
+@dataclass(frozen=True)
+class _Place:
+    """A section's title below another one's; a path of any depth is written out only for the blocks in it."""
+
+    title: str
+    above: _Place | None = None
+
+    def path(self) -> list[str]:
+        out, at = [], self
+        while at is not None:
+            out.append(at.title)
+            at = at.above
+        return out[::-1]
+
 
-    def add(e: ET.Element, path: list[str], kind: str, content: str, **more) -> None:
+# Elements by what they are to the reading of an article.
+SECTIONS = {"sec": "Section", "boxed-text": "Section", "app": "Section", "ack": "Acknowledgements", "notes": "Section", "glossary": "Section"}
+CONTAINERS = ("fig-group", "floats-group", "body", "back", "app-group")
+SILENT = ("title", "label", "sec-meta", "")
+FLOATING = ("fig", "table-wrap", "disp-formula", "list")
+LOOSE = {"body": "Body", "back": "Back Matter"}
+
+
+class _Reader:
+    """Collects the blocks of one article. Elements wait on a stack, so nesting of any depth is read."""
+
+    def __init__(self, document_id: str, title: str) -> None:
+        self.document_id, self.title = document_id, title
+        self.out: list[dict] = []
+
+    def add(self, e: ET.Element, place: _Place | None, kind: str, content: str, **more) -> None:
         refs = [r for x in e.iter() if _name(x) == "xref" for r in (x.get("rid") or "").split()]
-        out.append({**blank, "document_id": own, "title": title, "block_seq": len(out), "section_path": path, "block_type": kind, "original_type": _name(e), "source_id": e.get("id"), "content": content, "refs": list(dict.fromkeys(refs)), **more})
-
-    def walk(parent: ET.Element, path: list[str]) -> None:
-        children = list(parent)
-        for k, e in enumerate(children):
-            tag = _name(e)
-            after = _name(children[k + 1]) if k + 1 < len(children) else ""
-            if tag in ("title", "label", "sec-meta", ""):
+        blank = {k: None for k in ("label", "columns", "rows", "footnotes", "error")}
+        own = {"document_id": self.document_id, "title": self.title, "block_seq": len(self.out), "section_path": place.path() if place else [], "block_type": kind, "original_type": _name(e), "source_id": e.get("id"), "content": content}
+        self.out.append({**blank, **own, "refs": list(dict.fromkeys(refs)), **more})
+
+    def read(self, elements: list[ET.Element], place: _Place | None, loose: str | None = None) -> None:
+        """The blocks of sibling elements and of what is in them, in reading order; loose names the section of text that stands in none."""
+        todo: list[tuple[list[ET.Element], int, _Place | None]] = [(elements, 0, place)]
+        while todo:
+            siblings, k, at = todo.pop()
+            if k == len(siblings):
                 continue
-            if tag in ("sec", "boxed-text", "app", "ack", "notes", "glossary"):
-                heading = _clean(_text(next((x for x in e if _name(x) == "title"), None)))
-                walk(e, [*path, heading or {"ack": "Acknowledgements"}.get(tag, "Section")])
-            elif tag == "p":
-                if after == "list" and _is_label(e):
-                    continue
-                if text := _clean(_text(e, ("fig", "table-wrap", "disp-formula", "list"))):
-                    add(e, path, "paragraph", text)
-                walk_inner(e, path)
-            elif tag == "list":
-                before = children[k - 1] if k and _name(children[k - 1]) == "p" and _is_label(children[k - 1]) else None
-                items = [_clean(_text(x)) for x in e if _name(x) == "list-item"]
-                add(e, path, "list", "\n".join(f"- {x}" for x in items if x), label=_clean(_text(before)) if before is not None else None)
-            elif tag == "table-wrap":
-                drawn = _first(e, "graphic", "inline-graphic") is not None and _first(e, "tr") is None  # a table given as a picture
-                add(e, path, "table", _clean(_text(_first(e, "caption"))), label=_clean(_text(_first(e, "label"))) or None, **({"columns": [], "rows": [], "footnotes": _table(e)["footnotes"]} if drawn else _table(e)))
-            elif tag in ("fig", "supplementary-material"):
-                add(e, path, "figure" if tag == "fig" else "supplementary", _clean(_text(_first(e, "caption"))), label=_clean(_text(_first(e, "label"))) or None)
-            elif tag in ("fig-group", "floats-group", "body", "back", "app-group"):
-                walk(e, path)
-            elif tag == "disp-formula":
-                tex = _first(e, "tex-math")
-                add(e, path, "equation", _clean(_text(tex if tex is not None else e)))
-            elif tag == "ref-list":
-                seen: set[str] = set()
-                for r in (x for x in e.iter() if _name(x) == "ref"):
-                    if r.get("id") in seen and r.get("id"):
-                        continue
+            todo.append((siblings, k + 1, at))
+            inner, below = self.block(siblings, k, at, _Place(loose) if at is None and loose else at)
+            if inner:
+                todo.append((inner, 0, below))
+
+    def block(self, siblings: list[ET.Element], k: int, at: _Place | None, text_at: _Place | None) -> tuple[list[ET.Element], _Place | None]:
+        """Adds what an element is itself; returns the elements in it that are read next, and where."""
+        e = siblings[k]
+        tag = _name(e)
+        label = lambda: _clean(_text(_first(e, "label"))) or None
+        caption = lambda: _clean(_text(_first(e, "caption")))
+        if tag in SILENT:
+            return [], None
+        if tag in SECTIONS:
+            heading = _clean(_text(next((x for x in e if _name(x) == "title"), None)))
+            return list(e), _Place(heading or SECTIONS[tag], at)
+        if tag in CONTAINERS:
+            return list(e), at
+        if tag == "p":
+            if k + 1 < len(siblings) and _name(siblings[k + 1]) == "list" and _is_label(e):
+                return [], None
+            if text := _clean(_text(e, FLOATING)):
+                self.add(e, text_at, "paragraph", text)
+            return [x for x in e if _name(x) in FLOATING], at
+        if tag == "list":
+            before = siblings[k - 1] if k and _name(siblings[k - 1]) == "p" and _is_label(siblings[k - 1]) else None
+            items = [_clean(_text(x)) for x in e if _name(x) == "list-item"]
+            self.add(e, text_at, "list", "\n".join(f"- {x}" for x in items if x), label=_clean(_text(before)) if before is not None else None)
+        elif tag == "table-wrap":
+            drawn = _first(e, "graphic", "inline-graphic") is not None and _first(e, "tr") is None  # a table given as a picture
+            self.add(e, at, "table", caption(), label=label(), **({"columns": [], "rows": [], "footnotes": _table(e)["footnotes"]} if drawn else _table(e)))
+        elif tag in ("fig", "supplementary-material"):
+            self.add(e, at, "figure" if tag == "fig" else "supplementary", caption(), label=label())
+        elif tag == "disp-formula":
+            tex = _first(e, "tex-math")
+            self.add(e, text_at, "equation", _clean(_text(tex if tex is not None else e)))
+        elif tag == "ref-list":
+            seen: set[str] = set()
+            for r in (x for x in e.iter() if _name(x) == "ref"):
+                if not r.get("id") or r.get("id") not in seen:
                     seen.add(r.get("id") or "")
-                    add(r, [*path, "References"], "reference", _clean(_text(r, ("label",))), label=_clean(_text(_first(r, "label"))) or str(len(seen)))
-            elif text := _clean(_text(e)):
-                add(e, path, "paragraph", text)
+                    self.add(r, _Place("References", at), "reference", _clean(_text(r, ("label",))), label=_clean(_text(_first(r, "label"))) or str(len(seen)))
+        elif text := _clean(_text(e)):
+            self.add(e, text_at, "paragraph", text)
+        return [], None
+
+    def abstracts(self, root: ET.Element) -> None:
+        """Graphical abstracts as figures, then the abstract: the first plain one with any content, and below it the others under headings of
+        their kind. Those of sub-articles are not the article's."""
+        found, todo = [], [root]
+        while todo:
+            x = todo.pop()
+            if _name(x) in ("abstract", "trans-abstract"):
+                found.append(x)
+            elif _name(x) not in ("sub-article", "body", "back", "floats-group"):
+                todo += reversed(x)
+        drawn = [x for x in found if _name(x) == "abstract" and x.get("abstract-type") == "graphical"]
+        place = _Place("Graphical Abstract")
+        for x in drawn:
+            figures = [f for f in x.iter() if _name(f) == "fig"]
+            self.read(figures, place)
+            for g in [] if figures else [g for g in x.iter() if _name(g) in ("graphic", "media")]:
+                self.add(g, place, "figure", place.title, label=place.title, source_id=g.get("id") or "graphical_abstract")
+        told = [x for x in found if all(x is not d for d in drawn)]
+        filled = [x for x in told if any(_name(c) != "title" for c in x) or _clean(_text(x)).lower() not in ("", "abstract")]
+        plain = [x for x in filled if _name(x) == "abstract" and x.get("abstract-type", "") in ("", "abstract")]
+        first = next(iter(plain or filled), None)
+        place = _Place("Abstract")
+        for x in ([first] if first is not None else []) + [x for x in filled if x is not first]:
+            kind = "Translated Abstract" if _name(x) == "trans-abstract" else (x.get("abstract-type") or "Abstract").replace("-", " ").title()
+            where, before = place if x is first else _Place(kind, place), len(self.out)
+            self.read(list(x), where)
+            if len(self.out) == before and (text := _clean(_text(x))).lower() not in ("", "abstract"):  # text that stands in no element
+                self.add(x, where, "paragraph", text)
 
-    def walk_inner(p: ET.Element, path: list[str]) -> None:
-        inner = ET.Element("p")
-        inner.extend([x for x in p if _name(x) in ("fig", "table-wrap", "disp-formula", "list")])
-        walk(inner, path)
 
-    for abstract in [x for x in root.iter() if _name(x) == "abstract" and not x.get("abstract-type")][:1]:
-        walk(abstract, ["Abstract"])
+def blocks_of(xml: str, name: str = "") -> list[dict]:
+    """The blocks of one article in reading order: abstracts, body, floats, back matter; a broken article gives what can be recovered of it, a
+    row of type error if that is nothing."""
+    root, error = parse_tree(xml)
+    if root is None or (error and not any(_name(x) in ("body", "front", "back") for x in root)):
+        blank = {k: None for k in ("title", "original_type", "source_id", "label", "columns", "rows", "footnotes")}
+        return [{**blank, "document_id": name, "block_seq": 0, "section_path": [], "block_type": "error", "content": "", "refs": [], "error": error}]
+    own = article_id(root, name)
+    reader = _Reader(own, _clean(_text(_first(root, "article-title"))) or _clean(_text(_first(root, "journal-title"))) or own)
+    reader.abstracts(root)
     for part in ("body", "floats-group", "back"):
         for e in root:
             if _name(e) == part:
-                walk(e, [])
-    return out
+                reader.read(list(e), None, LOOSE.get(part))
+    return reader.out
 
 
 def parse(articles: DataFrame, name: str = "path", xml: str = "xml") -> DataFrame:

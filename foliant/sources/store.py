@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from foliant.functions import vector as vec
 from foliant.operators import dense
-from foliant.sources.tables import CORPUS_SCHEMA, filtered, last_write, upsert, with_schema
+from foliant.sources.segments import SegmentTable
+from foliant.sources.tables import CORPUS_SCHEMA, filtered, last_write, with_schema
 
 EMBEDDINGS = "chunk_id string, embedding array<float>"
 TABLES = {"chunks": CORPUS_SCHEMA.replace("id string", "chunk_id string", 1) + ", metadata string", "embeddings": EMBEDDINGS}
@@ -27,78 +28,65 @@ def _path(spark: SparkSession, text: str):
     return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    at, fs = _path(spark, path)
-    return fs.exists(at)
-
-
-def replace_table(df: DataFrame, path: str) -> None:
-    """Writes beside path and renames, so that readers see the old table or the new one; a table may be made from its old self."""
-    spark = df.sparkSession
-    fresh, old = f"{path}.{uuid.uuid4().hex}.new", f"{path}.{uuid.uuid4().hex}.old"
-    df.write.parquet(fresh)
-    at, fs = _path(spark, path)
-    had = fs.exists(at)
-    if had and not fs.rename(at, _path(spark, old)[0]):
-        raise OSError(f"{path} could not be moved")
-    if not fs.rename(_path(spark, fresh)[0], at):
-        raise OSError(f"{fresh} could not be moved")
-    if had:
-        fs.delete(_path(spark, old)[0], True)
-
-
 class Store:
-    """chunks and embeddings below a folder. Each write makes a new table of the old rows and the new ones."""
+    """chunks and embeddings below a folder, each a table of segments: a write adds its rows, readers see one version."""
 
     def __init__(self, spark: SparkSession, folder: str, dimension: int) -> None:
         self.spark, self.folder, self.dimension = spark, folder.rstrip("/"), dimension
-
-    def path(self, name: str) -> str:
-        return f"{self.folder}/{name}"
+        self.tables = {name: SegmentTable(spark, f"{self.folder}/{name}", "chunk_id", schema) for name, schema in TABLES.items()}
 
     def create(self, reset: bool = False) -> None:
         """Empty tables where there are none, or everywhere."""
         for name, schema in TABLES.items():
-            if reset or not exists(self.spark, self.path(name)):
-                replace_table(self.spark.createDataFrame([], schema), self.path(name))
+            if reset or not self.tables[name].exists():
+                self.tables[name].replace(self.spark.createDataFrame([], schema))
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.schema(TABLES[name]).parquet(self.path(name))
+        return self.tables[name].table()
 
     def upsert_chunks(self, rows: DataFrame, order: list[str] | None = None) -> None:
         """The last row of an id wins; order says which is last, else it is the one with the longest text."""
         new = rows if order else rows.withColumn("_n", F.length("text"))
-        new = with_schema(last_write(new, "chunk_id", order or ["_n", "text"]), TABLES["chunks"])
-        replace_table(upsert(self.table("chunks"), new, "chunk_id"), self.path("chunks"))
+        self.tables["chunks"].upsert(with_schema(last_write(new, "chunk_id", order or ["_n", "text"]), TABLES["chunks"]))
 
-    def upsert_vectors(self, rows: DataFrame) -> None:
-        """Vectors of length 1; one of another dimension or with values that are not finite fails the write, a zero vector stays."""
+    def _checked(self, rows: DataFrame, order: list[str]) -> DataFrame:
         wrong = rows.where((F.size("embedding") != self.dimension) | ~vec.finite(F.col("embedding")) | F.col("embedding").isNull())
         if not wrong.isEmpty():
             raise ValueError(f"vectors must be finite and of dimension {self.dimension}")
-        new = rows.select("chunk_id", vec.normalised(F.col("embedding")).cast("array<float>").alias("embedding")).dropDuplicates(["chunk_id"])
-        replace_table(upsert(self.table("embeddings"), new, "chunk_id"), self.path("embeddings"))
+        return rows.select("chunk_id", vec.normalised(F.col("embedding")).cast("array<float>").alias("embedding"), *order)
+
+    def upsert_vectors(self, rows: DataFrame, order: list[str] | None = None) -> None:
+        """Vectors of length 1; one of another dimension or with values that are not finite fails the write, a zero vector stays. The last
+        row of an id wins; without an order it is the one whose vector is largest, entry by entry."""
+        self.tables["embeddings"].upsert(self._checked(rows, order or []), order)
+
+    def load_vectors(self, rows: DataFrame, batches: int, name: str = "load", tell: Callable[[int, int, int], None] | None = None) -> None:
+        """upsert_vectors() in batches, each whole or not at all; one that was stopped goes on where it was."""
+        self.tables["embeddings"].load(self._checked(rows, []), batches, name, tell)
 
     def reload(self, chunks: DataFrame, vectors: DataFrame) -> None:
-        """All rows anew: emptied, loaded, sorted by id for lookups."""
-        self.create(reset=True)
-        replace_table(with_schema(chunks, TABLES["chunks"]).repartition("chunk_id").sortWithinPartitions("chunk_id"), self.path("chunks"))
-        self.upsert_vectors(vectors)
-        self.rebuild()
+        """All rows anew, each table in one version."""
+        self.tables["chunks"].replace(with_schema(chunks, TABLES["chunks"]))
+        self.tables["embeddings"].replace(self._checked(vectors, []).dropDuplicates(["chunk_id"]))
 
     def rebuild(self) -> None:
-        """The vector table by id in files, so that a lookup of ids reads few row groups."""
-        replace_table(self.table("embeddings").repartitionByRange("chunk_id").sortWithinPartitions("chunk_id"), self.path("embeddings"))
+        """Each table as one segment by id, so that a lookup of ids reads few row groups."""
+        for t in self.tables.values():
+            t.compact()
 
     def truncate(self) -> None:
         self.create(reset=True)
 
+    def vacuum(self) -> None:
+        for t in self.tables.values():
+            t.vacuum()
+
     def counts(self) -> dict[str, int]:
         row = self.table("chunks").agg(F.count("*").alias("n"), F.count_distinct("document_id").alias("d")).first()
         return {"chunks": row["n"], "documents": row["d"], "embeddings": self.table("embeddings").count()}
 
     def get(self, ids: list[str], name: str = "chunks") -> DataFrame:
-        return self.table(name).where(F.col("chunk_id").isin(ids))
+        return self.tables[name].get(ids)
 
     def search(self, queries: DataFrame, k: int, method: str = "cosine", **filters) -> DataFrame:
         """(query_id, id, score, rank); filters on chunk columns come first, then the search is exact among what is left."""
@@ -165,14 +153,16 @@ def write_trees(nodes: DataFrame, folder: str) -> None:
 
 
 def write_text(spark: SparkSession, path: str, text: str) -> None:
-    """One small file, whole or not at all."""
+    """One small file, whole or not at all: it takes the place of an old one in one step."""
     at, fs = _path(spark, path)
     fresh = _path(spark, f"{path}.{uuid.uuid4().hex}")[0]
     out = fs.create(fresh, True)
     out.write(bytearray(text.encode()))
     out.close()
-    fs.delete(at, False)
-    fs.rename(fresh, at)
+    jvm = spark._jvm
+    over = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    over[0] = getattr(jvm.org.apache.hadoop.fs.Options.Rename, "OVERWRITE")
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration()).rename(fs.makeQualified(fresh), fs.makeQualified(at), over)
 
 
 def write_run(spark: SparkSession, folder: str, payload: dict, report: str) -> None:
@@ -200,8 +190,8 @@ class Trace:
             self.rows = []
 
 
-def encode_file(rows: DataFrame, make, dimension: int) -> DataFrame:
-    """(chunk_id, embedding) of chunks with text, by an encoder made once a task."""
+def encode_file(rows: DataFrame, make, dimension: int, *also: str) -> DataFrame:
+    """(chunk_id, embedding, and columns passed through) of chunks with text, by an encoder made once a task."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from foliant.models.plugins import checked
@@ -209,6 +199,35 @@ def encode_file(rows: DataFrame, make, dimension: int) -> DataFrame:
         model = make()
         for part in parts:
             vectors = checked(model.encode(part["text"].fillna("").tolist()), len(part), dimension)
-            yield pd.DataFrame({"chunk_id": part["chunk_id"], "embedding": list(vectors.astype(np.float32))})
-
-    return rows.select("chunk_id", "text").mapInPandas(run, EMBEDDINGS)
+            yield pd.DataFrame({"chunk_id": part["chunk_id"], "embedding": list(vectors.astype(np.float32)), **{c: part[c] for c in also}})
+
+    return rows.select("chunk_id", "text", *also).mapInPandas(run, ", ".join([EMBEDDINGS, *(f"{c} {rows.schema[c].dataType.simpleString()}" for c in also)]))
+
+
+def encode_files(spark: SparkSession, folder: str, make, dimension: int, at_once: int = 64, tell: Callable[[int, int], None] | None = None) -> int:
+    """Vectors of each chunk file below folder that has none yet, in a file of its own beside it; returns how many were made. Groups of files
+    are encoded in one job to a hidden folder, and each file of vectors is then moved to its place, which is what marks it as done: a run
+    that was stopped leaves whole files only, and the next one takes those that are open."""
+    open_ = [r["path"] for r in pending_embeddings(spark, folder).select("path").distinct().orderBy("path").collect()]
+    for at in range(0, len(open_), at_once):
+        group = open_[at : at + at_once]
+        number = F.create_map(*[F.lit(x) for k, path in enumerate(group) for x in (path, k)])
+        attempt = f"{folder.rstrip('/')}/.attempt-{uuid.uuid4().hex}"
+        rows = spark.read.parquet(*group).select("chunk_id", "text", number[F.col("_metadata.file_path")].alias("n"))
+        encode_file(rows.repartition(len(group), "n"), make, dimension, "n").sortWithinPartitions("n").write.partitionBy("n").parquet(attempt)
+        spark.createDataFrame([], EMBEDDINGS).coalesce(1).write.parquet(f"{attempt}/none")
+        where, fs = _path(spark, attempt)
+        for k, path in enumerate(group):
+            made = _path(spark, f"{attempt}/n={k}")[0]
+            made = made if fs.exists(made) else _path(spark, f"{attempt}/none")[0]  # a file without chunks has a file without vectors
+            parts = [f.getPath() for f in fs.listStatus(made) if f.getPath().getName().startswith("part-")]
+            to = _path(spark, embedding_path(path))[0]
+            fs.mkdirs(to.getParent())
+            if made.getName() == "none":
+                spark._jvm.org.apache.hadoop.fs.FileUtil.copy(fs, parts[0], fs, to, False, spark._jsc.hadoopConfiguration())
+            elif len(parts) != 1 or not fs.rename(parts[0], to):
+                raise OSError(f"{to} could not be made")
+        fs.delete(where, True)
+        if tell is not None:
+            tell(min(at + at_once, len(open_)), len(open_))
+    return len(open_)

@@ -25,3 +25,35 @@ def test_blocks():
 def test_spark_and_broken_articles(spark):
     rows = parse(spark.createDataFrame([("a.xml", XML), ("b.xml", "<article><p>"), ("c.xml", None)], "path string, xml string")).collect()
     assert len(rows) == 9 and sorted(r.document_id for r in rows if r.error) == ["b.xml", "c.xml"]
+
+
+def test_abstracts_of_all_kinds():
+    drawn = '<abstract abstract-type="graphical"><p><fig id="ga1"><label>Graphical Abstract</label><graphic href="ga.jpg"/></fig></p></abstract>'
+    bare = '<abstract abstract-type="graphical"><graphic href="x.jpg"/></abstract>'
+    plain = "<abstract><title>Abstract</title><sec><title>Aim</title><p>To see.</p></sec><p>End.</p></abstract>"
+    short = '<abstract abstract-type="plain-language-summary"><p>In short.</p></abstract>'
+    other = "<trans-abstract><p>Kurz.</p></trans-abstract>"
+    sub = "<sub-article><front-stub><abstract><p>Not ours.</p></abstract></front-stub></sub-article>"
+    of = lambda *parts: [(b["block_type"], b["section_path"], b["content"], b["source_id"]) for b in blocks_of(f"<article><front><article-meta>{''.join(parts)}</article-meta></front><body><sec><title>R</title><p>Body.</p></sec></body>{sub}</article>")]
+    end = ("paragraph", ["R"], "Body.", None)
+    assert of(short, drawn, plain, other) == [
+        ("figure", ["Graphical Abstract"], "", "ga1"), ("paragraph", ["Abstract", "Aim"], "To see.", None), ("paragraph", ["Abstract"], "End.", None),
+        ("paragraph", ["Abstract", "Plain Language Summary"], "In short.", None), ("paragraph", ["Abstract", "Translated Abstract"], "Kurz.", None), end,
+    ]
+    assert of(bare, "<abstract>Only text.</abstract>") == [("figure", ["Graphical Abstract"], "Graphical Abstract", "graphical_abstract"), ("paragraph", ["Abstract"], "Only text.", None), end]
+    assert of("<abstract><title>Abstract</title></abstract>", short) == [("paragraph", ["Abstract"], "In short.", None), end]
+
+
+def test_loose_text_has_a_section():
+    b = blocks_of('<article><body><p>First.<fig id="f"/></p><sec><title>S</title><p>In.</p></sec><list><list-item>x</list-item></list></body><back><p>Thanks.</p></back></article>')
+    assert [(x["block_type"], x["section_path"]) for x in b] == [("paragraph", ["Body"]), ("figure", []), ("paragraph", ["S"]), ("list", ["Body"]), ("paragraph", ["Back Matter"])]
+
+
+def test_nesting_of_any_depth():
+    deep = 100_000
+    b = blocks_of("<article><body>" + "<sec>" * deep + "<p>Down here.</p>" + "</sec>" * deep + "</body></article>")
+    assert len(b) == 1 and b[0]["content"] == "Down here." and len(b[0]["section_path"]) == deep
+    b = blocks_of("<article><body><sec><title>T</title><p>" + "<italic>" * deep + "core" + "</italic>" * deep + " end.</p></sec></body></article>")
+    assert [(x["content"], x["section_path"]) for x in b] == [("core end.", ["T"])]
+    broken = blocks_of("<article><body><sec><title>T</title><p>" + "<b><i>" * deep + "core</x></y>" * 50 + "</p></sec></body></article>")
+    assert len(broken) == 1 and broken[0]["content"].startswith("corecore")
