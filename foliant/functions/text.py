@@ -39,6 +39,13 @@ SECTION_ADMINISTRATIVE = (
     "competing interests", "data availability", "data availability statement", "ethics statement", "ethics approval", "abbreviations", "disclosure",
 )
 
+# How texts begin that are no content.
+NO_CONTENT_STARTS = (
+    "all claims expressed in this article", "this article was prepared", "publisher's note", "availability of data and materials", "data availability", "conflict of interest", "competing interests", "ethics approval",
+    "ethical approval", "ethics statement", "funding statement", "funding sources", "acknowledgements", "acknowledgments", "author contributions", "consent to publish", "consent for publication", "the authors declare",
+    "abbreviations (in order of appearance", "abbreviations", "supplementary information", "supplementary materials", "declarations", "editor's note", "correction to:", "this is a summary of",
+)
+
 
 def tokens(text: Column, pattern: str = TOKEN) -> Column:
     """The tokens of the lower-cased text, in order; none for null."""
@@ -162,12 +169,10 @@ def key_values(text: Column, separator: str = ":") -> Column:
     return F.transform(lines, lambda x: F.struct(F.btrim(F.substring_index(x, separator, 1)).alias("label"), F.btrim(F.regexp_replace(x, rf"^[^{separator}]*{separator}", "")).alias("value")))
 
 
-def non_content(section: Column, text: Column, sections: tuple[str, ...] = SECTION_ADMINISTRATIVE + SECTION_REFERENCES, starts: tuple[str, ...] = ("copyright", "supplementary")) -> Column:
+def non_content(section: Column, text: Column, sections: tuple[str, ...] = SECTION_ADMINISTRATIVE + SECTION_REFERENCES, starts: tuple[str, ...] = NO_CONTENT_STARTS) -> Column:
     """Whether a chunk is no content: its section is one of these, or its text begins with one of these."""
     low = F.lower(F.ltrim(F.coalesce(text, F.lit(""))))
-    begins = F.lit(False)
-    for s in starts:
-        begins = begins | low.startswith(s)
+    begins = low.rlike("^(?:" + "|".join(map(re.escape, starts)) + ")")
     return F.lower(F.btrim(F.coalesce(section, F.lit("")))).isin(*sections) | begins
 
 

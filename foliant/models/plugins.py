@@ -4,17 +4,20 @@ No model files are part of this package; HashingEncoder and OverlapScorer need n
 
 from __future__ import annotations
 
+import time
 import zlib
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-# Texts a step, and how much of a query or an article a model of the usual kind reads, in words.
-BATCH, QUERY_WORDS, ARTICLE_WORDS = 32, 64, 512
+# Texts a step.
+BATCH = 32
 
 
 class Encoder(Protocol):
@@ -30,13 +33,13 @@ class Scorer(Protocol):
 class HashingEncoder:
     """Signed counts of hashed words."""
 
-    def __init__(self, dimension: int = 768, most_words: int = ARTICLE_WORDS) -> None:
-        self.dimension, self.most_words = dimension, most_words
+    def __init__(self, dimension: int = 768) -> None:
+        self.dimension = dimension
 
     def encode(self, texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), self.dimension))
         for row, text in enumerate(texts):
-            for word in text.lower().split()[: self.most_words]:
+            for word in text.lower().split():
                 h = zlib.crc32(word.encode())
                 out[row, (h >> 1) % self.dimension] += 1 if h & 1 else -1
         return out
@@ -92,6 +95,47 @@ def score_pairs(rows: DataFrame, query: Column, passage: Column, make: Callable[
     return rows.withColumn(name, run(query, passage))
 
 
+#: Words of a macro batch, its longest pair times its pairs.
+BATCH_WORDS = 16_384
+
+
+def score_macro_batches(rows: DataFrame, query: Column, passage: Column, make: Callable[[], Scorer], name: str = "encoder_score", budget: int = BATCH_WORDS) -> DataFrame:
+    """rows with the score of each (query, passage), and with (bucket, batch_seconds): pairs of all queries go by their length in words, so that a batch
+    has pairs of like length and as many as the budget holds, however many each query has; bucket is the batch's longest pair, rounded up to
+    a power of two. Scores are those of pairs scored one by one."""
+    texts = rows.select("*", F.coalesce(query, F.lit("")).alias("_query"), F.coalesce(passage, F.lit("")).alias("_passage"))
+    sized = texts.withColumn("_words", F.size(F.split("_query", r"\s+")) + F.size(F.split("_passage", r"\s+")))
+    ordered = sized.repartitionByRange("_words", F.xxhash64("_query", "_passage")).sortWithinPartitions("_words")
+    schema = T.StructType([*rows.schema.fields, T.StructField(name, T.DoubleType()), T.StructField("bucket", T.IntegerType()), T.StructField("batch_seconds", T.DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = make()
+        for batch in batches:
+            words = batch.column("_words").to_numpy()
+            pairs = list(zip(batch.column("_query").to_pylist(), batch.column("_passage").to_pylist(), strict=True))
+            scores, buckets, seconds = np.zeros(len(pairs)), np.zeros(len(pairs), np.int32), np.zeros(len(pairs))
+            at = 0
+            while at < len(pairs):
+                end = at + 1
+                while end < len(pairs) and int(words[end]) * (end + 1 - at) <= budget:  # words rise
+                    end += 1
+                began = time.perf_counter()
+                scores[at:end] = model.score(pairs[at:end])
+                seconds[at:end] = time.perf_counter() - began
+                buckets[at:end] = 1 << int(words[end - 1] - 1).bit_length()
+                at = end
+            kept = [batch.column(c) for c in batch.schema.names if c not in ("_query", "_passage", "_words")]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(scores), pa.array(buckets), pa.array(seconds)], names=schema.names)
+
+    return ordered.mapInArrow(run, schema)
+
+
+def batch_latency(scored: DataFrame) -> DataFrame:
+    """(bucket, pairs, median, p95, worst): seconds of a batch by its pairs' length."""
+    at = lambda share: F.expr(f"percentile(batch_seconds, {share})")
+    return scored.groupBy("bucket").agg(F.count("*").alias("pairs"), at(0.5).alias("median"), at(0.95).alias("p95"), F.max("batch_seconds").alias("worst"))
+
+
 def article_text(breadcrumb: Column, chunk_type: Column, embedding_text: Column, text: Column) -> Column:
     """What an article encoder reads: the breadcrumb or else the kind of chunk, and the embedding text or else the text."""
     head = F.when(F.size(breadcrumb) > 0, F.array_join(breadcrumb, " > ")).otherwise(chunk_type)

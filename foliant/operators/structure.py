@@ -179,19 +179,37 @@ def zip_by_order(left: DataFrame, right: DataFrame, key: str, left_order: str, r
 
 
 def markdown_profile(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_headings, deepest, n_jumps, n_html_tables, n_pipe_tables): headings and their jumps by more than one level,
-    tables in markup and as runs of piped lines."""
+    """(doc_id, n_headings, deepest, n_jumps, n_html_tables, n_pipe_tables, n_captions, n_bound, n_notes, n_note_uses, n_open_notes) of Markdown texts: headings, and
+    jumps by more than one level; tables in markup, which may span lines, and runs of piped lines outside of them; lines that begin as captions of tables, and
+    those with a table as the next or the last line that is not blank; footnotes that are defined, uses of footnotes, and names used without
+    a definition. Inside a table in markup nothing else is counted. A line's state follows from windows over the lines before it."""
+    own = Window.partitionBy("doc_id").orderBy("n")
+    before, after = own.rowsBetween(Window.unboundedPreceding, -1), own.rowsBetween(1, Window.unboundedFollowing)
+    count = lambda p: F.size(F.regexp_extract_all("line", F.lit(p), F.lit(0)))
     lines = docs.select(F.col(doc_id).alias("doc_id"), F.posexplode(F.split(F.coalesce(text, F.lit("")), "\n")).alias("n", "line"))
-    lines = lines.withColumn("level", F.when(F.col("line").rlike(r"^#{1,6}\s+\S"), F.length(F.regexp_extract("line", "^(#+)", 1))))
-    lines = lines.withColumn("pipe", F.col("line").rlike(r"^\s*\|.*\|\s*$").cast("int"))
-    heads = Window.partitionBy("doc_id").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
-    w = Window.partitionBy("doc_id").orderBy("n")
-    marked = lines.withColumn("before", F.last("level", ignorenulls=True).over(heads)).withColumn("starts", (F.col("pipe") == 1) & (F.coalesce(F.lag("pipe").over(w), F.lit(0)) == 0))
-    return marked.groupBy("doc_id").agg(
-        F.count("level").alias("n_headings"), F.coalesce(F.max("level"), F.lit(0)).cast("long").alias("deepest"),
-        F.count_if(F.col("level") - F.col("before") > 1).alias("n_jumps"),
-        F.coalesce(F.sum(F.size(F.regexp_extract_all("line", F.lit("(?i)<table"), F.lit(0)))), F.lit(0)).cast("long").alias("n_html_tables"),
-        F.count_if("starts").alias("n_pipe_tables"),
+    lines = lines.withColumns({"opens": count(r"(?i)<table\b"), "ends": count(r"(?i)</table>")})
+    # open tables: the sum so far above its least value, since an end without a start closes nothing
+    lines = lines.withColumn("level_sum", F.sum(F.col("opens") - F.col("ends")).over(own.rowsBetween(Window.unboundedPreceding, 0)))
+    so_far = F.coalesce(F.lag("level_sum").over(own), F.lit(0))
+    least = F.least(F.lit(0), F.coalesce(F.min("level_sum").over(before), F.lit(0)))
+    lines = lines.withColumn("inside", so_far - least > 0).withColumn("markup", F.col("inside") | (F.col("opens") > 0))
+    free = lambda c: F.when(~F.col("markup"), c)
+    lines = lines.withColumns({
+        "level": F.when(~F.col("markup") & F.col("line").rlike(r"^#{1,6}\s+\S"), F.length(F.regexp_extract("line", "^(#+)", 1))), "pipe": ~F.col("markup") & F.col("line").rlike(r"^\s*\|.*\|\s*$"),
+        "caption": ~F.col("markup") & F.col("line").rlike(r"^\s*\**(?:Table|Tab\.)\s*\d+"), "note": free(F.regexp_extract("line", r"^\s*\[\^([^\]\s]+)\]:", 1)),
+        "uses": free(F.regexp_extract_all(F.regexp_replace("line", r"^\s*\[\^[^\]\s]+\]:", ""), F.lit(r"\[\^([^\]\s]+)\]"), F.lit(1))), "blank": ~F.col("line").rlike(r"\S"),
+    })
+    table = F.when(~F.col("blank"), F.col("pipe") | F.col("markup"))
+    lines = lines.withColumns({
+        "heading_before": F.last("level", ignorenulls=True).over(before), "pipe_before": F.coalesce(F.lag("pipe").over(own), F.lit(False)),
+        "near": F.coalesce(F.first(table, ignorenulls=True).over(after), F.lit(False)) | F.coalesce(F.last(table, ignorenulls=True).over(before), F.lit(False)),
+    })
+    named = F.collect_set(F.nullif("note", F.lit("")))
+    long = lambda c: c.cast("long")
+    return lines.groupBy("doc_id").agg(
+        F.count("level").alias("n_headings"), long(F.coalesce(F.max("level"), F.lit(0))).alias("deepest"), F.count_if(F.col("level") - F.col("heading_before") > 1).alias("n_jumps"), long(F.sum("opens")).alias("n_html_tables"),
+        F.count_if(F.col("pipe") & ~F.col("pipe_before")).alias("n_pipe_tables"), F.count_if("caption").alias("n_captions"), F.count_if(F.col("caption") & F.col("near")).alias("n_bound"), F.count_if(F.col("note") != "").alias("n_notes"),
+        long(F.coalesce(F.sum(F.when(F.col("uses").isNotNull(), F.size("uses"))), F.lit(0))).alias("n_note_uses"), long(F.size(F.array_except(F.array_distinct(F.flatten(F.collect_list("uses"))), named))).alias("n_open_notes"),
     )
 
 

@@ -56,14 +56,36 @@ def prose_pack(spark: SparkSession, d: str) -> DataFrame:
     return structure.prose_chunks(rows.select("document_id", "island", F.col("position").cast("long").alias("block_seq"), F.col("text").alias("content")))
 
 
-@query("markdown_profile", """
-WITH l AS (SELECT doc_id, ls[i] AS line, i FROM (SELECT doc_id, string_split(replace(text, '. ', chr(10) || '### '), chr(10)) AS ls, unnest(range(1, len(string_split(replace(text, '. ', chr(10) || '### '), chr(10))) + 1)) AS i FROM documents)),
-h AS (SELECT *, CASE WHEN regexp_matches(line, '^#{1,6}\\s+\\S') THEN length(regexp_extract(line, '^(#+)', 1)) END AS lv FROM l),
-b AS (SELECT *, last_value(lv IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS bf FROM h)
-SELECT doc_id, count(lv) AS n_headings, CAST(coalesce(max(lv), 0) AS BIGINT) AS deepest, count(*) FILTER (lv - bf > 1) AS n_jumps FROM b GROUP BY doc_id""")
+#: What a text's words become, so that invented prose has headings, tables, captions and footnotes.
+AS_MARKDOWN = ((". ", "\n### "), (" und ", "\n<table><tr>\n"), (" die ", "</table>\n"), (" of ", "\nTable 1. x\n\n"), (", ", "\n| x |\n"), (" les ", "\n[^a]: "), (" the ", " [^a] "), (" in ", " [^b] "))
+
+
+def _as_markdown_sql(text: str) -> str:
+    for old, new in AS_MARKDOWN:
+        text = f"replace({text}, '{old}', " + "'" + new.replace("\n", "' || chr(10) || '") + "')"
+    return text
+
+
+@query("markdown_profile", f"""
+WITH t AS (SELECT doc_id, {_as_markdown_sql("coalesce(text, '')")} AS md FROM documents),
+l AS (SELECT doc_id, unnest(string_split(md, chr(10))) AS line, unnest(range(len(string_split(md, chr(10))))) AS n FROM t),
+o AS (SELECT *, len(regexp_extract_all(line, '(?i)<table\\b')) AS opens, len(regexp_extract_all(line, '(?i)</table>')) AS ends FROM l),
+s AS (SELECT *, sum(opens - ends) OVER (PARTITION BY doc_id ORDER BY n) AS ls FROM o),
+m AS (SELECT *, opens > 0 OR coalesce(lag(ls) OVER (PARTITION BY doc_id ORDER BY n), 0) - least(0, coalesce(min(ls) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) > 0 AS markup FROM s),
+f AS (SELECT *, CASE WHEN NOT markup AND regexp_matches(line, '^#{{1,6}}\\s+\\S') THEN length(regexp_extract(line, '^(#+)', 1)) END AS lv, NOT markup AND regexp_matches(line, '^\\s*\\|.*\\|\\s*$') AS pipe,
+        NOT markup AND regexp_matches(line, '^\\s*\\**(?:Table|Tab\\.)\\s*\\d+') AS caption, CASE WHEN NOT markup THEN regexp_extract(line, '^\\s*\\[\\^([^\\]\\s]+)\\]:', 1) END AS note,
+        CASE WHEN NOT markup THEN regexp_extract_all(regexp_replace(line, '^\\s*\\[\\^[^\\]\\s]+\\]:', ''), '\\[\\^([^\\]\\s]+)\\]', 1) END AS uses, CASE WHEN regexp_matches(line, '\\S') THEN 1 END AS said FROM m),
+g AS (SELECT *, CASE WHEN said = 1 THEN pipe OR markup END AS tb FROM f),
+w AS (SELECT *, last_value(lv IGNORE NULLS) OVER b AS bf, coalesce(lag(pipe) OVER (PARTITION BY doc_id ORDER BY n), false) AS pb, coalesce(last_value(tb IGNORE NULLS) OVER b, false) OR coalesce(first_value(tb IGNORE NULLS) OVER a, false) AS near FROM g
+      WINDOW b AS (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), a AS (PARTITION BY doc_id ORDER BY n ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING))
+SELECT doc_id, count(lv) AS n_headings, CAST(coalesce(max(lv), 0) AS BIGINT) AS deepest, count(*) FILTER (lv - bf > 1) AS n_jumps, CAST(sum(opens) AS BIGINT) AS n_html_tables, count(*) FILTER (pipe AND NOT pb) AS n_pipe_tables,
+  count(*) FILTER (caption) AS n_captions, count(*) FILTER (caption AND near) AS n_bound, count(*) FILTER (note <> '') AS n_notes, CAST(coalesce(sum(len(uses)), 0) AS BIGINT) AS n_note_uses,
+  CAST(len(list_filter(list_distinct(flatten(list(uses))), lambda x: NOT list_contains(list(note), x))) AS BIGINT) AS n_open_notes FROM w GROUP BY doc_id""")
 def markdown_profile(spark: SparkSession, d: str) -> DataFrame:
-    docs = read(spark, d, "documents").select("doc_id", F.replace("text", F.lit(". "), F.lit("\n### ")).alias("text"))
-    return structure.markdown_profile(docs).select("doc_id", "n_headings", "deepest", "n_jumps")
+    text = F.coalesce("text", F.lit(""))
+    for old, new in AS_MARKDOWN:
+        text = F.replace(text, F.lit(old), F.lit(new))
+    return structure.markdown_profile(read(spark, d, "documents").select("doc_id", text.alias("text")))
 
 
 @query("section_classify", "SELECT c_custkey, CASE WHEN t IN ('references', 'bibliography') THEN 'references' WHEN t IN ('funding', 'acknowledgements') THEN 'administrative' ELSE 'content' END AS kind FROM (SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN 'references' WHEN 1 THEN 'funding' WHEN 2 THEN 'acknowledgements' WHEN 3 THEN 'results' ELSE 'bibliography' END AS t FROM customer)")

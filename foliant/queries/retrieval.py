@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.operators import dense, evaluate, fusion, graph, impacts, lexical, papers
+from foliant.models.plugins import OverlapScorer, score_macro_batches
+from foliant.operators import dense, evaluate, fusion, graph, impacts, lexical, papers, regression
 from foliant.operators.structure import line_chunks
 from foliant.queries import query, read
 from foliant.session import cut
@@ -177,6 +178,29 @@ def union_dedupe_methods(spark: SparkSession, d: str) -> DataFrame:
     return fusion.union_with_methods({m: every.where(F.col("method") == m) for m in ("bm25", "share")})
 
 
+@query("run_alignment", LISTS_SQL + """,
+ra AS (SELECT query_id, chunk_id, rank AS a FROM hits WHERE method = 'bm25'), rb AS (SELECT query_id, chunk_id, rank AS b FROM hits WHERE method = 'share'),
+rj AS (SELECT *, max(greatest(coalesce(a, 0), coalesce(b, 0))) OVER (PARTITION BY query_id) AS e FROM ra FULL JOIN rb USING (query_id, chunk_id)),
+rw AS (SELECT *, CASE WHEN a IS NOT NULL AND b IS NOT NULL THEN list_sum(list_transform(range(CAST(greatest(a, b) AS BIGINT), e + 1), lambda d: power(0.9e0, d - 1) / d)) END AS w FROM rj)
+SELECT query_id, count(a) AS n_golden, count(b) AS n_run, count(w) AS n_both, round(coalesce(sum(w), 0) / list_sum(list_transform(range(1, max(e) + 1), lambda d: power(0.9e0, d - 1))), 6) AS overlap,
+  coalesce(list(chunk_id ORDER BY a, chunk_id) FILTER (b IS NULL), []) AS lost, coalesce(list(chunk_id ORDER BY b, chunk_id) FILTER (a IS NULL), []) AS gained FROM rw GROUP BY query_id""")
+def run_alignment(spark: SparkSession, d: str) -> DataFrame:
+    """One method's lists as the golden run, the other's as the new one."""
+    every = hits(spark, d)
+    of = lambda m: every.where(F.col("method") == m).select("query_id", "chunk_id", "rank")
+    return regression.align(of("bm25"), of("share"), "query_id", "chunk_id").withColumn("overlap", F.round("overlap", 6))
+
+
+@query("macro_rerank", LISTS_SQL + """,
+pt AS (SELECT DISTINCT query_id, chunk_id FROM hits)
+SELECT query_id, chunk_id, round(len(list_intersect(list_distinct(string_split(lower(qs.text), ' ')), regexp_split_to_array(trim(lower(ch.text)), '[\\s\\x{85}\\x{a0}\\x{2000}-\\x{200a}]+'))) / len(list_distinct(string_split(lower(qs.text), ' '))), 6) AS raw
+FROM pt JOIN qs USING (query_id) JOIN ch USING (chunk_id)""")
+def macro_rerank(spark: SparkSession, d: str) -> DataFrame:
+    """All queries' candidates scored in macro batches by length."""
+    pairs = hits(spark, d).select("query_id", "chunk_id").distinct().join(F.broadcast(asked(spark).withColumnRenamed("text", "query")), "query_id").join(chunks(spark, d).select("chunk_id", "text"), "chunk_id")
+    return score_macro_batches(pairs, F.col("query"), F.col("text"), OverlapScorer, "raw", 512).select("query_id", "chunk_id", F.round("raw", 6).alias("raw"))
+
+
 PAPER_SQL = RRF_SQL + """,
 fs AS (SELECT rr.*, split_part(chunk_id, '_', 2) AS paper_id, CAST(split_part(chunk_id, '_', 3) AS INTEGER) // 5 AS section, CASE WHEN CAST(split_part(chunk_id, '_', 3) AS INTEGER) % 3 = 0 THEN 'lead' ELSE 'body' END AS node_type FROM rr WHERE rank <= 80),
 fn AS (SELECT *, row_number() OVER (PARTITION BY query_id, paper_id ORDER BY rrf_score DESC, chunk_id) AS n FROM fs),

@@ -7,7 +7,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from foliant.functions import text as tx
-from foliant.operators import dense, evidence, fusion, lexical, repair, structure
+from foliant.models import plugins
+from foliant.operators import dense, evidence, fusion, lexical, regression, repair, structure
 
 
 def test_bm25_against_plain_python(spark):
@@ -118,6 +119,9 @@ def test_markdown_and_tables(spark):
     doc = "# A\n### B\ntext\n| a | b |\n| - | - |\n\n| c |\n<table></table>"
     p = structure.markdown_profile(spark.createDataFrame([(1, doc)], "doc_id long, text string")).first()
     assert (p.n_headings, p.deepest, p.n_jumps, p.n_html_tables, p.n_pipe_tables) == (2, 3, 1, 1, 2)
+    doc = "Table 1. Ages[^a]\n\n<table>\n<tr># no heading | x |\n[^q]\n</table></table>\n\n# H[^b]\n**Table 2** alone\ntext\n| a |\n\n[^a]: said[^c]\n[^b]: more"
+    p = structure.markdown_profile(spark.createDataFrame([(1, doc), (2, None)], "doc_id long, text string")).orderBy("doc_id").collect()
+    assert tuple(p[0]) == (1, 1, 1, 0, 1, 1, 2, 1, 2, 3, 1) and tuple(p[1]) == (2, *[0] * 10)
     chunks = [("p", "t", "table_summary", 0, "Table 1. X\nColumns:\n- Name\n- Value"), ("p", "t", "table_row", 2, "r2"), ("p", "t", "table_row", 1, "r1"), ("p", "t", "table_footnotes", 3, "[a] note")]
     rows = spark.createDataFrame([(p, t, f"c{n}", k, n, x) for p, t, k, n, x in chunks], "paper_id string, table_id string, chunk_id string, chunk_type string, position int, text string")
     tables = structure.assemble_tables(rows)
@@ -156,3 +160,31 @@ def test_coverage_never_shrinks(seed):
         assert covered(picked) & set(needs) <= covered(out) and len(out) <= slots and all(rows[c] == v for c, v in out.items())
         if len(picked) < slots:
             assert len(covered(out)) >= min(1, len(set().union(*(k for _, k in rows.values()))))
+
+
+def test_runs_against_a_golden_one(spark):
+    kind = "requirement_id string, item_id string, rank int"
+    golden = spark.createDataFrame([("r1", "a", 1), ("r1", "b", 2), ("r1", "c", 3), ("r2", "x", 1), ("r3", "y", 1)], kind)
+    run = spark.createDataFrame([("r1", "a", 1), ("r1", "c", 2), ("r1", "d", 3), ("r2", "x", 1), ("r4", "z", 1)], kind)
+    got = {r.requirement_id: r for r in regression.align(golden, run, p=0.5).collect()}
+    want = (1 * 1 + 0.5 * 1 / 2 + 0.25 * 2 / 3) / (1 + 0.5 + 0.25)
+    assert got["r1"].overlap == pytest.approx(want) and (got["r1"].lost, got["r1"].gained) == (["b"], ["d"]) and got["r2"].overlap == 1.0 and got["r3"].overlap == got["r4"].overlap == 0.0
+    known = spark.createDataFrame([("r1", "a"), ("r2", "w"), ("r5", "q")], "requirement_id string, item_id string")
+    ok = {r.requirement_id: (r.passed, r.missing) for r in regression.passed(regression.align(golden, run), run, known).collect()}
+    assert ok == {"r1": (True, []), "r2": (False, ["w"]), "r3": (False, []), "r4": (False, []), "r5": (False, ["q"])}
+
+
+def test_macro_batches_score_as_one_by_one(spark):
+    rng = random.Random(3)
+    say = lambda n: " ".join(rng.choice("abcdefgh") for _ in range(n))
+    rows = spark.createDataFrame([(i, f"q{i % 7}", say(1 + i % 7), say(rng.randrange(0, 300))) for i in range(400)] + [(400, "q1", None, None)], "i long, query_id string, q string, p string").repartition(5)
+    one = {r.i: r.s for r in plugins.score_pairs(rows, F.col("q"), F.col("p"), plugins.OverlapScorer, "s", batch=1).collect()}
+    scored = plugins.score_macro_batches(rows, F.col("q"), F.col("p"), plugins.OverlapScorer, "s", budget=1000)
+    got = scored.collect()
+    assert {r.i: r.s for r in got} == one and scored.columns == ["i", "query_id", "q", "p", "s", "bucket", "batch_seconds"] and len({r.bucket for r in got}) > 3
+    assert plugins.batch_latency(scored).agg(F.sum("pairs")).first()[0] == 401
+
+
+def test_texts_that_are_no_content(spark):
+    rows = spark.createDataFrame([("Funding", "x", True), ("Results", " The authors declare nothing", True), ("Results", "Correction to: that", True), ("Results", "We funded it", False), (None, None, False)], "s string, t string, want boolean")
+    assert all(r.want == r.got for r in rows.select("want", tx.non_content(F.col("s"), F.col("t")).alias("got")).collect())
