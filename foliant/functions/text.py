@@ -169,7 +169,7 @@ def key_values(text: Column, separator: str = ":") -> Column:
     return F.transform(lines, lambda x: F.struct(F.btrim(F.substring_index(x, separator, 1)).alias("label"), F.btrim(F.regexp_replace(x, rf"^[^{separator}]*{separator}", "")).alias("value")))
 
 
-def non_content(section: Column, text: Column, sections: tuple[str, ...] = SECTION_ADMINISTRATIVE + SECTION_REFERENCES, starts: tuple[str, ...] = NO_CONTENT_STARTS) -> Column:
+def non_content(section: Column, text: Column, sections: tuple[str, ...] = SECTION_ADMINISTRATIVE + SECTION_REFERENCES, starts: tuple[str, ...] = (*NO_CONTENT_STARTS, "copyright", "supplementary")) -> Column:
     """Whether a chunk is no content: its section is one of these, or its text begins with one of these."""
     low = F.lower(F.ltrim(F.coalesce(text, F.lit(""))))
     begins = low.rlike("^(?:" + "|".join(map(re.escape, starts)) + ")")
