@@ -351,22 +351,25 @@ def test_toxicity_against_brute_force(spark):
     in_kind = [Counter(t for i in learned if label[i] == y for t in every[i]) for y in (0, 1)]
     n_kind = [sum(label[i] == y for i in learned) for y in (0, 1)]
 
-    def weight(t):
-        ratio = math.log(((in_kind[1][t] + 0.5) / (n_kind[1] + 1)) / ((in_kind[0][t] + 0.5) / (n_kind[0] + 1)))
-        tie = toxicity.FLOOR + min(1, max(0, in_kind[1][t] * ratio / toxicity.FULL_TIE)) * ratio**2
+    def weight(t, out=None):  # without what the example that is left out says of its own terms
+        n = [n_kind[y] - (out is not None and label[out] == y) for y in (0, 1)]
+        held = [in_kind[y][t] - (out is not None and label[out] == y) for y in (0, 1)]
+        ratio = math.log(((held[1] + 0.5) / (n[1] + 1)) / ((held[0] + 0.5) / (n[0] + 1)))
+        tie = toxicity.FLOOR + min(1, max(0, held[1] * ratio / toxicity.FULL_TIE)) * ratio**2
         return (math.log((len(table) + 1) / (df[t] + 1)) + 1) * tie
 
     known = {t for i in learned for t in every[i]}
 
-    def vector(i):
-        v = {t: (1 + math.log(n)) * weight(t) for t, n in every[i].items() if t in known}
+    def vector(i, out=None):
+        v = {t: (1 + math.log(n)) * weight(t, out) for t, n in every[i].items() if t in known}
         length = math.sqrt(sum(x * x for x in v.values()))
         return {t: x / length for t, x in v.items()}
 
     vectors_of = {i: vector(i) for i in every}
 
     def vote(i, skip=None):
-        s = {j: sum(x * vectors_of[j].get(t, 0) for t, x in vectors_of[i].items()) for j in learned if j != skip}
+        own = vectors_of[i] if skip is None else vector(i, skip)
+        s = {j: sum(x * vectors_of[j].get(t, 0) for t, x in own.items()) for j in learned if j != skip}
         near = sorted(((round(x, 9), j) for j, x in s.items() if x > 5e-10), key=lambda x: -x[0])
         if not near:
             return None
