@@ -378,3 +378,15 @@ def test_deep_trees(spark):
     got = {r.node_id: r.depth for r in tree.reachable(nodes).collect()}
     assert got == {f"n{k:04d}": k for k in range(2000)}
     assert tree.descendants(nodes.where("preorder < 200")).count() == 200 * 201 // 2
+
+
+def test_leaf_match_query_against_all_pairs(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id < 40").collect()
+    made = {}
+    for r in docs:
+        for k, line in enumerate((r.text or "").split("\n")):
+            if line.strip():
+                made.setdefault(r.lang, ([], []))[r.doc_id % 2].append((f"D_{r.doc_id}_{k}", r.doc_id * (1 << 24) + k, line))
+    side = lambda odd, name: spark.createDataFrame([(lang, *x) for lang, both in made.items() for x in both[odd]], f"paper_id string, {name} string, position long, text string")
+    got = leafmatch.match(side(0, "node_id"), side(1, "chunk_id")).collect()
+    assert sorted((r.node_id, r.chunk_id, round(r.score, 6)) for r in got) == sorted(x for a, b in made.values() for x in brute_matches(a, b))
