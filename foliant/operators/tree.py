@@ -88,12 +88,6 @@ def chunk_rollup(nodes: DataFrame) -> DataFrame:
     return descendants(nodes).join(held, ["paper_id", "descendant_id"]).groupBy("paper_id", "node_id").agg(F.sort_array(F.collect_set("chunk_id")).alias("chunk_ids"))
 
 
-def siblings(nodes: DataFrame) -> DataFrame:
-    a = nodes.select("paper_id", "parent_id", "node_id")
-    b = nodes.select("paper_id", "parent_id", F.col("node_id").alias("sibling_id"))
-    return a.join(b, ["paper_id", "parent_id"]).where("node_id <> sibling_id").select("paper_id", "node_id", "sibling_id")
-
-
 def leaves(nodes: DataFrame) -> DataFrame:
     parents = nodes.select("paper_id", F.col("parent_id").alias("node_id")).where("node_id is not null").distinct()
     return nodes.join(parents, ["paper_id", "node_id"], "left_anti")

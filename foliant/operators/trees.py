@@ -14,6 +14,7 @@ from foliant.operators import leafmatch
 from foliant.operators.structure import zip_by_order
 from foliant.operators.tree import leaves
 from foliant.session import cut_table
+from foliant.sources.front import IMAGES
 
 # How alike texts must be, and how long, to be matched.
 MOST_MERGED, LEAST_RATIO = 40, 0.75
@@ -245,12 +246,8 @@ def tidy_markdown(text: Column) -> Column:
     return F.btrim(F.regexp_replace(headed, r"\n{3,}", "\n\n"), F.lit("\n "))
 
 
-# Endings of image files.
-IMAGE_ENDINGS = ("jpg", "jpeg", "png", "gif", "tif", "tiff", "svg", "webp", "bmp")
-
-
 def is_image(href: Column) -> Column:
-    return F.lower(F.regexp_replace(href, r"[?#].*$", "")).rlike(rf"\.(?:{'|'.join(IMAGE_ENDINGS)})$")
+    return F.lower(F.regexp_replace(href, r"[?#].*$", "")).rlike(rf"\.(?:{'|'.join(IMAGES)})$")
 
 
 def resolve_media(text: Column, base: Column) -> Column:
