@@ -8,7 +8,8 @@
    copies join up in linear work.
 4. Exact round: in posting lists that still hold several components, every pair of documents of different
    components that passes the length, positional and suffix filters is verified, each pair once. Pairs inside
-   a component need no check: they cannot change it.
+   a component need no check: they cannot change it. Lists are met by length class, and a long one is dealt
+   by document, so that no task holds the list of a shingle that very many different documents have.
 5. Components of the verified links.
 
 Defined results: null and empty texts, and texts without words, have an empty set and link with nothing;
@@ -18,6 +19,7 @@ id are one document; a row without an id takes part in no link; an empty table g
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,6 +38,8 @@ _CHUNK = 1 << 12
 _BUCKETS = 64
 #: Ids up to which a table of ids is broadcast (8 MB); beyond, the semi join is shuffled.
 BROADCAST_IDS = 500_000
+#: Sets of a posting list that one part of it pairs with the whole list; longer lists have more parts.
+PART = 1000
 
 _IS_WORD, _LOW = lower_ascii_table(lambda b: not (b == 0x20 or 0x09 <= b <= 0x0D))
 
@@ -176,7 +180,34 @@ def _verified(pairs: DataFrame, docs: DataFrame, size: int, share: tuple[int, in
 
 
 def _can_link(n_a: str, n_b: str, share: tuple[int, int]) -> str:
-    return f"{share[1]} * least({n_a}, {n_b}) >= {share[0]} * greatest({n_a}, {n_b})"
+    return f"{share[1]}L * least({n_a}, {n_b}) >= {share[0]}L * greatest({n_a}, {n_b})"
+
+
+def _candidates(posting: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """(a, b), each pair once: sets of different components with a shingle of posting(token, rep, n, pos, component) in
+    common whose lengths and places let them link. The smaller set of a pair stays in its length class, the other comes
+    from the same or the next one."""
+    ratio = share[1] / share[0]
+    # classes a hair wider than the ratio: no rounding puts a class between two sets that can link
+    grade = F.floor(F.log("n") / F.lit(math.log(ratio) * (1 + 1e-9))) if ratio > 1 else F.col("n").cast("long")
+    own = posting.withColumn("grade", grade)
+    met = own.withColumn("met", F.explode(F.array(F.col("grade"), F.col("grade") - 1) if ratio > 1 else F.array("grade")))
+    lists = cut(
+        met.groupBy("token", "met").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count_if(F.col("met") == F.col("grade")).alias("smaller"))
+        .where("low < high and smaller > 0").select("token", F.col("met").alias("list"), F.ceil(F.col("smaller") / PART).alias("parts"))
+    )
+    # joined by one hash of (shingle, class, part): equal columns below would pass for its partitioning and leave long lists whole
+    shape = lambda k: [F.col(c).alias(f"{c}_{k}") for c in ("rep", "n", "pos", "component", "grade")]
+    left = own.withColumn("list", F.col("grade")).join(lists, ["token", "list"])
+    left = left.select(F.xxhash64("token", "list", F.pmod(F.xxhash64("rep"), "parts")).alias("deal"), *shape("a"))
+    right = met.withColumnRenamed("met", "list").join(lists, ["token", "list"]).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    right = right.select(F.xxhash64("token", "list", "part").alias("deal"), *shape("b"))
+    # at the first shingle that two sets share, what is left of either must hold all that they need to share
+    bound = f"{share[1] + share[0]}L * least(n_a - pos_a, n_b - pos_b) >= {share[0]}L * (n_a + n_b)"
+    return (
+        left.join(right, "deal").where("component_a <> component_b and (grade_a < grade_b or rep_a < rep_b)").where(_can_link("n_a", "n_b", share)).where(bound)
+        .select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b")).distinct()
+    )
 
 
 def _spread_filter(pairs: DataFrame, sets: DataFrame, share: tuple[int, int]) -> DataFrame:
@@ -207,14 +238,18 @@ def cluster(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: i
     ratio = share[1] / share[0]
     grade = F.floor(F.log("n") / F.log(F.lit(ratio))) if ratio > 1 else F.col("n")
     every = sets.select("rep", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("pos", "token"))
-    shared = every.groupBy("token").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").select("token")
+    # aggregates are written before they are joined: a join that shares their exchange cannot split a hot shingle
+    shared = cut(every.groupBy("token").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").select("token"))
     posting = cut(every.join(shared, "token"))
 
     # star round
     posting_grade = posting.withColumn("grade", grade)
-    lists = posting_grade.groupBy("token", "grade").agg(F.min(F.struct("pos", "rep")).alias("hub"), F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high")
+    lists = cut(
+        posting_grade.groupBy("token", "grade").agg(F.min(F.struct("pos", "rep")).alias("hub"), F.min("rep").alias("low"), F.max("rep").alias("high"))
+        .where("low < high").select("token", "grade", F.col("hub.rep").alias("hub"))
+    )
     stars = (
-        posting_grade.select("token", "grade", "rep").join(lists.select("token", "grade", F.col("hub.rep").alias("hub")), ["token", "grade"]).where("rep <> hub")
+        posting_grade.select("token", "grade", "rep").join(lists, ["token", "grade"]).where("rep <> hub")
         .groupBy("rep", "hub").count()
         .groupBy("rep").agg(F.max(F.struct("count", F.negative("hub").alias("hub"))).alias("best"))
         .select(F.negative("best.hub").alias("a"), F.col("rep").alias("b"))
@@ -226,17 +261,8 @@ def cluster(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: i
     # exact round, in lists of several components
     marked = sets.select("rep").join(labels, sets["rep"] == labels["node"], "left").select("rep", F.coalesce("component", "rep").alias("component"))
     labelled = cut(posting.join(marked, "rep"))
-    mixed = labelled.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("token")
-    active = labelled.join(mixed, "token").select("token", "rep", "n", "pos", "component")
-    left, right = (active.select("token", *[F.col(c).alias(f"{c}_{k}") for c in ("rep", "n", "pos", "component")]) for k in ("a", "b"))
-    # at the first shingle that two sets share, what is left of either must hold all that they need to share
-    bound = f"{share[1] + share[0]} * least(n_a - pos_a, n_b - pos_b) >= {share[0]} * (n_a + n_b)"
-    pairs = (
-        left.join(right, "token").where("rep_a < rep_b and component_a <> component_b").where(_can_link("n_a", "n_b", share)).where(bound)
-        .select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct()
-    )
     tested = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    pairs = cut(_spread_filter(pairs.join(tested, ["a", "b"], "left_anti"), sets, share))
+    pairs = cut(_spread_filter(_candidates(labelled, share).join(tested, ["a", "b"], "left_anti"), sets, share))
     if not pairs.isEmpty():
         labels = connected(found.unionByName(_verified(pairs, own, size, share)))
 

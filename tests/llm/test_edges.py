@@ -155,6 +155,30 @@ def test_jaccard_against_brute_force(spark, size, share):
     assert got == brute_jaccard(table, size, *share)
 
 
+@pytest.mark.parametrize("share", [(90, 100), (80, 100), (50, 100), (100, 100)])
+@pytest.mark.parametrize("part", [3, 1000])
+def test_jaccard_candidates_of_hot_shingles(spark, monkeypatch, share, part):
+    """All sets hold the shingle 0, first of their prefix; lists in parts meet the same pairs, each once, and lose none that links."""
+    monkeypatch.setattr(jaccard, "PART", part)
+    rng = random.Random(share[0])
+    sets = {}
+    for i in range(120):
+        few = [*range(1, rng.choice([2, 3, 9, 17, 33]))]
+        sets[i] = [0, *sorted({t if rng.random() < 0.95 else rng.randrange(1, 60) for t in few})]
+    rows = [(t, i, len(s), pos, i // 2) for i, s in sets.items() for pos, t in enumerate(s[: len(s) - -(-len(s) * share[0] // share[1]) + 1])]
+    got = [tuple(r) for r in jaccard._candidates(spark.createDataFrame(rows, "token long, rep long, n int, pos int, component long").repartition(3), share).collect()]
+    links = {(a, b) for a, x in sets.items() for b, y in sets.items() if a < b and a // 2 != b // 2 and share[1] * len({*x} & {*y}) >= share[0] * len({*x} | {*y})}
+    assert len(got) == len(set(got)) and links and links <= set(got)
+    assert all(a < b and a // 2 != b // 2 and share[1] * min(len(sets[a]), len(sets[b])) >= share[0] * max(len(sets[a]), len(sets[b])) for a, b in got)
+
+
+def test_jaccard_of_one_hot_opening(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "PART", 4)
+    table = [(i, f"one and the same opening of every text {' '.join(f'w{i // 2}x{k}' for k in range(i % 7 + 2 * (i % 2)))}") for i in range(80)]
+    got = {r.id: (r.n_shingles, r.component_id) for r in jaccard.cluster(spark.createDataFrame(table, "doc_id long, text string").repartition(4), size=3, share=(80, 100)).collect()}
+    assert got == brute_jaccard(table, 3, 80, 100)
+
+
 def test_jaccard_edges(docs, empty, clashing):
     got = [(r.doc_id, r.n_shingles, r.component_id) for r in jaccard.digest(docs).collect()]
     assert got.count((1, 58, 1)) == 2 and (2, 58, 1) in got and (None, 58, 1) in got and (3, 0, 3) in got and (9, 1, 9) in got and (10, 1, 9) in got
