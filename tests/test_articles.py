@@ -1,3 +1,4 @@
+from foliant.sources import citations
 from foliant.sources.articles import blocks_of, parse
 
 XML = """<article><front><article-meta><article-id pub-id-type="pmc">PMC1</article-id><title-group><article-title>On <i>things</i></article-title></title-group>
@@ -57,3 +58,29 @@ def test_nesting_of_any_depth():
     assert [(x["content"], x["section_path"]) for x in b] == [("core end.", ["T"])]
     broken = blocks_of("<article><body><sec><title>T</title><p>" + "<b><i>" * deep + "core</x></y>" * 50 + "</p></sec></body></article>")
     assert len(broken) == 1 and broken[0]["content"].startswith("corecore")
+
+
+def test_references_as_fields_and_lines(spark):
+    ids = '<pub-id pub-id-type="doi">10.1/x</pub-id><pub-id pub-id-type="pmid">7</pub-id>'
+    full = f'<ref id="r1"><label>1</label><element-citation><person-group><string-name>A <b>One</b></string-name><string-name>B Two</string-name></person-group><article-title>On  it</article-title><source>J</source><year>2020</year><volume>5</volume><fpage>1</fpage><lpage>9</lpage>{ids}</element-citation></ref>'
+    rest = '<ref id="r1"><mixed-citation>again</mixed-citation></ref><ref><label>2</label><mixed-citation>Who,\n 2021.</mixed-citation></ref><ref id="r3"/><ref id="r4"><element-citation><fpage>3</fpage><inline-formula><tex-math>x^2</tex-math></inline-formula></element-citation></ref>'
+    xml = f"<article><front><article-meta><article-id pub-id-type='pmc'>PMC2</article-id></article-meta></front><back><ref-list>{full}<ref-list>{rest}</ref-list></ref-list></back></article>"
+    articles = spark.createDataFrame([("a", xml), ("b", None), ("c", ""), ("d", "<article><p>")], "path string, xml string")
+    rows = sorted(citations.references(articles).collect(), key=lambda r: r.number)
+    assert [(r.number, r.ref_id, r.citation) for r in rows] == [
+        (1, "r1", "A One, B Two. On it. J2020;5:1–9. DOI: [10.1/x](https://doi.org/10.1/x) PMID: [7](https://pubmed.ncbi.nlm.nih.gov/7)"), (2, "ref_2", "Who, 2021."), (3, "r3", "Reference 3"), (4, "r4", ":3. $x^2$"),
+    ]
+    assert {r.document_id for r in rows} == {"PMC2"} and rows[0].authors == ["A One", "B Two"] and (rows[0].doi, rows[0].pmid, rows[0].pmcid) == ("10.1/x", "7", "")
+    blocks = parse(articles)
+    lined = citations.with_citations(blocks, citations.references(articles))
+    assert lined.columns == blocks.columns and lined.count() == blocks.count()
+    assert {r.source_id: r.content for r in lined.where("block_type = 'reference'").collect()} == {"r1": rows[0].citation, None: "Who, 2021.", "r3": "Reference 3", "r4": ":3. $x^2$"}
+
+
+def test_schema_report(spark):
+    deep = "<article><body>" + "<sec>" * 20_000 + "<p/>" + "</sec>" * 20_000 + "</body></article>"
+    got = {r.document_id: r for r in citations.schema_report(citations.elements(spark.createDataFrame([("a.xml", XML), ("deep.xml", deep), ("n", None)], "path string, xml string"))).collect()}
+    r = got["PMC1"]
+    assert set(got) == {"PMC1", "deep"} and r.root_tag == "article" and [tuple(x) for x in r.article_ids] == [("pmc", "PMC1")] and (r.has_body, r.has_back, r.has_floats_group) == (True, True, False)
+    assert (r.n_secs, r.n_paragraphs, r.n_lists, r.n_tables, r.n_figures, r.n_table_fns, r.n_refs, r.table_ids, r.figure_ids) == (2, 6, 1, 1, 0, 1, 2, ["t1"], [])
+    assert (got["deep"].n_secs, got["deep"].n_paragraphs) == (20_000, 1)
