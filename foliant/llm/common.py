@@ -124,12 +124,12 @@ def append_column(df: DataFrame, text: str, name: str, kind: T.DataType, make: C
     return df.mapInArrow(run, schema)
 
 
-_MARKS = np.array([b in b",.;:!?" for b in range(256)])
+_MARKS = np.array([b in b",.;:!?#$%&*" for b in range(256)])
 _ASCII_LETTERS = np.array([0x41 <= b <= 0x5A or 0x61 <= b <= 0x7A for b in range(256)])
 _BLANKS = np.array([b in b"\n\r\t" for b in range(256)])
 
 
-def blank_words(column: pa.Array, step: int = STEP_BYTES) -> Iterator[tuple[int, list[str], np.ndarray, np.ndarray]]:
+def blank_words(column: pa.Array, step: int = STEP_BYTES) -> Iterator[tuple[int, pa.StringArray, np.ndarray, np.ndarray]]:
     """(rows, distinct words, code of each word, first word of each row + total): texts split at blanks, tabs,
     line ends and between an ASCII letter and a mark such as a comma; empty words are among them."""
     for at, end, raw, offs in text_slices(column, step):
@@ -140,7 +140,7 @@ def blank_words(column: pa.Array, step: int = STEP_BYTES) -> Iterator[tuple[int,
         texts = pa.StringArray.from_buffers(end - at, pa.py_buffer(offs.astype(np.int32)), pa.py_buffer(buf))
         words = pc.split_pattern(texts, " ")
         coded = words.values.dictionary_encode()
-        yield end - at, coded.dictionary.to_pylist(), coded.indices.to_numpy(), words.offsets.to_numpy().astype(np.int64)
+        yield end - at, coded.dictionary, coded.indices.to_numpy(), words.offsets.to_numpy().astype(np.int64)
 
 
 def summed_counts(df: DataFrame, size: int, count: Callable[[Iterator[pa.RecordBatch]], np.ndarray], chunk: int = 256) -> np.ndarray:

@@ -16,7 +16,6 @@ import functools
 import json
 import os
 import random
-import re
 import zlib
 from array import array
 from bisect import bisect_left, insort
@@ -24,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -47,8 +47,8 @@ POOR = 0.98
 WORTH_DEALING = 0.001
 #: Bytes of text tokenised at a time.
 STEP_BYTES = 2_000_000
-#: Words whose ids a worker remembers, twice over.
-MOST_WORDS = 50_000
+#: Words whose ids a worker remembers; of more, the half that was asked for last.
+MOST_WORDS = 200_000
 
 
 def default_tokenizer() -> str:
@@ -59,10 +59,10 @@ def default_tokenizer() -> str:
 
 class Encoder:
     """The ids of words. A tokenizer of this kind never joins text across a blank, nor a letter with a comma, so
-    every distinct word is tokenised once. Words of Latin letters need none of the tokenizer's normalisation
+    every distinct word is tokenised once while it is remembered. Words of Latin letters need none of the tokenizer's normalisation
     but lower case and go straight to its model."""
 
-    plain = re.compile(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+    plain = "^[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+$"
 
     def __init__(self, file: str) -> None:
         from tokenizers import Tokenizer
@@ -75,35 +75,52 @@ class Encoder:
         self.model = self.whole.model
         own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         rest = [b for b in range(256) if b not in own]
-        self.letters = {b: 0x100 + k for k, b in enumerate(rest)}  # how byte-level models spell bytes
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def ids(self, words: list[str]) -> list[bytes]:
-        if len(self.young) > MOST_WORDS:  # what was not asked for since is forgotten
-            self.old, self.young = self.young, {}
-        young, old, plain = self.young, self.old, self.plain.fullmatch
-        out, slow = [young.get(w) for w in words], []
-        for k, (w, ids) in enumerate(zip(words, out, strict=True)):
-            if ids is not None:
-                continue
-            ids = old.get(w)
-            if ids is None:
-                if not plain(w):
-                    slow.append(k)
-                    continue
-                low = w.lower()
-                ids = young.get(low) or old.get(low)
-                if ids is None:
-                    spelt = low if low.isascii() else low.encode().decode("latin-1").translate(self.letters)
-                    ids = array("I", [x.id for x in self.model.tokenize(spelt)]).tobytes()
-                    young[low] = ids
-            out[k] = young[w] = ids
-        for at in range(0, len(slow), 10_000):
-            some = slow[at : at + 10_000]
-            for k, e in zip(some, self.whole.encode_batch_fast([words[k] for k in some], add_special_tokens=False), strict=True):
-                out[k] = young[words[k]] = array("I", e.ids).tobytes()
-        return out
+        self.letters = np.arange(256, dtype="<u4")  # how byte-level models spell bytes
+        self.letters[rest] = 0x100 + np.arange(len(rest))
+        self.letters[0x0A] = 0x0A  # stands between words
+        # words: those that are remembered; of each, the number of its ids, one after the other in flat, and the step that asked for it last
+        self.words = pa.array([], pa.string())
+        self.flat, self.size, self.used, self.step = np.zeros(0, "<u4"), np.zeros(0, np.int64), np.zeros(0, np.int64), 0
+
+    def _forget(self) -> None:
+        """Keeps the half of the words that was asked for last."""
+        keep = np.sort(np.argsort(-self.used, kind="stable")[: MOST_WORDS // 2])
+        first, size = (np.cumsum(self.size) - self.size)[keep], self.size[keep]
+        self.flat = self.flat[np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+        self.words, self.size, self.used = self.words.take(pa.array(keep)), size, self.used[keep]
+
+    def _tokenised(self, plain: list[str], others: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids one after the other, number of each word's ids)."""
+        ids, size, tokenize = array("I"), array("q"), self.model.tokenize
+        raw = np.frombuffer("\n".join(plain).lower().encode(), np.uint8)
+        for spelt in self.letters[raw].tobytes().decode("utf-32-le").split("\n") if plain else []:
+            own = [x.id for x in tokenize(spelt)]
+            ids.extend(own)
+            size.append(len(own))
+        for at in range(0, len(others), 10_000):
+            for e in self.whole.encode_batch_fast(others[at : at + 10_000], add_special_tokens=False):
+                own = e.ids
+                ids.extend(own)
+                size.append(len(own))
+        return np.frombuffer(ids, "<u4"), np.frombuffer(size, np.int64)
+
+    def ids(self, words: pa.StringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(first place, number of ids) of each of some different words in the third, all ids that are remembered."""
+        if len(self.words) > MOST_WORDS:
+            self._forget()
+        self.step += 1
+        at = pc.index_in(words, value_set=self.words).fill_null(-1).to_numpy().astype(np.int64)
+        new = np.flatnonzero(at < 0)
+        fresh = words.take(pa.array(new))
+        plain = pc.match_substring_regex(fresh, self.plain)
+        kinds, order = [fresh.filter(plain), fresh.filter(pc.invert(plain))], np.argsort(~plain.to_numpy(zero_copy_only=False), kind="stable")
+        ids, size = self._tokenised(*(k.to_pylist() for k in kinds))
+        at[new[order]] = len(self.words) + np.arange(len(new))
+        self.words = pa.concat_arrays([self.words, *kinds])
+        self.flat, self.size = np.concatenate([self.flat, ids]), np.concatenate([self.size, size])
+        self.used = np.concatenate([self.used, np.zeros(len(new), np.int64)])
+        self.used[at] = self.step
+        return (np.cumsum(self.size) - self.size)[at], self.size[at], self.flat
 
 
 @functools.lru_cache(maxsize=1)
@@ -116,10 +133,7 @@ def encode(column: pa.Array, file: str) -> Iterator[tuple[int, np.ndarray, np.nd
     """(rows, ids, first id of each row + total)."""
     encoder = _encoder(file)
     for rows, words, codes, firsts in blank_words(column, STEP_BYTES):
-        known = encoder.ids(words)
-        size = np.fromiter(map(len, known), np.int64, len(known)) // 4
-        first = np.cumsum(size) - size
-        flat = np.frombuffer(b"".join(known), "<u4")
+        first, size, flat = encoder.ids(words)
         sizes = size[codes]
         done = np.concatenate([[0], np.cumsum(sizes)])
         ids = flat[np.repeat(first[codes] - done[:-1], sizes) + np.arange(done[-1])] if done[-1] else np.zeros(0, "<u4")

@@ -292,6 +292,40 @@ def test_tokens_as_the_library_makes_them():
         assert ids[bounds[r] : bounds[r + 1]].tolist() == whole.encode(t or "", add_special_tokens=False).ids
 
 
+def test_words_are_tokenised_once_and_forgotten_ones_again(monkeypatch):
+    """A hundred thousand different words are known when they come back, with and without marks behind them; ids are the
+    library's, also where words are forgotten between two steps."""
+    import pyarrow as pa
+
+    rng = random.Random(4)
+    words = ["".join(rng.choices("abcdeéß", k=9)) for _ in range(100_000)]
+    table, file = pa.array([" ".join(words[k : k + 100]) for k in range(0, len(words), 100)]), pack.default_tokenizer()
+    encoder, asked = pack.Encoder(file), []
+
+    class Counting:
+        def tokenize(self, word, model=encoder.model):
+            asked.append(word)
+            return model.tokenize(word)
+
+    encoder.model = Counting()
+    monkeypatch.setattr(pack, "_encoder", lambda _: encoder)
+    first = [ids.tolist() for _, ids, _ in pack.encode(table, file)]
+    assert asked
+    asked.clear()
+    assert [ids.tolist() for _, ids, _ in pack.encode(table, file)] == first and not asked
+    list(pack.encode(pa.array([" ".join(w + "###" for w in words[:500] if w[-1].isascii())]), file))
+    assert not asked  # a mark is cut off
+    monkeypatch.setattr(pack, "MOST_WORDS", 50)
+    monkeypatch.setattr(pack, "STEP_BYTES", 300)
+    texts = [" ".join(f"{w}{m}" for w, m in zip(rng.choices(words, k=20), rng.choices(["", "$$$", "'s", "%&*", "#x", " ", "*'ll"], k=20), strict=True)) for _ in range(40)] * 2 + ["<|endoftext|>### <|ENDOFTEXT|>", ""]
+    at = 0
+    for rows, ids, bounds in pack.encode(pa.array(texts), file):
+        for r in range(rows):
+            assert ids[bounds[r] : bounds[r + 1]].tolist() == encoder.whole.encode(texts[at + r], add_special_tokens=False).ids
+        at += rows
+    assert at == len(texts) and len(encoder.words) < 200
+
+
 def test_genetic_algorithm_keeps_pieces_and_improves():
     rng = random.Random(1)
     lengths = [rng.randint(1, 100) for _ in range(300)]
