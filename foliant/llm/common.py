@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,9 +15,15 @@ from foliant.session import bound_batches
 
 #: Bytes of text that one vectorised step works on; bounds the memory of a Python worker.
 STEP_BYTES = 1_000_000
+#: Larger arrays have pages of their own, which go back when they are freed; of other freed memory a process keeps so much.
+MMAP_BYTES, TRIM_BYTES = 4 << 20, 16 << 20
 
 # freed buffers go back to the system at once: an executor's Python workers live long, next to its heap
 pa.set_memory_pool(pa.system_memory_pool())
+_MALLOC = getattr(ctypes.CDLL(None), "mallopt", None)
+if _MALLOC:  # glibc keeps up to 64 MB and arrays of up to 32 MB for later, unless both bounds are set
+    _MALLOC(-3, MMAP_BYTES)  # M_MMAP_THRESHOLD
+    _MALLOC(-1, TRIM_BYTES)  # M_TRIM_THRESHOLD
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 

@@ -30,6 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from foliant.llm import jaccard
 from foliant.llm.common import append_column, free_name, lower_ascii_table, summed_counts, text_slices, word_bounds, word_hashes
@@ -323,7 +324,9 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
         weights[y] = totals.get(y, 0) / len(part) if part else 0.0
     spark = docs.sparkSession
     sample.sort(key=lambda r: r["id"])
-    chosen = spark.createDataFrame([(r["id"], r["y"], k) for k, r in enumerate(sample)], T.StructType([*known.schema.fields, T.StructField("key", T.LongType())]))
+    # small tables go in as Arrow: rows would be pickled by Python workers of another kind, which then stay beside the others
+    fields = T.StructType([*known.schema.fields, T.StructField("key", T.LongType())])
+    chosen = spark.createDataFrame(pa.Table.from_pylist([{"id": r["id"], "y": r["y"], "key": k} for k, r in enumerate(sample)], to_arrow_schema(fields)), fields)
     examples = cut(docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(F.broadcast(chosen), "id").select("id", "text", "y", "key"))
     # near copies of one label are one example, the one with the smallest id, that weighs as many as they are
     groups = {r["id"]: r["component_id"] for r in jaccard.cluster(examples, "key", "text", COPY_SIZE, COPY_SHARE).collect()}
@@ -340,7 +343,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     for y in (0, 1):  # what is left stands for all labelled rows of its kind
         held = sum(n for k, n in kept if sample[k]["y"] == y)
         weights[y] = totals.get(y, 0) / held if held else 0.0
-    examples = examples.join(F.broadcast(spark.createDataFrame(kept, "key long, copies long")), "key")
+    examples = examples.join(F.broadcast(spark.createDataFrame(pa.table({"key": pa.array([k for k, _ in kept], pa.int64()), "copies": pa.array([n for _, n in kept], pa.int64())}))), "key")
     bound_batches(spark)
 
     def own_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

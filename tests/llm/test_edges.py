@@ -292,6 +292,39 @@ def test_tokens_as_the_library_makes_them():
         assert ids[bounds[r] : bounds[r + 1]].tolist() == whole.encode(t or "", add_special_tokens=False).ids
 
 
+def test_freed_arrays_go_back_to_the_system():
+    """A worker that has freed large arrays does not keep their memory beside its executor's heap."""
+    import subprocess
+    import sys
+
+    code = """
+import re, numpy as np
+import foliant.llm.common
+used = lambda: int(re.search(r"VmRSS:\\s+(\\d+)", open("/proc/self/status").read())[1]) / 1024
+del (x := [np.ones(30 << 17)])[:]
+before = used()
+many = [np.ones(1 << 20) for _ in range(12)]
+del many[:-1]
+print(used() - before)
+"""
+    assert float(subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout) < 40
+
+
+def test_toxicity_needs_no_pickled_rows(spark, monkeypatch):
+    """The small tables of a model go to Spark as Arrow, so that executors have one kind of Python workers only."""
+    from pyspark import SparkContext
+
+    def refuse(*_, **__):
+        raise AssertionError("rows are pickled")
+
+    docs = spark.createDataFrame([(k, f"{'awful' if k % 2 else 'lovely'} word{k} here") for k in range(40)], "doc_id long, text string").localCheckpoint()
+    labels = spark.createDataFrame([(k, k % 2) for k in range(30)], "doc_id long, toxic int").localCheckpoint()
+    none = labels.where("doc_id < 0").localCheckpoint()
+    monkeypatch.setattr(SparkContext, "parallelize", refuse)
+    assert toxicity.digest(docs, labels).count() == 40
+    assert toxicity.digest(docs, none).count() == 40
+
+
 def test_words_are_tokenised_once_and_forgotten_ones_again(monkeypatch):
     """A hundred thousand different words are known when they come back, with and without marks behind them; ids are the
     library's, also where words are forgotten between two steps."""
