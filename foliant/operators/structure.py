@@ -15,10 +15,10 @@ TARGET, HARD = 1600, 3200
 SEPARATORS = ("\n\n", "\n", ". ", "? ", "! ", "; ", " ")
 
 
-def line_chunks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(chunk_id, document_id, position, text): the lines that are not blank, position counting all lines from 0."""
-    lines = docs.select(F.col(doc_id).alias("document_id"), F.posexplode(F.split(F.coalesce(text, F.lit("")), "\n")).alias("position", "text"))
-    return lines.where(F.col("text").rlike(r"\S")).select(F.concat_ws("_", F.lit("D"), "document_id", "position").alias("chunk_id"), "document_id", "position", "text")
+def line_chunks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(chunk_id, document_id, position, text, the columns to keep): the lines that are not blank, position counting all lines from 0."""
+    lines = docs.select(*keep, F.col(doc_id).alias("document_id"), F.posexplode(F.split(F.coalesce(text, F.lit("")), "\n")).alias("position", "text"))
+    return lines.where(F.col("text").rlike(r"\S")).select(F.concat_ws("_", F.lit("D"), "document_id", "position").alias("chunk_id"), "document_id", "position", "text", *keep)
 
 
 def embedding_text(breadcrumb: Column, text: Column, prefix: Column | None = None) -> Column:

@@ -260,7 +260,7 @@ def tree_descent(spark: SparkSession, d: str) -> DataFrame:
 def leaf_match(spark: SparkSession, d: str) -> DataFrame:
     """Lines of documents with an even id as leaves, those of the others as chunks, a paper for each language: copies of a document stand on either
     side."""
-    rows = read(spark, d, "documents").select("lang", F.col("doc_id").alias("document_id")).join(chunks(spark, d), "document_id")
+    rows = structure.line_chunks(read(spark, d, "documents"), keep=("lang",))
     place = (F.col("document_id") * (1 << 24) + F.col("position")).alias("position")
     side = lambda odd, name: rows.where(F.col("document_id") % 2 == odd).select(F.col("lang").alias("paper_id"), F.col("chunk_id").alias(name), place, "text")
     return leafmatch.match(side(0, "node_id"), side(1, "chunk_id")).withColumn("score", F.round("score", 6))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from foliant.functions import text as tx
 from foliant.models import plugins
 from foliant.operators import chunks as ck
-from foliant.operators import docindex, hybrid, leafmatch, lexical, repair, report, tree, trees
+from foliant.operators import alike, docindex, hybrid, leafmatch, lexical, repair, report, tree, trees
 from foliant.sources import articles, front, store
 
 XML = """<article article-type="research"><front><journal-meta><journal-id journal-id-type="nlm">J1</journal-id><journal-title>The Journal</journal-title><issn>1234-5678</issn><publisher><publisher-name>Pub</publisher-name></publisher></journal-meta>
@@ -372,6 +372,49 @@ def test_leaf_match_of_a_long_paper(spark):
     assert got.count() == 20_000 and got.where("substring(node_id, 2) <> substring(chunk_id, 2) or score <> 2.0").count() == 0
 
 
+def shuffled(spark, run):
+    """What run() gives, and the rows that its stages wrote for shuffles."""
+    context = spark.sparkContext
+
+    def stages():
+        found = context._jsc.sc().statusStore().stageList(None, False, False, context._gateway.new_array(context._jvm.double, 0), context._jvm.java.util.ArrayList())
+        return {found.apply(k).stageId(): found.apply(k).shuffleWriteRecords() for k in range(found.size())}
+
+    context._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    first = max(stages(), default=-1)
+    out = run()
+    context._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    return out, sum(n for k, n in stages().items() if k > first)
+
+
+def test_leaf_match_writes_no_list_of_pairs(spark):
+    rng = random.Random(10)
+    words = [f"{x}{y}{z}" for x in "bcdfg" for y in "aeio" for z in "lmn"]
+    made = [[rng.choice(words) for _ in range(30)] for _ in range(800)]
+    leaves = spark.createDataFrame([("p", f"n{i}", i, " ".join(t)) for i, t in enumerate(made)], "paper_id string, node_id string, position long, text string")
+    texts = spark.createDataFrame([("p", f"c{i}", i, " ".join([*t[:15], "xyz", *t[16:]])) for i, t in enumerate(made)], "paper_id string, chunk_id string, position long, text string")
+    got, written = shuffled(spark, lambda: leafmatch.match(leaves, texts).collect())
+    assert {(r.node_id, r.chunk_id) for r in got} == {(f"n{i}", f"c{i}") for i in range(800)} and len(got) == 800
+    assert written < 20_000  # every leaf shares words with every chunk
+
+
+def test_likeness_is_that_of_difflib():
+    from difflib import SequenceMatcher
+
+    rng, high = random.Random(3), 0
+    for _ in range(1500):
+        letters = rng.choice(["ab", "abcdefgh ", "etaoinshrdlu \x01\x02éß", "the of and in xyz "])
+        leaf = "".join(rng.choice(letters) for _ in range(rng.choice([3, 10, 45, 120, 199, 200, 201, 260, 450])))
+        chunk = list(leaf)
+        for _ in range(rng.randrange(max(2, len(leaf) // 12))):
+            chunk[rng.randrange(len(chunk))] = rng.choice(["", letters[0], "q#", letters[1] * 2])
+        chunk = "".join(chunk) or "a"
+        want = SequenceMatcher(None, chunk, leaf).ratio()
+        assert alike.likeness(chunk, leaf) == want if want >= alike.LEAST_RATIO else alike.likeness(chunk, leaf) < alike.LEAST_RATIO
+        high += want >= alike.LEAST_RATIO
+    assert 300 < high < 1400
+
+
 def test_deep_trees(spark):
     chain = [("p", f"n{k:04d}", f"n{k - 1:04d}" if k else None, k, 1999) for k in range(2000)] + [("p", "x", "y", 3000, 3000), ("p", "y", "x", 3001, 3001)]
     nodes = spark.createDataFrame(chain, "paper_id string, node_id string, parent_id string, preorder int, last_preorder int")
